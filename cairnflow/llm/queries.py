@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, maxscore, mixing, projections, simhash, warc
+from . import bpe, idcodec, licenses, maxscore, mixing, projections, simhash, toxicity, warc
 from ._common import table
 
-RANKS = "byte_bpe_multi_50k.tiktoken"
+RANKS, IDS = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json"
 
 
 def tokenizer_file(name: str) -> str:
@@ -34,6 +34,18 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idcodec.round_trip(table(spark, sf_dir, "documents"), tokenizer_file(IDS))
+
+
 def op9_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return maxscore.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0))
@@ -43,7 +55,7 @@ def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projections.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_warc_round_trip, op3_byte_bpe, op4_simhash, op9_maxscore, op10_near_vectors)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_warc_round_trip, op3_byte_bpe, op4_simhash, op6_toxicity, op7_licenses, op8_token_ids, op9_maxscore, op10_near_vectors)}
 
 ORACLE: dict[str, str] = {
     "op1_mix_sources": r"""
@@ -86,6 +98,7 @@ select page_id, n as payload_bytes, sha256(payload) as payload_digest,
   case when n >= 100 and page_id is distinct from first_ then first_ end as refers_to
 from r
 """,
+    "op7_licenses": licenses.oracle(),
     "op9_maxscore": """
 with v as (
   select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as e from embeddings
