@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, idcodec, licenses, maxscore, mixing, projections, simhash, toxicity, warc
+from . import bpe, idcodec, licenses, maxscore, mixing, pii, projections, simhash, toxicity, warc
 from ._common import table
 
 RANKS, IDS = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json"
@@ -34,6 +34,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -55,7 +59,7 @@ def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projections.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_warc_round_trip, op3_byte_bpe, op4_simhash, op6_toxicity, op7_licenses, op8_token_ids, op9_maxscore, op10_near_vectors)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_warc_round_trip, op3_byte_bpe, op4_simhash, op5_pii, op6_toxicity, op7_licenses, op8_token_ids, op9_maxscore, op10_near_vectors)}
 
 ORACLE: dict[str, str] = {
     "op1_mix_sources": r"""
