@@ -3,7 +3,7 @@
 A text is split by the vocabulary's pattern. Tier one resolves whole pre-tokens that are vocabulary entries by a minimal
 perfect hash: one slot per entry, confirmed by its bytes. Tier two merges what is left: bytes in a linked list, adjacent
 pairs in a heap by rank, so a pre-token of n bytes takes O(n log n) however long it is. Resolved pre-tokens are kept in a
-bounded memo per task. The driver reads the rank file and broadcasts the tables, whose size is that of the vocabulary.
+bounded memo per worker process. The driver reads the rank file and broadcasts the tables, whose size is that of the vocabulary.
 
 Defined cases: a null text is empty and gives no ids; special tokens are ordinary text; repeated rows give repeated
 results; no rows give no rows; other columns are ignored.
@@ -18,7 +18,7 @@ from heapq import heapify, heappop, heappush
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MEMO = 1 << 18
+MEMO = 1 << 20
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -59,6 +59,13 @@ class PerfectHash:
             self.move[b] = d
         self.keys = keys
 
+    @classmethod
+    def of(cls, state: dict) -> PerfectHash:
+        """From vars() of another: broadcasts hold plain values, as executors need no copy of this package."""
+        table = cls.__new__(cls)
+        vars(table).update(state)
+        return table
+
     def _slot(self, h: int, d: int) -> int:
         return (((h >> 20) ^ (d * 0x9E3779B97F4A7C15)) * 0xD6E8FEB86659FD93 >> 29 & 0xFFFFFFFF) % self.n
 
@@ -71,30 +78,37 @@ class PerfectHash:
         return i if i >= 0 and self.keys[i] == key else -1
 
 
-def merge(piece: bytes, find) -> list[int]:
-    """Ids of a piece: of all adjacent pairs that are entries, the one of least rank (leftmost first) merges, until none is left."""
-    n = len(piece)
-    after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-    end, alive = list(range(1, n + 1)), [True] * n
-    heap = [(r, i, i + 2) for i in range(n - 1) if (r := find(piece[i : i + 2])) >= 0]
+def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of a piece: of all adjacent pairs that are entries, the one of least rank (leftmost first) merges, until none is left.
+
+    The heap holds rank << 40 | start; a popped entry counts only if the pair at its start still has that rank.
+    """
+    n, rank_of = len(piece), ranks.get
+    end, before = [*range(1, n + 1), n], list(range(-1, n))  # of the part that starts here; of a merged one, end is 0
+    pair = [rank_of(piece[i : i + 2], -1) for i in range(n - 1)]
+    pair.append(-1)
+    heap = [r << 40 | i for i, r in enumerate(pair) if r >= 0]
     heapify(heap)
     while heap:
-        _, i, stop = heappop(heap)
-        j = after[i] if alive[i] else -1
-        if j < 0 or end[j] != stop:
+        top = heappop(heap)
+        i = top & 0xFFFFFFFFFF
+        if pair[i] != top >> 40:
             continue  # one of the two has merged since
-        end[i], alive[j] = stop, False
-        after[i] = k = after[j]
-        if k >= 0:
-            before[k] = i
-            if (r := find(piece[i : end[k]])) >= 0:
-                heappush(heap, (r, i, end[k]))
-        if (p := before[i]) >= 0 and (r := find(piece[p:stop])) >= 0:
-            heappush(heap, (r, p, stop))
+        j = end[i]
+        stop = end[i] = end[j]
+        pair[j], before[stop] = -1, i
+        pair[i] = r = rank_of(piece[i : end[stop]], -1) if stop < n else -1
+        if r >= 0:
+            heappush(heap, r << 40 | i)
+        p = before[i]
+        if p >= 0:
+            pair[p] = r = rank_of(piece[p:stop], -1)
+            if r >= 0:
+                heappush(heap, r << 40 | p)
     ids, i = [], 0
-    while i >= 0 and n:
-        ids.append(find(piece[i : end[i]]))
-        i = after[i]
+    while i < n:
+        ids.append(ranks[piece[i : end[i]]])
+        i = end[i]
     return ids
 
 
@@ -105,11 +119,12 @@ class Codec:
         import regex
 
         self.table, self.split, self.memo = table, regex.compile(pattern).findall, {}
+        self.ranks = {t: i for i, t in enumerate(table.keys)}  # of parts, in merges
 
     def _resolve(self, word: str) -> tuple[int, ...]:
         piece = word.encode("utf-8", "surrogatepass")
         whole = self.table.find(piece)
-        ids = (whole,) if whole >= 0 else tuple(merge(piece, self.table.find))
+        ids = (whole,) if whole >= 0 else tuple(merge(piece, self.ranks))
         if len(self.memo) >= MEMO:
             self.memo.clear()
         if len(word) < 256:
@@ -133,31 +148,46 @@ def _pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def worker_codec(name: str, state: dict, pattern: str) -> Codec:
+    """The codec of this worker process, which later tasks find again with its (bounded) memo."""
+    import sys
+
+    kept = sys.__dict__.setdefault("_cairnflow_codecs", {})
+    if name not in kept:
+        kept.clear()
+        kept[name] = Codec(PerfectHash.of(state), pattern)
+    return kept[name]
+
+
 def _shared_table(spark: SparkSession, path: str):
-    return spark.sparkContext.broadcast(PerfectHash(read_ranks(path)))
+    return spark.sparkContext.broadcast(vars(PerfectHash(read_ranks(path))))
 
 
 def encode(docs: DataFrame, path: str, pattern: str | None = None, key: str = "doc_id", column: str = "text") -> DataFrame:
-    """key, ids array<int>, decoded binary (of the ids, by the codec)."""
+    """key, ids array<int>, n_tokens, exact (whether the ids decode to the text's bytes)."""
     table, pattern = _shared_table(docs.sparkSession, path), pattern or _pattern()
+    name = f"{docs.sparkSession.sparkContext.applicationId} {path} {pattern}"
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        codec = Codec(table.value, pattern)
+        codec = worker_codec(name, table.value, pattern)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids = [codec.encode(t) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([codec.decode(x) for x in ids], pa.binary())], [key, "ids", "decoded"])
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                ids = [codec.encode(t) for t in texts]
+                exact = [codec.decode(x) == t.encode("utf-8", "surrogatepass") for x, t in zip(ids, texts, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(list(map(len, ids)), pa.int64()), pa.array(exact, pa.bool_())], [key, "ids", "n_tokens", "exact"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, column).mapInArrow(run, f"{key} {kind}, ids array<int>, decoded binary")
+    return docs.select(key, column).mapInArrow(run, f"{key} {kind}, ids array<int>, n_tokens long, exact boolean")
 
 
 def digests(docs: DataFrame, path: str, pattern: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: ids and decoded bytes stay in the worker that made them."""
     table, pattern = _shared_table(docs.sparkSession, path), pattern or _pattern()
+    name = f"{docs.sparkSession.sparkContext.applicationId} {path} {pattern}"
 
     def run(batches: Iterator) -> Iterator:
         import sys
@@ -166,7 +196,7 @@ def digests(docs: DataFrame, path: str, pattern: str | None = None) -> DataFrame
 
         import pyarrow as pa
 
-        codec = Codec(table.value, pattern)
+        codec = worker_codec(name, table.value, pattern)
         for batch in batches:
             n, a, b = [], [], []
             for text in batch.column(1).to_pylist():
