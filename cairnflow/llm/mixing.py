@@ -21,14 +21,18 @@ WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2.0
 LEVELS, LEVEL_BITS = 6, 8
 
 
+def size_of(text: str = "text"):
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
+
+
+def hash_of(doc_id: str = "doc_id"):
+    """48 bits of the id's MD5."""
+    return F.conv(F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), 1, LEVELS * LEVEL_BITS // 4), 16, 10).cast("long")
+
+
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size in words, h (48 bits of the id's MD5)."""
-    return docs.select(
-        "doc_id",
-        "source",
-        F.coalesce(F.regexp_count("text", F.lit(WORD)).cast("long"), F.lit(0).cast("long")).alias("size"),
-        F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, LEVELS * LEVEL_BITS // 4), 16, 10).cast("long").alias("h"),
-    )
+    """doc_id, source, size in words, h."""
+    return docs.select("doc_id", "source", size_of().alias("size"), hash_of().alias("h"))
 
 
 def targets(per_source: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -88,14 +92,27 @@ def thresholds(docs_sized: DataFrame, wanted: DataFrame) -> DataFrame:
     return plan.join(ends, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
 
 
+def copies(h):
+    """How often a document of hash h is taken, beside the columns of thresholds()."""
+    more = (h < F.col("h_end")) | ((h == F.col("h_end")) & F.col("at_end"))
+    return F.col("rounds") + F.coalesce(more, F.lit(False)).cast("long")
+
+
 def mix_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """Per document: doc_id, size, source, source_size, target (its source's), copies and taken (copies x size)."""
     rows = cut(sized(docs))
     wanted = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
     ends = cut(thresholds(rows, wanted).withColumnRenamed("source", "s"))
-    more = (F.col("h") < F.col("h_end")) | ((F.col("h") == F.col("h_end")) & F.col("at_end"))
     return (
         join_checked(rows, ends, F.col("source").eqNullSafe(F.col("s")))
-        .withColumn("copies", F.col("rounds") + F.coalesce(more, F.lit(False)).cast("long"))
+        .withColumn("copies", copies(F.col("h")))
         .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
     )
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """docs, each row as often as the mix takes it."""
+    rows = cut(sized(docs))
+    ends = cut(thresholds(rows, targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)).select(F.col("source").alias("_source"), "rounds", "h_end", "at_end"))
+    joined = join_checked(docs, ends, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_copies", copies(hash_of()).cast("int"))
+    return joined.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])

@@ -59,7 +59,13 @@ def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projections.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_warc_round_trip, op3_byte_bpe, op4_simhash, op5_pii, op6_toxicity, op7_licenses, op8_token_ids, op9_maxscore, op10_near_vectors)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_warc_round_trip, op3_byte_bpe, op4_simhash, op5_pii, op6_toxicity, op7_licenses, op8_token_ids, op9_maxscore, op10_near_vectors, pipeline)}
 
 ORACLE: dict[str, str] = {
     "op1_mix_sources": r"""

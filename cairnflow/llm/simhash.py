@@ -8,7 +8,9 @@ join: it works on distinct fingerprints. Tasks emit spanning edges only; compone
 
 Defined cases: a null or blank text has fingerprint zero, linked like any other; a text of fewer words than a shingle is
 one shingle; repeated rows and equal texts share a component; a null id takes no part in minima and a component of null
-ids only has a null id; no rows give no rows; other columns are ignored.
+ids only has a null id; no rows give no rows; other columns are ignored, and kept by keep_one.
+
+keep_one() filters documents at a lower similarity, for which 64 bits are too few: see wide_fingerprint().
 """
 
 from __future__ import annotations
@@ -65,8 +67,8 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
 
 
-def trie_pairs(values, groups, bits: int):
-    """Index pairs (i, j) of a sorted forest: values (uint64) sorted within groups (sorted); those of one group that differ in at most bits bits.
+def trie_pairs(values, groups, bits: int, counted: int = (1 << 64) - 1):
+    """Index pairs (i, j) of a sorted forest: values (uint64) sorted within groups (sorted); those of one group that differ in at most bits of the counted bits.
 
     A node is a run of the sorted values. The frontier holds pairs of nodes (lo, hi, lo, hi) with the differing bits of
     their prefixes; each level splits both nodes by one bit. Pairs of single values are settled at once. Wide frontiers
@@ -95,7 +97,7 @@ def trie_pairs(values, groups, bits: int):
             lone = (a1 - a0 == 1) & (b1 - b0 == 1)
             if lone.any():
                 i, j = a0[lone], b0[lone]
-                near = np.bitwise_count(values[i] ^ values[j]) <= bits
+                near = np.bitwise_count((values[i] ^ values[j]) & np.uint64(counted)) <= bits
                 near &= i != j
                 found_i.append(i[near])
                 found_j.append(j[near])
@@ -108,13 +110,14 @@ def trie_pairs(values, groups, bits: int):
                 stack.append((level, a0[half:], a1[half:], b0[half:], b1[half:], wrong[half:]))
                 a0, a1, b0, b1, wrong = (x[:half] for x in (a0, a1, b0, b1, wrong))
             am, bm, own = split(a0, a1, level), split(b0, b1, level), a0 == b0
-            parts = [(a0, am, b0, bm, wrong, None), (am, a1, bm, b1, wrong, None), (a0, am, bm, b1, wrong + 1, None), (am, a1, b0, bm, wrong + 1, ~own)]
+            more = wrong + (counted >> level & 1)
+            parts = [(a0, am, b0, bm, wrong, None), (am, a1, bm, b1, wrong, None), (a0, am, bm, b1, more, None), (am, a1, b0, bm, more, ~own)]
             kept = []
-            for x0, x1, y0, y1, e, more in parts:
+            for x0, x1, y0, y1, e, crossed in parts:
                 alive = (x1 > x0) & (y1 > y0) & (e <= bits)
                 alive &= ~((x0 == y0) & (x1 - x0 == 1))  # a value with itself
-                if more is not None:
-                    alive &= more
+                if crossed is not None:
+                    alive &= crossed
                 kept.append([x[alive] for x in (x0, x1, y0, y1, e)])
             a0, a1, b0, b1, wrong = (np.concatenate(x) for x in zip(*kept, strict=True))
             level -= 1
@@ -162,6 +165,123 @@ def near_edges(fps: DataFrame, bits: int = BITS, chunk: int = CHUNK) -> DataFram
     return dealt.mapInArrow(run, "u long, v long")
 
 
+#: Wide fingerprints: bits, words of WORD_BITS bits, of which one may differ in WORD_ERRORS; most differing bits of all.
+#: At a Jaccard similarity of 0.8 of five-word shingles a bit differs with probability 0.16 or so, 41 bits of 256.
+WIDE_SHINGLE, WIDE_BITS, WORD_BITS, WORD_ERRORS, WIDE_ERRORS = 5, 256, 32, 3, 46
+_STREAMS = (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+
+
+def wide_fingerprint(text: str | None, shingle: int = WIDE_SHINGLE, seed: int = SEED) -> bytes:
+    """256-bit SimHash (32 bytes): four streams of bits are derived from each shingle's hash."""
+    import numpy as np
+
+    hashes = np.array(shingle_hashes(text, shingle, seed), dtype="<u8")
+    if not len(hashes):
+        return bytes(WIDE_BITS // 8)
+    out = []
+    for stream in _STREAMS:
+        ones = np.zeros(64, dtype=np.int64)
+        for at in range(0, len(hashes), 1 << 16):
+            x = hashes[at : at + (1 << 16)] ^ np.uint64(stream)
+            x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = np.ascontiguousarray(x ^ (x >> np.uint64(29)))
+            ones += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+        out.append(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes())
+    return b"".join(out)
+
+
+def wide_fingerprints(docs: DataFrame, shingle: int = WIDE_SHINGLE, seed: int = SEED) -> DataFrame:
+    """doc_id, hash (of the text), wide (the fingerprint), fp (its hash)."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            wide = pa.array([wide_fingerprint(t, shingle, seed) for t in batch.column(2).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), wide], ["doc_id", "hash", "wide"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.xxhash64("text").alias("hash"), "text").mapInArrow(run, f"doc_id {kind}, hash long, wide binary").withColumn("fp", F.xxhash64("wide"))
+
+
+def wide_edges(fps: DataFrame, errors: int = WIDE_ERRORS, word_errors: int = WORD_ERRORS, chunk: int = CHUNK) -> DataFrame:
+    """From distinct fp, wide: u, v (fp), spanning edges of fingerprints that differ in at most errors bits, and in at most word_errors of one word's.
+
+    A word's trie join is dealt by blocks as that of near_edges; the fingerprint travels along, so that a task settles its
+    candidates and emits no more rows than it has fingerprints.
+    """
+    words, blocks = WIDE_BITS // WORD_BITS, word_errors + 1
+    size, step = WORD_BITS // 8, WORD_BITS // blocks
+    number = lambda w: F.conv(F.hex(F.substring("wide", w * size + 1, size)), 16, 10).cast("long")
+    at = [
+        F.struct(F.lit(w * blocks + b).alias("table"), F.shiftright(F.get("numbers", F.lit(w)), b * step).bitwiseAND(F.lit((1 << step) - 1)).alias("value"))
+        for w in range(words)
+        for b in range(blocks)
+    ]
+    numbered = fps.select("fp", "wide", F.array(*[number(w) for w in range(words)]).alias("numbers"))
+    keyed = numbered.select("fp", "wide", F.explode(F.array(*at)).alias("k")).select("fp", "wide", "k.table", "k.value")
+    slim = numbered.select(F.explode(F.array(*at)).alias("k"))
+    hot = cut(slim.groupBy("k.table", "k.value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk).withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int")).drop("n"))
+    own = F.pmod(F.col("fp"), F.col("chunks")).cast("int")
+    others = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda i: F.least(i, own) * F.col("chunks") + F.greatest(i, own))
+    dealt = (
+        join_checked(keyed, hot, ["table", "value"], "left")
+        .withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+        .select("fp", "wide", "table", "value", F.explode(others).alias("part"))
+        .repartition("table", "value", "part")
+    )
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        got = [(*[c.to_numpy(zero_copy_only=False) for c in (b["fp"], b["table"], b["value"], b["part"])], np.frombuffer(b"".join(b["wide"].to_pylist()), np.uint8).reshape(-1, WIDE_BITS // 8)) for b in batches if b.num_rows]
+        if not got:
+            return
+        fp, table, value, part, wide = (np.concatenate(x) for x in zip(*got, strict=True))
+        word = (table // blocks).astype(np.int64)
+        own = np.zeros(len(fp), np.uint64)
+        for k in range(size):
+            own = own << np.uint64(8) | wide[np.arange(len(fp)), word * size + k].astype(np.uint64)
+        # below the word stand bits of the name, which tell equal words apart and count for nothing
+        own = own << np.uint64(64 - WORD_BITS) | fp.view(np.uint64) >> np.uint64(WORD_BITS)
+        order = np.lexsort((own, part, value, table))
+        fp, table, value, part, own, wide = (x[order] for x in (fp, table, value, part, own, wide))
+        group = np.cumsum(np.r_[0, (table[1:] != table[:-1]) | (value[1:] != value[:-1]) | (part[1:] != part[:-1])])
+        i, j = trie_pairs(own, group, word_errors, ((1 << WORD_BITS) - 1) << (64 - WORD_BITS))
+        full = np.ascontiguousarray(wide).view(np.uint64)
+        near = np.zeros(len(i), bool)
+        for k in range(0, len(i), 1 << 18):
+            near[k : k + (1 << 18)] = np.bitwise_count(full[i[k : k + (1 << 18)]] ^ full[j[k : k + (1 << 18)]]).sum(axis=1) <= errors
+        names, at = np.unique(fp, return_inverse=True)
+        root = spanning(len(names), at[i[near]], at[j[near]])
+        moved = np.flatnonzero(root != np.arange(len(names)))
+        if len(moved):
+            yield pa.RecordBatch.from_arrays([pa.array(names[moved]), pa.array(names[root[moved]])], ["u", "v"])
+
+    return dealt.mapInArrow(run, "u long, v long")
+
+
+def keep_one(docs: DataFrame, shingle: int = WIDE_SHINGLE, errors: int = WIDE_ERRORS) -> DataFrame:
+    """docs with one row of each group of near-duplicates: the row of least id, then of least text hash."""
+    rows = cut(wide_fingerprints(docs, shingle))
+    roots = cut(connected_components(wide_edges(rows.select("fp", "wide").dropDuplicates(["fp"]), errors)))
+    place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "hash")
+    slim = rows.select("doc_id", "hash", "fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("doc_id", "hash", F.coalesce("root", "fp").alias("group"))
+    counted = slim.groupBy("group", "doc_id", "hash").agg(F.count(F.lit(1)).alias("n"))
+    first = counted.groupBy("group").agg(F.min(place).alias("first"))
+    marked = cut(counted.join(first, "group").select("doc_id", "hash", "n", (place == F.col("first")).alias("kept")).where(~F.col("kept") | (F.col("n") > 1)))
+    gone = marked.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("hash").alias("_of"))
+    again = marked.where("kept").select(F.col("doc_id").alias("_id"), F.col("hash").alias("_of"))
+    hashed = docs.withColumn("_hash", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_of"))
+    kept = join_checked(hashed, gone, same, "left_anti")
+    if again.count():  # rows repeated as they are
+        once = join_checked(kept, again, same, "left_semi").dropDuplicates(["doc_id", "_hash"])
+        kept = join_checked(kept, again, same, "left_anti").unionByName(once)
+    return kept.drop("_hash")
+
+
 def near_components(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, seed: int = SEED, chunk: int = CHUNK) -> DataFrame:
     """Per row of docs: doc_id, fp (signed long), component_id (least doc_id that links reach, itself included)."""
     rows = cut(fingerprints(docs, shingle, seed))

@@ -245,3 +245,19 @@ def score_documents(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame
     """doc_id, held_out, score, predicted, n_passages."""
     scored = score(docs, train(docs, labels, **settings))
     return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
+
+
+def keep_clean(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
+    """docs without the rows whose score reaches limit."""
+    shared, columns = docs.sparkSession.sparkContext.broadcast(vars(model)), docs.columns
+    place = columns.index("text")
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        own = Model.of(shared.value)
+        read = own.reader()
+        for batch in batches:
+            yield batch.filter(pa.array([own.probability(*read(t)) < limit for t in batch.column(place).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
