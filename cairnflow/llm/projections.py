@@ -27,7 +27,7 @@ from ._common import cut
 from .components import connected_components, spanning
 from .maxscore import usable
 
-COSINE, PROJECTIONS, WINDOW, RECALL, RUN_ROWS, SEED = 0.95, 16, 3.0, 0.999, 2048, 20240
+COSINE, PROJECTIONS, WINDOW, RECALL, RUN_ROWS, SEED = 0.95, 16, 3.45, 0.99, 3072, 20240
 
 
 def least_collisions(count: int, window: float, recall: float) -> int:
@@ -50,6 +50,8 @@ def directions(dim: int, count: int, seed: int):
 def _matrix(column, dim: int):
     import numpy as np
 
+    if len(column) and all(len(v) == dim for v in column):
+        return np.stack([np.asarray(v, dtype=np.float64) for v in column])
     out = np.zeros((len(column), dim))
     for i, v in enumerate(column):
         out[i, : len(v)] = v
@@ -73,26 +75,30 @@ def pairs_of_runs(a, pa, b, pb, same: bool, lead: int, window: float, misses: in
     if same:
         lo = np.maximum(lo, np.arange(len(a)) + 1)
     others = [p for p in range(pa.shape[1]) if p != lead]
+    # single precision for counting, with room for its rounding; verification is in double precision
+    fa, fb, room = pa[ia].astype(np.float32), np.ascontiguousarray(pb[ib].T.astype(np.float32)), np.float32(window * (1 + 1e-5))
     found_i, found_j = [], []
-    for at in range(0, len(a), 256):
-        rows = np.arange(at, min(at + 256, len(a)))
-        left, right = lo[rows].min(), hi[rows].max()
+    for at in range(0, len(a), 128):
+        rows = np.arange(at, min(at + 128, len(a)))
+        left, right = int(lo[rows].min()), int(hi[rows].max())
         if left >= right:
             continue
         cols = np.arange(left, right)
-        wrong = np.zeros((len(rows), len(cols)), np.int8)
-        wrong[(cols < lo[rows, None]) | (cols >= hi[rows, None])] = misses + 1
-        for p in others[:4]:
-            far = np.abs(pa[ia[rows], p][:, None] - pb[ib[cols], p][None, :]) > window
+        wrong = ((cols < lo[rows, None]) | (cols >= hi[rows, None])).astype(np.int8) * np.int8(misses + 1)
+        gap = np.empty(wrong.shape, np.float32)
+        for p in others[: max(3, misses)]:
+            np.subtract(fa[rows, p][:, None], fb[p, left:right][None, :], out=gap)
+            np.abs(gap, out=gap)
             # pairs that collide in an earlier leading projection have been found by it
-            wrong += far if p > lead else np.where(far, 1, misses + 1).astype(np.int8)
+            wrong += gap > room if p > lead else np.where(gap > room, 1, misses + 1).astype(np.int8)
             np.minimum(wrong, misses + 1, out=wrong)
         i, j = np.nonzero(wrong <= misses)
-        e, i, j = wrong[i, j], ia[rows[i]], ib[cols[j]]
-        for p in others[4:]:
-            e = e + (np.abs(pa[i, p] - pb[j, p]) > window)
+        e, i, j = wrong[i, j], rows[i], cols[j]
+        for p in others[max(3, misses) :]:
+            e = e + (np.abs(fa[i, p] - fb[p, j]) > room)
             near = e <= misses
             e, i, j = e[near], i[near], j[near]
+        i, j = ia[i], ib[j]
         for k in range(0, len(i), 1 << 16):
             x, y = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
             near = (a[x] * b[y]).sum(axis=1) >= cosine
@@ -124,8 +130,8 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, count: int = PROJEC
                 t = t.append_column(f"lead{k}", pa.array(values[:, k]))
             yield from t.to_batches()
 
-    shape = "class long, n long, embedding array<double>" + "".join(f", lead{k} double" for k in leads)
-    placed = cut(classes.select("class", "n", F.col("embedding").cast("array<double>")).mapInArrow(project, shape))
+    shape = f"class long, n long, embedding {classes.schema['embedding'].dataType.simpleString()}" + "".join(f", lead{k} double" for k in leads)
+    placed = cut(classes.select("class", "n", "embedding").mapInArrow(project, shape))
 
     def meet(lead: int):
         def run(key, pdf):

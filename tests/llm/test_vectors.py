@@ -63,8 +63,8 @@ def test_near_vectors_equal_brute_force(spark):
         if r[0] is not None:
             least[find(i)] = min(least.get(find(i), r[0]), r[0])
     want = [(r[0], sum(link[i]), least.get(find(i)), r[0] is not None and r[0] == least.get(find(i))) for i, r in enumerate(rows)]
-    for run_rows in (2048, 40):
-        got = projections.near_vectors(df, run_rows=run_rows)
+    for settings in ({}, {"run_rows": 40}, {"window": 3.0, "recall": 0.999, "run_rows": 100}):  # the last has two leading projections
+        got = projections.near_vectors(df, **settings)
         assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted(want, key=repr)
     assert projections.near_vectors(df.limit(0)).count() == 0
 
