@@ -92,10 +92,10 @@ def thresholds(docs_sized: DataFrame, wanted: DataFrame) -> DataFrame:
     return plan.join(ends, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
 
 
-def copies(h):
-    """How often a document of hash h is taken, beside the columns of thresholds()."""
-    more = (h < F.col("h_end")) | ((h == F.col("h_end")) & F.col("at_end"))
-    return F.col("rounds") + F.coalesce(more, F.lit(False)).cast("long")
+def copies(h, prefix: str = ""):
+    """How often a document of hash h is taken, beside the columns of thresholds() with prefix."""
+    rounds, h_end, at_end = (F.col(prefix + c) for c in ("rounds", "h_end", "at_end"))
+    return rounds + F.coalesce((h < h_end) | ((h == h_end) & at_end), F.lit(False)).cast("long")
 
 
 def mix_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -113,6 +113,9 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """docs, each row as often as the mix takes it."""
     rows = cut(sized(docs))
-    ends = cut(thresholds(rows, targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)).select(F.col("source").alias("_source"), "rounds", "h_end", "at_end"))
-    joined = join_checked(docs, ends, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_copies", copies(hash_of()).cast("int"))
-    return joined.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    wanted = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
+    ends = cut(thresholds(rows, wanted).select(*[F.col(c).alias(f"_mix_{c}") for c in ("source", "rounds", "h_end", "at_end")]))
+    joined = join_checked(docs, ends, F.col("source").eqNullSafe(F.col("_mix_source")))
+    times = F.sequence(F.lit(1), F.col("_mix_copies"))
+    taken = joined.withColumn("_mix_copies", copies(hash_of(), "_mix_").cast("int")).where("_mix_copies > 0").withColumn("_mix_copy", F.explode(times))
+    return taken.select(*[F.col(f"`{c}`") for c in docs.columns])

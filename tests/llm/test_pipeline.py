@@ -61,9 +61,12 @@ def test_wide_edges_in_chunks(spark):
 
 def test_mix_repeats_rows(spark):
     docs = spark.createDataFrame([(i, "w " * (i % 5), "en", f"s{i % 3}", i) for i in range(300)], SCHEMA)
+    for name in ("size", "h", "rounds", "h_end", "at_end", "copies", "hash", "fp", "row", "spans"):  # names that operators use
+        docs = docs.withColumn(name, F.lit("x"))
     plan = {r["doc_id"]: r["copies"] for r in mixing.mix_plan(docs).collect()}
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns
+    assert simhash.keep_one(docs).columns == pii.redact(docs).columns == docs.columns
     times = {r["doc_id"]: r["n"] for r in mixed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert times == {i: n for i, n in plan.items() if n}
 
