@@ -17,7 +17,7 @@ from ..operators import datasets, sampling, trajectories, trees
 from ..sources import readers
 from ..sources.writers import eval_summary
 from .phases import evaluate, phase1, phase2
-from .provider import Stub, generate
+from .provider import Stub, generate, replay
 from .search import Settings, search_trees
 
 K = 4
@@ -639,6 +639,54 @@ def analysis_and_synthesis_prompts(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", prompts.analysis_prompt(F.col("source"), F.col("lang"), F.lit("n"))["user"].alias("analysis"), prompts.synthesis_prompt(F.col("source"), critique)["user"].alias("synthesis"))
 
 
+@query(f"select doc_id, {_sql_text(prompts.LIBRARY_EXPANSION, system=chr(39) + 'S' + chr(39), problem='source', steps=chr(39) + prompts.NO_STEPS + chr(39))} as expansion, {_sql_text(prompts.LIBRARY_SIMULATION, system=chr(39) + 'S' + chr(39), problem='source', steps=chr(39) + 'Step 1: a' + chr(39))} as simulation, 'Problem: ' || source || chr(10) || 'Solution: ' as rollout from documents")
+def library_and_simulation_prompts(spark, sf_dir):
+    p, none = F.col("source"), F.array().cast("array<string>")
+    return documents(spark, sf_dir).select(
+        "doc_id", prompts.library_prompt(prompts.LIBRARY_EXPANSION, "S", p, none).alias("expansion"), prompts.library_prompt(prompts.LIBRARY_SIMULATION, "S", p, F.array(F.lit("a"))).alias("simulation"), prompts.simulation_prompt(p, none).alias("rollout"),
+    )
+
+
+@query(f"with {STATUS} select v.problem, 'a' || chr(10) || d.source as solution, (d.doc_id % 2)::varchar as answer, d.source, d.lang as contrast_type from v join documents d on d.doc_id::varchar = v.problem where status = 'passed'")
+def verified_records(spark, sf_dir):
+    more = documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("problem"), F.array(F.lit("a"), "source").alias("steps"), "source", F.col("lang").alias("contrast_type"))
+    return datasets.verified_records(labelled_paths(spark, sf_dir).join(more, "problem"))
+
+
+@query("select 'gsm' as source, doc_id::varchar as problem, lang as ground_truth from documents where doc_id % 2 = 0 union all select 'math', doc_id::varchar, lang from documents where doc_id % 2 = 1")
+def union_sources(spark, sf_dir):
+    rows = documents(spark, sf_dir).select("doc_id", F.col("doc_id").cast("string").alias("problem"), F.col("lang").alias("ground_truth"))
+    return readers.union_sources({"gsm": rows.where("doc_id % 2 = 0"), "math": rows.where("doc_id % 2 = 1")})
+
+
+@query(r"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as i from documents where not contains(text, '$') and regexp_matches(text, '\S')),
+k as (select doc_id, i, regexp_replace(regexp_replace(line, '^\s+', ''), '\s+$', '') as step from l where regexp_matches(line, '\S')),
+n as (select doc_id, row_number() over (partition by doc_id order by i) as no, step from k)
+select doc_id, string_agg('Step ' || no || ': ' || step, chr(10) order by no) as shown from n group by doc_id having max(len(string_split(step, ' '))) < 200""")
+def format_trajectory(spark, sf_dir):
+    rows = documents(spark, sf_dir).where(~F.contains("text", F.lit("$")) & F.col("text").rlike(r"\S"))
+    longest = F.array_max(F.transform(text.lines(F.col("text")), lambda s: F.size(F.split(s, " "))))
+    return rows.where(longest < 200).select("doc_id", segment.format_trajectory(F.array("text")).alias("shown"))
+
+
+@query("select doc_id, doc_id % 2 = 0 as plain, true as fraction, doc_id % 5 = 0 as other from documents")
+def check_eval(spark, sf_dir):
+    n, k = F.col("doc_id"), F.col("doc_id").cast("string")
+    return documents(spark, sf_dir).select(
+        "doc_id",
+        answers.check(F.concat(k, F.lit("%")), F.when(n % 2 == 0, F.concat(F.lit("$"), k)).otherwise(F.lit("x"))).alias("plain"),
+        answers.check(F.concat(k, F.lit("/4")), (n / 4).cast("string")).alias("fraction"),
+        answers.check(F.concat(k, F.lit("*x + x")), F.when(n % 5 == 0, F.concat((n + 1).cast("string"), F.lit("*x"))).otherwise(F.lit("y"))).alias("other"),
+    )
+
+
+@query("select doc_id, case when doc_id % 3 = 0 then 'r' || doc_id else '' end as response from documents")
+def replayed_responses(spark, sf_dir):
+    rows = documents(spark, sf_dir).select("doc_id", F.concat(F.lit("ask "), F.col("doc_id").cast("string")).alias("prompt"))
+    kept = rows.where("doc_id % 3 = 0").select(F.sha2("prompt", 256).alias("prompt_sha"), F.lit(0).alias("sample"), F.concat(F.lit("r"), F.col("doc_id").cast("string")).alias("text"))
+    return replay(rows, kept).select("doc_id", "response")
+
+
 # --- search and phases, with the stub provider ---------------------------------------------------------------------------
 
 

@@ -11,6 +11,7 @@ from ..functions import answers, prompts, text
 from ..functions.critique import parse_critique
 from ..functions.segment import format_trajectory
 from ..operators import datasets, sampling, trajectories
+from ..schema import VERIFIED
 from .provider import TextProvider, generate
 from .search import Settings, search_trees
 
@@ -21,21 +22,46 @@ def phase1(seeds: DataFrame, factory: Callable[[], TextProvider], settings: Sett
     return sampling.pair_records(sampling.contrastive_pairs(found, k, seed=seed), seeds)
 
 
-def phase2(pairs: DataFrame, factory: Callable[[], TextProvider], analysis_tokens: int = 1024, synthesis_tokens: int = 2048) -> DataFrame:
-    """Verified records (schema.VERIFIED) of pair records. Filters stand before the calls that they save."""
-    rows = pairs.select("problem", "ground_truth", F.coalesce("source", F.lit("unknown")).alias("source"), "contrast_type", "positive_steps", "negative_steps")
+def analyze(pairs: DataFrame, factory: Callable[[], TextProvider], max_tokens: int = 1024) -> DataFrame:
+    """Pair records with analysis (the model's text) and critique (null where it can't be parsed)."""
     ask = prompts.analysis_prompt(F.col("problem"), format_trajectory(F.col("positive_steps")), format_trajectory(F.col("negative_steps")))
-    asked = rows.withColumn("prompt", F.concat_ws("\n", ask["system"], ask["user"])).drop("positive_steps", "negative_steps")
-    judged = generate(asked, factory, out="analysis", max_tokens=analysis_tokens).withColumn("critique", parse_critique(F.col("analysis")))
-    judged = judged.where("critique is not null")
+    asked = pairs.withColumn("prompt", F.concat_ws("\n", ask["system"], ask["user"]))
+    return generate(asked, factory, out="analysis", max_tokens=max_tokens).drop("prompt").withColumn("critique", parse_critique(F.col("analysis")))
+
+
+def synthesize(judged: DataFrame, factory: Callable[[], TextProvider], max_tokens: int = 2048) -> DataFrame:
+    """Rows of problem and critique with solution (the model's text), steps and final_answer."""
     write = prompts.synthesis_prompt(F.col("problem"), F.col("critique"))
-    told = judged.select("problem", "ground_truth", "source", "contrast_type", F.concat_ws("\n", write["system"], write["user"]).alias("prompt"))
-    solved = generate(told, factory, out="solution", max_tokens=synthesis_tokens)
-    solved = solved.withColumn("steps", text.parse_steps(F.col("solution"))).withColumn("final_answer", answers.extract_pipeline(F.col("solution")))
+    told = judged.withColumn("prompt", F.concat_ws("\n", write["system"], write["user"]))
+    solved = generate(told, factory, out="solution", max_tokens=max_tokens).drop("prompt")
+    return solved.withColumn("steps", text.parse_steps(F.col("solution"))).withColumn("final_answer", answers.extract_pipeline(F.col("solution")))
+
+
+def phase2(pairs: DataFrame, factory: Callable[[], TextProvider], analysis_tokens: int = 1024, synthesis_tokens: int = 2048) -> DataFrame:
+    """Verified records (schema.VERIFIED) of pair records. Filters stand before the calls that they save, and columns are dropped before they travel."""
+    judged = analyze(pairs, factory, analysis_tokens).where("critique is not null")
+    kept = judged.select("problem", "ground_truth", F.coalesce("source", F.lit("unknown")).alias("source"), "contrast_type", "critique")
+    solved = synthesize(kept, factory, synthesis_tokens)
     passed = answers.verify(F.col("final_answer"), F.col("ground_truth"))
     return datasets.verified_records(solved.withColumn("status", F.when(passed, "passed").otherwise("failed")))
 
 
+def phase2_until(pairs: DataFrame, factory: Callable[[], TextProvider], target: int, order: list, chunk: int, path: str) -> int:
+    """Append verified records to path, chunk pairs at a time in order, until target records are there; returns their number.
+
+    A limit alone would not save the calls before it. Only counts come to the driver.
+    """
+    spark = pairs.sparkSession
+    numbered = datasets.shard(pairs, order, max(1, -(-pairs.count() // chunk)))
+    have = 0
+    for k in range(int(numbered.agg(F.max("shard")).first()[0] or 0) + 1):
+        if have >= target:
+            break
+        phase2(numbered.where(F.col("shard") == k), factory).limit(target - have).write.mode("append").json(path)
+        have = spark.read.schema(VERIFIED).json(path).count()
+    return have
+
+
 def evaluate(problems: DataFrame, factory: Callable[[], TextProvider], exemplars: list[tuple[str, str]] | None = None, max_tokens: int = 4096) -> DataFrame:
     """problems (problem, ground_truth, ...) with response, predicted, correct."""
     asked = problems.withColumn("prompt", prompts.eval_prompt(F.col("problem"), exemplars))
