@@ -43,9 +43,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def lineitem_trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber")
-    return table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("problem_id"),
+    # the key is renamed below the first window: all later windows and joins then find their partitioning there
+    order = Window.partitionBy("problem_id").orderBy("l_partkey", "l_suppkey", "l_linenumber")
+    return table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "problem_id").select(
+        "problem_id",
         F.row_number().over(order).cast("int").alias("traj_ord"),
         F.col("l_linenumber").cast("int").alias("length"),
         F.col("l_quantity").cast("int").alias("visit_count"),
@@ -210,8 +211,8 @@ def rehydrate_pair(spark, sf_dir):
 
 def event_nodes(spark: SparkSession, sf_dir: str, unvisited: bool = False) -> DataFrame:
     """Node tables with paths and rollout statistics: a rollout ends at each leaf."""
-    order = Window.partitionBy("user_id").orderBy("event_id")
-    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("problem_id"), F.row_number().over(order).cast("int").alias("node_id"), F.col("event_type").alias("action"))
+    order = Window.partitionBy("problem_id").orderBy("event_id")
+    rows = table(spark, sf_dir, "events").withColumnRenamed("user_id", "problem_id").select("problem_id", F.row_number().over(order).cast("int").alias("node_id"), F.col("event_type").alias("action"))
     rows = rows.withColumn("parent_id", F.when(F.col("node_id") > 1, F.floor((F.col("node_id") - 2) / 3) + 1).cast("int")).withColumn("child_ord", F.when(F.col("node_id") > 1, (F.col("node_id") - 2) % 3))
     size = F.count(F.lit(1)).over(Window.partitionBy("problem_id"))
     rows = rows.withColumn("is_terminal", F.col("node_id") * 3 - 1 > size)

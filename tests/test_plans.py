@@ -113,3 +113,12 @@ def test_entry(spark):
     queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(sql) <= set(queries)
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_phase2_until_target(spark, tmp_path):
+    from cairnflow.plans.phases import phase2_until
+
+    pairs = phase1(seeds(spark), Stub, Settings(num_rollouts=8), 4)
+    every = phase2(pairs, CritiqueStub).count()
+    got = phase2_until(pairs, CritiqueStub, 3, [F.col("problem"), F.col("contrast_type"), F.to_json("negative_steps")], 5, str(tmp_path / "out"))
+    assert got == 3 < every and spark.read.json(str(tmp_path / "out")).count() == 3
