@@ -73,7 +73,7 @@ def segment(c: Column, max_tokens: int = MAX_TOKENS) -> Column:
         return texts.map(lambda t: None if t is None else segment_steps(t, max_tokens))
 
     # a line of over n words has over 2n - 1 characters
-    plain = ~c.rlike(rf"[$\x00\x0b\x0c\x1c-\x1e\x85\u2028\u2029]|\\[\[(]|[^\n]{{{2 * max_tokens},}}")
+    plain = ~c.rlike(rf"(?dm)[$\x00\x0b\x0c\x1c-\x1e\x85\u2028\u2029]|\\[\[(]|^[^\n]{{{2 * max_tokens},}}")
     return F.coalesce(F.when(plain, lines(c)), exact(F.when(~plain, c)))
 
 
