@@ -45,11 +45,20 @@ def ancestors(nodes: DataFrame) -> DataFrame:
 
 
 def backpropagate(nodes: DataFrame, rollouts: DataFrame) -> DataFrame:
-    """nodes (with path) with visit_count and total_value: each rollout (problem_id, node_id, reward) counts at its node and all its ancestors."""
-    ends = rollouts.groupBy("problem_id", "node_id").agg(F.count(F.lit(1)).alias("n"), F.sum("reward").alias("w"))
-    up = nodes.join(ends, ["problem_id", "node_id"]).select("problem_id", F.explode("path").alias("node_id"), "n", "w")
-    sums = up.groupBy("problem_id", "node_id").agg(F.sum("n").alias("visit_count"), F.sum("w").alias("total_value"))
-    return nodes.drop("visit_count", "total_value").join(sums, ["problem_id", "node_id"], "left").fillna({"visit_count": 0, "total_value": 0.0})
+    """nodes (with path) with visit_count and total_value: each rollout (problem_id, node_id, reward) counts at its node and all its ancestors.
+
+    Everything is keyed by problem alone, so nodes and rollouts are each shuffled once.
+    """
+    nodes = nodes.drop("visit_count", "total_value")
+    whole = nodes.groupBy("problem_id").agg(F.map_from_entries(F.collect_list(F.struct("node_id", "path"))).alias("paths"), F.collect_list(F.struct(*nodes.columns)).alias("rows"))
+    ends = rollouts.groupBy("problem_id").agg(F.collect_list(F.struct("node_id", "reward")).alias("ends"))
+    each = whole.drop("rows").join(ends, "problem_id").select("problem_id", "paths", F.explode("ends").alias("end"))
+    up = each.select("problem_id", F.explode(F.col("paths")[F.col("end.node_id")]).alias("node_id"), "end.reward")
+    sums = up.groupBy("problem_id", "node_id").agg(F.count(F.lit(1)).alias("n"), F.sum("reward").alias("w"))
+    stats = sums.groupBy("problem_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("node_id"), F.struct("n", "w")))).alias("stats"))
+    found = whole.drop("paths").join(stats, "problem_id", "left").select(F.explode("rows").alias("row"), "stats")
+    own = F.col("stats")[F.col("row.node_id")]
+    return found.select("row.*", F.coalesce(own["n"], F.lit(0)).alias("visit_count"), F.coalesce(own["w"], F.lit(0.0)).alias("total_value"))
 
 
 def q_value(visits: Column, value: Column) -> Column:
@@ -64,10 +73,9 @@ def uct(visits: Column, value: Column, parent_visits: Column, c: float = 1.4) ->
 
 def with_uct(nodes: DataFrame, c: float = 1.4) -> DataFrame:
     """nodes (no root has a score) with uct."""
-    parents = nodes.select("problem_id", F.col("node_id").alias("parent_id"), F.col("visit_count").alias("parent_visits"))
-    scored = nodes.join(parents, ["problem_id", "parent_id"], "left")
-    score = F.when(F.col("parent_id").isNotNull(), uct(F.col("visit_count"), F.col("total_value"), F.col("parent_visits"), c))
-    return scored.withColumn("uct", score).drop("parent_visits")
+    parent = F.col("tree")[F.col("parent_id")]["visit_count"]
+    score = F.when(F.col("parent_id").isNotNull(), uct(F.col("visit_count"), F.col("total_value"), parent, c))
+    return with_trees(nodes, "visit_count").withColumn("uct", score).drop("tree")
 
 
 def best_children(nodes: DataFrame, c: float = 1.4) -> DataFrame:
@@ -79,23 +87,22 @@ def best_children(nodes: DataFrame, c: float = 1.4) -> DataFrame:
 
 def descend(nodes: DataFrame, c: float = 1.4, max_depth: int = MAX_DEPTH) -> DataFrame:
     """problem_id, leaf_id, steps: where selection ends from the root, going to best children until a terminal node or one without children."""
-    best = best_children(nodes, c).select("problem_id", "node_id", "best_child_id")
-    marked = nodes.join(best, ["problem_id", "node_id"], "left")
-    trees = marked.groupBy("problem_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("node_id", F.when(~F.col("is_terminal"), F.col("best_child_id")).alias("next")))).alias("next"),
-        F.min(F.when(F.col("parent_id").isNull(), F.col("node_id"))).alias("root"),
-    )
+    pairs = F.collect_list(F.struct("node_id", "best_child_id"))
+    best = best_children(nodes, c).groupBy("problem_id").agg(F.map_from_entries(pairs).alias("best"))
+    whole = nodes.groupBy("problem_id").agg(F.collect_list(F.when(F.col("is_terminal"), F.col("node_id"))).alias("ends"), F.min(F.when(F.col("parent_id").isNull(), F.col("node_id"))).alias("root"))
+    after = lambda at: F.when(~F.array_contains("ends", at), F.col("best")[at])
     end = F.aggregate(
         F.sequence(F.lit(1), F.lit(max_depth)),
         F.struct(F.col("root").alias("at"), F.lit(0).alias("steps")),
-        lambda s, _: F.when(F.col("next")[s["at"]].isNull(), s).otherwise(F.struct(F.col("next")[s["at"]].alias("at"), (s["steps"] + 1).alias("steps"))),
+        lambda s, _: F.when(after(s["at"]).isNull(), s).otherwise(F.struct(after(s["at"]).alias("at"), (s["steps"] + 1).alias("steps"))),
     )
-    return trees.select("problem_id", end.alias("end")).select("problem_id", F.col("end.at").alias("leaf_id"), "end.steps")
+    return whole.join(best, "problem_id", "left").select("problem_id", end.alias("end")).select("problem_id", F.col("end.at").alias("leaf_id"), "end.steps")
 
 
 def with_child_counts(nodes: DataFrame) -> DataFrame:
-    counts = nodes.where("parent_id is not null").groupBy("problem_id", F.col("parent_id").alias("node_id")).agg(F.count(F.lit(1)).alias("n_children"))
-    return nodes.join(counts, ["problem_id", "node_id"], "left").fillna({"n_children": 0})
+    whole = nodes.groupBy("problem_id").agg(F.collect_list("parent_id").alias("parents"), F.collect_list(F.struct(*nodes.columns)).alias("rows"))
+    each = whole.select("parents", F.explode("rows").alias("row"))
+    return each.select("row.*", F.size(F.filter("parents", lambda p: p == F.col("row.node_id"))).alias("n_children"))
 
 
 def is_fully_expanded() -> Column:
