@@ -13,6 +13,16 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 8 << 20
 
 
+#: Rows of an Arrow batch. Batches of whole texts at Spark's default of 10,000 rows can outgrow a worker's memory.
+BATCH_ROWS, _BATCH = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS, unless they have been set to something else than the default."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -37,9 +47,16 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Compute df once, into reliable checkpoint files in the shared folder, and go on from these."""
     shared_dir(df.sparkSession)
+    bound_batches(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared store."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def measured_bytes(df: DataFrame) -> int:
     """Size of df's rows as text, an upper estimate of what a broadcast holds for narrow rows."""
     row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(F.to_json(F.struct("*")))).alias("b")).first()

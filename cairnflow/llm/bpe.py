@@ -18,7 +18,9 @@ from heapq import heapify, heappop, heappush
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MEMO = 1 << 20
+from ._common import bound_batches
+
+MEMO = 300_000
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -160,6 +162,7 @@ def worker_codec(name: str, state: dict, pattern: str) -> Codec:
 
 
 def _shared_table(spark: SparkSession, path: str):
+    bound_batches(spark)
     return spark.sparkContext.broadcast(vars(PerfectHash(read_ranks(path))))
 
 

@@ -67,8 +67,8 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
 
 
-def trie_pairs(values, groups, bits: int, counted: int = (1 << 64) - 1):
-    """Index pairs (i, j) of a sorted forest: values (uint64) sorted within groups (sorted); those of one group that differ in at most bits of the counted bits.
+def trie_pairs(values, groups, bits: int, counted: int = (1 << 64) - 1, accept=None):
+    """Index pairs (i, j) of a sorted forest: values (uint64) sorted within groups (sorted); those of one group that differ in at most bits of the counted bits, and that accept(i, j) takes.
 
     A node is a run of the sorted values. The frontier holds pairs of nodes (lo, hi, lo, hi) with the differing bits of
     their prefixes; each level splits both nodes by one bit. Pairs of single values are settled at once. Wide frontiers
@@ -86,7 +86,7 @@ def trie_pairs(values, groups, bits: int, counted: int = (1 << 64) - 1):
 
     def split(lo, hi, level):
         if level not in zeros:
-            zeros[level] = np.r_[0, np.cumsum((values >> np.uint64(level)) & np.uint64(1) == 0)]
+            zeros[level] = np.r_[0, np.cumsum((values >> np.uint64(level)) & np.uint64(1) == 0)].astype(np.int32)
         return lo + zeros[level][hi] - zeros[level][lo]
 
     found_i, found_j = [], []
@@ -99,13 +99,17 @@ def trie_pairs(values, groups, bits: int, counted: int = (1 << 64) - 1):
                 i, j = a0[lone], b0[lone]
                 near = np.bitwise_count((values[i] ^ values[j]) & np.uint64(counted)) <= bits
                 near &= i != j
-                found_i.append(i[near])
-                found_j.append(j[near])
+                i, j = i[near], j[near]
+                if accept is not None and len(i):
+                    near = accept(i, j)
+                    i, j = i[near], j[near]
+                found_i.append(i)
+                found_j.append(j)
                 a0, a1, b0, b1, wrong = (x[~lone] for x in (a0, a1, b0, b1, wrong))
             if level < 0 or not len(a0):
                 # values are distinct within a group, so that all nodes are single by now
                 break
-            if len(a0) > 1 << 20:
+            if len(a0) > 1 << 18:
                 half = len(a0) // 2
                 stack.append((level, a0[half:], a1[half:], b0[half:], b1[half:], wrong[half:]))
                 a0, a1, b0, b1, wrong = (x[:half] for x in (a0, a1, b0, b1, wrong))
@@ -248,13 +252,11 @@ def wide_edges(fps: DataFrame, errors: int = WIDE_ERRORS, word_errors: int = WOR
         order = np.lexsort((own, part, value, table))
         fp, table, value, part, own, wide = (x[order] for x in (fp, table, value, part, own, wide))
         group = np.cumsum(np.r_[0, (table[1:] != table[:-1]) | (value[1:] != value[:-1]) | (part[1:] != part[:-1])])
-        i, j = trie_pairs(own, group, word_errors, ((1 << WORD_BITS) - 1) << (64 - WORD_BITS))
         full = np.ascontiguousarray(wide).view(np.uint64)
-        near = np.zeros(len(i), bool)
-        for k in range(0, len(i), 1 << 18):
-            near[k : k + (1 << 18)] = np.bitwise_count(full[i[k : k + (1 << 18)]] ^ full[j[k : k + (1 << 18)]]).sum(axis=1) <= errors
+        close = lambda i, j: np.bitwise_count(full[i] ^ full[j]).sum(axis=1) <= errors
+        i, j = trie_pairs(own, group, word_errors, ((1 << WORD_BITS) - 1) << (64 - WORD_BITS), close)
         names, at = np.unique(fp, return_inverse=True)
-        root = spanning(len(names), at[i[near]], at[j[near]])
+        root = spanning(len(names), at[i], at[j])
         moved = np.flatnonzero(root != np.arange(len(names)))
         if len(moved):
             yield pa.RecordBatch.from_arrays([pa.array(names[moved]), pa.array(names[root[moved]])], ["u", "v"])

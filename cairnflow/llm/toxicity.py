@@ -13,7 +13,7 @@ the best segment's surprise and the surprise of all significant ones into a prob
 
 Defined cases: null and empty texts have no segments and get the probability that goes with none; labels other than 0
 and 1, or of null ids, are ignored; ids with several labels count as toxic if any is 1; if a class has no training rows,
-every score is 0 (or 1 if all rows are toxic); repeated rows get repeated results; other columns are ignored.
+nothing is known to tell them apart and every score is 0; repeated rows get repeated results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, join_checked
+from ._common import bound_batches, cut, join_checked
 
 FOLDS, MAX_TRAIN, P_MAX = 5, 10_000, 0.01
 #: A feature's least number and share of toxic training documents, standard errors above zero, and log-odds.
@@ -48,7 +48,7 @@ def features(token: str) -> list[str]:
 class Scores(dict):
     """Token to score; unseen tokens are resolved by their longest kept feature."""
 
-    LIMIT = 1 << 19
+    LIMIT = 1 << 17
 
     def __init__(self, kept: dict[str, float], other: float):
         super().__init__()
@@ -93,7 +93,6 @@ class Model:
     def __init__(self, kept: dict[str, float], other: float):
         self.kept, self.other = kept, other
         self.place, self.scale, self.weights = 0.0, 1.0, None
-        self.constant = 0.0
 
     @classmethod
     def of(cls, state: dict) -> Model:
@@ -125,7 +124,7 @@ class Model:
 
     def probability(self, n: int, found: list) -> float:
         if self.weights is None:
-            return self.constant
+            return 0.0
         z = sum(a * b for a, b in zip(self.weights, self.inputs(n, found), strict=True))
         return 1 / (1 + math.exp(-max(min(z, 500.0), -500.0)))
 
@@ -145,6 +144,7 @@ def _logistic(x, y, ridge: float = 1.0):
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, min_docs: int = MIN_DOCS, z_min: float = Z_MIN) -> Model:
+    bound_batches(docs.sparkSession)
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = cut(known)
     share = min(1.0, max_train / max(known.count(), 1))
@@ -183,7 +183,6 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, min_do
     totals = {r["toxic"]: (r["docs"], r["n"]) for r in texts.select("text", "toxic").mapInArrow(words, "toxic int, n long").groupBy("toxic").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n")).collect()}
     model = Model({}, -1e-3)
     if len(totals) < 2:
-        model.constant = float(1 in totals)
         return model
     # both tables are bounded by the sample: features of at most max_train texts
     least = max(min_docs, MIN_SHARE * totals[1][0])
@@ -249,6 +248,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame
 
 def keep_clean(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
     """docs without the rows whose score reaches limit."""
+    bound_batches(docs.sparkSession)
     shared, columns = docs.sparkSession.sparkContext.broadcast(vars(model)), docs.columns
     place = columns.index("text")
 

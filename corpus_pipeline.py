@@ -2,6 +2,11 @@
 
 Every stage's result is written as Parquet into the shared folder and read again as the next stage's documents. All
 stages but the last return the columns of documents.
+
+Defined cases, in every stage: a null or empty text passes the toxicity stage, is one near-duplicate group (one row of
+it stays), has nothing to redact, is of size 0 and so never mixed in; null ids and null sources are values like any other;
+rows repeated as they are are near copies of each other; extra columns go along up to the last stage, whatever their
+names; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from cairnflow.llm import bpe, mixing, pii, simhash, toxicity
-from cairnflow.llm._common import shared_dir, table
+from cairnflow.llm._common import remove, shared_dir, table
 from cairnflow.llm.queries import RANKS, tokenizer_file
 
 
@@ -58,4 +63,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        if k:  # what the stage before returned has been read
+            remove(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return docs

@@ -89,3 +89,22 @@ def test_stages_in_order(spark, tmp_path):
     assert all(r["exact"] and r["n_tokens"] == len(r["ids"]) for r in got)
     assert {r["doc_id"] for r in got} <= {g[0] for g in groups}
     assert pii and toxicity
+
+
+def test_stages_take_odd_rows(spark, tmp_path):
+    rows = [(1, None, "en", "a", 0), (2, "", None, "a", None), (None, "some words here", "en", None, 3), (None, "some words here", "en", None, 3), (5, "x " * 60000, "en", "b", 1), (6, "same text of words", "de", "b", 2), (6, "same text of words", "de", "b", 2)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("hash", F.lit(1)).withColumn("size", F.lit("s"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, None, 1), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    counts, at = [], docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        at = stage(spark, at, str(tmp_path))
+        assert at.columns == docs.columns
+        counts.append(at.count())
+    assert counts[:3] == [7, 4, 4]
+    final = corpus_pipeline.run(spark, str(tmp_path))
+    assert final.where("exact").count() == final.count() == counts[3]
+    none = tmp_path / "none"
+    docs.limit(0).write.parquet(f"{none}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{none}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(none)).count() == 0

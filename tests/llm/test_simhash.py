@@ -82,3 +82,12 @@ def test_long_chain_is_one_component(spark):
     got = connected_components(edges)
     assert got.select("root").distinct().collect() == [(0,)]
     assert got.count() == 299
+
+
+def test_accepted_pairs_only():
+    values = np.array([0, 1, 2, 3, 7], dtype=np.uint64)
+    i, j = simhash.trie_pairs(values, np.zeros(5, np.int64), 3, accept=lambda a, b: (values[a] + values[b]) % np.uint64(2) == 1)
+    got = {tuple(sorted((int(values[a]), int(values[b])))) for a, b in zip(i, j)}
+    assert got == {(0, 1), (0, 3), (0, 7), (1, 2), (2, 3), (2, 7)}
+    i, j = simhash.trie_pairs(values, np.zeros(5, np.int64), 0, counted=~0b11 & (1 << 64) - 1)  # low bits count for nothing
+    assert len(i) == 6
