@@ -25,60 +25,62 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import cut, shared_dir
+from ._common import cut, remove, shared_dir
 from .warc import open_fs
 
-MAGIC, BLOCK, LANES, SLOTS, STEP, REBUILD = b"CFIDS1\r\n", 4096, 1024, 2048, 7, 16
+MAGIC, BLOCK, LANES, SLOTS, STEP, REBUILD = b"CFIDS1\r\n", 4096, 2048, 1024, 7, 64
 END_ID = 0
 
 
 class _Model:
-    """Prediction state of all lanes; encoder and decoder drive it alike."""
+    """Prediction state of all lanes; encoder and decoder drive it alike. Table entries hold an id and, in two bits, its confidence."""
 
     def __init__(self, lanes: int):
         import numpy as np
 
-        self.np, self.lane = np, np.arange(lanes)
+        self.np, lane = np, np.arange(lanes, dtype=np.int32)
+        self.slots, self.trust, self.recent = lane * SLOTS, lane * 32, lane * 16
         self.p1, self.p2 = np.zeros(lanes * SLOTS, np.int32), np.zeros(lanes * SLOTS, np.int32)
-        self.c1, self.c2 = np.zeros(lanes * SLOTS, np.int8), np.zeros(lanes * SLOTS, np.int8)
-        self.by_trust = np.tile(np.array([4, 2, 10], np.int64), (lanes * 32, 1))
-        self.by_past = np.tile(np.array([4, 2, 10], np.int64), (lanes * 16, 1))
-        self.high, self.low = np.ones((lanes, 256), np.int64), np.ones((lanes * 8, 256), np.int64)
+        self.by_trust = np.tile(np.array([4, 2, 10], np.int32), (lanes * 32, 1))
+        self.by_past = np.tile(np.array([4, 2, 10], np.int32), (lanes * 16, 1))
+        self.high, self.low = np.ones((lanes, 256), np.int32), np.ones((lanes * 8, 256), np.int32)
+        self.high_sums, self.low_sums = np.zeros((lanes, 257), np.int32), np.zeros((lanes * 8, 257), np.int32)
         self.rebuild()
-        self.prev1, self.prev2, self.past = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.prev1, self.prev2, self.past = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
 
     def rebuild(self) -> None:
-        np = self.np
-        self.high_sums = np.concatenate([np.zeros((len(self.high), 1), np.int64), self.high.cumsum(axis=1)], axis=1).ravel()
-        self.low_sums = np.concatenate([np.zeros((len(self.low), 1), np.int64), self.low.cumsum(axis=1)], axis=1).ravel()
-
-    def shrink(self, k: int) -> None:
-        self.lane, self.prev1, self.prev2, self.past = self.lane[:k], self.prev1[:k], self.prev2[:k], self.past[:k]
+        self.np.cumsum(self.high, axis=1, out=self.high_sums[:, 1:])
+        self.np.cumsum(self.low, axis=1, out=self.low_sums[:, 1:])
+        self.flat_high, self.flat_low = self.high_sums.ravel(), self.low_sums.ravel()
 
     def predict(self):
-        """Predictions of order 2 and 1 and the mixed counts of the first symbol."""
-        self.s1 = self.lane * SLOTS + (self.prev1 * 40503 >> 5) % SLOTS
-        self.s2 = self.lane * SLOTS + ((self.prev1 * 40503) ^ (self.prev2 * 60493 + 12345) >> 3) % SLOTS
-        self.q1, self.q2 = self.p1[self.s1], self.p2[self.s2]
-        self.t = self.lane * 32 + self.c2[self.s2] * 8 + self.c1[self.s1] * 2 + (self.q1 == self.q2)
-        self.u = self.lane * 16 + self.past
-        self.counts = self.by_trust[self.t] + self.by_past[self.u]
-        return self.q2, self.q1, self.counts
+        """Predictions of order 2 and 1, and running sums of the mixed counts of the first symbol."""
+        mixed = self.prev1 * 40503
+        self.s1 = self.slots + (mixed >> 5) % SLOTS
+        self.s2 = self.slots + ((mixed ^ self.prev2 * 24943 + 12345) >> 3) % SLOTS
+        self.e1, self.e2 = self.p1[self.s1], self.p2[self.s2]
+        q1, q2 = self.e1 >> 2, self.e2 >> 2
+        self.t = self.trust + ((self.e2 & 3) << 3) + ((self.e1 & 3) << 1) + (q1 == q2)
+        self.u = self.recent + self.past
+        counts = self.by_trust[self.t] + self.by_past[self.u]
+        first = counts[:, 0]
+        second = first + counts[:, 1]
+        return q2, q1, first, second, second + counts[:, 2]
 
     def update(self, ids, symbol) -> None:
         np = self.np
         self.by_trust[self.t, symbol] += STEP
         self.by_past[self.u, symbol] += STEP
-        for p, c, s, q in ((self.p1, self.c1, self.s1, self.q1), (self.p2, self.c2, self.s2, self.q2)):
-            right, trust = q == ids, c[s]
-            p[s] = np.where(right | (trust > 1), q, ids)
-            c[s] = np.where(right, np.minimum(trust + 1, 3), np.maximum(trust - 1, 0) * (trust > 1))
-        self.past = (self.past * 2 + (symbol < 2)) & 15
-        self.prev2, self.prev1 = self.prev1, ids.astype(np.int64)
+        fresh = ids << 2
+        for p, s, e in ((self.p1, self.s1, self.e1), (self.p2, self.s2, self.e2)):
+            trust = e & 3
+            p[s] = np.where(e >> 2 == ids, e + (trust < 3), np.where(trust > 1, e - 1, fresh))
+        self.past = (self.past << 1 | (symbol < 2)) & 15
+        self.prev2, self.prev1 = self.prev1, ids
 
-    def literal(self, at, high) -> tuple:
-        """Row numbers, for lanes at, of the high byte's sums and of the low byte's."""
-        return self.lane[at], self.lane[at] * 8 + self.np.minimum(high, 7)
+    def count(self, at, high, low_rows, low) -> None:
+        self.high[at, high] += STEP
+        self.low[low_rows, low] += STEP
 
 
 _TOP, _BOTTOM, _DIGIT = 48, 1 << 32, 16
@@ -95,7 +97,7 @@ class _Coder:
         self.at = np.zeros(lanes, np.int64)
         self.words, self.code = words, None
         if words is None:
-            self.words = np.zeros((lanes, 64), "<u2")
+            self.words = np.zeros((lanes, BLOCK // 2), "<u2")
         else:
             self.code = np.zeros(lanes, np.uint64)
             for _ in range(4):
@@ -104,24 +106,25 @@ class _Coder:
 
     def part(self, at, total):
         """Share of a count in the range of lanes at; for a decoder also the count that its code points to."""
-        share = self.range[at] // total.astype(self.np.uint64)
+        total = total.astype(self.np.uint64)
+        share = self.range[at] // total
         if self.code is None:
             return share, None
-        return share, self.np.minimum((self.code[at] - self.low[at]) // share, total.astype(self.np.uint64) - self.np.uint64(1)).astype(self.np.int64)
+        return share, self.np.minimum((self.code[at] - self.low[at]) // share, total - self.np.uint64(1)).astype(self.np.int32)
 
     def narrow(self, at, share, start, count) -> None:
+        """at: a slice of all lanes, or lane numbers."""
         np = self.np
         low, width = self.low[at] + share * start.astype(np.uint64), share * count.astype(np.uint64)
-        lanes = at
+        self.low[at], self.range[at] = low, width
+        same = (low ^ (low + width)) >> np.uint64(_TOP) == 0
+        go = np.flatnonzero(same | (width < np.uint64(_BOTTOM)))
+        lanes = go if isinstance(at, slice) else at[go]
+        low, width, same = low[go], width[go], same[go]
         digit = np.uint64(_DIGIT)
-        self.low[lanes], self.range[lanes] = low, width
         while len(lanes):
-            same = (low ^ (low + width)) >> np.uint64(_TOP) == 0
-            go = same | (width < np.uint64(_BOTTOM))
-            if not go.any():
-                break
-            lanes, low, width, same = lanes[go], low[go], width[go], same[go]
-            width = np.where(same, width, (~low + np.uint64(1)) & np.uint64(_BOTTOM - 1))
+            if not same.all():
+                width = np.where(same, width, (~low + np.uint64(1)) & np.uint64(_BOTTOM - 1))
             pos = self.at[lanes]
             if self.code is None:
                 if pos.max() >= self.words.shape[1]:
@@ -132,6 +135,11 @@ class _Coder:
             self.at[lanes] = pos + 1
             low, width = low << digit, width << digit
             self.low[lanes], self.range[lanes] = low, width
+            same = (low ^ (low + width)) >> np.uint64(_TOP) == 0
+            go = same | (width < np.uint64(_BOTTOM))
+            if not go.any():
+                break
+            lanes, low, width, same = lanes[go], low[go], width[go], same[go]
 
     def finish(self) -> list[bytes]:
         np = self.np
@@ -143,93 +151,93 @@ class _Coder:
         return [self.words[i, : n + 4].tobytes() for i, n in enumerate(self.at.tolist())]
 
 
+_ALL = slice(None)
+
+
 def encode_blocks(blocks: list) -> list[bytes]:
-    """Payloads of blocks (arrays of ids, longest first)."""
+    """Payloads of blocks (arrays of ids). A block shorter than the longest goes on with zeros, which its reader leaves out."""
     import numpy as np
 
     if not blocks:
         return []
-    sizes = np.array([len(b) for b in blocks])
-    ids = np.zeros((sizes[0], len(blocks)), np.int64)
+    ids = np.zeros((max(map(len, blocks)), len(blocks)), np.int32)
     for i, b in enumerate(blocks):
         ids[: len(b), i] = b
     model, coder = _Model(len(blocks)), _Coder(len(blocks))
-    for t in range(sizes[0]):
-        k = int((sizes > t).sum())
-        model.shrink(k)
-        now, lanes = ids[t, :k], model.lane
-        q2, q1, counts = model.predict()
-        symbol = np.where(now == q2, 0, np.where(now == q1, 1, 2))
-        starts = counts.cumsum(axis=1)
-        share, _ = coder.part(lanes, starts[:, 2])
-        own = counts[lanes, symbol]
-        coder.narrow(lanes, share, starts[lanes, symbol] - own, own)
+    for t, now in enumerate(ids):
+        q2, q1, first, second, total = model.predict()
+        right2 = now == q2
+        right1 = (now == q1) & ~right2
+        symbol = np.where(right2, 0, np.where(right1, 1, 2))
+        start = np.where(right2, 0, np.where(right1, first, second))
+        share, _ = coder.part(_ALL, total)
+        coder.narrow(_ALL, share, start, np.where(right2, first, np.where(right1, second, total)) - start)
         miss = np.flatnonzero(symbol == 2)
         if len(miss):
             high, low = now[miss] >> 8, now[miss] & 255
-            rows, low_rows = model.literal(miss, high)
-            for sums, row, value in ((model.high_sums, rows, high), (model.low_sums, low_rows, low)):
-                share, _ = coder.part(miss, sums[row * 257 + 256])
-                coder.narrow(miss, share, sums[row * 257 + value], sums[row * 257 + value + 1] - sums[row * 257 + value])
-            model.high[rows, high] += STEP
-            model.low[low_rows, low] += STEP
+            rows = miss * 8 + np.minimum(high, 7)
+            for sums, at, value in ((model.flat_high, miss * 257, high), (model.flat_low, rows * 257, low)):
+                share, _ = coder.part(miss, sums[at + 256])
+                at += value
+                start = sums[at]
+                coder.narrow(miss, share, start, sums[at + 1] - start)
+            model.count(miss, high, rows, low)
         model.update(now, symbol)
         if t % REBUILD == REBUILD - 1:
             model.rebuild()
     return coder.finish()
 
 
-def _search(sums, row, value):
-    """The byte whose sums enclose value, by bisection in all lanes."""
+def _search(sums, at, value):
+    """The byte whose sums (from position at) enclose value, by bisection in all lanes."""
     import numpy as np
 
-    at, lo = row * 257, np.zeros(len(row), np.int64)
+    found = at.copy()
     for step in (128, 64, 32, 16, 8, 4, 2, 1):
-        lo = np.where(sums[at + lo + step] <= value, lo + step, lo)
-    return lo
+        found += np.where(sums[found + step] <= value, step, 0)
+    return found - at
 
 
 def decode_blocks(payloads: list[bytes], sizes: list[int]) -> list:
-    """Arrays of ids of blocks (longest first)."""
+    """Arrays of ids of blocks."""
     import numpy as np
 
     if not payloads:
         return []
-    lanes_n, sizes = len(payloads), np.array(sizes)
-    words = np.zeros((lanes_n, max(len(p) for p in payloads) // 2 + 4), "<u2")
+    lanes = len(payloads)
+    words = np.zeros((lanes, max(len(p) for p in payloads) // 2 + 4), "<u2")
     for i, p in enumerate(payloads):
         words[i, : len(p) // 2] = np.frombuffer(p, "<u2")
-    ids = np.zeros((sizes[0], lanes_n), np.int64)
-    model, coder = _Model(lanes_n), _Coder(lanes_n, words)
-    for t in range(sizes[0]):
-        k = int((sizes > t).sum())
-        model.shrink(k)
-        lanes = model.lane
-        q2, q1, counts = model.predict()
-        starts = counts.cumsum(axis=1)
-        share, value = coder.part(lanes, starts[:, 2])
-        symbol = (value >= starts[:, 0]).astype(np.int64) + (value >= starts[:, 1])
-        own = counts[lanes, symbol]
-        coder.narrow(lanes, share, starts[lanes, symbol] - own, own)
-        now = np.where(symbol == 0, q2, q1).astype(np.int64)
-        miss = np.flatnonzero(symbol == 2)
+    ids = np.zeros((max(sizes), lanes), np.int32)
+    model, coder = _Model(lanes), _Coder(lanes, words)
+    for t in range(len(ids)):
+        q2, q1, first, second, total = model.predict()
+        share, value = coder.part(_ALL, total)
+        above1, above2 = value >= first, value >= second
+        symbol = above1.astype(np.int32) + above2
+        start = np.where(above2, second, np.where(above1, first, 0))
+        coder.narrow(_ALL, share, start, np.where(above2, total, np.where(above1, second, first)) - start)
+        now = np.where(above1, q1, q2)
+        miss = np.flatnonzero(above2)
         if len(miss):
-            rows = model.lane[miss]
-            share, value = coder.part(miss, model.high_sums[rows * 257 + 256])
-            high = _search(model.high_sums, rows, value)
-            coder.narrow(miss, share, model.high_sums[rows * 257 + high], model.high_sums[rows * 257 + high + 1] - model.high_sums[rows * 257 + high])
-            _, low_rows = model.literal(miss, high)
-            share, value = coder.part(miss, model.low_sums[low_rows * 257 + 256])
-            low = _search(model.low_sums, low_rows, value)
-            coder.narrow(miss, share, model.low_sums[low_rows * 257 + low], model.low_sums[low_rows * 257 + low + 1] - model.low_sums[low_rows * 257 + low])
-            model.high[rows, high] += STEP
-            model.low[low_rows, low] += STEP
+            at = miss * 257
+            share, value = coder.part(miss, model.flat_high[at + 256])
+            high = _search(model.flat_high, at, value)
+            at += high
+            coder.narrow(miss, share, model.flat_high[at], model.flat_high[at + 1] - model.flat_high[at])
+            rows = miss * 8 + np.minimum(high, 7)
+            at = rows * 257
+            share, value = coder.part(miss, model.flat_low[at + 256])
+            low = _search(model.flat_low, at, value)
+            at += low
+            coder.narrow(miss, share, model.flat_low[at], model.flat_low[at + 1] - model.flat_low[at])
+            model.count(miss, high, rows, low)
             now[miss] = high << 8 | low
-        ids[t, :k] = now
+        ids[t] = now
         model.update(now, symbol)
         if t % REBUILD == REBUILD - 1:
             model.rebuild()
-    return [ids[:n, i] for i, n in enumerate(sizes.tolist())]
+    return [ids[:n, i] for i, n in enumerate(sizes)]
 
 
 class _Writer:
@@ -362,8 +370,8 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_I
     return cut(dealt.mapInArrow(run, "path string, part long, ids long, bytes long"))
 
 
-def read(files: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32, ids of all files (path, part, ids). Offsets of files are a running sum, one row per file."""
+def read(files: DataFrame, with_ids: bool = True) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 and ids of all files (path, part, ids). Offsets of files are a running sum, one row per file."""
     placed = files.withColumn("base", F.coalesce(F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("path", "base")
     placed = cut(placed)
     placed = placed.repartition(max(1, min(placed.count(), 4096)), "path")
@@ -373,14 +381,14 @@ def read(files: DataFrame) -> DataFrame:
 
         import pyarrow as pa
 
-        names = ["doc_id", "start", "n_tokens", "ids_crc32", "ids"]
+        names = ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: 4 + with_ids]
         for batch in batches:
             for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 fs, at = open_fs(path)
                 rows: list[tuple] = []
                 with fs.open_input_file(at) as handle:
                     for doc_id, ids in read_file(handle):
-                        rows.append((doc_id, base, len(ids), crc32(ids.tobytes()), ids))
+                        rows.append((doc_id, base, len(ids), crc32(ids.tobytes()), ids if with_ids else None))
                         base += len(ids)
                         if len(rows) >= 1024:
                             yield _batch(pa, rows, names)
@@ -388,14 +396,19 @@ def read(files: DataFrame) -> DataFrame:
                 if rows:
                     yield _batch(pa, rows, names)
 
-    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>")
+    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def _batch(pa, rows: list[tuple], names: list[str]):
     columns = list(zip(*rows, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns[:4]] + [pa.array(columns[4], pa.list_(pa.int32()))], names)
+    arrays = [pa.array(c, pa.int64()) for c in columns[:4]]
+    return pa.RecordBatch.from_arrays(arrays + [pa.array(columns[4], pa.list_(pa.int32()))] * (len(names) > 4), names)
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """Write docs as token-id files into the shared folder and read them back: doc_id, start, n_tokens, ids_crc32. The files go."""
     spark: SparkSession = docs.sparkSession
-    return read(write(docs, f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}", tokenizer_path)).drop("ids")
+    folder = f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
+    found = cut(read(write(docs, folder, tokenizer_path), with_ids=False))
+    remove(spark, folder)
+    return found

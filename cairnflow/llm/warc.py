@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import cut, join_checked, shared_dir
+from ._common import cut, join_checked, remove, shared_dir
 
 MIN_REVISIT, SPLIT_BYTES, LEVEL = 100, 4 << 20, 4
 MAGIC = b"\x1f\x8b\x08"
@@ -190,7 +190,9 @@ def read(spark: SparkSession, archives: DataFrame, split_bytes: int = SPLIT_BYTE
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Write pages as archives into the shared folder and read them back."""
+    """Write pages as archives into the shared folder and read them back. The records, without payloads, are kept; the archives go."""
     spark = pages.sparkSession
-    archives = write(pages, f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
-    return read(spark, archives, with_payload=False)
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    records = cut(read(spark, write(pages, folder), with_payload=False).drop("payload", "url"))
+    remove(spark, folder)
+    return records
