@@ -28,9 +28,10 @@ def token_count(c: Column) -> Column:
 
 def hard_split(c: Column, max_tokens: int) -> Column:
     """Pieces of at most max_tokens words, joined by single spaces."""
-    w = words(c)
-    starts = F.when(F.size(w) > 0, F.sequence(F.lit(1), F.size(w), F.lit(max_tokens))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(w, i, max_tokens), " "))
+    # the words are bound to a lambda's variable: named in the inner lambda, their expression would run for each piece
+    pieces = lambda w: F.transform(F.sequence(F.lit(1), F.size(w), F.lit(max_tokens)), lambda i: F.array_join(F.slice(w, i, max_tokens), " "))
+    none = F.array().cast("array<string>")
+    return F.element_at(F.transform(F.array(words(c)), lambda w: F.when(F.size(w) > 0, pieces(w)).otherwise(none)), 1)
 
 
 def lines(c: Column) -> Column:
