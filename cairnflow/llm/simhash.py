@@ -10,7 +10,8 @@ Defined cases: a null or blank text has fingerprint zero, linked like any other;
 one shingle; repeated rows and equal texts share a component; a null id takes no part in minima and a component of null
 ids only has a null id; no rows give no rows; other columns are ignored, and kept by keep_one.
 
-keep_one() filters documents at a lower similarity, for which 64 bits are too few: see wide_fingerprint().
+keep_one() filters documents at a lower similarity, for which 64 bits are too few: wide_fingerprint() finds candidates,
+and a pair is linked only if the exact Jaccard similarity of its texts' shingle sets reaches SIMILARITY.
 """
 
 from __future__ import annotations
@@ -172,14 +173,37 @@ def near_edges(fps: DataFrame, bits: int = BITS, chunk: int = CHUNK) -> DataFram
 #: Wide fingerprints: bits, words of WORD_BITS bits, of which one may differ in WORD_ERRORS; most differing bits of all.
 #: At a Jaccard similarity of 0.8 of five-word shingles a bit differs with probability 0.16 or so, 41 bits of 256.
 WIDE_SHINGLE, WIDE_BITS, WORD_BITS, WORD_ERRORS, WIDE_ERRORS = 5, 256, 32, 3, 46
+#: Least Jaccard similarity of linked texts, as a fraction; rounds that try a component's members against one of them.
+SIMILARITY, STARS = (4, 5), 3
 _STREAMS = (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
+def shingle_set(text: str | None, shingle: int = WIDE_SHINGLE, seed: int = SEED):
+    """Different hashes of shingle_hashes, sorted."""
+    import numpy as np
+
+    return np.unique(np.array(shingle_hashes(text, shingle, seed), dtype="<u8"))
+
+
+def similar(a, b) -> bool:
+    """Whether the Jaccard similarity of two shingle sets is SIMILARITY or more."""
+    import numpy as np
+
+    part, whole = SIMILARITY
+    if whole * min(len(a), len(b)) < part * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return whole * both >= part * (len(a) + len(b) - both)
+
+
 def wide_fingerprint(text: str | None, shingle: int = WIDE_SHINGLE, seed: int = SEED) -> bytes:
-    """256-bit SimHash (32 bytes): four streams of bits are derived from each shingle's hash."""
+    """256-bit SimHash (32 bytes) of the shingle set: four streams of bits are derived from each shingle's hash."""
+    return _wide(shingle_set(text, shingle, seed))
+
+
+def _wide(hashes) -> bytes:
     import numpy as np
 
-    hashes = np.array(shingle_hashes(text, shingle, seed), dtype="<u8")
     if not len(hashes):
         return bytes(WIDE_BITS // 8)
     out = []
@@ -195,25 +219,34 @@ def wide_fingerprint(text: str | None, shingle: int = WIDE_SHINGLE, seed: int =
 
 
 def wide_fingerprints(docs: DataFrame, shingle: int = WIDE_SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id, hash (of the text), wide (the fingerprint), fp (its hash)."""
+    """doc_id, hash (of the text), wide (the fingerprint), fp (hash of the shingle set)."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        from xxhash import xxh64_intdigest
 
         for batch in batches:
-            wide = pa.array([wide_fingerprint(t, shingle, seed) for t in batch.column(2).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), wide], ["doc_id", "hash", "wide"])
+            wide, fp = [], []
+            for text in batch.column(2).to_pylist():
+                hashes = shingle_set(text, shingle, seed)
+                wide.append(_wide(hashes))
+                x = xxh64_intdigest(hashes.tobytes(), seed)
+                fp.append(x - (x >> 63 << 64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(wide, pa.binary()), pa.array(fp, pa.int64())], ["doc_id", "hash", "wide", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("hash"), "text").mapInArrow(run, f"doc_id {kind}, hash long, wide binary").withColumn("fp", F.xxhash64("wide"))
+    return docs.select("doc_id", F.xxhash64("text").alias("hash"), "text").mapInArrow(run, f"doc_id {kind}, hash long, wide binary, fp long")
 
 
 def wide_edges(fps: DataFrame, errors: int = WIDE_ERRORS, word_errors: int = WORD_ERRORS, chunk: int = CHUNK) -> DataFrame:
     """From distinct fp, wide: u, v (fp), spanning edges of fingerprints that differ in at most errors bits, and in at most word_errors of one word's.
 
     A word's trie join is dealt by blocks as that of near_edges; the fingerprint travels along, so that a task settles its
-    candidates and emits no more rows than it has fingerprints.
+    candidates and emits no more rows than it has fingerprints. With a column label, every such pair of unlike labels is
+    emitted instead, once or more.
     """
+    labelled = "label" in fps.columns
+    extra = ["label"] if labelled else []
     words, blocks = WIDE_BITS // WORD_BITS, word_errors + 1
     size, step = WORD_BITS // 8, WORD_BITS // blocks
     number = lambda w: F.conv(F.hex(F.substring("wide", w * size + 1, size)), 16, 10).cast("long")
@@ -222,8 +255,8 @@ def wide_edges(fps: DataFrame, errors: int = WIDE_ERRORS, word_errors: int = WOR
         for w in range(words)
         for b in range(blocks)
     ]
-    numbered = fps.select("fp", "wide", F.array(*[number(w) for w in range(words)]).alias("numbers"))
-    keyed = numbered.select("fp", "wide", F.explode(F.array(*at)).alias("k")).select("fp", "wide", "k.table", "k.value")
+    numbered = fps.select("fp", "wide", *extra, F.array(*[number(w) for w in range(words)]).alias("numbers"))
+    keyed = numbered.select("fp", "wide", *extra, F.explode(F.array(*at)).alias("k")).select("fp", "wide", *extra, "k.table", "k.value")
     slim = numbered.select(F.explode(F.array(*at)).alias("k"))
     hot = cut(slim.groupBy("k.table", "k.value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk).withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int")).drop("n"))
     own = F.pmod(F.col("fp"), F.col("chunks")).cast("int")
@@ -231,7 +264,7 @@ def wide_edges(fps: DataFrame, errors: int = WIDE_ERRORS, word_errors: int = WOR
     dealt = (
         join_checked(keyed, hot, ["table", "value"], "left")
         .withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-        .select("fp", "wide", "table", "value", F.explode(others).alias("part"))
+        .select("fp", "wide", *extra, "table", "value", F.explode(others).alias("part"))
         .repartition("table", "value", "part")
     )
 
@@ -239,10 +272,10 @@ def wide_edges(fps: DataFrame, errors: int = WIDE_ERRORS, word_errors: int = WOR
         import numpy as np
         import pyarrow as pa
 
-        got = [(*[c.to_numpy(zero_copy_only=False) for c in (b["fp"], b["table"], b["value"], b["part"])], np.frombuffer(b"".join(b["wide"].to_pylist()), np.uint8).reshape(-1, WIDE_BITS // 8)) for b in batches if b.num_rows]
+        got = [(*[c.to_numpy(zero_copy_only=False) for c in (b["fp"], b["table"], b["value"], b["part"], b["label" if labelled else "fp"])], np.frombuffer(b"".join(b["wide"].to_pylist()), np.uint8).reshape(-1, WIDE_BITS // 8)) for b in batches if b.num_rows]
         if not got:
             return
-        fp, table, value, part, wide = (np.concatenate(x) for x in zip(*got, strict=True))
+        fp, table, value, part, label, wide = (np.concatenate(x) for x in zip(*got, strict=True))
         word = (table // blocks).astype(np.int64)
         own = np.zeros(len(fp), np.uint64)
         for k in range(size):
@@ -250,24 +283,101 @@ def wide_edges(fps: DataFrame, errors: int = WIDE_ERRORS, word_errors: int = WOR
         # below the word stand bits of the name, which tell equal words apart and count for nothing
         own = own << np.uint64(64 - WORD_BITS) | fp.view(np.uint64) >> np.uint64(WORD_BITS)
         order = np.lexsort((own, part, value, table))
-        fp, table, value, part, own, wide = (x[order] for x in (fp, table, value, part, own, wide))
+        fp, table, value, part, label, own, wide = (x[order] for x in (fp, table, value, part, label, own, wide))
         group = np.cumsum(np.r_[0, (table[1:] != table[:-1]) | (value[1:] != value[:-1]) | (part[1:] != part[:-1])])
         full = np.ascontiguousarray(wide).view(np.uint64)
-        close = lambda i, j: np.bitwise_count(full[i] ^ full[j]).sum(axis=1) <= errors
-        i, j = trie_pairs(own, group, word_errors, ((1 << WORD_BITS) - 1) << (64 - WORD_BITS), close)
         names, at = np.unique(fp, return_inverse=True)
-        root = spanning(len(names), at[i], at[j])
-        moved = np.flatnonzero(root != np.arange(len(names)))
-        if len(moved):
-            yield pa.RecordBatch.from_arrays([pa.array(names[moved]), pa.array(names[root[moved]])], ["u", "v"])
+        root = np.arange(len(names))
+
+        def close(i, j):
+            nonlocal root
+            near = np.bitwise_count(full[i] ^ full[j]).sum(axis=1) <= errors
+            if labelled:
+                return near & (label[i] != label[j])
+            a, b = root[at[i[near]]], root[at[j[near]]]
+            if (a != b).any():
+                root = spanning(len(names), a, b)[root]
+            return np.zeros(len(i), bool)  # in root by now
+
+        i, j = trie_pairs(own, group, word_errors, ((1 << WORD_BITS) - 1) << (64 - WORD_BITS), close)
+        if labelled:
+            pairs = np.unique(np.stack([np.minimum(fp[i], fp[j]), np.maximum(fp[i], fp[j])]), axis=1)
+        else:
+            moved = np.flatnonzero(root != np.arange(len(names)))
+            pairs = np.stack([names[moved], names[root[moved]]])
+        for k in range(0, pairs.shape[1], 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs[:, k : k + (1 << 16)]], ["u", "v"])
 
     return dealt.mapInArrow(run, "u long, v long")
 
 
+def _verified(pairs: DataFrame) -> DataFrame:
+    """u, v, near (whether their sets are similar) of pairs with u, v, a, b (sets as bytes)."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            a, b = ([np.frombuffer(x, "<u8") for x in batch.column(k).to_pylist()] for k in (2, 3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(similar, a, b), pa.bool_())], ["u", "v", "near"])
+
+    return pairs.select("u", "v", "a", "b").mapInArrow(run, "u long, v long, near boolean")
+
+
+def _sets(docs: DataFrame, rows: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
+    """node, component, set (bytes) of members (node, component)."""
+    first = rows.join(members, F.col("fp") == F.col("node")).groupBy("node", "component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "hash")).alias("at"))
+    first = cut(first.select("node", "component", F.col("at.doc_id").alias("_id"), F.col("at.hash").alias("_of")))
+    texts = join_checked(docs.select("doc_id", F.xxhash64("text").alias("hash"), "text"), first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_of")))
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            found = pa.array([shingle_set(t, shingle).tobytes() for t in batch.column(2).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], ["node", "component", "set"])
+
+    return cut(texts.select("node", "component", "text").mapInArrow(run, "node long, component long, set binary").dropDuplicates(["node"]))
+
+
+def similar_components(docs: DataFrame, rows: DataFrame, shingle: int = WIDE_SHINGLE, errors: int = WIDE_ERRORS) -> DataFrame:
+    """node, root as connected_components() gives them: of candidates whose shingle sets are similar.
+
+    Links lie within components of candidates. A component's members are tried against one of them, those that fail
+    against another of theirs, STARS times; what that leaves apart is tried by all its candidate pairs. So a large group
+    of copies takes about one comparison a member, and no candidate pair stays untried unless its ends are joined.
+    """
+    wide = rows.select("fp", "wide").dropDuplicates(["fp"])
+    found = cut(connected_components(wide_edges(wide, errors)))
+    members = cut(found.select("node", F.col("root").alias("component")).unionByName(found.select(F.col("root").alias("node"), F.col("root").alias("component")).distinct()))
+    sets = _sets(docs, rows, members, shingle)
+    links, left, apart = None, sets, None
+    for _ in range(STARS):
+        hubs = left.groupBy("component").agg(F.min(F.struct("node", "set")).alias("hub")).select("component", F.col("hub.node").alias("v"), F.col("hub.set").alias("b"))
+        pairs = left.select(F.col("node").alias("u"), "component", F.col("set").alias("a")).join(hubs, "component").where("u <> v")
+        tried = cut(_verified(pairs))
+        near, far = tried.where("near").select("u", "v"), tried.where("not near").select(F.col("u").alias("node"))
+        links = near if links is None else links.unionByName(near)
+        left = cut(left.join(far, "node", "left_semi"))
+        apart = left if apart is None else apart
+        if left.isEmpty():
+            break
+    # components that one comparison has not settled
+    open_ = cut(members.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 2").join(apart.select("component").distinct(), "component", "left_semi").select("component"))
+    if not open_.isEmpty():
+        label = links.select(F.col("u").alias("node"), F.col("v").alias("label"))
+        nodes = members.join(open_, "component", "left_semi").join(label, "node", "left").select(F.col("node").alias("fp"), F.coalesce("label", "node").alias("label"))
+        rest = cut(wide_edges(cut(wide.join(nodes, "fp")), errors).distinct())
+        pairs = rest.join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
+        links = links.unionByName(_verified(pairs).where("near").select("u", "v"))
+    return connected_components(links)
+
+
 def keep_one(docs: DataFrame, shingle: int = WIDE_SHINGLE, errors: int = WIDE_ERRORS) -> DataFrame:
     """docs with one row of each group of near-duplicates: the row of least id, then of least text hash."""
     rows = cut(wide_fingerprints(docs, shingle))
-    roots = cut(connected_components(wide_edges(rows.select("fp", "wide").dropDuplicates(["fp"]), errors)))
+    roots = cut(similar_components(docs, rows, shingle, errors))
     place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "hash")
     slim = rows.select("doc_id", "hash", "fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("doc_id", "hash", F.coalesce("root", "fp").alias("group"))
     counted = slim.groupBy("group", "doc_id", "hash").agg(F.count(F.lit(1)).alias("n"))

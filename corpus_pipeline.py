@@ -26,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose five-word shingles are similar by 0.8 or more, as SimHash estimates it."""
+    """One document of each group that links of 0.8 or more connect: Jaccard similarity of five-word shingle sets, checked on candidates that SimHash finds."""
     return simhash.keep_one(docs)
 
 

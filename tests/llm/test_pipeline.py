@@ -48,6 +48,40 @@ def test_near_copies_keep_one(spark):
     assert simhash.keep_one(docs.limit(0)).count() == 0
 
 
+def pair_of(rng, n, other):
+    """Two texts of n words, of which the second has every word in other replaced."""
+    text = [f"{rng.randrange(1 << 40):x}" for _ in range(n)]
+    return text, [f"{rng.randrange(1 << 40):x}" if i in other else w for i, w in enumerate(text)]
+
+
+def test_pairs_below_the_similarity_stay(spark):
+    rng = random.Random(21)
+    pairs = [pair_of(rng, 204, {20 * (i + 1) for i in range(5)}) for _ in range(30)]  # 175 of 225 shingles
+    assert {round(jaccard(a, b), 3) for a, b in pairs} == {0.778}
+    rows = [(2 * k + x, " ".join(t), "en", "s", 0) for k, p in enumerate(pairs) for x, t in enumerate(p)]
+    # a chain: neighbours are similar by 0.818 and linked, so one of it stays
+    chain = [f"{rng.randrange(1 << 40):x}" for _ in range(350)]
+    for k in range(12):
+        rows.append((100 + k, " ".join(chain[15 * k : 15 * k + 154]), "en", "s", 0))
+    # copies of one text, and candidates of theirs that are less similar
+    hub = [f"{rng.randrange(1 << 40):x}" for _ in range(204)]
+    for k in range(40):
+        spots = rng.sample(range(10, 190, 5), 1 if k < 20 else 6)
+        rows.append((200 + k, " ".join(f"{k}x{i}" if i in spots else w for i, w in enumerate(hub)), "en", "s", 0))
+    got = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got >= set(range(60))
+    root, words = {r[0]: r[0] for r in rows}, {r[0]: r[1].split() for r in rows}
+    for i in root:
+        for j in root:
+            if j < i and jaccard(words[i], words[j]) >= 0.8:
+                a, b = root[i], root[j]
+                root = {k: min(a, b) if v in (a, b) else v for k, v in root.items()}
+    want = {k for k, v in root.items() if k == v}
+    assert want & set(range(100, 200)) == {100}
+    assert {k for k in got if k < 100 or k >= 200} == {k for k in want if k < 100 or k >= 200}
+    assert 100 in got and len(want & set(range(200, 240))) > 1
+
+
 def test_wide_edges_in_chunks(spark):
     rows, _ = corpus()
     fps = simhash.wide_fingerprints(spark.createDataFrame(rows, SCHEMA)).select("fp", "wide").dropDuplicates(["fp"])
