@@ -171,8 +171,11 @@ def near_edges(fps: DataFrame, bits: int = BITS, chunk: int = CHUNK) -> DataFram
 
 
 #: Wide fingerprints: bits, words of WORD_BITS bits, of which one may differ in WORD_ERRORS; most differing bits of all.
-#: At a Jaccard similarity of 0.8 of five-word shingles a bit differs with probability 0.16 or so, 41 bits of 256.
-WIDE_SHINGLE, WIDE_BITS, WORD_BITS, WORD_ERRORS, WIDE_ERRORS = 5, 256, 32, 3, 46
+#: At a Jaccard similarity of 0.8 of five-word shingles a bit differs with probability 0.15 or so, 38.5 bits of 256 with a
+#: spread of 6.
+WIDE_SHINGLE, WIDE_BITS, WORD_BITS, WORD_ERRORS, WIDE_ERRORS = 5, 256, 24, 2, 60
+#: The bytes of each word: three ways to cut the fingerprint into ten; no two words share more than a byte.
+_WORDS = tuple((3 * w, 3 * w + 1, 3 * w + 2) for w in range(10)) + tuple((w, 10 + (w + x) % 10, 20 + (w + y) % 10) for x, y in ((0, 0), (3, 7)) for w in range(10))
 #: Least Jaccard similarity of linked texts, as a fraction; rounds that try a component's members against one of them.
 SIMILARITY, STARS = (4, 5), 3
 _STREAMS = (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -247,9 +250,9 @@ def wide_edges(fps: DataFrame, errors: int = WIDE_ERRORS, word_errors: int = WOR
     """
     labelled = "label" in fps.columns
     extra = ["label"] if labelled else []
-    words, blocks = WIDE_BITS // WORD_BITS, word_errors + 1
-    size, step = WORD_BITS // 8, WORD_BITS // blocks
-    number = lambda w: F.conv(F.hex(F.substring("wide", w * size + 1, size)), 16, 10).cast("long")
+    words, blocks = len(_WORDS), word_errors + 1
+    step = WORD_BITS // blocks
+    number = lambda w: F.conv(F.hex(F.concat(*[F.substring("wide", b + 1, 1) for b in _WORDS[w]])), 16, 10).cast("long")
     at = [
         F.struct(F.lit(w * blocks + b).alias("table"), F.shiftright(F.get("numbers", F.lit(w)), b * step).bitwiseAND(F.lit((1 << step) - 1)).alias("value"))
         for w in range(words)
@@ -278,8 +281,8 @@ def wide_edges(fps: DataFrame, errors: int = WIDE_ERRORS, word_errors: int = WOR
         fp, table, value, part, label, wide = (np.concatenate(x) for x in zip(*got, strict=True))
         word = (table // blocks).astype(np.int64)
         own = np.zeros(len(fp), np.uint64)
-        for k in range(size):
-            own = own << np.uint64(8) | wide[np.arange(len(fp)), word * size + k].astype(np.uint64)
+        for k in np.array(_WORDS).T:
+            own = own << np.uint64(8) | wide[np.arange(len(fp)), k[word]].astype(np.uint64)
         # below the word stand bits of the name, which tell equal words apart and count for nothing
         own = own << np.uint64(64 - WORD_BITS) | fp.view(np.uint64) >> np.uint64(WORD_BITS)
         order = np.lexsort((own, part, value, table))

@@ -82,6 +82,16 @@ def test_pairs_below_the_similarity_stay(spark):
     assert 100 in got and len(want & set(range(200, 240))) > 1
 
 
+def test_pairs_at_the_similarity_are_found(spark):
+    rng = random.Random(22)
+    pairs = [pair_of(rng, 184, {10 * (i + 1) for i in range(4)}) for _ in range(400)]  # 160 of 200 shingles
+    assert {jaccard(a, b) for a, b in pairs} == {0.8}
+    rows = [(2 * k + x, " ".join(t), "en", "s", 0) for k, p in enumerate(pairs) for x, t in enumerate(p)]
+    got = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got >= set(range(0, 800, 2)) and len(got) <= 404
+    assert all(len(set(a) & set(b)) < 2 for a in simhash._WORDS for b in simhash._WORDS if a != b)
+
+
 def test_wide_edges_in_chunks(spark):
     rows, _ = corpus()
     fps = simhash.wide_fingerprints(spark.createDataFrame(rows, SCHEMA)).select("fp", "wide").dropDuplicates(["fp"])
