@@ -3,10 +3,12 @@
 Base spans come from four recognizers, each one linear pass over the whole text. They are the seeds. What stands before a
 seed (the last word, and the last two) is a lexical pattern. Identifier-like strings that no base span touches are
 candidates, in shapes the recognizers don't take: spelled-out addresses, telephone numbers without a country code, IPv6
-addresses. Spark counts, over all documents, every place of each pattern that enough different seeds share, whatever
+addresses. Spark counts, over all documents, every place of each pattern that enough different instances share, whatever
 follows it; so "of the" is a poor pattern although many seeds follow it. Patterns and instances then score each other in
-rounds: a pattern by the share of its places that hold accepted instances of its kind, an instance by the patterns it
-follows. Instances over the acceptance score become spans wherever they stand.
+rounds, until a round accepts nothing: a pattern that enough accepted instances share by the share of its places that hold
+accepted instances of its kind (places of candidates not accepted so far are left out), an instance by the patterns it
+follows. Accepted instances stay accepted and become spans wherever they stand. A word glued to what follows it ("tel:+1")
+is a pattern of its own, which stands in every word that it begins.
 
 Defined cases: a null text is empty; text without matches has the digest of the empty string; repeated rows are scanned
 each for itself; corpus counts cover every row; no rows give no rows; other columns are ignored by scan() and kept by
@@ -24,8 +26,10 @@ from pyspark.sql import functions as F
 from ._common import cut, join_checked
 
 KINDS = ("email", "ip", "card", "phone")
-#: Different seeds that make a pattern, the score that accepts, rounds, patterns counted in one pass.
-SUPPORT, ACCEPT, ROUNDS, PASS_PATTERNS = 3, 0.8, 2, 200_000
+#: Different accepted instances that make a pattern, the score that accepts, patterns counted in one pass.
+SUPPORT, ACCEPT, PASS_PATTERNS = 3, 0.8, 200_000
+#: Ends patterns whose last word is glued to what follows; never part of a word.
+GLUED = "\n"
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -95,7 +99,8 @@ def contexts(text: str, start: int) -> list[str]:
     words = [context_word(w) for w in text[max(0, start - 160) : start].split()]
     if start > 160 and len(words) < 3:
         words = []  # words too long to be patterns
-    return [" ".join(words[-k:]) for k in (1, 2) if len(words) >= k]
+    end = GLUED if start and not text[start - 1].isspace() else ""
+    return [" ".join(words[-k:]) + end for k in (1, 2) if len(words) >= k]
 
 
 def context_word(word: str) -> str:
@@ -147,6 +152,11 @@ def _pattern_places(docs: DataFrame, patterns: DataFrame) -> DataFrame:
             single = {p for p in wanted.value if " " not in p}
             pairs = {p for p in wanted.value if " " in p}
             ends = {p.split(" ")[1] for p in pairs}
+            heads: dict[str, set[int]] = {}  # lengths of glued last words by their first letter
+            for p in wanted.value:
+                if p.endswith(GLUED):
+                    last = p[: -len(GLUED)].split(" ")[-1]
+                    heads.setdefault(last[0], set()).add(len(last))
             counts: Counter = Counter()
             for batch in batches:
                 for text in batch.column(0).to_pylist():
@@ -156,6 +166,11 @@ def _pattern_places(docs: DataFrame, patterns: DataFrame) -> DataFrame:
                         counts.update(w for w in words if w in known)
                     if not ends.isdisjoint(words):
                         counts.update(p for i, w in enumerate(words) if i and w in ends and (p := f"{words[i - 1]} {w}") in pairs)
+                    for i, w in enumerate(words if heads else ()):
+                        for k in heads.get(w[0], ()):
+                            if len(w) > k:
+                                last = w[:k] + GLUED
+                                counts.update(p for p in ([last, f"{words[i - 1]} {last}"] if i else [last]) if p in wanted.value)
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["pattern", "places"])
 
         one = docs.select("text").mapInArrow(run, "pattern string, places long").groupBy("pattern").agg(F.sum("places").alias("places"))
@@ -163,24 +178,28 @@ def _pattern_places(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     return found if found is not None else patterns.select("pattern", F.lit(0).cast("long").alias("places")).limit(0)
 
 
-def discover(docs: DataFrame, occurrences: DataFrame, support: int = SUPPORT, accept: float = ACCEPT, rounds: int = ROUNDS) -> DataFrame:
+def discover(docs: DataFrame, occurrences: DataFrame, support: int = SUPPORT, accept: float = ACCEPT) -> DataFrame:
     """Accepted candidates: kind, instance, score. occurrences: a cut table of _occurrences(docs)."""
     each = occurrences.select(F.explode("found").alias("o")).select("o.kind", "o.instance", "o.seed", F.explode("o.patterns").alias("pattern"))
     edges = cut(each.groupBy("pattern", "kind", "instance").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("n")))
-    useful = edges.groupBy("pattern", "kind").agg(F.count_if("seed").alias("seeds"), F.count_if(~F.col("seed")).alias("others")).where(F.col("seeds") >= support)
-    # a pattern with no candidate in any round can discover nothing
-    useful = cut(useful.where("others > 0").select("pattern").distinct())
+    useful = edges.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("all"), F.count_if(~F.col("seed")).alias("others"))
+    # a pattern with no candidate can discover nothing; one of too few instances never qualifies
+    useful = cut(useful.where((F.col("all") >= support) & (F.col("others") > 0)).select("pattern").distinct())
     places = cut(_pattern_places(docs, useful))
     graph = cut(join_checked(edges, places, "pattern"))
-    scores = graph.select("kind", "instance", F.col("seed").cast("double").alias("score")).groupBy("kind", "instance").agg(F.max("score").alias("score"))
-    for _ in range(rounds):
-        rated = graph.join(scores, ["kind", "instance"])
-        pattern = rated.groupBy("pattern", "kind").agg(F.sum(F.col("n") * F.col("score")).alias("held"), F.max("places").alias("places"), F.count_if(F.col("score") >= accept).alias("known"))
-        pattern = pattern.where(F.col("known") >= support).select("pattern", "kind", F.least(F.lit(1.0), F.col("held") / F.greatest("places", F.lit(1))).alias("trust"))
-        by_pattern = graph.join(pattern, ["pattern", "kind"]).groupBy("kind", "instance").agg(F.max("seed").alias("seed"), F.sum(F.log1p(-F.least("trust", F.lit(0.999999)))).alias("doubt"))
-        scores = cut(by_pattern.select("kind", "instance", F.when(F.col("seed"), F.lit(1.0)).otherwise(1 - F.exp("doubt")).alias("score")))
-    seeds = edges.where("seed").select("kind", "instance").distinct()
-    return scores.where(F.col("score") >= accept).join(seeds, ["kind", "instance"], "left_anti")
+    seeds = cut(edges.where("seed").select("kind", "instance").distinct())
+    known = seeds.withColumn("score", F.lit(1.0))
+    while True:
+        rated = graph.join(known, ["kind", "instance"], "left")
+        unknown = F.coalesce(F.sum(F.when(F.col("score").isNull(), F.col("n"))), F.lit(0))
+        pattern = rated.groupBy("pattern", "kind").agg(F.sum(F.col("n") * F.coalesce("score", F.lit(0.0))).alias("held"), (F.max("places") - unknown).alias("settled"), F.count("score").alias("known"))
+        pattern = pattern.where(F.col("known") >= support).select("pattern", "kind", F.least(F.lit(1.0), F.col("held") / F.greatest("settled", F.lit(1))).alias("trust"))
+        doubt = rated.where(F.col("score").isNull()).join(pattern, ["pattern", "kind"]).groupBy("kind", "instance").agg(F.sum(F.log1p(-F.least("trust", F.lit(0.999999)))).alias("doubt"))
+        more = cut(doubt.select("kind", "instance", (1 - F.exp("doubt")).alias("score")).where(F.col("score") >= accept))
+        if more.isEmpty():
+            break
+        known = cut(known.unionByName(more))
+    return known.join(seeds, ["kind", "instance"], "left_anti")
 
 
 def _discovered(docs: DataFrame, occurrences: DataFrame) -> DataFrame:

@@ -58,6 +58,19 @@ def test_scan_and_discovery(spark):
     assert pii.scan(docs.limit(0)).count() == 0
 
 
+def test_discovery_reaches_a_fixed_point(spark):
+    rows = [(i, f"w{i}a mobile: +1 (555) 010-{1000 + i} and", "x") for i in range(5)]
+    rows += [(100 + i, f"{a} 030 555 {1000 + i} today", "x") for i in range(4) for a in ("mobile:", "fon")]  # known by their first context
+    rows += [(200 + i, f"{a} 040 666 {1000 + i} today", "x") for i in range(4) for a in ("fon", "ring")]  # by one that those induce
+    rows += [(300 + i, f"ring 050 777 {1000 + i} today", "x") for i in range(40)]  # by the third, and more than those known
+    rows += [(400 + i, f"tel:+1 (555) 020-{1000 + i} and", "x") for i in range(5)] + [(450, "tel:060 888 1234 or", "x"), (451, "the 060 888 1234 or", "x")]
+    rows += [(500 + i, f"no:+1 (555) 030-{1000 + i} and no:thing no:body no:one", "x") for i in range(5)] + [(550, "no:070 999 1234 or", "x")]
+    rows += [(600, "serial 080 999 1234 of", "x")]
+    got = {(r["doc_id"], r["spans"]) for r in pii.scan(spark.createDataFrame(rows, "doc_id long, text string, spans string")).collect()}
+    bare = {i for i, spans in got if not spans}
+    assert len(got) == len(rows) and bare == {550, 600}
+
+
 def test_redact_keeps_columns(spark):
     docs = spark.createDataFrame([(1, "mail a@b.co or +1 (555) 010-9999.", "x", 33), (2, None, "y", None), (None, "clean", "z", 5)], "doc_id long, text string, more string, n_chars long")
     got = sorted((tuple(r) for r in pii.redact(docs).collect()), key=repr)
