@@ -27,7 +27,7 @@ from ._common import cut
 from .components import connected_components, spanning
 from .maxscore import usable
 
-COSINE, PROJECTIONS, WINDOW, RECALL, RUN_ROWS, SEED = 0.95, 16, 3.45, 0.99, 3072, 20240
+COSINE, PROJECTIONS, WINDOW, RECALL, RUN_ROWS, SEED = 0.95, 16, 3.0, 0.999, 3072, 20240
 
 
 def least_collisions(count: int, window: float, recall: float) -> int:

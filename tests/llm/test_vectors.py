@@ -72,3 +72,10 @@ def test_near_vectors_equal_brute_force(spark):
 def test_recall_calibration():
     assert projections.least_collisions(16, 3.0, 0.999) == 15
     assert projections.least_collisions(10, 1.0, 0.5) == 7
+
+
+def test_defaults_keep_the_recall_with_counting():
+    least = projections.least_collisions(projections.PROJECTIONS, projections.WINDOW, projections.RECALL)
+    p = math.erf(projections.WINDOW / math.sqrt(2))
+    passed = sum(math.comb(projections.PROJECTIONS, c) * p**c * (1 - p) ** (projections.PROJECTIONS - c) for c in range(least, projections.PROJECTIONS + 1))
+    assert least < projections.PROJECTIONS and passed >= 0.999
