@@ -60,12 +60,20 @@ def test_verify(spark):
     assert [r[0] for r in df.orderBy("i").select(answers.check(F.col("a"), F.col("b"))).collect()] == [c[2] for c in checked]
 
 
-def test_symbolic_is_bounded():
-    assert not symbolic.equal("9^9^9^9", "1")
-    assert not symbolic.equal("(" * 500 + "1" + ")" * 500, "1")
+def test_symbolic_has_no_limit_of_size():
+    assert symbolic.equal("x" + "+x" * 249, "250*x") and symbolic.equal("x" + "+x" * 20000, "20001x")
+    assert symbolic.equal("(" * 5000 + "1" + ")" * 5000, "1") and symbolic.equal("-" * 300 + "x", "x")
+    assert symbolic.equal("x^200*x^1000", "x^1200") and symbolic.equal("10^400", "10^399*10") and not symbolic.equal("x^65", "x^66")
+    assert symbolic.equal("9^9^9^9", "9^9^9^9") and not symbolic.equal("9^9^9^9", "1")
+
+
+def test_symbolic():
     assert not symbolic.equal("__import__('os')", "1")
     assert symbolic.equal("sqrt(8)", "2sqrt(2)") and symbolic.equal("(x+1)^2", "x^2+2x+1") and not symbolic.equal("x", "y")
-    assert symbolic.fractions_to_quotients("frac{frac{1}{2}}{3}") == "((((1)/(2)))/(3))"
+    same = ["frac{frac{1}{2}}{3} 1/6", "frac{5} 5", "2frac{1}{2} 1", "frac{x+1}{2}*2 x+1", "-x^2 0-x*x", "2^-3 1/8", "2^-3^2 1/512", "1/2x x/2", "sin(x)^2+cos(x)^2 1", "x^-1 1/x", "x^y*x x^(y+1)", "2pi pi+pi", "abs(-3) 3", "sqrt(4) 2"]
+    assert all(symbolic.equal(*pair.split()) for pair in same)
+    assert not any(symbolic.equal(*pair.split()) for pair in ["pi 3.14159", "1/0 2/0", "a) a", "frac{1 1", "1e-7 0", "x^2 x"])
+    assert symbolic.equal("sin x^2", "sin(x^2)") and symbolic.same_raw("x+1", "1+x") and not symbolic.same_raw("2x", "2*x")
 
 
 def test_segmentation(spark):
@@ -97,6 +105,11 @@ def test_critiques(spark):
     assert critique.parse("text") is critique.parse("[1]") is critique.parse("") is critique.parse(None) is None
     assert critique.parse('{"divergence_step_index": 0, "global_strategic_analysis": "\\frac \\alpha",}')["global_strategic_analysis"] == "\x0crac \\alpha"
     assert critique.parse('{"divergence_step_index": 0, "global_strategic_analysis": "\\frac",}', strict_latex=True)["global_strategic_analysis"] == "\\frac"
+    odd = '{"success_pattern": "a \\"b\\" c", "global_strategic_analysis": "g\tx\\alpha\ny", "trajectory_a_logic": "{[1, ]}", ,}'
+    assert critique.repair(odd) == '{"success_pattern": "a \\"b\\" c", "global_strategic_analysis": "g\\tx\\\\alpha\\ny", "trajectory_a_logic": "{[1]}", }'
+    assert critique.repair('{"a": {"b": "x') == '{"a": {"b": "x}}' and critique.repair("[1, ]") == "[1]"
+    found = critique.single_fields('"divergence_step_index": "no" "divergence_step_index": 4, "global_strategic_analysis": "abc, "success_pattern": "s", "success_pattern": "t"')
+    assert found["divergence_step_index"] == 4 and found["success_pattern"] == "s" and found["global_strategic_analysis"] == "abc, "
     got = column(spark, ['{"divergence_step_index": -3, "global_strategic_analysis": "g", "local_step_critique": [1]}', "x"], critique.parse_critique)
     assert got[0]["divergence_step_index"] == 0 and got[0]["local_step_critique"] == {} and got[1] is None
 
