@@ -12,6 +12,7 @@ from .text import CONNECTORS, ENUMERATIONS, lines
 MAX_TOKENS = 256
 # Formulas, in the order in which they are hidden (and shown again: one within another stays hidden).
 FORMULAS = [re.compile(p, re.DOTALL) for p in (r"\\\[.*?\\\]", r"\\\(.*?\\\)", r"\$[^$]+\$")]
+_HIDDEN = re.compile("\x00MATH([0-9]+)\x00")
 _OPENINGS = [re.compile(rf"(?:(?:^|\n)\s*|(?<=\. )){p}", re.MULTILINE) for p in (CONNECTORS, ENUMERATIONS)]
 
 
@@ -27,6 +28,24 @@ def hide_formulas(text: str) -> tuple[str, list[str]]:
     return text, hidden
 
 
+def show_formulas(text: str, hidden: list[str]) -> str:
+    """Put formulas back in one pass. A formula hidden within another one's text stays hidden."""
+    return _HIDDEN.sub(lambda m: hidden[int(m[1])] if int(m[1]) < len(hidden) else m[0], text)
+
+
+def masked(c: Column) -> Column:
+    """Struct of masked (formulas hidden) and shown (put back)."""
+
+    @F.pandas_udf("masked string, shown string")
+    def run(texts):
+        import pandas as pd
+
+        found = [(None, None) if t is None else (hide_formulas(t)[0], show_formulas(*hide_formulas(t))) for t in texts]
+        return pd.DataFrame(found, columns=["masked", "shown"], dtype=object)
+
+    return run(c)
+
+
 def _cut(text: str, places: list[int]) -> list[str]:
     edges = [0, *(p for p in places if p > 0), len(text)]
     return [text[a:b] for a, b in zip(edges, edges[1:])]
@@ -55,14 +74,7 @@ def segment_steps(text: str | None, max_tokens: int = MAX_TOKENS, count=lambda s
     for cutter in cutters:
         parts = [p for s in parts for p in (filter(str.strip, cutter(s)) if count(s) > max_tokens else [s])]
     parts = [p for s in parts for p in (_pack(s, max_tokens, count) if count(s) > max_tokens else [s])]
-    steps = []
-    for s in parts:
-        s = s.strip()
-        for k, formula in enumerate(hidden):
-            s = s.replace(f"\x00MATH{k}\x00", formula)
-        if s:
-            steps.append(s)
-    return steps
+    return [show_formulas(s, hidden) for s in map(str.strip, parts) if s]
 
 
 def segment(c: Column, max_tokens: int = MAX_TOKENS) -> Column:

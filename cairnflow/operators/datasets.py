@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import answers
 from ..functions.text import numbered_solution
+from ..lineage import cut
 
 
 def resume_problems(seeds: DataFrame, done: DataFrame) -> DataFrame:
@@ -18,12 +19,13 @@ def lossy_key(problem: Column, contrast_type: Column) -> Column:
     return F.concat(F.substring(problem, 1, 80), F.coalesce(contrast_type, F.lit("")))
 
 
-def resume_pairs(pairs: DataFrame, done: DataFrame, full_key: bool = False) -> DataFrame:
-    """Pairs not yet verified. The key is the problem's first 80 characters and the type, so one result stands for all pairs of that key; full_key takes the whole problem."""
-    if full_key:
-        return pairs.join(done.select("problem", "contrast_type").distinct(), ["problem", "contrast_type"], "left_anti")
-    keys = done.select(lossy_key(F.col("problem"), F.col("contrast_type")).alias("_key")).distinct()
-    return pairs.withColumn("_key", lossy_key(F.col("problem"), F.col("contrast_type"))).join(keys, "_key", "left_anti").drop("_key")
+def resume_pairs(pairs: DataFrame, done: DataFrame, lossy: bool = False) -> DataFrame:
+    """Pairs not yet verified, by problem and type (equal if both null). lossy, for parity with older results, keys on the problem's first 80 characters and the type, so that one result stands for all pairs of that key."""
+    if lossy:
+        keys = done.select(lossy_key(F.col("problem"), F.col("contrast_type")).alias("_key")).distinct()
+        return pairs.join(keys, lossy_key(F.col("problem"), F.col("contrast_type")) == F.col("_key"), "left_anti")
+    keys = done.select(F.col("problem").alias("_problem"), F.col("contrast_type").alias("_type")).distinct()
+    return pairs.join(keys, F.col("problem").eqNullSafe(F.col("_problem")) & F.col("contrast_type").eqNullSafe(F.col("_type")), "left_anti")
 
 
 def with_ground_truth(paths: DataFrame, truths: DataFrame) -> DataFrame:
@@ -59,8 +61,7 @@ def phase1_stats(trajectories: DataFrame, pairs: DataFrame) -> DataFrame:
     """One row: processed problems, those without a correct trajectory, gold trajectories, pairs."""
     from .trajectories import GOLD, stratify
 
-    rows = stratify(trajectories)
-    per = rows.groupBy("problem_id").agg(F.count_if(F.col("stratum") == GOLD).alias("gold"))
+    per = stratify(trajectories).groupBy("problem_id").agg(F.count_if(F.col("stratum") == GOLD).alias("gold"))
     left = per.agg(F.count(F.lit(1)).alias("processed"), F.count_if(F.col("gold") == 0).alias("no_correct"), F.sum("gold").alias("correct_found"))
     right = pairs.agg(F.count(F.lit(1)).alias("pairs_saved"))
     # two single-row tables
@@ -72,16 +73,31 @@ def first_rows(rows: DataFrame, order: list[Column], limit: int | None) -> DataF
     return rows.orderBy(*order).limit(limit) if limit else rows
 
 
-def shard(rows: DataFrame, order: list[Column], n_shards: int) -> DataFrame:
-    """rows with shard: contiguous pieces of ceil(n / n_shards) rows; the last ones may be empty.
+def numbered(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """rows with ord (from 0) in order; rows that order leaves equal are numbered in some fixed way.
 
-    Row numbers come from counts per range partition, so no task holds all rows.
+    The rows are range-partitioned and sorted once, into a cut. Numbers of partitions and within them, and the counts that
+    lead from these to ord, all come from that one placement (a second plan of it would draw other range bounds). No task
+    holds all rows.
     """
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_all", F.sum("_rows").over(Window.partitionBy()))
-    numbered = placed.join(before.drop("_rows"), "_part").withColumn("ord", F.col("_before") + F.col("_in"))
-    return numbered.withColumn("shard", F.floor(F.col("ord") / F.ceil(F.col("_all") / n_shards)).cast("int")).drop("_part", "_in", "_before", "_all")
+    placed = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
+    before = counts.select("_part", F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return placed.join(F.broadcast(before), part == F.col("_part")).withColumn("ord", F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_at", "_before")
+
+
+def shard(rows: DataFrame, order: list[Column], n_shards: int) -> DataFrame:
+    """rows with ord and shard: contiguous pieces of ceil(n / n_shards) rows; the last ones may be empty."""
+    found = numbered(rows, order)
+    size = -(-found.count() // n_shards) or 1
+    return found.withColumn("shard", F.floor(F.col("ord") / size).cast("int"))
+
+
+def progress(stats: DataFrame, total: Column, done: Column, seconds: Column) -> DataFrame:
+    """stats with seconds_each, per_hour and eta_hours of the rest; null rates before any time or row is counted."""
+    rate = F.try_divide(done * 3600.0, seconds)
+    return stats.withColumns({"seconds_each": F.try_divide(seconds * 1.0, done), "per_hour": rate, "eta_hours": F.try_divide((total - done) * 1.0, rate)})
 
 
 def accuracy(details: DataFrame, *by: str) -> DataFrame:

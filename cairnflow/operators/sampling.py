@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .trajectories import HARD, SOFT, anchors, stratify
+from .datasets import numbered
+from .trajectories import HARD, SOFT, stratify
 
 K, HARD_RATIO, SEED = 10, 0.7, 42
 
@@ -44,27 +45,24 @@ def with_draw_order(stratified: DataFrame, seed: int = SEED) -> DataFrame:
     return keyed.withColumn("draw", F.row_number().over(Window.partitionBy("problem_id", "stratum").orderBy("draw_key", "traj_ord"))).drop("draw_key")
 
 
-def sample_negatives(trajectories: DataFrame, k: int = K, hard_ratio: float = HARD_RATIO, seed: int = SEED) -> DataFrame:
-    """Drawn negatives with contrast_type and pair_ord (hard first). One shuffle by problem serves all windows."""
+def contrastive_pairs(trajectories: DataFrame, k: int = K, hard_ratio: float = HARD_RATIO, seed: int = SEED) -> DataFrame:
+    """problem_id, pair_ord (hard first), contrast_type, positive, negative (structs): each problem's anchor with its drawn negatives.
+
+    One scan and one shuffle by problem: strata, pool sizes and the anchor (shortest correct, of these the highest
+    max_q_value, of these the first) are windows over the same partitioning that the draws use.
+    """
+    columns = [c for c in trajectories.columns if c != "problem_id"]
     pools = Window.partitionBy("problem_id")
-    rows = stratify(trajectories)
-    rows = rows.withColumn("n_hard", F.count_if(F.col("stratum") == HARD).over(pools)).withColumn("n_soft", F.count_if(F.col("stratum") == SOFT).over(pools))
-    take_hard, take_soft = quotas(F.col("n_hard"), F.col("n_soft"), k, hard_ratio)
+    first = F.struct(F.col("length"), -F.col("max_q_value"), F.col("traj_ord"))
+    anchor = F.min_by(F.struct(*columns), F.when(F.col("is_correct"), first)).over(pools)
+    count = lambda stratum: F.count_if(F.col("stratum") == stratum).over(pools)
+    rows = stratify(trajectories).withColumns({"n_hard": count(HARD), "n_soft": count(SOFT), "positive": anchor})
     rows = with_draw_order(rows.where(F.col("min_correct_length").isNotNull() & F.col("stratum").isin(HARD, SOFT)), seed)
-    rows = rows.withColumn("take_hard", take_hard).withColumn("take_soft", take_soft)
+    take_hard, take_soft = quotas(F.col("n_hard"), F.col("n_soft"), k, hard_ratio)
     hard = F.col("stratum") == HARD
-    kept = rows.where(F.when(hard, F.col("draw") <= F.col("take_hard")).otherwise(F.col("draw") <= F.col("take_soft")))
-    return kept.withColumn("contrast_type", F.when(hard, "hard").otherwise("soft")).withColumn("pair_ord", F.when(hard, F.col("draw")).otherwise(F.col("take_hard") + F.col("draw"))).drop(
-        "draw", "take_hard", "take_soft", "n_hard", "n_soft", "min_correct_length", "stratum"
-    )
-
-
-def contrastive_pairs(trajectories: DataFrame, k: int = K, hard_ratio: float = HARD_RATIO, seed: int = SEED) -> DataFrame:
-    """problem_id, pair_ord, contrast_type, positive, negative (structs): each problem's anchor with its drawn negatives."""
-    columns = [c for c in trajectories.columns if c != "problem_id"]
-    positive = anchors(trajectories).select("problem_id", F.struct(*columns).alias("positive"))
-    negative = sample_negatives(trajectories, k, hard_ratio, seed).select("problem_id", "pair_ord", "contrast_type", F.struct(*columns).alias("negative"))
-    return negative.join(positive, "problem_id")
+    kept = rows.where(F.col("draw") <= F.when(hard, take_hard).otherwise(take_soft))
+    place = F.when(hard, F.col("draw")).otherwise(take_hard + F.col("draw"))
+    return kept.select("problem_id", place.alias("pair_ord"), F.when(hard, "hard").otherwise("soft").alias("contrast_type"), "positive", F.struct(*columns).alias("negative"))
 
 
 def pair_records(pairs: DataFrame, problems: DataFrame) -> DataFrame:
@@ -88,17 +86,23 @@ def rehydrate(records: DataFrame) -> DataFrame:
 def resample(pool: DataFrame, target: int, key: Column, seed: int = SEED) -> DataFrame:
     """Exactly target rows (none of an empty pool), with draw (from 1): without replacement if the pool suffices, else with.
 
-    key tells rows apart. Without replacement the smallest hashes win: a top-k, whose partial results are target rows a
-    task. With replacement draws pick row numbers in hash order; the pool is then smaller than target.
+    key tells rows apart. Without replacement the smallest hashes win: counts by the hash's first 16 bits give the bucket
+    in which the target ends, and only rows up to it are put in order. With replacement draws pick row numbers in hash
+    order. Rows are numbered over range partitions, so no task holds them all.
     """
-    n = pool.count()
-    hashed = pool.withColumn("_h", F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed))).cast("binary"))).withColumn("_k", key)
-    everything = Window.orderBy("_h", "_k")
-    if n >= target:
-        top = hashed.orderBy("_h", "_k").limit(target)
-        return top.withColumn("draw", F.row_number().over(everything)).drop("_h", "_k")
+    hashed = pool.withColumns({"_h": F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed))).cast("binary")), "_k": key})
+    bucket = F.conv(F.substring("_h", 1, 4), 16, 10).cast("int")
+    counts = [(r["bucket"], r["n"]) for r in hashed.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n")).orderBy("bucket").collect()]  # 65,536 rows at most
+    n, last = 0, 0
+    for b, rows in counts:
+        if n < target:
+            last = b
+        n += rows
     if n == 0:
         return pool.withColumn("draw", F.lit(0))
-    numbered = hashed.withColumn("_n", F.row_number().over(everything)).drop("_h", "_k")
-    draws = pool.sparkSession.range(1, target + 1).select(F.col("id").cast("int").alias("draw"), (F.pmod(hash32(F.col("id"), F.lit(seed)), F.lit(n)) + 1).alias("_n"))
-    return draws.join(numbered, "_n").drop("_n")
+    order = [F.col("_h"), F.col("_k")]
+    if n >= target:
+        placed = numbered(hashed.where(bucket <= last), order).where(F.col("ord") < target)
+        return placed.withColumn("draw", (F.col("ord") + 1).cast("int")).drop("_h", "_k", "ord")
+    draws = pool.sparkSession.range(1, target + 1).select(F.col("id").cast("int").alias("draw"), F.pmod(hash32(F.col("id"), F.lit(seed)), F.lit(n)).alias("ord"))
+    return draws.join(numbered(hashed, order).drop("_h", "_k"), "ord").drop("ord")

@@ -1,42 +1,66 @@
 """Search trees as node tables (schema.NODE): statistics, paths, selection.
 
-Trees are small and many: one shuffle by problem gathers each tree's nodes into a map, and ancestors, paths and descents
-are array expressions over it. Nothing recurses over shuffles.
+A tree's nodes are gathered into one array, sorted by id, in one shuffle by problem. Nodes refer to each other by their
+places in it, so a lookup costs the same however large the tree; paths of any depth are found by doubling (a node's known
+ancestors are extended by those of the last one), in as many rounds as the number of nodes has binary digits. Ids may
+have gaps: places are then searched. A parent that is not in the table is none; a chain of parents that doesn't end is an
+error. What needs a node's children groups by parent instead, without gathering trees.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 32
+_ALL = 1 << 30  # of a slice's length; more would overflow beside its start
 
 
-def with_trees(nodes: DataFrame, *fields: str, name: str = "tree") -> DataFrame:
-    """nodes with tree: a map from node_id to the fields of every node of its problem. One shuffle, by problem.
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, computed once: an expression named in a lambda would run for each of its elements."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-    The map is a result of the aggregation itself: a projection above the explode would be inlined into the lambdas that
-    read it, and built anew for each of their elements.
-    """
-    entries = F.map_from_entries(F.collect_list(F.struct(F.col("node_id"), F.struct(*fields))))
-    whole = nodes.groupBy("problem_id").agg(entries.alias(name), F.collect_list(F.struct(*nodes.columns)).alias("rows"))
-    return whole.select(name, F.explode("rows").alias("row")).select("row.*", name)
+
+def _place(ids: Column, node: Column) -> Column:
+    """Place of a node in the sorted ids, 0 for none."""
+    first, last = F.element_at(ids, 1), F.element_at(ids, -1)
+    dense = last - first + 1 == F.size(ids)
+    inside = F.when((node >= first) & (node <= last), node - first + 1).otherwise(0)
+    return F.coalesce(F.when(node.isNull(), 0).when(dense, inside).otherwise(F.array_position(ids, node)).cast("int"), F.lit(0))
+
+
+def _gather(nodes: DataFrame) -> DataFrame:
+    """A row per tree: problem_id, tree (node_id, row), ids, all in order of node_id."""
+    pairs = F.array_sort(F.collect_list(F.struct("node_id", F.struct(*nodes.columns).alias("row"))))
+    return nodes.groupBy("problem_id").agg(pairs.alias("tree")).withColumn("ids", F.transform("tree", lambda x: x["node_id"]))
 
 
-def path(tree: Column, node: Column, max_depth: int = MAX_DEPTH) -> Column:
-    """Ids from the root to node."""
-    up = F.aggregate(
-        F.sequence(F.lit(1), F.lit(max_depth)),
-        F.struct(F.array(node).alias("ids"), tree[node]["parent_id"].alias("next")),
-        lambda s, _: F.when(s["next"].isNull(), s).otherwise(F.struct(F.concat(F.array(s["next"]), s["ids"]).alias("ids"), tree[s["next"]]["parent_id"].alias("next"))),
-    )
-    return up["ids"]
+def _upward(ids: Column, parents: Column) -> Column:
+    """Places from each node up to its root, the node's own first; parents: ids."""
 
+    def paths(up: Column) -> Column:
+        known = F.transform(up, lambda p, i: F.when(p == 0, F.array(i + 1)).otherwise(F.array(i + 1, p)))
+        rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(up))).cast("int"))
+        last = lambda a: F.element_at(a, -1)
+        longer = lambda every, a: F.when(F.element_at(up, last(a)) == 0, a).otherwise(F.concat(a, F.slice(F.element_at(every, last(a)), 2, _ALL)))
+        found = F.aggregate(rounds, known, lambda every, _: F.transform(every, lambda a: longer(every, a)))
+        ended = lambda a: F.when(F.size(a) > F.size(up), F.raise_error(F.lit("a chain of parents doesn't end")).cast("array<int>")).otherwise(a)
+        return F.transform(found, ended)
 
-def with_paths(nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """nodes with path (root to node) and depth."""
-    found = with_trees(nodes.drop("path", "depth"), "parent_id").withColumn("path", path(F.col("tree"), F.col("node_id"), max_depth)).drop("tree")
-    return found.withColumn("depth", F.size("path") - 1)
+    return _let(ids, lambda known: _let(F.transform(parents, lambda p: _place(known, p)), paths))
+
+
+def _with_upward(nodes: DataFrame) -> DataFrame:
+    """_gather(nodes) with up: for each node the places of itself and its ancestors."""
+    return _gather(nodes).withColumn("up", _upward(F.col("ids"), F.transform("tree", lambda x: x["row"]["parent_id"])))
+
+
+def with_paths(nodes: DataFrame) -> DataFrame:
+    """nodes with path (ids from the root to the node) and depth."""
+    nodes = nodes.drop("path", "depth")
+    each = F.transform("up", lambda a, i: F.struct(F.element_at("tree", i + 1)["row"].alias("row"), F.transform(F.reverse(a), lambda p: F.element_at("ids", p)).alias("path")))
+    return _with_upward(nodes).select(F.explode(each).alias("n")).select("n.row.*", "n.path", (F.size("n.path") - 1).alias("depth"))
 
 
 def ancestors(nodes: DataFrame) -> DataFrame:
@@ -47,18 +71,20 @@ def ancestors(nodes: DataFrame) -> DataFrame:
 def backpropagate(nodes: DataFrame, rollouts: DataFrame) -> DataFrame:
     """nodes (with path) with visit_count and total_value: each rollout (problem_id, node_id, reward) counts at its node and all its ancestors.
 
-    Everything is keyed by problem alone, so nodes and rollouts are each shuffled once.
+    Everything is keyed by problem, so nodes and rollouts are each shuffled once.
     """
     nodes = nodes.drop("visit_count", "total_value")
-    whole = nodes.groupBy("problem_id").agg(F.map_from_entries(F.collect_list(F.struct("node_id", "path"))).alias("paths"), F.collect_list(F.struct(*nodes.columns)).alias("rows"))
     ends = rollouts.groupBy("problem_id").agg(F.collect_list(F.struct("node_id", "reward")).alias("ends"))
-    each = whole.drop("rows").join(ends, "problem_id").select("problem_id", "paths", F.explode("ends").alias("end"))
-    up = each.select("problem_id", F.explode(F.col("paths")[F.col("end.node_id")]).alias("node_id"), "end.reward")
-    sums = up.groupBy("problem_id", "node_id").agg(F.count(F.lit(1)).alias("n"), F.sum("reward").alias("w"))
-    stats = sums.groupBy("problem_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("node_id"), F.struct("n", "w")))).alias("stats"))
-    found = whole.drop("paths").join(stats, "problem_id", "left").select(F.explode("rows").alias("row"), "stats")
-    own = F.col("stats")[F.col("row.node_id")]
-    return found.select("row.*", F.coalesce(own["n"], F.lit(0)).alias("visit_count"), F.coalesce(own["w"], F.lit(0.0)).alias("total_value"))
+    whole = _gather(nodes).join(ends, "problem_id", "left")
+    none = F.lit(None).cast(nodes.select(F.struct(*nodes.columns).alias("row")).schema["row"].dataType)
+    entry = lambda node, n, w, row: F.struct(node.alias("node"), F.lit(n).cast("long").alias("n"), w.cast("double").alias("w"), row.alias("row"))
+    own = F.transform("tree", lambda x: entry(x["node_id"], 0, F.lit(0.0), x["row"]))
+    at = lambda e: _place(F.col("ids"), e["node_id"])
+    known = F.filter(F.coalesce("ends", F.array().cast(ends.schema["ends"].dataType)), lambda e: at(e) > 0)
+    met = F.flatten(F.transform(known, lambda e: F.transform(F.element_at("tree", at(e))["row"]["path"], lambda node: entry(node, 1, e["reward"], none))))
+    each = whole.select("problem_id", F.explode(F.concat(own, met)).alias("x")).select("problem_id", "x.*")
+    sums = each.groupBy("problem_id", "node").agg(F.first("row", ignorenulls=True).alias("row"), F.sum("n").alias("visit_count"), F.sum("w").alias("total_value"))
+    return sums.select("row.*", "visit_count", "total_value")
 
 
 def q_value(visits: Column, value: Column) -> Column:
@@ -71,38 +97,61 @@ def uct(visits: Column, value: Column, parent_visits: Column, c: float = 1.4) ->
     return F.when(visits == 0, F.lit(float("inf"))).otherwise(value / visits + explore)
 
 
+def with_children(nodes: DataFrame, *fields: str) -> DataFrame:
+    """nodes with children: the fields of each child, in order of child_ord and node_id.
+
+    Each node goes to its own group and to its parent's: one exchange, or none where nodes are dealt by problem already.
+    """
+    row, child = F.struct(*nodes.columns), F.struct("child_ord", "node_id", F.struct(*fields).alias("fields"))
+    none_row, none_child = (F.lit(None).cast(nodes.select(x.alias("x")).schema["x"].dataType) for x in (row, child))
+    own = F.struct(F.col("node_id").alias("k"), row.alias("row"), none_child.alias("child"))
+    to_parent = F.struct(F.col("parent_id").alias("k"), none_row.alias("row"), child.alias("child"))
+    both = F.when(F.col("parent_id").isNull(), F.array(own)).otherwise(F.array(own, to_parent))
+    each = nodes.select("problem_id", F.explode(both).alias("x")).select("problem_id", "x.*")
+    grouped = each.groupBy("problem_id", "k").agg(F.first("row", ignorenulls=True).alias("row"), F.array_sort(F.collect_list("child")).alias("children"))
+    return grouped.where("row is not null").select("row.*", F.transform("children", lambda x: x["fields"]).alias("children"))
+
+
+def _scored(nodes: DataFrame, c: float, *more: str) -> DataFrame:
+    """nodes with children (uct, first, node_id, more): the largest struct is the best child, the first of equals."""
+    found = with_children(nodes, *dict.fromkeys(("node_id", "child_ord", "visit_count", "total_value", *more)))
+    score = lambda x: uct(x["visit_count"], x["total_value"], F.col("visit_count"), c)
+    return found.withColumn("children", F.transform("children", lambda x: F.struct(score(x).alias("uct"), (-x["child_ord"]).alias("first"), x["node_id"].alias("node_id"), *[x[m].alias(m) for m in more if m != "node_id"])))
+
+
 def with_uct(nodes: DataFrame, c: float = 1.4) -> DataFrame:
     """nodes (no root has a score) with uct."""
-    parent = F.col("tree")[F.col("parent_id")]["visit_count"]
-    score = F.when(F.col("parent_id").isNotNull(), uct(F.col("visit_count"), F.col("total_value"), parent, c))
-    return with_trees(nodes, "visit_count").withColumn("uct", score).drop("tree")
+    found = with_children(nodes, *nodes.columns)
+    score = lambda x: uct(x["visit_count"], x["total_value"], F.col("visit_count"), c)
+    scored = F.transform("children", lambda x: F.struct(x.alias("row"), score(x).alias("uct")))
+    root = F.struct(F.struct(*nodes.columns).alias("row"), F.lit(None).cast("double").alias("uct"))
+    return found.select(F.explode(F.when(F.col("parent_id").isNull(), F.concat(F.array(root), scored)).otherwise(scored)).alias("x")).select("x.row.*", "x.uct")
 
 
 def best_children(nodes: DataFrame, c: float = 1.4) -> DataFrame:
     """problem_id, node_id, best_child_id, uct: of each parent the child of highest score, the first of equals. No sort, no window."""
-    scored = with_uct(nodes, c).where("parent_id is not null")
-    top = F.max(F.struct("uct", (-F.col("child_ord")).alias("first"), F.col("node_id").alias("child"))).alias("top")
-    return scored.groupBy("problem_id", F.col("parent_id").alias("node_id")).agg(top).select("problem_id", "node_id", F.col("top.child").alias("best_child_id"), F.col("top.uct").alias("uct"))
+    top = _scored(nodes, c).select("problem_id", "node_id", F.array_max("children").alias("top"))
+    return top.where("top is not null").select("problem_id", "node_id", F.col("top.node_id").alias("best_child_id"), F.col("top.uct").alias("uct"))
 
 
-def descend(nodes: DataFrame, c: float = 1.4, max_depth: int = MAX_DEPTH) -> DataFrame:
+def descend(nodes: DataFrame, c: float = 1.4) -> DataFrame:
     """problem_id, leaf_id, steps: where selection ends from the root, going to best children until a terminal node or one without children."""
-    pairs = F.collect_list(F.struct("node_id", "best_child_id"))
-    best = best_children(nodes, c).groupBy("problem_id").agg(F.map_from_entries(pairs).alias("best"))
-    whole = nodes.groupBy("problem_id").agg(F.collect_list(F.when(F.col("is_terminal"), F.col("node_id"))).alias("ends"), F.min(F.when(F.col("parent_id").isNull(), F.col("node_id"))).alias("root"))
-    after = lambda at: F.when(~F.array_contains("ends", at), F.col("best")[at])
-    end = F.aggregate(
-        F.sequence(F.lit(1), F.lit(max_depth)),
-        F.struct(F.col("root").alias("at"), F.lit(0).alias("steps")),
-        lambda s, _: F.when(after(s["at"]).isNull(), s).otherwise(F.struct(after(s["at"]).alias("at"), (s["steps"] + 1).alias("steps"))),
-    )
-    return whole.join(best, "problem_id", "left").select("problem_id", end.alias("end")).select("problem_id", F.col("end.at").alias("leaf_id"), "end.steps")
+    after = F.when(~F.col("is_terminal"), F.array_max("children")["node_id"])
+    slim = _scored(nodes, c).select("problem_id", "node_id", "parent_id", after.alias("after"))
+    whole = slim.groupBy("problem_id").agg(F.array_sort(F.collect_list(F.struct("node_id", "after"))).alias("tree"), F.min(F.when(F.col("parent_id").isNull(), F.col("node_id"))).alias("root"))
+
+    def walk(ids: Column) -> Column:
+        step = lambda s: F.struct(_place(ids, F.element_at("tree", s["at"])["after"]).alias("at"), (s["steps"] + 1).alias("steps"))
+        on = lambda s: (s["at"] > 0) & F.element_at("tree", s["at"])["after"].isNotNull()
+        return F.aggregate(ids, F.struct(_place(ids, F.col("root")).alias("at"), F.lit(0).alias("steps")), lambda s, _: F.when(on(s), step(s)).otherwise(s))
+
+    end = whole.select("problem_id", "tree", _let(F.transform("tree", lambda x: x["node_id"]), walk).alias("end")).where("end.at > 0")
+    return end.select("problem_id", F.element_at("tree", F.col("end.at"))["node_id"].alias("leaf_id"), "end.steps")
 
 
 def with_child_counts(nodes: DataFrame) -> DataFrame:
-    whole = nodes.groupBy("problem_id").agg(F.collect_list("parent_id").alias("parents"), F.collect_list(F.struct(*nodes.columns)).alias("rows"))
-    each = whole.select("parents", F.explode("rows").alias("row"))
-    return each.select("row.*", F.size(F.filter("parents", lambda p: p == F.col("row.node_id"))).alias("n_children"))
+    """nodes with n_children."""
+    return with_children(nodes, "node_id").withColumn("n_children", F.size("children")).drop("children")
 
 
 def is_fully_expanded() -> Column:
@@ -117,30 +166,39 @@ def needs_simulation() -> Column:
     return ~(F.col("is_terminal") & F.col("reward").isNotNull())
 
 
-def terminal_paths(nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def terminal_paths(nodes: DataFrame) -> DataFrame:
     """A row per terminal node without a terminal ancestor, in preorder: problem_id, node_id, traj_ord, steps (actions), visit_count, reward, length, max_q_value."""
-    gathered = with_trees(nodes, "parent_id", "action", "visit_count", "total_value", "is_terminal", "child_ord").where("is_terminal")
-    tree = F.col("tree")
-    found = gathered.withColumn("path", path(tree, F.col("node_id"), max_depth))
-    found = found.where(~F.exists(F.slice("path", 1, F.size("path") - 1), lambda n: tree[n]["is_terminal"]))
-    place = F.transform("path", lambda n: F.coalesce(tree[n]["child_ord"], F.lit(-1)))
-    qs = F.transform(F.filter("path", lambda n: tree[n]["visit_count"] > 0), lambda n: tree[n]["total_value"] / tree[n]["visit_count"])
-    steps = F.transform(F.slice("path", 2, F.greatest(F.size("path") - 1, F.lit(0))), lambda n: tree[n]["action"])
-    found = found.select("problem_id", "node_id", place.alias("place"), steps.alias("steps"), "visit_count", F.coalesce("reward", F.lit(0.0)).alias("reward"), F.size(steps).alias("length"), F.coalesce(F.array_max(qs), F.lit(0.0)).alias("max_q_value"))
-    order = F.row_number().over(Window.partitionBy("problem_id").orderBy("place"))
-    return found.withColumn("traj_ord", order).drop("place")
+    slim = nodes.select("problem_id", "node_id", "parent_id", "child_ord", "action", "visit_count", "total_value", "reward", "is_terminal")
+    at = lambda p: F.element_at("tree", p)["row"]
+    ends = F.filter("up", lambda a: at(F.element_at(a, 1))["is_terminal"] & ~F.exists(F.slice(a, 2, _ALL), lambda p: at(p)["is_terminal"]))
+
+    def shown(a: Column) -> Column:
+        own, down = at(F.element_at(a, 1)), F.reverse(a)
+        qs = F.transform(F.filter(a, lambda p: at(p)["visit_count"] > 0), lambda p: at(p)["total_value"] / at(p)["visit_count"])
+        steps = F.transform(F.slice(down, 2, _ALL), lambda p: at(p)["action"])
+        return F.struct(
+            F.transform(down, lambda p: F.coalesce(at(p)["child_ord"], F.lit(-1))).alias("place"), own["node_id"].alias("node_id"), steps.alias("steps"), own["visit_count"].alias("visit_count"),
+            F.coalesce(own["reward"], F.lit(0.0)).alias("reward"), (F.size(a) - 1).alias("length"), F.coalesce(F.array_max(qs), F.lit(0.0)).alias("max_q_value"),
+        )
+
+    found = _with_upward(slim).select("problem_id", F.posexplode(F.array_sort(F.transform(ends, shown))).alias("i", "x"))
+    return found.select("problem_id", "x.node_id", "x.steps", "x.visit_count", "x.reward", "x.length", "x.max_q_value", (F.col("i") + 1).alias("traj_ord"))
 
 
 def prefix_visits(nodes: DataFrame, lookups: DataFrame) -> DataFrame:
     """lookups (problem_id, steps) with visits: of the deepest node that following steps reaches, at each node to the first child of that action."""
-    first = nodes.where("parent_id is not null").groupBy("problem_id", "parent_id", "action").agg(F.min(F.struct("child_ord", "node_id")).alias("c"))
-    edges = first.groupBy("problem_id").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("parent_id", "action"), F.col("c.node_id")))).alias("edges"))
-    visits = nodes.groupBy("problem_id").agg(F.map_from_entries(F.collect_list(F.struct("node_id", "visit_count"))).alias("visits_of"), F.min(F.when(F.col("parent_id").isNull(), F.col("node_id"))).alias("root"))
-    joined = lookups.join(visits, "problem_id").join(edges, "problem_id", "left")
-    key = lambda at, step: F.struct(at.alias("parent_id"), step.alias("action"))
-    walk = F.aggregate(
-        "steps",
-        F.struct(F.col("root").alias("at"), F.lit(True).alias("on")),
-        lambda s, step: F.when(s["on"] & F.col("edges")[key(s["at"], step)].isNotNull(), F.struct(F.col("edges")[key(s["at"], step)].alias("at"), F.lit(True).alias("on"))).otherwise(F.struct(s["at"].alias("at"), F.lit(False).alias("on"))),
-    )
-    return joined.withColumn("visits", F.col("visits_of")[walk["at"]]).drop("visits_of", "edges", "root")
+    slim = with_children(nodes.select("problem_id", "node_id", "parent_id", "child_ord", "action", "visit_count"), "action", "node_id")
+    rows = F.array_sort(F.collect_list(F.struct("node_id", "visit_count", "children")))
+    whole = slim.groupBy("problem_id").agg(rows.alias("tree"), F.min(F.when(F.col("parent_id").isNull(), F.col("node_id"))).alias("root"))
+    whole = whole.withColumn("ids", F.transform("tree", lambda x: x["node_id"]))
+    joined = lookups.join(whole, "problem_id")
+
+    def after(at: Column, step: Column) -> Column:
+        """Place of the first child by that action, 0 for none."""
+        hits = F.filter(F.element_at("tree", at)["children"], lambda x: x["action"] == step)
+        return _place(F.col("ids"), F.get(hits, F.lit(0))["node_id"])
+
+    go = lambda s, step: _let(after(s["at"], step), lambda p: F.struct(F.when(p > 0, p).otherwise(s["at"]).alias("at"), (p > 0).alias("on")))
+    start = F.struct(_place(F.col("ids"), F.col("root")).alias("at"), F.lit(True).alias("on"))
+    walk = F.aggregate("steps", start, lambda s, step: F.when(s["on"], go(s, step)).otherwise(s))
+    return joined.withColumn("visits", F.element_at("tree", walk["at"])["visit_count"]).drop("tree", "root", "ids")

@@ -6,6 +6,7 @@ reasoning text, conversations for chats, labels for ground truths. Text that no
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,10 +14,12 @@ from pyspark.sql import functions as F
 
 from ..functions import answers, prompts, segment, text
 from ..functions.critique import field_fallback, parse_critique
+from ..lineage import cut, remove, shared_dir
 from ..operators import datasets, sampling, trajectories, trees
-from ..sources import readers
-from ..sources.writers import eval_summary
-from .phases import evaluate, phase1, phase2
+from ..schema import SEED, SFT
+from ..sources import readers, writers
+from ..streaming.resume import verified_stream
+from .phases import evaluate, phase1, phase2, phase2_until
 from .provider import Stub, generate, replay
 from .search import Settings, search_trees
 
@@ -312,17 +315,46 @@ def documents(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-@query(r"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as i from documents where not contains(text, '$')),
-k as (select doc_id, i, regexp_replace(regexp_replace(line, '^\s+', ''), '\s+$', '') as step from l where regexp_matches(line, '\S'))
-select doc_id, row_number() over (partition by doc_id order by i)::int as step_no, step from k""")
+# White space of Unicode, which RE2's \s leaves out.
+BLANK = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def strip_sql(c: str) -> str:
+    return rf"regexp_replace(regexp_replace({c}, '^{BLANK}+', ''), '{BLANK}+$', '')"
+
+
+@query(rf"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as i from documents),
+k as (select doc_id, i, {strip_sql("line")} as step from l)
+select doc_id, row_number() over (partition by doc_id order by i)::int as step_no, step from k where step <> ''""")
 def segment_newline(spark, sf_dir):
-    rows = documents(spark, sf_dir).where(~F.contains("text", F.lit("$")))
-    return rows.select("doc_id", F.posexplode(text.lines(F.col("text"))).alias("i", "step")).select("doc_id", (F.col("i") + 1).alias("step_no"), "step")
+    rows = documents(spark, sf_dir).select("doc_id", F.posexplode(text.lines(F.col("text"))).alias("i", "step"))
+    return rows.select("doc_id", (F.col("i") + 1).alias("step_no"), "step")
 
 
-@query()
+def segmented(limit: int) -> str:
+    """Steps of at most limit words of texts without connectors and enumerations, as the tables hold: white space in formulas is hidden, then lines, then pieces of long lines. A formula is what stands between two dollar signs of which the first closes no other."""
+    return rf"""p as (select doc_id, unnest(string_split(text, '$')) as x, unnest(range(len(string_split(text, '$')))) as i, len(string_split(text, '$')) as n from documents where text is not null),
+q as (select *, x <> '' and i > 0 and i < n - 1 as inner_ from p), r as (select *, i - row_number() over (partition by doc_id, inner_ order by i) as run from q),
+f as (select *, inner_ and row_number() over (partition by doc_id, inner_, run order by i) % 2 = 1 as formula from r),
+h as (select doc_id, string_agg(case when formula then translate(x, chr(10) || chr(9) || ' ', chr(57344) || chr(57345) || chr(57346)) else x end, '$' order by i) as t from f group by doc_id),
+l as (select doc_id, unnest(string_split(t, chr(10))) as line, unnest(range(len(string_split(t, chr(10))))) as i from h),
+w as (select doc_id, i, {strip_sql("line")} as line, list_filter(regexp_split_to_array(line, '{BLANK}+'), lambda w: w <> '') as w from l),
+c as (select doc_id, i, unnest(case when len(w) <= {limit} then [line] else list_transform(range(0, len(w), {limit}), lambda k: array_to_string(w[k + 1 : k + {limit}], ' ')) end) as step,
+  unnest(case when len(w) <= {limit} then [0] else range(0, len(w), {limit}) end) as j from w where line <> ''),
+s as (select doc_id, row_number() over (partition by doc_id order by i, j) as no, translate(step, chr(57344) || chr(57345) || chr(57346), chr(10) || chr(9) || ' ') as step from c)"""
+
+
+@query(f"""with {segmented(64)}, g as (select doc_id, count(*)::int as n_steps, string_agg(step, chr(10) order by no) as steps from s group by doc_id)
+select doc_id, case when text is not null then coalesce(n_steps, 0) else -1 end::int as n_steps, case when text is not null then coalesce(steps, '') end as steps from documents left join g using (doc_id)""")
 def segment_steps(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", segment.segment(F.col("text"), 64).alias("steps")).select("doc_id", F.size("steps").alias("n_steps"), F.array_join("steps", "\n").alias("steps"))
+    steps = segment.segment(F.col("text"), 64)
+    return documents(spark, sf_dir).select("doc_id", steps.alias("steps")).select("doc_id", F.coalesce(F.size("steps"), F.lit(-1)).alias("n_steps"), F.array_join("steps", "\n").alias("steps"))
+
+
+@query(r"""select doc_id, regexp_replace(regexp_replace(regexp_replace(text, '(?s)\\\[.*?\\\]', '#', 'g'), '(?s)\\\(.*?\\\)', '#', 'g'), '\$[^$]+\$', '#', 'g') as masked, text as shown from documents""")
+def math_mask(spark, sf_dir):
+    rows = documents(spark, sf_dir).withColumn("m", segment.masked(F.col("text")))
+    return rows.select("doc_id", F.regexp_replace("m.masked", "\u0000MATH\\d+\u0000", "#").alias("masked"), "m.shown")
 
 
 WORDS = r"list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')"
@@ -351,30 +383,29 @@ def format_steps(spark, sf_dir):
     return rows.select("doc_id", shown.alias("formatted"), text.numbered_solution(F.col("s")).alias("numbered"), text.rollout_text(shown, F.when(F.col("lang") == "en", "done")).alias("rollout"))
 
 
-@query(r"""with d as (select doc_id, regexp_replace(substr(text, 1, 60), '\s', ' ', 'g') as a, source from documents),
-m as (select doc_id, list_filter([trim(a), trim(source)], lambda x: x <> '') as s from d)
-select doc_id, array_to_string(s || ['end' || chr(10) || 'Final Answer: x'], '|') as steps from m""")
+@query(rf"""with d as (select doc_id, {strip_sql("text")} as a, {strip_sql("source")} as b from documents)
+select doc_id, array_to_string(list_filter([a, b], lambda x: x <> '') || ['end' || chr(10) || 'Final Answer: x'], '|') as steps from d""")
 def parse_steps(spark, sf_dir):
-    a = F.regexp_replace(F.substring("text", 1, 60), r"\s", " ")
-    built = F.concat(F.lit("intro\nStep 1: "), a, F.lit("\n**Step 2:** "), F.col("source"), F.lit("\n  step 3. end\nFinal Answer: x"))
+    built = F.concat(F.lit("intro\nStep 1: "), F.coalesce("text", F.lit("")), F.lit("\n**Step 2:** "), F.coalesce("source", F.lit("")), F.lit("\n  step 3. end\nFinal Answer: x"))
     return documents(spark, sf_dir).select("doc_id", F.array_join(text.parse_steps(built), "|").alias("steps"))
 
 
-@query(r"""with d as (select doc_id, source, lang from documents)
-select doc_id, 'We know ' || source || '. |So, it is ' || lang || '. |Thus, done' as connectors, 'First, a|2. ' || source || chr(10) || 'x' as enumerations from d""".replace("'First, a|2. '", "'First, a. |2. '"))
+@query(r"""with d as (select doc_id, text, source, lang from documents)
+select doc_id, text || '. |So, it is ' || lang || '. |Thus, ' || text as connectors, 'First, a. |2. ' || source || chr(10) || text as enumerations from d""")
 def split_openings(spark, sf_dir):
     rows = documents(spark, sf_dir)
-    a = F.concat(F.lit("We know "), F.col("source"), F.lit(". So, it is "), F.col("lang"), F.lit(". Thus, done"))
-    b = F.concat(F.lit("First, a. 2. "), F.col("source"), F.lit("\nx"))
+    a = F.concat("text", F.lit(". So, it is "), "lang", F.lit(". Thus, "), "text")
+    b = F.concat(F.lit("First, a. 2. "), "source", F.lit("\n"), "text")
     return rows.select("doc_id", F.array_join(text.split_before(a, text.CONNECTORS), "|").alias("connectors"), F.array_join(text.split_before(b, text.ENUMERATIONS), "|").alias("enumerations"))
 
 
-@query(r"""with g as (select source, list(regexp_replace(regexp_replace(split_part(text, ' ', 1), '^\s+', ''), '\s+$', '') order by doc_id) as c from documents group by source),
-u as (select source, unnest(c) as x, unnest(range(len(c))) as i from g), f as (select source, x, min(i) as i from u where x <> '' group by 1, 2)
-select source, string_agg(x, ' ' order by i) as candidates from f group by source""")
+@query(rf"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as i from documents),
+u as (select doc_id, i, {strip_sql("line")} as x from l), f as (select doc_id, x, min(i) as i from u where x <> '' group by 1, 2)
+select doc_id, string_agg(x, chr(10) order by i) as candidates from f group by doc_id""")
 def dedupe_candidates(spark, sf_dir):
-    each = documents(spark, sf_dir).groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", F.substring_index("text", " ", 1).alias("c")))), lambda s: s["c"]).alias("c"))
-    return each.select("source", F.array_join(text.ordered_distinct(F.col("c")), " ").alias("candidates"))
+    """All lines of a document are its candidates."""
+    rows = documents(spark, sf_dir).select("doc_id", text.ordered_distinct(F.split("text", "\n")).alias("c")).where(F.size("c") > 0)
+    return rows.select("doc_id", F.array_join("c", "\n").alias("candidates"))
 
 
 # --- answers ----------------------------------------------------------------------------------------------------------
@@ -458,22 +489,30 @@ def verify_exact(spark, sf_dir):
     return rows.select("doc_id", exact.alias("exact"))
 
 
-@query("select doc_id, true as half, doc_id % 3 = 0 as third, doc_id = 0 as other from documents")
+# Numbers whose quotients are compared as expressions: a / b against c / d.
+QUOTIENTS = "n as (select p_partkey as id, p_partkey % 60 as a, p_size as b, (p_partkey * 7) % 12 as c, p_partkey % 5 + 1 as d from part)"
+
+
+def quotients(spark, sf_dir) -> DataFrame:
+    key = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(key.alias("id"), *[x.cast("string").alias(n) for n, x in (("a", key % 60), ("b", F.col("p_size")), ("c", key * 7 % 12), ("d", key % 5 + 1))])
+
+
+@query(f"with {QUOTIENTS} select id, a * d = b * c as quotient, c = a as linear, a = b as power from n")
 def verify_symbolic(spark, sf_dir):
-    n = F.col("doc_id").cast("string")
-    frac = F.concat(F.lit("\\frac{"), n, F.lit("}{3}"))
-    return documents(spark, sf_dir).select(
-        "doc_id",
-        answers.verify(F.concat(F.lit("\\dfrac{"), n, F.lit("}{2}")), (F.col("doc_id") / 2).cast("string")).alias("half"),
-        answers.verify(frac, F.floor(F.col("doc_id") / 3).cast("string")).alias("third"),
-        answers.verify(F.concat(n, F.lit("x")), F.lit("0")).alias("other"),
+    a, b, c, d = map(F.col, "abcd")
+    join = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    return quotients(spark, sf_dir).select(
+        "id",
+        answers.verify(join("$\\dfrac{", a, "}{", b, "}$"), join(c, "/", d)).alias("quotient"),
+        answers.verify(join("(x+", a, ")(x-1)"), join("x^2+", a, "x-x-", c)).alias("linear"),
+        answers.verify(join("x^", a, "x^3"), join("x^(", b, "+3)")).alias("power"),
     )
 
 
-@query(rf"with {BUILT}, x as (select doc_id, {BOX_SQL} as box, regexp_extract_all(t, '-?\d+(?:\.\d+)?') as num from b) select doc_id, case when coalesce(case when len(box) > 0 then trim(box[-1]) when len(num) > 0 then num[-1] end = doc_id::varchar, false) or (doc_id % 8 = 4 and doc_id = 9) then 1.0 else 0.0 end::double as reward from x where doc_id % 8 <> 0")
+@query(rf"with {BUILT}, x as (select doc_id, {BOX_SQL} as box, regexp_extract_all(t, '-?\d+(?:\.\d+)?') as num from b) select doc_id, case when coalesce(case when len(box) > 0 then trim(box[-1]) when len(num) > 0 then num[-1] end = doc_id::varchar, false) or doc_id = 0 then 1.0 else 0.0 end::double as reward from x")
 def binary_reward(spark, sf_dir):
-    rows = built_texts(spark, sf_dir).where("doc_id % 8 <> 0")
-    return rows.select("doc_id", answers.binary_reward(F.col("t"), F.col("doc_id").cast("string")).alias("reward"))
+    return built_texts(spark, sf_dir).select("doc_id", answers.binary_reward(F.col("t"), F.col("doc_id").cast("string")).alias("reward"))
 
 
 @query("select doc_id, doc_id::varchar as gsm, case when doc_id % 2 = 0 then doc_id::varchar else 'plain ' || doc_id end as math from documents")
@@ -495,10 +534,10 @@ def eval_accuracy(spark, sf_dir):
     return datasets.accuracy(details, "bench")
 
 
-@query("""with d as (select doc_id, row_number() over (order by doc_id) - 1 as ord, (select count(*) from documents) as n from documents)
-select doc_id, ord::bigint as ord, floor(ord / ceil(n / 7.0))::int as shard from d""")
+@query("""with d as (select doc_id, text, row_number() over (order by doc_id) - 1 as ord, (select count(*) from documents) as n from documents)
+select doc_id, ord::bigint as ord, floor(ord / ceil(n / 7.0))::int as shard, text from d""")
 def eval_shards(spark, sf_dir):
-    return datasets.shard(documents(spark, sf_dir).select("doc_id"), [F.col("doc_id")], 7).select("doc_id", "ord", "shard")
+    return datasets.shard(documents(spark, sf_dir).select("doc_id", "text"), [F.col("doc_id")], 7).select("doc_id", "ord", "shard", "text")
 
 
 @query("select doc_id, source from documents order by doc_id limit 100")
@@ -510,7 +549,7 @@ def max_samples(spark, sf_dir):
 select model, false as few_shot, bench, count(*) filter (correct) * 100.0::double / count(*) as accuracy, count(*) filter (correct) as correct, count(*) as total from d group by model, bench""")
 def eval_summary_rows(spark, sf_dir):
     rows = documents(spark, sf_dir).select(F.when(F.col("doc_id") % 2 == 0, "m0").otherwise("m1").alias("model"), F.lit(False).alias("few_shot"), F.col("lang").alias("bench"), (F.col("doc_id") % 3 == 0).alias("correct"))
-    return eval_summary(rows).select("model", "few_shot", F.explode("benchmarks").alias("bench", "s")).select("model", "few_shot", "bench", "s.accuracy", "s.correct", "s.total")
+    return writers.eval_summary(rows).select("model", "few_shot", F.explode("benchmarks").alias("bench", "s")).select("model", "few_shot", "bench", "s.accuracy", "s.correct", "s.total")
 
 
 @query("select doc_id from documents where text not in (select text from documents where doc_id % 3 = 0 and text is not null)")
@@ -519,12 +558,18 @@ def resume_phase1(spark, sf_dir):
     return datasets.resume_problems(rows, rows.where("doc_id % 3 = 0")).select("doc_id")
 
 
-@query("select doc_id from documents where substr(text, 1, 80) || lang not in (select substr(text, 1, 80) || lang from documents where doc_id % 3 = 0)")
+@query("select d.doc_id from documents d where not exists (select 1 from documents x where x.doc_id % 3 = 0 and x.text is not distinct from d.text and x.lang is not distinct from d.lang)")
 def resume_phase2(spark, sf_dir):
     rows = documents(spark, sf_dir).select("doc_id", F.col("text").alias("problem"), F.col("lang").alias("contrast_type"))
     return datasets.resume_pairs(rows, rows.where("doc_id % 3 = 0")).select("doc_id")
 
 
+@query("select doc_id from documents where substr(text, 1, 80) || lang not in (select substr(text, 1, 80) || lang from documents where doc_id % 3 = 0)")
+def resume_phase2_lossy(spark, sf_dir):
+    rows = documents(spark, sf_dir).select("doc_id", F.col("text").alias("problem"), F.col("lang").alias("contrast_type"))
+    return datasets.resume_pairs(rows, rows.where("doc_id % 3 = 0"), lossy=True).select("doc_id")
+
+
 def labelled_paths(spark, sf_dir) -> DataFrame:
     paths = documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("problem"), (F.col("doc_id") % 2).cast("string").alias("final_answer"))
     truths = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("problem"), F.col("quality").cast("string").alias("ground_truth"))
@@ -550,11 +595,13 @@ def resample_under(spark, sf_dir):
     return sampling.resample(documents(spark, sf_dir).select("doc_id"), 50, F.col("doc_id")).select("doc_id", "draw")
 
 
-@query("""with p as (select doc_id from documents where doc_id < 30), h as (select doc_id, row_number() over (order by md5(doc_id || ':42'), doc_id) as n from p),
-d as (select i::int as draw, ('0x' || substr(md5(i || ':42'), 1, 8))::bigint % (select count(*) from p) + 1 as n from range(1, 101) t(i))
-select doc_id, draw from d join h using (n)""")
+@query("""with h as (select doc_id, row_number() over (order by md5(doc_id || ':42'), doc_id) as n from documents), c as (select count(*) as size from documents),
+d as (select unnest(range(1, (select size * 3 // 2 from c) + 1)) as i), e as (select i::int as draw, ('0x' || substr(md5(i || ':42'), 1, 8))::bigint % (select size from c) + 1 as n from d)
+select doc_id, draw from e join h using (n)""")
 def resample_over(spark, sf_dir):
-    return sampling.resample(documents(spark, sf_dir).where("doc_id < 30").select("doc_id"), 100, F.col("doc_id")).select("doc_id", "draw")
+    """Half as many rows again as the pool has."""
+    pool = documents(spark, sf_dir).select("doc_id")
+    return sampling.resample(pool, pool.count() * 3 // 2, F.col("doc_id")).select("doc_id", "draw")
 
 
 # --- critiques, training sets, prompts ----------------------------------------------------------------------------------
@@ -660,24 +707,20 @@ def union_sources(spark, sf_dir):
     return readers.union_sources({"gsm": rows.where("doc_id % 2 = 0"), "math": rows.where("doc_id % 2 = 1")})
 
 
-@query(r"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as i from documents where not contains(text, '$') and regexp_matches(text, '\S')),
-k as (select doc_id, i, regexp_replace(regexp_replace(line, '^\s+', ''), '\s+$', '') as step from l where regexp_matches(line, '\S')),
-n as (select doc_id, row_number() over (partition by doc_id order by i) as no, step from k)
-select doc_id, string_agg('Step ' || no || ': ' || step, chr(10) order by no) as shown from n group by doc_id having max(len(string_split(step, ' '))) < 200""")
+@query(f"""with {segmented(256)} select doc_id, string_agg('Step ' || no || ': ' || step, chr(10) order by no) as shown from s group by doc_id
+union all select doc_id, 'Step 1: ' || text from documents where text is not null and doc_id not in (select doc_id from s)""")
 def format_trajectory(spark, sf_dir):
-    rows = documents(spark, sf_dir).where(~F.contains("text", F.lit("$")) & F.col("text").rlike(r"\S"))
-    longest = F.array_max(F.transform(text.lines(F.col("text")), lambda s: F.size(F.split(s, " "))))
-    return rows.where(longest < 200).select("doc_id", segment.format_trajectory(F.array("text")).alias("shown"))
+    return documents(spark, sf_dir).where("text is not null").select("doc_id", segment.format_trajectory(F.array("text")).alias("shown"))
 
 
-@query("select doc_id, doc_id % 2 = 0 as plain, true as fraction, doc_id % 5 = 0 as other from documents")
+@query(f"with {QUOTIENTS} select id, a = c as percent, a * d = b * c as quotient, a + 1 = c as terms from n")
 def check_eval(spark, sf_dir):
-    n, k = F.col("doc_id"), F.col("doc_id").cast("string")
-    return documents(spark, sf_dir).select(
-        "doc_id",
-        answers.check(F.concat(k, F.lit("%")), F.when(n % 2 == 0, F.concat(F.lit("$"), k)).otherwise(F.lit("x"))).alias("plain"),
-        answers.check(F.concat(k, F.lit("/4")), (n / 4).cast("string")).alias("fraction"),
-        answers.check(F.concat(k, F.lit("*x + x")), F.when(n % 5 == 0, F.concat((n + 1).cast("string"), F.lit("*x"))).otherwise(F.lit("y"))).alias("other"),
+    a, b, c, d = map(F.col, "abcd")
+    return quotients(spark, sf_dir).select(
+        "id",
+        answers.check(F.concat(a, F.lit("%")), F.concat(F.lit("$"), c)).alias("percent"),
+        answers.check(F.concat(a, F.lit("/"), b), F.concat(F.lit("("), c, F.lit(")/("), d, F.lit(")"))).alias("quotient"),
+        answers.check(F.concat(a, F.lit("*x + x")), F.concat(c, F.lit("*x"))).alias("terms"),
     )
 
 
@@ -719,13 +762,197 @@ def phase2_e2e(spark, sf_dir):
     return phase2(phase1(stub_seeds(spark, sf_dir), Stub, Settings(num_rollouts=8), K), CritiqueStub)
 
 
-@query()
+def drawn(prompt: str, k: int = 0) -> str:
+    """The stub's k-th number for a prompt, in SQL."""
+    return f"('0x' || substr(sha256('{k}:' || {prompt}), 1, 8))::bigint"
+
+
+def finished(prompt: str) -> str:
+    """The stub's single completion."""
+    return f"'So we finish. The answer is ' || {drawn(prompt)} % 3 || '. Final Answer: \\boxed{{' || {drawn(prompt)} % 3 || '}}'"
+
+
+@query(f"""select doc_id, {finished("coalesce(text, '')")} as one, array_to_string([{", ".join(f"'Consider case ' || {drawn(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')', k)} % 5 || '.' || chr(10) || 'Then go on.'" for k in range(3))}], '|') as three from documents""")
+def generate_stub(spark, sf_dir):
+    rows = documents(spark, sf_dir).select("doc_id", F.col("text").alias("prompt"))
+    each = generate(generate(rows, Stub, out="one"), Stub, out="three", n=3)
+    return each.select("doc_id", "one", F.array_join("three", "|").alias("three"))
+
+
+@query(f"""with p as (select doc_id, 'System: Be brief.' || chr(10) || 'User: ' || coalesce(text, '') || chr(10) || 'Assistant:' as p from documents) select doc_id, {finished("p")} as response from p""")
+def generate_with_system(spark, sf_dir):
+    rows = documents(spark, sf_dir).select("doc_id", F.col("text").alias("prompt"), F.lit("Be brief.").alias("system"))
+    return generate(rows, Stub, system="system").select("doc_id", "response")
+
+
+@query(f"""with p as (select doc_id, {_sql_text(prompts.ZERO_SHOT, problem="'Find ' || doc_id")} as p from documents) select doc_id as problem_id, ({drawn("p")} % 3)::varchar as predicted, {drawn("p")} % 3 = doc_id % 3 as correct from p""")
 def evaluate_stub(spark, sf_dir):
     rows = evaluate(stub_seeds(spark, sf_dir).select("problem_id", "problem", "ground_truth"), Stub)
     return rows.select("problem_id", "predicted", "correct")
 
 
-@query("select doc_id, 'n' || doc_id as response from documents where false")
-def generate_empty(spark, sf_dir):
-    rows = documents(spark, sf_dir).where("false").select("doc_id", F.lit("p").alias("prompt"))
-    return generate(rows, Stub).select("doc_id", "response")
+def document_pairs(spark, sf_dir) -> DataFrame:
+    """Pair records: a document's lines against its source's name."""
+    return documents(spark, sf_dir).where("doc_id is not null").select(
+        F.concat(F.lit("Find "), F.col("doc_id").cast("string")).alias("problem"), (F.col("doc_id") % 3).cast("string").alias("ground_truth"), "source",
+        F.when(F.col("doc_id") % 2 == 0, "hard").otherwise("soft").alias("contrast_type"), F.split(F.coalesce("text", F.lit("")), "\n").alias("positive_steps"),
+        F.array(F.coalesce("source", F.lit("x"))).alias("negative_steps"), F.lit("1").alias("positive_answer"),
+    )
+
+
+_SOLVE = _sql_text(prompts.SYNTHESIS_USER, problem="'Find ' || doc_id", success_pattern="'s'", failure_mode_to_avoid="''", divergence_step_index="1", critique_of_difference="'N/A'", global_strategic_analysis="'g'", style="'" + prompts.STYLE + "'")
+SOLVED = f"""w as (select *, 'System: {prompts.SYNTHESIS_SYSTEM}' || chr(10) || 'User: ' || {_SOLVE} || chr(10) || 'Assistant:' as p from documents where doc_id is not null),
+solved as (select doc_id, 'Find ' || doc_id as problem, 'think' || chr(10) || {finished("p")} as solution, ({drawn("p")} % 3)::varchar as answer, coalesce(source, 'unknown') as source, case when doc_id % 2 = 0 then 'hard' else 'soft' end as contrast_type from w where {drawn("p")} % 3 = doc_id % 3)"""
+
+
+@query(f"with {SOLVED} select problem, solution, answer, source, contrast_type from solved")
+def phase2_pairs(spark, sf_dir):
+    return phase2(document_pairs(spark, sf_dir), CritiqueStub)
+
+
+@query(f"with {SOLVED} select problem, solution, answer, source, contrast_type from solved")
+def phase2_stream(spark, sf_dir):
+    """The same as a file stream."""
+
+    def run(folder):
+        writers.append_json(document_pairs(spark, sf_dir), f"{folder}/in")
+        verified_stream(spark, f"{folder}/in", f"{folder}/out", f"{folder}/checkpoint", CritiqueStub).awaitTermination()
+        return readers.read_verified(spark, f"{folder}/out/*")
+
+    return in_folder(spark, run)
+
+
+@query(f"""with {SOLVED}, o as (select doc_id, row_number() over (order by doc_id) - 1 as ord from documents where doc_id is not null),
+c as (select solved.*, row_number() over (order by ord // 40, problem, contrast_type, solution) as place from solved join o using (doc_id))
+select problem, solution, answer, source, contrast_type from c where place <= 30""")
+def phase2_until_target(spark, sf_dir):
+    """Forty pairs at a time, until thirty records are there."""
+
+    def run(folder):
+        phase2_until(document_pairs(spark, sf_dir), CritiqueStub, 30, [F.substring("problem", 6, 20).cast("long")], 40, f"{folder}/out")
+        return readers.read_verified(spark, f"{folder}/out")
+
+    return in_folder(spark, run)
+
+
+_EXPAND = _sql_text(prompts.EXPANSION, problem="'Find ' || doc_id", steps="' '")
+_SIMULATE = _sql_text(prompts.SIMULATION, exemplars="''", problem="'Find ' || doc_id", steps="' ' || actions[1]")
+
+
+@query(f"""with e as (select doc_id, list_transform([{", ".join(drawn(_EXPAND, k) for k in range(3))}], lambda x: 'Consider case ' || x % 5 || '.') as raw from documents),
+d as (select doc_id, case when raw[2] = raw[1] then [raw[1]] else [raw[1], raw[2]] end as two, raw from e),
+a as (select doc_id, case when list_contains(two, raw[3]) then two else list_append(two, raw[3]) end as actions from d),
+r as (select doc_id, actions, case when {drawn(_SIMULATE)} % 3 = doc_id % 3 then 1.0 else 0.0 end::double as reward from a),
+k as (select doc_id, reward, unnest(actions) as action, unnest(range(1, len(actions) + 1)) as node_id from r)
+select doc_id as problem_id, 0 as node_id, null::int as parent_id, 0 as child_ord, 0 as depth, null::varchar as action, 1::bigint as visit_count, reward as total_value, null::double as reward, false as is_terminal from r
+union all select doc_id, node_id::int, 0, (node_id - 1)::int, 1, action, case when node_id = 1 then 1 else 0 end::bigint, case when node_id = 1 then reward else 0.0 end::double, case when node_id = 1 then reward end, node_id = 1 from k""")
+def search_one_rollout(spark, sf_dir):
+    return search_trees(stub_seeds(spark, sf_dir), Stub, Settings(num_rollouts=1))
+
+
+# --- sources and sinks, written and read back ---------------------------------------------------------------------------
+
+
+def in_folder(spark: SparkSession, run) -> DataFrame:
+    """What run makes of a folder of the shared store, which goes afterwards."""
+    folder = f"{shared_dir(spark)}/query-{uuid.uuid4().hex}"
+    found = cut(run(folder))
+    remove(spark, folder)
+    return found
+
+
+@query("select 'Find ' || doc_id as problem, (doc_id % 3)::varchar as ground_truth, source from documents")
+def seed_scan(spark, sf_dir):
+    def run(folder):
+        writers.append_json(stub_seeds(spark, sf_dir).select("problem", "ground_truth", "source"), folder)
+        return readers.read_seeds(spark, folder)
+
+    return in_folder(spark, run)
+
+
+@query("select 'Find ' || doc_id as problem, case when doc_id % 2 = 0 then 'hard' else 'soft' end as contrast_type, source, text as positive, coalesce(source, 'x') as negative, doc_id % 2 as part from documents where doc_id is not null")
+def pair_scan(spark, sf_dir):
+    """Two workers' folders, appended to and read as one."""
+
+    def run(folder):
+        rows = document_pairs(spark, sf_dir)
+        for k, kind in enumerate(("hard", "soft")):
+            writers.append_json(rows.where(F.col("contrast_type") == kind), f"{folder}/gpu{k}/pairs.jsonl")
+        found = readers.read_pairs(spark, folder).withColumn("part", F.regexp_extract(F.input_file_name(), r"gpu(\d)", 1).cast("long"))
+        return found.select("problem", "contrast_type", "source", F.array_join("positive_steps", "\n").alias("positive"), F.array_join("negative_steps", "\n").alias("negative"), "part")
+
+    return in_folder(spark, run)
+
+
+@query("select doc_id, text as response, lang as bench, quality as correct from documents left join labels using (doc_id)")
+def eval_details(spark, sf_dir):
+    def run(folder):
+        rows = documents(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id", "left").select("doc_id", F.col("text").alias("response"), F.col("lang").alias("bench"), F.col("quality").alias("correct"))
+        writers.write_details(rows, folder)
+        return spark.read.schema("doc_id long, response string, correct int, bench string").json(folder)
+
+    return in_folder(spark, run)
+
+
+@query("""with h as (select doc_id, lang, source, row_number() over (order by md5(doc_id || ':42'), doc_id) as n from documents)
+select 'Find ' || doc_id as problem, 'Step 1: ' || lang || chr(10) || 'Step 2: ' || source as solution from h where n <= 150""")
+def sft_build(spark, sf_dir):
+    def run(folder):
+        rows = documents(spark, sf_dir).select("doc_id", F.concat(F.lit("Find "), F.col("doc_id").cast("string")).alias("problem"), F.array("lang", "source").alias("steps"))
+        writers.write_dataset(rows, 150, folder, F.col("doc_id"))
+        return spark.read.schema(SFT).json(folder)
+
+    return in_folder(spark, run)
+
+
+@query("""with s as (select (select count(*) from documents)::bigint as total, (select count(*) from labels)::bigint as processed, (select sum(quality) from labels)::bigint as pairs_saved)
+select total, processed, pairs_saved, 90.0::double / processed as seconds_each, processed * 3600.0::double / 90.0::double as per_hour, (total - processed) / (processed * 3600.0::double / 90.0::double) as eta_hours from s""")
+def progress_rates(spark, sf_dir):
+    def run(folder):
+        counts = table(spark, sf_dir, "labels").agg(F.count(F.lit(1)).alias("processed"), F.sum("quality").alias("pairs_saved"))
+        stats = counts.withColumn("total", F.lit(documents(spark, sf_dir).count()))
+        writers.write_progress(datasets.progress(stats, F.col("total"), F.col("processed"), F.lit(90)), folder)
+        return spark.read.schema("total long, processed long, pairs_saved long, seconds_each double, per_hour double, eta_hours double").json(folder)
+
+    return in_folder(spark, run)
+
+
+@query("""with u as (select text as problem, doc_id::varchar as ground_truth, 'documents' as source from documents union all select text, item_id::varchar, 'benchmark' from benchmark),
+n as (select *, row_number() over (order by source, ground_truth) - 1 as ord, (select count(*) from u) as size from u) select problem, ground_truth, source, floor(ord / ceil(size / 5.0))::int as shard from n""")
+def seed_shards(spark, sf_dir):
+    """Seed corpora in one, dealt to five workers."""
+
+    def run(folder):
+        parts = {"documents": documents(spark, sf_dir).select(F.col("text").alias("problem"), F.col("doc_id").cast("string").alias("ground_truth")), "benchmark": table(spark, sf_dir, "benchmark").select(F.col("text").alias("problem"), F.col("item_id").cast("string").alias("ground_truth"))}
+        writers.write_seed_shards(readers.union_sources(parts), [F.col("source"), F.col("ground_truth")], 5, folder)
+        return spark.read.schema(f"{SEED}, shard int").json(folder)
+
+    return in_folder(spark, run)
+
+
+@query(f"with {sampled(K)}, p as ({PAIRS}) select problem_id, pair_ord, neg_traj, row_number() over (order by problem_id, pair_ord) - 1 as ord from p")
+def pair_order(spark, sf_dir):
+    return datasets.numbered(contrastive_pairs(spark, sf_dir).select("problem_id", "pair_ord", "neg_traj"), [F.col("problem_id"), F.col("pair_ord")])
+
+
+_DEFAULT_ROWS = [(section, key, str(value)) for section, part in readers.DEFAULTS.items() for key, value in part.items()]
+
+
+@query(f"select * from (values {', '.join(str(r) for r in _DEFAULT_ROWS)}) t(section, key, value)")
+def config_defaults(spark, sf_dir):
+    read = readers.read_config()
+    return spark.createDataFrame([(section, key, str(value)) for section, part in read.items() for key, value in part.items()], "section string, key string, value string")
+
+
+@query("""with recursive n as (select l_orderkey % 50 as problem_id, row_number() over (partition by l_orderkey % 50 order by l_orderkey, l_linenumber) as node_id from lineitem where l_orderkey < 4000)
+select problem_id, count(*)::int as n_nodes, sum(node_id - 1)::bigint as depths, max(node_id - 1)::int as deepest, (max(node_id) - 1)::int as steps from n group by problem_id""")
+def deep_chains(spark, sf_dir):
+    """Trees that are one chain each, some hundred levels deep: paths, backed-up visits and the descent reach their ends."""
+    order = Window.partitionBy("problem_id").orderBy("l_orderkey", "l_linenumber")
+    rows = table(spark, sf_dir, "lineitem").where("l_orderkey < 4000").withColumn("problem_id", F.col("l_orderkey") % 50)
+    rows = rows.select("problem_id", F.row_number().over(order).cast("int").alias("node_id"), F.count(F.lit(1)).over(Window.partitionBy("problem_id")).alias("size"))
+    nodes = rows.select("problem_id", "node_id", F.when(F.col("node_id") > 1, F.col("node_id") - 1).alias("parent_id"), F.lit(0).alias("child_ord"), (F.col("node_id") == F.col("size")).alias("is_terminal"))
+    placed = trees.with_paths(nodes)
+    found = trees.backpropagate(placed, placed.where("is_terminal").select("problem_id", "node_id", F.lit(1.0).alias("reward")))
+    per = found.groupBy("problem_id").agg(F.sum("visit_count").cast("int").alias("n_nodes"), F.sum("depth").alias("depths"), F.max("depth").alias("deepest"))
+    return per.join(trees.descend(found).select("problem_id", "steps"), "problem_id")

@@ -25,15 +25,15 @@ def phase1(seeds: DataFrame, factory: Callable[[], TextProvider], settings: Sett
 def analyze(pairs: DataFrame, factory: Callable[[], TextProvider], max_tokens: int = 1024) -> DataFrame:
     """Pair records with analysis (the model's text) and critique (null where it can't be parsed)."""
     ask = prompts.analysis_prompt(F.col("problem"), format_trajectory(F.col("positive_steps")), format_trajectory(F.col("negative_steps")))
-    asked = pairs.withColumn("prompt", F.concat_ws("\n", ask["system"], ask["user"]))
-    return generate(asked, factory, out="analysis", max_tokens=max_tokens).drop("prompt").withColumn("critique", parse_critique(F.col("analysis")))
+    asked = pairs.withColumns({"prompt": ask["user"], "system": ask["system"]})
+    return generate(asked, factory, out="analysis", max_tokens=max_tokens, system="system").drop("prompt", "system").withColumn("critique", parse_critique(F.col("analysis")))
 
 
 def synthesize(judged: DataFrame, factory: Callable[[], TextProvider], max_tokens: int = 2048) -> DataFrame:
     """Rows of problem and critique with solution (the model's text), steps and final_answer."""
     write = prompts.synthesis_prompt(F.col("problem"), F.col("critique"))
-    told = judged.withColumn("prompt", F.concat_ws("\n", write["system"], write["user"]))
-    solved = generate(told, factory, out="solution", max_tokens=max_tokens).drop("prompt")
+    told = judged.withColumns({"prompt": write["user"], "system": write["system"]})
+    solved = generate(told, factory, out="solution", max_tokens=max_tokens, system="system").drop("prompt", "system")
     return solved.withColumn("steps", text.parse_steps(F.col("solution"))).withColumn("final_answer", answers.extract_pipeline(F.col("solution")))
 
 
@@ -49,15 +49,17 @@ def phase2(pairs: DataFrame, factory: Callable[[], TextProvider], analysis_token
 def phase2_until(pairs: DataFrame, factory: Callable[[], TextProvider], target: int, order: list, chunk: int, path: str) -> int:
     """Append verified records to path, chunk pairs at a time in order, until target records are there; returns their number.
 
-    A limit alone would not save the calls before it. Only counts come to the driver.
+    A limit alone would not save the calls before it. Pairs are put in order once, so each chunk sees its own pairs and
+    every pair is seen once. Only counts come to the driver.
     """
     spark = pairs.sparkSession
-    numbered = datasets.shard(pairs, order, max(1, -(-pairs.count() // chunk)))
+    placed = datasets.numbered(pairs, order)
     have = 0
-    for k in range(int(numbered.agg(F.max("shard")).first()[0] or 0) + 1):
+    for k in range(-(-placed.count() // chunk)):
         if have >= target:
             break
-        phase2(numbered.where(F.col("shard") == k), factory).limit(target - have).write.mode("append").json(path)
+        part = placed.where(F.col("ord").between(k * chunk, (k + 1) * chunk - 1)).drop("ord")
+        phase2(part, factory).orderBy("problem", "contrast_type", "solution").limit(target - have).write.mode("append").json(path)
         have = spark.read.schema(VERIFIED).json(path).count()
     return have
 

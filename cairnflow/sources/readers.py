@@ -19,8 +19,8 @@ def read_seeds(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Pair records of <folder>/<part>/pairs.jsonl, one level deep."""
-    return spark.read.schema(PAIR).json(f"{folder}/*/pairs.jsonl")
+    """Pair records of <folder>/<part>/pairs.jsonl, one level deep; a malformed line fails the read."""
+    return spark.read.schema(PAIR).option("mode", "FAILFAST").json(f"{folder}/*/pairs.jsonl")
 
 
 def read_verified(spark: SparkSession, path: str) -> DataFrame:

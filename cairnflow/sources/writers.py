@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.datasets import accuracy, sft_records
+from ..operators.datasets import accuracy, sft_records, shard
 from ..operators.sampling import resample
 
 
@@ -18,6 +18,11 @@ def write_dataset(paths: DataFrame, target: int, path: str, key, seed: int = 42)
     sft_records(resample(paths, target, key, seed)).write.mode("overwrite").json(path)
 
 
+def write_seed_shards(seeds: DataFrame, order: list[Column], n_shards: int, path: str) -> None:
+    """Seed problems in contiguous shards, a folder (shard=k) each."""
+    shard(seeds, order, n_shards).drop("ord").write.mode("overwrite").partitionBy("shard").option("ignoreNullFields", "false").json(path)
+
+
 def write_details(details: DataFrame, path: str) -> None:
     details.write.mode("overwrite").partitionBy("bench").option("ignoreNullFields", "false").json(path)
 

@@ -129,6 +129,50 @@ def test_shards(spark, n, shards, want):
     assert [r["id"] for r in rows.orderBy("ord").collect()] == list(range(n))
 
 
+def test_shards_of_wide_rows_keep_all(spark):
+    """With one row sampled a partition the range bounds are poor, and every placement has other ones."""
+    spark.conf.set("spark.sql.execution.rangeExchange.sampleSizePerPartition", 1)
+    try:
+        rows = spark.range(20000).select((F.col("id") * 7919 % 20000).alias("id"), F.repeat(F.lit("wide "), 200).alias("text")).repartition(9)
+        got = [tuple(r) for r in datasets.shard(rows, [F.col("id")], 7).select("id", "ord", "shard").collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.rangeExchange.sampleSizePerPartition")
+    assert sorted(got) == [(i, i, i // 2858) for i in range(20000)]
+
+
+def test_no_rows_and_ties_are_numbered(spark):
+    assert datasets.shard(spark.range(0), [F.col("id")], 3).count() == 0
+    rows = spark.createDataFrame([(i % 3, None if i % 2 else "x") for i in range(50)], "k int, v string")
+    assert sorted(r["ord"] for r in datasets.numbered(rows, [F.col("k")]).collect()) == list(range(50))
+
+
+def test_progress(spark):
+    row = datasets.progress(spark.createDataFrame([(10, 4), (10, 0)], "t int, d int"), F.col("t"), F.col("d"), F.lit(8)).orderBy("d").collect()
+    assert (row[1]["seconds_each"], row[1]["per_hour"]) == (2.0, 1800.0) and row[0]["seconds_each"] is None and row[0]["eta_hours"] is None
+
+
+def test_deep_and_gapped_trees(spark):
+    """A chain of 100, ids with gaps, a parent that isn't there, and a cycle."""
+    chain = [(1, i, i - 1 if i else None, 0, f"a{i}", i == 99) for i in range(100)]
+    gapped = [(2, 10 * i, 10 * (i - 1) if i else None, 0, f"b{i}", i == 40) for i in range(41)] + [(3, 5, 4, 0, "lost", True)]
+    kind = "problem_id long, node_id int, parent_id int, child_ord int, action string, is_terminal boolean"
+    nodes = spark.createDataFrame(chain + gapped, kind).withColumn("reward", F.lit(None).cast("double"))
+    placed = trees.with_paths(nodes)
+    deepest = {r["problem_id"]: (r["depth"], r["path"]) for r in placed.where("is_terminal").collect()}
+    assert deepest == {1: (99, list(range(100))), 2: (40, list(range(0, 410, 10))), 3: (0, [5])}
+    stats = trees.backpropagate(placed, placed.where("is_terminal").select("problem_id", "node_id", F.lit(1.0).alias("reward")))
+    assert {r["visit_count"] for r in stats.collect()} == {1}
+    assert {r["problem_id"]: (r["leaf_id"], r["steps"]) for r in trees.descend(stats).collect()} == {1: (99, 99), 2: (400, 40)}
+    got = {r["problem_id"]: r for r in trees.terminal_paths(stats).collect()}
+    assert got[1]["steps"] == [f"a{i}" for i in range(1, 100)] and got[2]["length"] == 40
+    looks = spark.createDataFrame([(1, [f"a{i}" for i in range(1, 100)]), (2, ["b1", "b2", "x"])], "problem_id long, steps array<string>")
+    assert {r["visits"] for r in trees.prefix_visits(stats, looks).collect()} == {1}
+    assert {r["n_children"] for r in trees.with_child_counts(stats).where("problem_id = 1 and node_id < 99").collect()} == {1}
+    with pytest.raises(Exception, match="doesn't end"):
+        trees.with_paths(spark.createDataFrame([(1, 1, 3, 0, "", False), (1, 2, 1, 0, "", False), (1, 3, 2, 0, "", False)], kind)).collect()
+    assert trees.with_paths(nodes.limit(0)).count() == 0
+
+
 def test_masks(spark):
     df = spark.createDataFrame([(3, [1, 2, 3, 4, 5])], "p int, full array<int>")
     ids, mask, labels = datasets.mask_labels(F.col("p"), F.col("full"), 9, 100)
@@ -144,8 +188,9 @@ def test_resume_and_verification(spark):
     long = "x" * 90
     pairs = spark.createDataFrame([(long + "1", "hard"), (long + "2", "hard"), (long + "1", "soft"), ("y", None)], "problem string, contrast_type string")
     done = spark.createDataFrame([(long + "1", "hard")], "problem string, contrast_type string")
-    assert {r["contrast_type"] for r in datasets.resume_pairs(pairs, done).collect()} == {"soft", None}
-    assert datasets.resume_pairs(pairs, done, full_key=True).count() == 3
+    assert {r["contrast_type"] for r in datasets.resume_pairs(pairs, done, lossy=True).collect()} == {"soft", None}
+    assert datasets.resume_pairs(pairs, done).count() == 3
+    assert datasets.resume_pairs(pairs, pairs).count() == 0
     paths = spark.createDataFrame([("a", "1/2"), ("b", None), ("c", "3")], "problem string, final_answer string")
     truths = spark.createDataFrame([("a", "0.5"), ("b", "1")], "problem string, ground_truth string")
     verified = datasets.verify_paths(paths, truths)

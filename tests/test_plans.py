@@ -68,6 +68,64 @@ def test_provider_errors_and_replay(spark):
         provider_factory("none")
 
 
+def test_one_bad_prompt_spoils_no_other(spark):
+    class Picky(Stub):
+        def __call__(self, prompts, n=1, max_tokens=1):
+            if "b" in prompts:
+                raise RuntimeError("refused")
+            return [[p.upper()] for p in prompts]
+
+    got = generate(spark.createDataFrame([("a",), ("b",), ("c",)], "prompt string").coalesce(1), Picky).collect()
+    assert [(r["response"], r["response_error"]) for r in got] == [("A", None), ("", "RuntimeError: refused"), ("C", None)]
+
+
+def test_chat_roles(spark):
+    class Roles(Stub):
+        def chat(self, conversations, n=1, max_tokens=1):
+            return [["|".join(f"{m['role']}={m['content']}" for m in c)] for c in conversations]
+
+    df = spark.createDataFrame([("u", "s"), (None, None)], "prompt string, sys string")
+    assert [r["response"] for r in generate(df, Roles, system="sys").collect()] == ["system=s|user=u", "system=|user="]
+
+
+def test_http_backend():
+    import http.server
+    import threading
+
+    seen = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append(body)
+            status = 503 if len(seen) == 1 else 400 if body["messages"][-1]["content"] == "bad" else 200
+            self.send_response(status)
+            self.end_headers()
+            self.wfile.write(json.dumps({"choices": [{"message": {"content": body["messages"][-1]["content"] + "!"}}]}).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        provider = provider_factory("http", url=f"http://127.0.0.1:{server.server_port}/chat", model="m", pause=0.01)()
+        assert provider(["a", "b"], n=2, max_tokens=7) == [["a!", "a!"], ["b!", "b!"]]
+        assert len(seen) == 5 and seen[0]["max_tokens"] == 7 and seen[0]["model"] == "m"
+        assert provider.chat([[{"role": "system", "content": "s"}, {"role": "user", "content": "u"}]]) == [["u!"]]
+        with pytest.raises(Exception, match="400"):
+            provider(["bad"])
+    finally:
+        server.shutdown()
+
+
+def test_malformed_lines_fail(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "pairs.jsonl").write_text('{"problem": "p"}\n{broken\n')
+    with pytest.raises(Exception, match=r"(?i)malformed"):
+        readers.read_pairs(spark, str(tmp_path)).collect()
+
+
 def test_sources_round_trip(spark, tmp_path):
     lines = ['{"problem": "p", "solution": "s"}', "", "{bad", '{"problem": "q"}', '{"problem": null, "solution": "t", "more": 1}', "{'problem': 1, 'solution': 2}"]
     (tmp_path / "sft.jsonl").write_text("\n".join(lines))
@@ -122,3 +180,5 @@ def test_phase2_until_target(spark, tmp_path):
     every = phase2(pairs, CritiqueStub).count()
     got = phase2_until(pairs, CritiqueStub, 3, [F.col("problem"), F.col("contrast_type"), F.to_json("negative_steps")], 5, str(tmp_path / "out"))
     assert got == 3 < every and spark.read.json(str(tmp_path / "out")).count() == 3
+    got = phase2_until(pairs, CritiqueStub, 10**6, [F.col("problem")], 7, str(tmp_path / "all"))
+    assert got == every  # ties in the order: still each pair once
