@@ -2,59 +2,38 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast only if its measured size is at most this.
-BROADCAST_BYTES = 8 << 20
+from ..lineage import cut as _cut
+from ..lineage import remove, scratch, shared_dir
 
+__all__ = ["bound_batches", "cut", "join_checked", "measured_bytes", "remove", "scratch", "shared_dir", "table"]
 
-#: Rows of an Arrow batch. Batches of whole texts at Spark's default of 10,000 rows can outgrow a worker's memory.
-BATCH_ROWS, _BATCH = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: A side of a join is broadcast only if its measured size is at most this.
+BROADCAST_BYTES = 8 << 20
+#: Rows and bytes of an Arrow batch. Batches of whole texts at Spark's default of 10,000 rows can outgrow a worker's memory.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BYTES, _BYTES_UNSET = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batches to BATCH_ROWS, unless they have been set to something else than the default."""
+    """Bound the session's Arrow batches by BATCH_ROWS and BATCH_BYTES, unless they have been set to something else than the default."""
     if spark.conf.get(_BATCH) == "10000":
         spark.conf.set(_BATCH, str(BATCH_ROWS))
+    if spark.conf.get(_BYTES) == _BYTES_UNSET:
+        spark.conf.set(_BYTES, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Only where the cluster names none (tests on one machine) a temporary one is made.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(named)
-        return named.rstrip("/")
-    if not spark.sparkContext.getCheckpointDir():
-        own = tempfile.mkdtemp(prefix="cairnflow-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(f"file://{own}")
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Compute df once, into reliable checkpoint files in the shared folder, and go on from these."""
-    shared_dir(df.sparkSession)
     bound_batches(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def remove(spark: SparkSession, folder: str) -> None:
-    """Delete a folder of the shared store."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return _cut(df)
 
 
 def measured_bytes(df: DataFrame) -> int:

@@ -1,12 +1,14 @@
 """Mixing sources to target weights, with hash-threshold histograms and built-in functions only.
 
-A document's place in its source's mix is a 48-bit hash of its id. The words of each source are summed by the hash's
+A document's place in its source's mix is a 48-bit hash of its id and text. The words of each source are summed by the hash's
 leading bits; the bucket in which the budget ends is refined by the next bits, until one hash value is left. What lies
 below the threshold is taken: a filter, no sort of documents. Budgets of one source at different targets are nested.
 
 Defined cases: a null or empty text has size 0 and is never taken; a null source is a source of its own, last in order;
-null ids hash alike; rows with equal ids in a source share their hash and are taken or left together, whichever comes
-nearer to the budget; no rows give no rows; columns besides the named ones are ignored by mix_plan and kept by mix.
+rows of null or equal ids are told apart by their texts; rows of a source equal in both share their hash and are taken or
+left together, whichever comes nearer to the budget; a very long text is one document like any other, so a source's taken
+words may miss its target by half of the document at the threshold; no rows give no rows; columns besides the named ones,
+of any name, are ignored by mix_plan and kept by mix.
 """
 
 from __future__ import annotations
@@ -25,9 +27,11 @@ def size_of(text: str = "text"):
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
-def hash_of(doc_id: str = "doc_id"):
-    """48 bits of the id's MD5."""
-    return F.conv(F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), 1, LEVELS * LEVEL_BITS // 4), 16, 10).cast("long")
+def hash_of(doc_id: str = "doc_id", text: str = "text"):
+    """48 bits of the MD5 of the id and the text's MD5."""
+    own = lambda c: F.md5(F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary"))
+    both = F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), own(text)).cast("binary"))
+    return F.conv(F.substring(both, 1, LEVELS * LEVEL_BITS // 4), 16, 10).cast("long")
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -92,9 +96,9 @@ def thresholds(docs_sized: DataFrame, wanted: DataFrame) -> DataFrame:
     return plan.join(ends, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
 
 
-def copies(h, prefix: str = ""):
-    """How often a document of hash h is taken, beside the columns of thresholds() with prefix."""
-    rounds, h_end, at_end = (F.col(prefix + c) for c in ("rounds", "h_end", "at_end"))
+def copies(h):
+    """How often a document of hash h is taken, beside the columns of thresholds()."""
+    rounds, h_end, at_end = map(F.col, ("rounds", "h_end", "at_end"))
     return rounds + F.coalesce((h < h_end) | ((h == h_end) & at_end), F.lit(False)).cast("long")
 
 
@@ -105,17 +109,17 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     ends = cut(thresholds(rows, wanted).withColumnRenamed("source", "s"))
     return (
         join_checked(rows, ends, F.col("source").eqNullSafe(F.col("s")))
-        .withColumn("copies", copies(F.col("h")))
+        .withColumn("copies", F.when(F.col("size") > 0, copies(F.col("h"))).otherwise(F.lit(0).cast("long")))
         .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
     )
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """docs, each row as often as the mix takes it."""
+    """docs, each row as often as the mix takes it; rows without words never."""
     rows = cut(sized(docs))
     wanted = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
-    ends = cut(thresholds(rows, wanted).select(*[F.col(c).alias(f"_mix_{c}") for c in ("source", "rounds", "h_end", "at_end")]))
-    joined = join_checked(docs, ends, F.col("source").eqNullSafe(F.col("_mix_source")))
-    times = F.sequence(F.lit(1), F.col("_mix_copies"))
-    taken = joined.withColumn("_mix_copies", copies(hash_of(), "_mix_").cast("int")).where("_mix_copies > 0").withColumn("_mix_copy", F.explode(times))
-    return taken.select(*[F.col(f"`{c}`") for c in docs.columns])
+    ends = cut(thresholds(rows, wanted).select(F.col("source").alias("_from"), "rounds", "h_end", "at_end"))
+    whole = docs.where(F.coalesce(F.col("text").rlike(WORD), F.lit(False))).select(F.struct("*").alias("row"), F.col("source").alias("_source"), hash_of().alias("h"))
+    joined = join_checked(whole, ends, F.col("_source").eqNullSafe(F.col("_from")))
+    times = joined.select("row", copies(F.col("h")).cast("int").alias("n")).where("n > 0")
+    return times.select("row", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")

@@ -223,33 +223,34 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span of text, base or discovered, replaced by its kind in brackets, and n_chars (if there) to match."""
+    columns = docs.columns
     rows = cut(_occurrences(docs))
     more = cut(_discovered(docs, rows).select("doc_id", "hash", "more").dropDuplicates(["doc_id", "hash"]))
-    columns = docs.columns
-    own = docs.withColumn("_hash", F.xxhash64("text"))
-    other = more.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_of"), F.col("more").alias("_more"))
-    joined = join_checked(own, other, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_of")), "left").select(*columns, "_more")
-    place = columns.index("text")
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            texts = []
-            for text, extra in zip(batch.column(place).to_pylist(), batch.column(len(columns)).to_pylist(), strict=True):
-                if text is not None:
-                    spans = sorted(base_spans(text) + [(x["start"], x["kind"], x["end"]) for x in extra or ()])
-                    parts, at = [], 0
-                    for s, kind, e in spans:
-                        if e <= at:
-                            continue
-                        if s >= at:
-                            parts += [text[at:s], f"[{KINDS[kind].upper()}]"]
-                        at = e
-                    text = "".join([*parts, text[at:]])
-                texts.append(text)
-            arrays = [pa.array(texts, pa.string()) if i == place else batch.column(i) for i in range(len(columns))]
-            yield pa.RecordBatch.from_arrays(arrays, columns)
-
-    out = joined.mapInArrow(run, docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out
+    own = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("_own"), F.xxhash64("text").alias("_hash"), "text")
+    other = more.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_of"), "more")
+    joined = join_checked(own, other, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_of")), "left").select("row", "text", "more")
+
+    @F.pandas_udf("string")
+    def masked(texts, extra):
+        import pandas as pd
+
+        def one(text: str | None, found) -> str | None:
+            if text is None:
+                return None
+            spans = sorted(base_spans(text) + [(x["start"], x["kind"], x["end"]) for x in (found if found is not None else ())])
+            parts, at = [], 0
+            for s, kind, e in spans:
+                if e <= at:
+                    continue
+                if s >= at:
+                    parts += [text[at:s], f"[{KINDS[kind].upper()}]"]
+                at = e
+            return "".join([*parts, text[at:]])
+
+        return pd.Series([one(t, x) for t, x in zip(texts, extra, strict=True)], dtype=object)
+
+    told = joined.select("row", masked("text", "more").alias("masked"))
+    field = lambda i: F.col("row")[columns[i]]
+    kinds = {f.name: f.dataType for f in docs.schema}
+    new = {"text": F.col("masked"), **({"n_chars": F.length("masked").cast(kinds["n_chars"])} if "n_chars" in columns else {})}
+    return told.select(*[new.get(c, field(i)).alias(c) for i, c in enumerate(columns)])

@@ -71,7 +71,7 @@ ORACLE: dict[str, str] = {
     "op1_mix_sources": r"""
 with docs as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
-    ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 12))::bigint as h
+    ('0x' || substr(md5(coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, ''))), 1, 12))::bigint as h
   from documents
 ), per as (
   select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) - 1 as rank from docs group by source

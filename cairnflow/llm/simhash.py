@@ -1,22 +1,31 @@
-"""SimHash near-duplicates: fingerprints of word shingles, joined by a binary trie with a Hamming error budget.
+"""SimHash near-duplicates: fingerprints of word shingles, joined by binary tries with a Hamming error budget.
 
-Fingerprints that differ in at most `bits` bits agree in one of bits + 1 blocks, so each distinct fingerprint is dealt to
-one group per block value. Within a partition all groups are one forest of binary tries over the sorted fingerprints:
-pairs of nodes are traversed together, level by level, differing bits add up, and a pair over the budget is pruned.
-A group of over `chunk` fingerprints is dealt as pairs of chunks, so no task holds a hot group. Copies never enter the
+Fingerprints are dealt to groups by keys that close ones share. Groups come to a task sorted by key and pass through it as
+a stream, a bounded block of whole groups at a time; a block is one forest of binary tries over its sorted values: pairs
+of nodes are traversed together, level by level, differing bits add up, and a pair over the budget is pruned. A group of
+over `chunk` fingerprints is handed on and dealt as pairs of chunks, so no task holds a hot group. Copies never enter the
 join: it works on distinct fingerprints. Tasks emit spanning edges only; components are found over these.
 
-Defined cases: a null or blank text has fingerprint zero, linked like any other; a text of fewer words than a shingle is
-one shingle; repeated rows and equal texts share a component; a null id takes no part in minima and a component of null
-ids only has a null id; no rows give no rows; other columns are ignored, and kept by keep_one.
+near_components() is exact: fingerprints that differ in at most `bits` of 64 bits agree in all but `bits` of more blocks,
+so each combination of agreeing blocks is a key. The number of blocks grows with that of the fingerprints, and with it the
+key's length, so that groups stay small.
+
+keep_one() filters documents at a lower similarity, for which 64 bits are too few: wide fingerprints of 256 bits give keys
+of sampled bits, as many keys as find a pair at SIMILARITY with probability RECALL, and a pair is linked only if the exact
+Jaccard similarity of its texts' shingle sets reaches SIMILARITY.
 
-keep_one() filters documents at a lower similarity, for which 64 bits are too few: wide_fingerprint() finds candidates,
-and a pair is linked only if the exact Jaccard similarity of its texts' shingle sets reaches SIMILARITY.
+Defined cases: a null or blank text has fingerprint zero, linked like any other; a text of fewer words than a shingle is
+one shingle; a very long text takes time and memory in proportion to its words; repeated rows and equal texts share a
+component; a null id takes no part in minima and a component of null ids only has a null id; no rows give no rows; other
+columns, of any name, are ignored by near_components() and kept by keep_one().
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import combinations
+from math import acos, ceil, comb, log2, pi
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +34,8 @@ from ._common import cut, join_checked
 from .components import connected_components, spanning
 
 SHINGLE, BITS, SEED, CHUNK = 3, 3, 42, 4096
+#: Rows of a block of groups; rows that a task of the join is meant for; fingerprints of a group that keys aim at.
+BLOCK_ROWS, TASK_ROWS, GROUP = 1 << 16, 2_000_000, 32
 
 
 def shingle_hashes(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> list[int]:
@@ -72,8 +83,8 @@ def trie_pairs(values, groups, bits: int, counted: int = (1 << 64) - 1, accept=N
     """Index pairs (i, j) of a sorted forest: values (uint64) sorted within groups (sorted); those of one group that differ in at most bits of the counted bits, and that accept(i, j) takes.
 
     A node is a run of the sorted values. The frontier holds pairs of nodes (lo, hi, lo, hi) with the differing bits of
-    their prefixes; each level splits both nodes by one bit. Pairs of single values are settled at once. Wide frontiers
-    are halved and finished one after the other, which bounds memory.
+    their prefixes; each level splits both nodes by one bit. Pairs of single values are settled at once, pairs of equal
+    ones at the last level. Wide frontiers are halved and finished one after the other, which bounds memory.
     """
     import numpy as np
 
@@ -91,6 +102,16 @@ def trie_pairs(values, groups, bits: int, counted: int = (1 << 64) - 1, accept=N
         return lo + zeros[level][hi] - zeros[level][lo]
 
     found_i, found_j = [], []
+
+    def settle(i, j):
+        near = np.bitwise_count((values[i] ^ values[j]) & np.uint64(counted)) <= bits
+        i, j = i[near], j[near]
+        if accept is not None and len(i):
+            near = accept(i, j)
+            i, j = i[near], j[near]
+        found_i.append(i)
+        found_j.append(j)
+
     stack = [(63, first[many], last[many], first[many], last[many], np.zeros(int(many.sum()), np.int8))]
     while stack:
         level, a0, a1, b0, b1, wrong = stack.pop()
@@ -98,17 +119,13 @@ def trie_pairs(values, groups, bits: int, counted: int = (1 << 64) - 1, accept=N
             lone = (a1 - a0 == 1) & (b1 - b0 == 1)
             if lone.any():
                 i, j = a0[lone], b0[lone]
-                near = np.bitwise_count((values[i] ^ values[j]) & np.uint64(counted)) <= bits
-                near &= i != j
-                i, j = i[near], j[near]
-                if accept is not None and len(i):
-                    near = accept(i, j)
-                    i, j = i[near], j[near]
-                found_i.append(i)
-                found_j.append(j)
+                settle(i[i != j], j[i != j])
                 a0, a1, b0, b1, wrong = (x[~lone] for x in (a0, a1, b0, b1, wrong))
-            if level < 0 or not len(a0):
-                # values are distinct within a group, so that all nodes are single by now
+            if level < 0:
+                for x0, x1, y0, y1 in zip(a0.tolist(), a1.tolist(), b0.tolist(), b1.tolist(), strict=True):  # equal values
+                    for x in range(x0, x1):
+                        y = np.arange(max(y0, x + 1) if x0 == y0 else y0, y1)
+                        settle(np.full(len(y), x), y)
                 break
             if len(a0) > 1 << 18:
                 half = len(a0) // 2
@@ -129,63 +146,177 @@ def trie_pairs(values, groups, bits: int, counted: int = (1 << 64) - 1, accept=N
     return (np.concatenate(found_i), np.concatenate(found_j)) if found_i else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def near_edges(fps: DataFrame, bits: int = BITS, chunk: int = CHUNK) -> DataFrame:
-    """From distinct fp: u, v, edges that span what fingerprints within bits bits of each other connect."""
-    blocks, at = bits + 1, []
-    for b in range(blocks):
-        lo, hi = 64 * b // blocks, 64 * (b + 1) // blocks
-        value = F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) if hi - lo < 64 else F.col("fp")
-        at.append(F.struct(F.lit(b).alias("block"), value.cast("long").alias("value")))
-    keyed = fps.select("fp", F.explode(F.array(*at)).alias("k")).select("fp", "k.block", "k.value")
-    hot = cut(keyed.groupBy("block", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk).withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int")).drop("n"))
-    own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
-    others = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda i: F.least(i, own) * F.col("chunks") + F.greatest(i, own))
-    dealt = (
-        join_checked(keyed, hot, ["block", "value"], "left")
-        .withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-        .select("fp", "block", "value", F.explode(others).alias("part"))
-        .repartition("block", "value", "part")
-    )
+def _spanning_edges(fp, i, j):
+    """Edges (u, v) that span what pairs of places in fp connect."""
+    import numpy as np
 
-    def run(batches: Iterator) -> Iterator:
+    names, at = np.unique(fp, return_inverse=True)
+    root = spanning(len(names), at[i], at[j])
+    moved = np.flatnonzero(root != np.arange(len(names)))
+    return names[moved], names[root[moved]]
+
+
+def _group_join(keyed: DataFrame, rows: int, edges: Callable, chunk: int) -> DataFrame:
+    """u, v: what edges(columns) finds in groups of equal key. keyed: key, fp and more longs; rows: about how many.
+
+    edges gets arrays by name and group, the groups' numbers, in blocks of whole groups sorted by key. Groups of over chunk
+    rows come back as rows; they are dealt a second time, as pairs of chunks.
+    """
+    columns = keyed.columns
+
+    def run(defer: bool) -> Callable:
+        def stream(batches: Iterator) -> Iterator:
+            import numpy as np
+            import pyarrow as pa
+
+            def batch(u, v, rest) -> Iterator:
+                arrays = [u, v, *rest]
+                for k in range(0, max(map(len, (x for x in arrays if x is not None))), 1 << 16):
+                    part = [None if x is None else x[k : k + (1 << 16)] for x in arrays]
+                    n = next(len(x) for x in part if x is not None)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()) if x is None else pa.array(x) for x in part], ["u", "v", *columns])
+
+            def work(x: np.ndarray) -> Iterator:
+                """Rows (of columns) of whole groups."""
+                opens = np.flatnonzero(np.r_[True, (x[0, 1:] != x[0, :-1])])
+                size = np.diff(np.r_[opens, x.shape[1]])
+                if defer and (size > chunk).any():
+                    hot = np.repeat(size > chunk, size)
+                    yield from batch(None, None, list(x[:, hot]))
+                    x = x[:, ~hot]
+                    size = size[size <= chunk]
+                live = np.repeat(size > 1, size)
+                if live.any():
+                    u, v = edges(dict(zip(columns, x[:, live], strict=True)), np.repeat(np.arange(len(size)), size)[live])
+                    if len(u):
+                        yield from batch(u, v, [None] * len(columns))
+
+            held, n, hot_key = [], 0, None
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                x = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns])
+                held.append(x)
+                n += x.shape[1]
+                if n < BLOCK_ROWS:
+                    continue
+                x = np.concatenate(held, axis=1)
+                end = int(np.searchsorted(x[0], x[0, -1], "left"))  # where the last, open group begins
+                if x[0, 0] == hot_key:  # the rest of a group whose first rows have been handed on
+                    more = int(np.searchsorted(x[0], hot_key, "right"))
+                    yield from batch(None, None, list(x[:, :more]))
+                    x, end = x[:, more:], max(end - more, 0)
+                if end:
+                    yield from work(x[:, :end])
+                x = x[:, end:]
+                if defer and x.shape[1] > chunk:
+                    hot_key = x[0, 0]
+                    yield from batch(None, None, list(x))
+                    x = x[:, :0]
+                held, n = [x], x.shape[1]
+            if n:
+                x = np.concatenate(held, axis=1)
+                if x[0, 0] == hot_key:
+                    more = int(np.searchsorted(x[0], hot_key, "right"))
+                    yield from batch(None, None, list(x[:, :more]))
+                    x = x[:, more:]
+                if x.shape[1]:
+                    yield from work(x)
+
+        return stream
+
+    shape = ", ".join(f"{c} long" for c in ("u", "v", *columns))
+    tasks = max(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // TASK_ROWS + 1)
+    first = cut(keyed.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(run(True), shape))
+    hot = first.where("u is null").select(*columns)
+    sizes = cut(hot.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / chunk).alias("chunks")))
+    found = first.where("u is not null").select("u", "v")
+    if sizes.isEmpty():
+        return found
+    own = F.pmod(F.xxhash64("fp"), F.col("chunks"))
+    # the key of a pair of chunks takes the place of the group's
+    others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda i: F.xxhash64("key", F.least(i, own), F.greatest(i, own)))
+    dealt = join_checked(hot, sizes, "key").select(F.explode(others).alias("pair"), *columns[1:]).withColumnRenamed("pair", "key")
+    again = dealt.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(run(False), shape)
+    return found.unionByName(again.select("u", "v"))
+
+
+def blocks_for(n: int, bits: int) -> int:
+    """Least number of blocks, above bits, whose agreeing ones make keys long enough for groups of about GROUP x 32 of n fingerprints."""
+    blocks = bits + 1
+    while blocks < 2 * bits + 2 and n >> (64 * (blocks - bits) // blocks) > 32 * GROUP:
+        blocks += 1
+    return blocks
+
+
+def near_edges(fps: DataFrame, bits: int = BITS, chunk: int = CHUNK, blocks: int | None = None) -> DataFrame:
+    """From distinct fp: u, v, edges that span what fingerprints within bits bits of each other connect."""
+    n = fps.count()
+    blocks = blocks or blocks_for(n, bits)
+    masks = [sum(1 << i for i in range(64 * b // blocks, 64 * (b + 1) // blocks)) for b in range(blocks)]
+    chosen = [sum(c) for c in combinations(masks, blocks - bits)]
+    signed = lambda x: F.lit(x - (x >> 63 << 64)).cast("long")
+    # a key is the hash of a combination's number and its bits; groups whose keys collide are joined as one, to no harm
+    keys = [F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(signed(m))) for i, m in enumerate(chosen)]
+    keyed = fps.select(F.explode(F.array(*keys)).alias("key"), "fp")
+
+    def edges(x, group):
         import numpy as np
-        import pyarrow as pa
 
-        got = [[c.to_numpy(zero_copy_only=False) for c in batch.columns] for batch in batches]
-        if not got:
-            return
-        fp, block, value, part = (np.concatenate(x) for x in zip(*got, strict=True))
-        fp = fp.view(np.uint64)
-        order = np.lexsort((fp, part, value, block))
-        fp, block, value, part = fp[order], block[order], value[order], part[order]
-        group = np.cumsum(np.r_[0, (block[1:] != block[:-1]) | (value[1:] != value[:-1]) | (part[1:] != part[:-1])])
-        i, j = trie_pairs(fp, group, bits)
-        names, at = np.unique(fp, return_inverse=True)
-        root = spanning(len(names), at[i], at[j])
-        moved = np.flatnonzero(root != np.arange(len(names)))
-        for k in range(0, len(moved), 1 << 16):
-            m = moved[k : k + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(names[m].view(np.int64)), pa.array(names[root[m]].view(np.int64))], ["u", "v"])
-
-    return dealt.mapInArrow(run, "u long, v long")
-
-
-#: Wide fingerprints: bits, words of WORD_BITS bits, of which one may differ in WORD_ERRORS; most differing bits of all.
-#: At a Jaccard similarity of 0.8 of five-word shingles a bit differs with probability 0.15 or so, 38.5 bits of 256 with a
-#: spread of 6.
-WIDE_SHINGLE, WIDE_BITS, WORD_BITS, WORD_ERRORS, WIDE_ERRORS = 5, 256, 24, 2, 60
-#: The bytes of each word: three ways to cut the fingerprint into ten; no two words share more than a byte.
-_WORDS = tuple((3 * w, 3 * w + 1, 3 * w + 2) for w in range(10)) + tuple((w, 10 + (w + x) % 10, 20 + (w + y) % 10) for x, y in ((0, 0), (3, 7)) for w in range(10))
-#: Least Jaccard similarity of linked texts, as a fraction; rounds that try a component's members against one of them.
-SIMILARITY, STARS = (4, 5), 3
+        value = x["fp"].view(np.uint64)
+        order = np.lexsort((value, group))
+        i, j = trie_pairs(value[order], group[order], bits)
+        return _spanning_edges(x["fp"][order], i, j)
+
+    return _group_join(keyed, n * len(chosen), edges, chunk)
+
+
+#: Wide fingerprints: bits; how many of the first WORD bits of the check, and of all its CHECK bits, may differ. At a Jaccard
+#: similarity of 0.8 of five-word shingles a bit differs with probability 0.15 or so, 6.1 bits of 40 with a spread of 2.3,
+#: 19.4 bits of 128 with a spread of 4.1.
+WIDE_SHINGLE, WIDE_BITS, WORD, WORD_ERRORS, CHECK_ERRORS = 5, 256, 40, 14, 34
+#: Least Jaccard similarity of linked texts, as a fraction; the share of isolated pairs at it that keys find.
+SIMILARITY, RECALL = (4, 5), 0.996
+#: Rounds that try a component's members against one of them.
+STARS = 3
 _STREAMS = (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+#: Odd multipliers of a shingle's words.
+_TURNS = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)
+
+
+class WordHashes(dict):
+    """XXH64 by word (bytes); a bounded memo."""
+
+    LIMIT = 1 << 17
+
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh64_intdigest
 
+        if len(self) >= self.LIMIT:
+            self.clear()
+        value = self[word] = xxh64_intdigest(word, SEED)
+        return value
 
-def shingle_set(text: str | None, shingle: int = WIDE_SHINGLE, seed: int = SEED):
-    """Different hashes of shingle_hashes, sorted."""
+
+def _mixed(x):
+    import numpy as np
+
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+def shingle_set(text: str | None, shingle: int = WIDE_SHINGLE, hashes: WordHashes | None = None):
+    """Different hashes of a text's shingles (a text of fewer words is one), sorted: those of the words, weighed by place and mixed."""
     import numpy as np
 
-    return np.unique(np.array(shingle_hashes(text, shingle, seed), dtype="<u8"))
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z and \x20 \x09-\x0D only
+    get = (WordHashes() if hashes is None else hashes).__getitem__
+    h = np.fromiter(map(get, words), np.uint64, len(words))
+    width = min(shingle, len(words))
+    total = np.full(max(len(words) - width + 1, 0) if words else 0, width, np.uint64)
+    for k in range(width):
+        total = total + h[k : k + len(total)] * np.uint64(_TURNS[k % len(_TURNS)] + 2 * (k // len(_TURNS)))
+    return np.unique(_mixed(total))
 
 
 def similar(a, b) -> bool:
@@ -199,41 +330,37 @@ def similar(a, b) -> bool:
     return whole * both >= part * (len(a) + len(b) - both)
 
 
-def wide_fingerprint(text: str | None, shingle: int = WIDE_SHINGLE, seed: int = SEED) -> bytes:
-    """256-bit SimHash (32 bytes) of the shingle set: four streams of bits are derived from each shingle's hash."""
-    return _wide(shingle_set(text, shingle, seed))
-
-
-def _wide(hashes) -> bytes:
+def wide_fingerprint(hashes) -> bytes:
+    """256-bit SimHash (32 bytes) of a shingle set: four streams of bits are derived from each shingle's hash."""
     import numpy as np
 
-    if not len(hashes):
+    n = len(hashes)
+    if not n:
         return bytes(WIDE_BITS // 8)
-    out = []
-    for stream in _STREAMS:
-        ones = np.zeros(64, dtype=np.int64)
-        for at in range(0, len(hashes), 1 << 16):
-            x = hashes[at : at + (1 << 16)] ^ np.uint64(stream)
-            x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = np.ascontiguousarray(x ^ (x >> np.uint64(29)))
-            ones += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-        out.append(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes())
-    return b"".join(out)
+    ones = np.zeros(WIDE_BITS, np.int64)
+    for at in range(0, n, 1 << 14):
+        part = hashes[at : at + (1 << 14)]
+        streams = np.stack([_mixed(part ^ np.uint64(s)) for s in _STREAMS], axis=1)
+        found = np.unpackbits(streams.view(np.uint8), axis=1, bitorder="little")
+        whole = len(found) // 255 * 255  # sums of 255 bits fit a byte
+        ones += found[:whole].reshape(-1, 255, WIDE_BITS).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64) + found[whole:].sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > n, bitorder="little").tobytes()
 
 
-def wide_fingerprints(docs: DataFrame, shingle: int = WIDE_SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id, hash (of the text), wide (the fingerprint), fp (hash of the shingle set)."""
+def wide_fingerprints(docs: DataFrame, shingle: int = WIDE_SHINGLE) -> DataFrame:
+    """From doc_id, text: doc_id, hash (of the text), wide (the fingerprint), fp (hash of the shingle set)."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from xxhash import xxh64_intdigest
 
+        memo = WordHashes()
         for batch in batches:
             wide, fp = [], []
             for text in batch.column(2).to_pylist():
-                hashes = shingle_set(text, shingle, seed)
-                wide.append(_wide(hashes))
-                x = xxh64_intdigest(hashes.tobytes(), seed)
+                hashes = shingle_set(text, shingle, memo)
+                wide.append(wide_fingerprint(hashes))
+                x = xxh64_intdigest(hashes.tobytes(), SEED)
                 fp.append(x - (x >> 63 << 64))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(wide, pa.binary()), pa.array(fp, pa.int64())], ["doc_id", "hash", "wide", "fp"])
 
@@ -241,77 +368,72 @@ def wide_fingerprints(docs: DataFrame, shingle: int = WIDE_SHINGLE, seed: int =
     return docs.select("doc_id", F.xxhash64("text").alias("hash"), "text").mapInArrow(run, f"doc_id {kind}, hash long, wide binary, fp long")
 
 
-def wide_edges(fps: DataFrame, errors: int = WIDE_ERRORS, word_errors: int = WORD_ERRORS, chunk: int = CHUNK) -> DataFrame:
-    """From distinct fp, wide: u, v (fp), spanning edges of fingerprints that differ in at most errors bits, and in at most word_errors of one word's.
+@lru_cache
+def tables_for(key_bits: int, recall: float = RECALL) -> int:
+    """Number of keys of key_bits sampled bits of which a pair at SIMILARITY shares one with probability recall."""
+    part, whole = SIMILARITY
+    differ = acos(2 * part / (whole + part)) / pi  # of two sets of equal size
+    chance = [(comb(WIDE_BITS, d) * differ**d * (1 - differ) ** (WIDE_BITS - d), comb(WIDE_BITS - d, key_bits) / comb(WIDE_BITS, key_bits)) for d in range(WIDE_BITS - key_bits + 1)]
+    n = 8
+    while sum(w * (1 - (1 - agree) ** n) for w, agree in chance) < recall:
+        n = ceil(n * 1.05)
+    return n
+
+
+def wide_edges(fps: DataFrame, chunk: int = CHUNK, n: int | None = None) -> DataFrame:
+    """From distinct fp, wide: u, v (fp), spanning edges of candidates: fingerprints that share a key and differ in at most CHECK_ERRORS of the check's bits.
 
-    A word's trie join is dealt by blocks as that of near_edges; the fingerprint travels along, so that a task settles its
-    candidates and emits no more rows than it has fingerprints. With a column label, every such pair of unlike labels is
-    emitted instead, once or more.
+    Keys sample log2(n / GROUP) bits, so groups keep their size as n grows, and their number grows with about its fourth
+    root. With a column label, every such pair of unlike labels is emitted instead, once or more.
     """
     labelled = "label" in fps.columns
-    extra = ["label"] if labelled else []
-    words, blocks = len(_WORDS), word_errors + 1
-    step = WORD_BITS // blocks
-    number = lambda w: F.conv(F.hex(F.concat(*[F.substring("wide", b + 1, 1) for b in _WORDS[w]])), 16, 10).cast("long")
-    at = [
-        F.struct(F.lit(w * blocks + b).alias("table"), F.shiftright(F.get("numbers", F.lit(w)), b * step).bitwiseAND(F.lit((1 << step) - 1)).alias("value"))
-        for w in range(words)
-        for b in range(blocks)
-    ]
-    numbered = fps.select("fp", "wide", *extra, F.array(*[number(w) for w in range(words)]).alias("numbers"))
-    keyed = numbered.select("fp", "wide", *extra, F.explode(F.array(*at)).alias("k")).select("fp", "wide", *extra, "k.table", "k.value")
-    slim = numbered.select(F.explode(F.array(*at)).alias("k"))
-    hot = cut(slim.groupBy("k.table", "k.value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk).withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int")).drop("n"))
-    own = F.pmod(F.col("fp"), F.col("chunks")).cast("int")
-    others = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda i: F.least(i, own) * F.col("chunks") + F.greatest(i, own))
-    dealt = (
-        join_checked(keyed, hot, ["table", "value"], "left")
-        .withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-        .select("fp", "wide", *extra, "table", "value", F.explode(others).alias("part"))
-        .repartition("table", "value", "part")
-    )
+    n = n or max(fps.count(), 1)
+    key_bits = max(8, ceil(log2(max(n / GROUP, 1))))
+    tables = tables_for(key_bits)
 
-    def run(batches: Iterator) -> Iterator:
+    def keys(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        got = [(*[c.to_numpy(zero_copy_only=False) for c in (b["fp"], b["table"], b["value"], b["part"], b["label" if labelled else "fp"])], np.frombuffer(b"".join(b["wide"].to_pylist()), np.uint8).reshape(-1, WIDE_BITS // 8)) for b in batches if b.num_rows]
-        if not got:
-            return
-        fp, table, value, part, label, wide = (np.concatenate(x) for x in zip(*got, strict=True))
-        word = (table // blocks).astype(np.int64)
-        own = np.zeros(len(fp), np.uint64)
-        for k in np.array(_WORDS).T:
-            own = own << np.uint64(8) | wide[np.arange(len(fp)), k[word]].astype(np.uint64)
-        # below the word stand bits of the name, which tell equal words apart and count for nothing
-        own = own << np.uint64(64 - WORD_BITS) | fp.view(np.uint64) >> np.uint64(WORD_BITS)
-        order = np.lexsort((own, part, value, table))
-        fp, table, value, part, label, own, wide = (x[order] for x in (fp, table, value, part, label, own, wide))
-        group = np.cumsum(np.r_[0, (table[1:] != table[:-1]) | (value[1:] != value[:-1]) | (part[1:] != part[:-1])])
-        full = np.ascontiguousarray(wide).view(np.uint64)
-        names, at = np.unique(fp, return_inverse=True)
-        root = np.arange(len(names))
+        sampled = np.zeros((WIDE_BITS, tables), np.float64)
+        rng = np.random.default_rng(SEED)
+        for t in range(tables):
+            sampled[rng.choice(WIDE_BITS, key_bits, replace=False), t] = 2.0 ** np.arange(key_bits)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                if not part.num_rows:
+                    continue
+                wide = np.frombuffer(b"".join(part["wide"].to_pylist()), np.uint8).reshape(-1, WIDE_BITS // 8)
+                key = (np.unpackbits(wide, axis=1).astype(np.float64) @ sampled).astype(np.int64) | np.arange(tables, dtype=np.int64) << key_bits
+                check = np.ascontiguousarray(wide).view(np.int64)
+                out = [key.ravel(), *(np.repeat(x, tables) for x in (part["fp"].to_numpy(), check[:, 0], check[:, 1], part["label" if labelled else "fp"].to_numpy()))]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["key", "fp", "c1", "c2", "label"])
+
+    columns = ["key", "fp", "c1", "c2"] + ["label"] * labelled
+    keyed = fps.select("fp", "wide", *["label"] * labelled).mapInArrow(keys, "key long, fp long, c1 long, c2 long, label long").select(*columns)
+
+    def edges(x, group):
+        import numpy as np
+
+        c1, c2 = x["c1"].view(np.uint64), x["c2"].view(np.uint64)
+        # below the word stand bits of the name, which tell most equal words apart and count for nothing
+        value = c1 >> np.uint64(64 - WORD) << np.uint64(64 - WORD) | x["fp"].view(np.uint64) >> np.uint64(WORD)
+        order = np.lexsort((value, group))
+        value, group, c1, c2, fp = (y[order] for y in (value, group, c1, c2, x["fp"]))
+        label = x["label"][order] if labelled else None
 
         def close(i, j):
-            nonlocal root
-            near = np.bitwise_count(full[i] ^ full[j]).sum(axis=1) <= errors
-            if labelled:
-                return near & (label[i] != label[j])
-            a, b = root[at[i[near]]], root[at[j[near]]]
-            if (a != b).any():
-                root = spanning(len(names), a, b)[root]
-            return np.zeros(len(i), bool)  # in root by now
-
-        i, j = trie_pairs(own, group, word_errors, ((1 << WORD_BITS) - 1) << (64 - WORD_BITS), close)
-        if labelled:
-            pairs = np.unique(np.stack([np.minimum(fp[i], fp[j]), np.maximum(fp[i], fp[j])]), axis=1)
-        else:
-            moved = np.flatnonzero(root != np.arange(len(names)))
-            pairs = np.stack([names[moved], names[root[moved]]])
-        for k in range(0, pairs.shape[1], 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs[:, k : k + (1 << 16)]], ["u", "v"])
-
-    return dealt.mapInArrow(run, "u long, v long")
+            near = np.bitwise_count(c1[i] ^ c1[j]).astype(np.int16) + np.bitwise_count(c2[i] ^ c2[j]) <= CHECK_ERRORS
+            return near & (label[i] != label[j]) if labelled else near
+
+        i, j = trie_pairs(value, group, WORD_ERRORS, ((1 << WORD) - 1) << (64 - WORD), close)
+        if not labelled:
+            return _spanning_edges(fp, i, j)
+        pairs = np.unique(np.stack([np.minimum(fp[i], fp[j]), np.maximum(fp[i], fp[j])]), axis=1)
+        return pairs[0], pairs[1]
+
+    return _group_join(keyed, n * tables, edges, chunk)
 
 
 def _verified(pairs: DataFrame) -> DataFrame:
@@ -329,30 +451,32 @@ def _verified(pairs: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, rows: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
-    """node, component, set (bytes) of members (node, component)."""
+    """node, component, set (bytes) of members (node, component). docs: doc_id, hash, text."""
     first = rows.join(members, F.col("fp") == F.col("node")).groupBy("node", "component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "hash")).alias("at"))
     first = cut(first.select("node", "component", F.col("at.doc_id").alias("_id"), F.col("at.hash").alias("_of")))
-    texts = join_checked(docs.select("doc_id", F.xxhash64("text").alias("hash"), "text"), first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_of")))
+    texts = join_checked(docs, first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_of")))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        memo = WordHashes()
         for batch in batches:
-            found = pa.array([shingle_set(t, shingle).tobytes() for t in batch.column(2).to_pylist()], pa.binary())
+            found = pa.array([shingle_set(t, shingle, memo).tobytes() for t in batch.column(2).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], ["node", "component", "set"])
 
     return cut(texts.select("node", "component", "text").mapInArrow(run, "node long, component long, set binary").dropDuplicates(["node"]))
 
 
-def similar_components(docs: DataFrame, rows: DataFrame, shingle: int = WIDE_SHINGLE, errors: int = WIDE_ERRORS) -> DataFrame:
+def similar_components(docs: DataFrame, rows: DataFrame, shingle: int = WIDE_SHINGLE) -> DataFrame:
     """node, root as connected_components() gives them: of candidates whose shingle sets are similar.
 
     Links lie within components of candidates. A component's members are tried against one of them, those that fail
     against another of theirs, STARS times; what that leaves apart is tried by all its candidate pairs. So a large group
     of copies takes about one comparison a member, and no candidate pair stays untried unless its ends are joined.
     """
-    wide = rows.select("fp", "wide").dropDuplicates(["fp"])
-    found = cut(connected_components(wide_edges(wide, errors)))
+    wide = cut(rows.select("fp", "wide").dropDuplicates(["fp"]))
+    n = wide.count()
+    found = cut(connected_components(wide_edges(wide, n=n)))
     members = cut(found.select("node", F.col("root").alias("component")).unionByName(found.select(F.col("root").alias("node"), F.col("root").alias("component")).distinct()))
     sets = _sets(docs, rows, members, shingle)
     links, left, apart = None, sets, None
@@ -371,34 +495,43 @@ def similar_components(docs: DataFrame, rows: DataFrame, shingle: int = WIDE_SHI
     if not open_.isEmpty():
         label = links.select(F.col("u").alias("node"), F.col("v").alias("label"))
         nodes = members.join(open_, "component", "left_semi").join(label, "node", "left").select(F.col("node").alias("fp"), F.coalesce("label", "node").alias("label"))
-        rest = cut(wide_edges(cut(wide.join(nodes, "fp")), errors).distinct())
+        # keys for the whole table's number of fingerprints, not for these few: the same candidates
+        rest = cut(wide_edges(cut(wide.join(nodes, "fp")), n=n).distinct())
         pairs = rest.join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
         links = links.unionByName(_verified(pairs).where("near").select("u", "v"))
     return connected_components(links)
 
 
-def keep_one(docs: DataFrame, shingle: int = WIDE_SHINGLE, errors: int = WIDE_ERRORS) -> DataFrame:
-    """docs with one row of each group of near-duplicates: the row of least id, then of least text hash."""
-    rows = cut(wide_fingerprints(docs, shingle))
-    roots = cut(similar_components(docs, rows, shingle, errors))
+def keep_one(docs: DataFrame, shingle: int = WIDE_SHINGLE) -> DataFrame:
+    """docs with one row of each group of near-duplicates: the row of least id, then of least text hash.
+
+    A row is told by its id and a hash of its text. The groups' kept rows come from an aggregation by group; only
+    those who stay (at most a row per group) are joined back, so no task meets a large group's members.
+    """
+    slim = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text")
+    rows = cut(wide_fingerprints(slim, shingle))
+    roots = cut(similar_components(slim, rows, shingle))
     place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "hash")
-    slim = rows.select("doc_id", "hash", "fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("doc_id", "hash", F.coalesce("root", "fp").alias("group"))
-    counted = slim.groupBy("group", "doc_id", "hash").agg(F.count(F.lit(1)).alias("n"))
-    first = counted.groupBy("group").agg(F.min(place).alias("first"))
-    marked = cut(counted.join(first, "group").select("doc_id", "hash", "n", (place == F.col("first")).alias("kept")).where(~F.col("kept") | (F.col("n") > 1)))
-    gone = marked.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("hash").alias("_of"))
-    again = marked.where("kept").select(F.col("doc_id").alias("_id"), F.col("hash").alias("_of"))
-    hashed = docs.withColumn("_hash", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_of"))
-    kept = join_checked(hashed, gone, same, "left_anti")
-    if again.count():  # rows repeated as they are
-        once = join_checked(kept, again, same, "left_semi").dropDuplicates(["doc_id", "_hash"])
-        kept = join_checked(kept, again, same, "left_anti").unionByName(once)
-    return kept.drop("_hash")
+    # the least row of each shingle set, then, with one row for each set, of each group: partial aggregations only
+    least = rows.groupBy("fp").agg(F.min(place).alias("least"))
+    grouped = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(F.coalesce("root", "fp").alias("group"), "least")
+    first = cut(grouped.groupBy("group").agg(F.min("least").alias("at")).select(F.col("at.doc_id").alias("_id"), F.col("at.hash").alias("_of")))
+    whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("_own"), F.xxhash64("text").alias("_hash"))
+    same = F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_of"))
+    kept = join_checked(whole, first, same, "left_semi")
+    # rows repeated as they are: one of them
+    twice = cut(rows.groupBy("doc_id", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_id"), F.col("hash").alias("_of")))
+    if not twice.isEmpty():
+        once = join_checked(kept, twice, same, "left_semi").dropDuplicates(["_own", "_hash"])
+        kept = join_checked(kept, twice, same, "left_anti").unionByName(once)
+    return kept.select("row.*")
 
 
 def near_components(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, seed: int = SEED, chunk: int = CHUNK) -> DataFrame:
-    """Per row of docs: doc_id, fp (signed long), component_id (least doc_id that links reach, itself included)."""
+    """Per row of docs: doc_id, fp (signed long), component_id (least doc_id that links reach, itself included).
+
+    Rows of one fingerprint, however many, get their component by a join that broadcasts or lets AQE split them.
+    """
     rows = cut(fingerprints(docs, shingle, seed))
     reps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = connected_components(near_edges(reps.select("fp"), bits, chunk))

@@ -247,17 +247,17 @@ def score_documents(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame
 
 
 def keep_clean(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
-    """docs without the rows whose score reaches limit."""
+    """docs without the rows whose score reaches limit. Only texts travel to Python; other columns, of any name, stay."""
     bound_batches(docs.sparkSession)
-    shared, columns = docs.sparkSession.sparkContext.broadcast(vars(model)), docs.columns
-    place = columns.index("text")
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
 
+    def run(batches):
         own = Model.of(shared.value)
         read = own.reader()
-        for batch in batches:
-            yield batch.filter(pa.array([own.probability(*read(t)) < limit for t in batch.column(place).to_pylist()], pa.bool_()))
+        for texts in batches:
+            yield texts.map(lambda t: own.probability(*read(t)) < limit).astype(bool)
+
+    import pandas as pd
 
-    return docs.mapInArrow(run, docs.schema)
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return docs.where(F.pandas_udf(run, "boolean")(F.col("text")))

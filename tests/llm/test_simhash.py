@@ -91,3 +91,35 @@ def test_accepted_pairs_only():
     assert got == {(0, 1), (0, 3), (0, 7), (1, 2), (2, 3), (2, 7)}
     i, j = simhash.trie_pairs(values, np.zeros(5, np.int64), 0, counted=~0b11 & (1 << 64) - 1)  # low bits count for nothing
     assert len(i) == 6
+
+
+def test_longer_keys_find_the_same(spark):
+    rng = np.random.default_rng(8)
+    base = rng.integers(-(2**63), 2**63 - 1, 60)
+    flips = np.array([np.bitwise_xor.reduce(np.int64(1) << rng.choice(63, rng.integers(0, 5), replace=False)) if k % 7 else 0 for k in range(900)])
+    fps = spark.createDataFrame([(int(x),) for x in np.unique(base[rng.integers(0, 60, 900)] ^ flips)], "fp long")
+    found = [sorted(map(tuple, connected_components(simhash.near_edges(fps, blocks=b)).collect())) for b in (4, 5, 6)]
+    assert found[0] == found[1] == found[2] and found[0]
+    assert [simhash.blocks_for(n, 3) for n in (0, 10**6, 10**9, 10**12)] == [4, 4, 5, 6]
+
+
+def test_keys_grow_slower_than_fingerprints():
+    tables = [simhash.tables_for(b) for b in (12, 16, 20)]
+    assert tables == sorted(tables) and tables[2] / tables[0] < 2**8 / 16
+
+
+def test_equal_values_are_paired():
+    values = np.array([5, 5, 5, 9], dtype=np.uint64)
+    i, j = simhash.trie_pairs(values, np.zeros(4, np.int64), 1)
+    assert {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist())} == {(0, 1), (0, 2), (1, 2)} and len(i) == 3
+
+
+def test_shingle_sets_tell_shingles_apart():
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(40)]
+    for n in (0, 1, 4, 5, 6, 300):
+        text = [rng.choice(words) for _ in range(n)]
+        want = len({tuple(text[i : i + 5]) for i in range(max(n - 4, 1))}) if n else 0
+        assert len(simhash.shingle_set(" ".join(text))) == want
+    assert not set(simhash.shingle_set("a b c d e f").tolist()) & set(simhash.shingle_set("b a c d e f").tolist()) - set(simhash.shingle_set("c d e f").tolist())
+    assert len(simhash.wide_fingerprint(simhash.shingle_set("x y " * 20000))) == 32
