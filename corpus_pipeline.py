@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from cairnflow.llm import bpe, mixing, pii, simhash, toxicity
-from cairnflow.llm._common import remove, shared_dir, table
+from cairnflow.llm._common import remove, scratch, shared_dir, table
 from cairnflow.llm.queries import RANKS, tokenizer_file
 
 
@@ -61,7 +61,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
+        with scratch(spark):  # a stage's checkpoints go once its result is written
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
         if k:  # what the stage before returned has been read
             remove(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
