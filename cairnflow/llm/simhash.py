@@ -79,16 +79,18 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
 
 
-def trie_pairs(values, groups, bits: int, counted: int = (1 << 64) - 1, accept=None):
+def trie_pairs(values, groups, bits: int, counted: int = (1 << 64) - 1, accept=None, label=None):
     """Index pairs (i, j) of a sorted forest: values (uint64) sorted within groups (sorted); those of one group that differ in at most bits of the counted bits, and that accept(i, j) takes.
 
     A node is a run of the sorted values. The frontier holds pairs of nodes (lo, hi, lo, hi) with the differing bits of
     their prefixes; each level splits both nodes by one bit. Pairs of single values are settled at once, pairs of equal
-    ones at the last level. Wide frontiers are halved and finished one after the other, which bounds memory.
+    ones at the last level. Wide frontiers are halved and finished one after the other, which bounds memory. With label,
+    pairs of one label are left out, and so are nodes that hold nothing else: what is known to be joined costs no more.
     """
     import numpy as np
 
     n = len(values)
+    turns = None if label is None else np.r_[0, np.cumsum(label[1:] != label[:-1])]
     if n < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     first = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
@@ -103,6 +105,10 @@ def trie_pairs(values, groups, bits: int, counted: int = (1 << 64) - 1, accept=N
 
     found_i, found_j = [], []
 
+    def joined(a0, a1, b0, b1):
+        """Whether all of both nodes has one label."""
+        return (turns[a0] == turns[a1 - 1]) & (turns[b0] == turns[b1 - 1]) & (label[a0] == label[b0])
+
     def settle(i, j):
         near = np.bitwise_count((values[i] ^ values[j]) & np.uint64(counted)) <= bits
         i, j = i[near], j[near]
@@ -119,12 +125,17 @@ def trie_pairs(values, groups, bits: int, counted: int = (1 << 64) - 1, accept=N
             lone = (a1 - a0 == 1) & (b1 - b0 == 1)
             if lone.any():
                 i, j = a0[lone], b0[lone]
-                settle(i[i != j], j[i != j])
+                unlike = i != j if label is None else label[i] != label[j]
+                settle(i[unlike], j[unlike])
                 a0, a1, b0, b1, wrong = (x[~lone] for x in (a0, a1, b0, b1, wrong))
+            if label is not None and len(a0):
+                open_ = ~joined(a0, a1, b0, b1)
+                a0, a1, b0, b1, wrong = (x[open_] for x in (a0, a1, b0, b1, wrong))
             if level < 0:
                 for x0, x1, y0, y1 in zip(a0.tolist(), a1.tolist(), b0.tolist(), b1.tolist(), strict=True):  # equal values
                     for x in range(x0, x1):
                         y = np.arange(max(y0, x + 1) if x0 == y0 else y0, y1)
+                        y = y if label is None else y[label[y] != label[x]]
                         settle(np.full(len(y), x), y)
                 break
             if len(a0) > 1 << 18:
@@ -146,12 +157,25 @@ def trie_pairs(values, groups, bits: int, counted: int = (1 << 64) - 1, accept=N
     return (np.concatenate(found_i), np.concatenate(found_j)) if found_i else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def _spanning_edges(fp, i, j):
-    """Edges (u, v) that span what pairs of places in fp connect."""
+def _spanning_edges(fp, values, groups, bits: int, counted: int, close):
+    """Edges (u, v) that span what pairs of trie_pairs() connect. close(i, j): which pairs of places are near.
+
+    Neighbours in order, and each value and its group's first, are tried beforehand. So a large group of copies is joined
+    by a few comparisons a member, and the tries are left with what that keeps apart.
+    """
     import numpy as np
 
     names, at = np.unique(fp, return_inverse=True)
-    root = spanning(len(names), at[i], at[j])
+    n = len(fp)
+    first = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
+    hub = np.repeat(first, np.diff(np.r_[first, n]))
+    i, j = np.r_[np.arange(1, n), np.arange(n)], np.r_[np.arange(n - 1), hub]
+    same = (groups[i] == groups[j]) & (i != j)
+    i, j = i[same], j[same]
+    near = close(i, j)
+    root = spanning(len(names), at[i[near]], at[j[near]])
+    i, j = trie_pairs(values, groups, bits, counted, close, root[at])
+    root = spanning(len(names), root[at[i]], root[at[j]])[root]
     moved = np.flatnonzero(root != np.arange(len(names)))
     return names[moved], names[root[moved]]
 
@@ -265,8 +289,8 @@ def near_edges(fps: DataFrame, bits: int = BITS, chunk: int = CHUNK, blocks: int
 
         value = x["fp"].view(np.uint64)
         order = np.lexsort((value, group))
-        i, j = trie_pairs(value[order], group[order], bits)
-        return _spanning_edges(x["fp"][order], i, j)
+        value = value[order]
+        return _spanning_edges(x["fp"][order], value, group[order], bits, (1 << 64) - 1, lambda i, j: np.bitwise_count(value[i] ^ value[j]) <= bits)
 
     return _group_join(keyed, n * len(chosen), edges, chunk)
 
@@ -424,12 +448,12 @@ def wide_edges(fps: DataFrame, chunk: int = CHUNK, n: int | None = None) -> Data
         label = x["label"][order] if labelled else None
 
         def close(i, j):
-            near = np.bitwise_count(c1[i] ^ c1[j]).astype(np.int16) + np.bitwise_count(c2[i] ^ c2[j]) <= CHECK_ERRORS
-            return near & (label[i] != label[j]) if labelled else near
+            return np.bitwise_count(c1[i] ^ c1[j]).astype(np.int16) + np.bitwise_count(c2[i] ^ c2[j]) <= CHECK_ERRORS
 
-        i, j = trie_pairs(value, group, WORD_ERRORS, ((1 << WORD) - 1) << (64 - WORD), close)
+        word = ((1 << WORD) - 1) << (64 - WORD)
         if not labelled:
-            return _spanning_edges(fp, i, j)
+            return _spanning_edges(fp, value, group, WORD_ERRORS, word, close)
+        i, j = trie_pairs(value, group, WORD_ERRORS, word, close, label)
         pairs = np.unique(np.stack([np.minimum(fp[i], fp[j]), np.maximum(fp[i], fp[j])]), axis=1)
         return pairs[0], pairs[1]
 

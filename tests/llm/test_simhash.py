@@ -123,3 +123,24 @@ def test_shingle_sets_tell_shingles_apart():
         assert len(simhash.shingle_set(" ".join(text))) == want
     assert not set(simhash.shingle_set("a b c d e f").tolist()) & set(simhash.shingle_set("b a c d e f").tolist()) - set(simhash.shingle_set("c d e f").tolist())
     assert len(simhash.wide_fingerprint(simhash.shingle_set("x y " * 20000))) == 32
+
+
+def test_labels_leave_out_what_is_joined():
+    rng = np.random.default_rng(9)
+    values = np.sort(rng.integers(0, 1 << 12, 300).astype(np.uint64))
+    label = rng.integers(0, 3, 300)
+    i, j = simhash.trie_pairs(values, np.zeros(300, np.int64), 2, label=label)
+    got = {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist())}
+    assert got == {(a, b) for a in range(300) for b in range(a + 1, 300) if label[a] != label[b] and (int(values[a]) ^ int(values[b])).bit_count() <= 2} and len(got) == len(i)
+
+
+def test_large_groups_of_copies_stay_linear():
+    import time
+
+    rng = np.random.default_rng(10)
+    base = np.uint64(0x123456789ABCDEF0)
+    flips = np.uint64(1) << rng.integers(0, 64, 40000).astype(np.uint64) | np.uint64(1) << rng.integers(0, 64, 40000).astype(np.uint64)
+    fp = np.unique(np.r_[base, base ^ flips])
+    at = time.time()
+    u, v = simhash._spanning_edges(fp.view(np.int64), fp, np.zeros(len(fp), np.int64), 3, (1 << 64) - 1, lambda i, j: np.bitwise_count(fp[i] ^ fp[j]) <= 3)
+    assert len(set(u.tolist())) == len(fp) - 1 and time.time() - at < 20
