@@ -51,8 +51,7 @@ def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings")
-    return maxscore.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+    return maxscore.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
 def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,13 +110,13 @@ from r
     "op7_licenses": licenses.oracle(),
     "op9_maxscore": """
 with v as (
-  select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as e from embeddings
+  select vec_id, row_number() over () as row_, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as e from embeddings
   where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
-), c as (select vec_id, unnest(e) as x, unnest(range(len(e))) as i from v),
+), c as (select row_, vec_id, unnest(e) as x, unnest(range(len(e))) as i from v),
 s as (
-  select q.vec_id as query_id, c.vec_id, sum(q.x * c.x)::bigint as score
-  from c q join c on q.i = c.i and q.vec_id <> c.vec_id where q.vec_id % 100 = 0 group by all
-), r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+  select q.row_ as query_row, q.vec_id as query_id, c.row_, c.vec_id, sum(q.x * c.x)::bigint as score
+  from c q join c on q.i = c.i and q.row_ <> c.row_ where q.vec_id % 100 = 0 group by all
+), r as (select *, row_number() over (partition by query_row order by score desc, vec_id)::int as rank from s)
 select query_id, rank, vec_id, score from r where rank <= 10
 """,
     "op10_near_vectors": """
