@@ -8,11 +8,14 @@ follows it; so "of the" is a poor pattern although many seeds follow it. Pattern
 rounds, until a round accepts nothing: a pattern that enough accepted instances share by the share of its places that hold
 accepted instances of its kind (places of candidates not accepted so far are left out), an instance by the patterns it
 follows. Accepted instances stay accepted and become spans wherever they stand. A word glued to what follows it ("tel:+1")
-is a pattern of its own, which stands in every word that it begins.
-
-Defined cases: a null text is empty; text without matches has the digest of the empty string; repeated rows are scanned
-each for itself; corpus counts cover every row; no rows give no rows; other columns are ignored by scan() and kept by
-redact(), whose null texts stay null.
+is a pattern of its own: letters and digits and the signs after them, which stand within every word that goes on after them.
+Tasks learn which patterns to count from a bitmap of fixed size; what passes it is counted and joined with the patterns by
+a shuffle, so patterns may be many and none pass through the driver.
+
+Defined cases: a null text is empty; a very long text takes time in proportion to its length, whatever it holds; text
+without matches has the digest of the empty string; repeated rows are scanned
+each for itself; corpus counts cover every row; no rows give no rows; other columns, of any name, are
+ignored by scan() and kept by redact(), whose null texts stay null.
 """
 
 from __future__ import annotations
@@ -26,8 +29,10 @@ from pyspark.sql import functions as F
 from ._common import cut, join_checked
 
 KINDS = ("email", "ip", "card", "phone")
-#: Different accepted instances that make a pattern, the score that accepts, patterns counted in one pass.
-SUPPORT, ACCEPT, PASS_PATTERNS = 3, 0.8, 200_000
+#: Different accepted instances that make a pattern, the score that accepts, bits of the patterns' bitmap.
+SUPPORT, ACCEPT, BITMAP = 3, 0.8, 1 << 24
+#: Most entries of a task's counter; fuller ones are emitted.
+COUNTER = 1 << 19
 #: Ends patterns whose last word is glued to what follows; never part of a word.
 GLUED = "\n"
 
@@ -81,6 +86,15 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Identifier-like spans that no base span touches."""
+    from bisect import bisect_left
+
+    starts, ends = [], []  # of what base spans cover, in order
+    for a, _, b in sorted(taken):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     out = []
     for kind, pattern in _CANDIDATES:
         if kind == "email" and "dot" not in text or kind != "email" and not _DIGIT.search(text):
@@ -89,18 +103,41 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
             s, e = m.span()
             if kind == "phone" and not 7 <= len(_DIGIT.findall(m[0])) <= 15:
                 continue
-            if not any(s < b and a < e for a, _, b in taken):
+            last = bisect_left(starts, e) - 1
+            if last < 0 or ends[last] <= s:
                 out.append((s, KINDS.index(kind), e))
     return sorted(out)
 
 
-def contexts(text: str, start: int) -> list[str]:
-    """Lexical patterns of what stands before start: the last word, and the last two."""
-    words = [context_word(w) for w in text[max(0, start - 160) : start].split()]
-    if start > 160 and len(words) < 3:
-        words = []  # words too long to be patterns
-    end = GLUED if start and not text[start - 1].isspace() else ""
-    return [" ".join(words[-k:]) + end for k in (1, 2) if len(words) >= k]
+_WORD = re.compile(r"\S+")
+# letters and digits (or none) and the signs after them
+_HEAD = re.compile(r"([^\W_]*)([\W_]+)")
+
+
+class Contexts:
+    """Lexical patterns of places in a text: what stands before, the last word, and the last two."""
+
+    def __init__(self, text: str):
+        self.text, self.words = text, [m.span() for m in _WORD.finditer(text)]
+        self.starts = [s for s, _ in self.words]
+
+    def before(self, start: int) -> list[str]:
+        from bisect import bisect_left
+
+        text, k = self.text, bisect_left(self.starts, start)  # k words begin before start
+        word = lambda i: context_word(text[slice(*self.words[i])])
+        if not k or self.words[k - 1][1] <= start:
+            words = [word(i) for i in range(max(0, k - 2), k)]
+            return [" ".join(words[-n:]) for n in (1, 2) if len(words) >= n]
+        first, at = self.words[k - 1][0], start
+        while at > first and not text[at - 1].isalnum():
+            at -= 1
+        if at == start:
+            return []
+        while at > first and text[at - 1].isalnum():
+            at -= 1
+        head = context_word(text[at:start]) + GLUED
+        return [head, *([f"{word(k - 2)} {head}"] if at == first and k > 1 else [])]
 
 
 def context_word(word: str) -> str:
@@ -123,10 +160,11 @@ def _occurrences(docs: DataFrame) -> DataFrame:
                 text = text or ""
                 spans = base_spans(text)
                 more = candidates(text, spans)
+                before = Contexts(text).before if spans or more else None
                 rows.append(row)
                 row += 1
                 base.append([dict(zip(("start", "kind", "end"), s, strict=True)) for s in spans])
-                found.append([{"start": s, "kind": k, "end": e, "seed": seed, "instance": text[s:e].lower(), "patterns": contexts(text, s)} for seed, part in ((True, spans), (False, more)) for s, k, e in part])
+                found.append([{"start": s, "kind": k, "end": e, "seed": seed, "instance": text[s:e].lower(), "patterns": before(s)} for seed, part in ((True, spans), (False, more)) for s, k, e in part])
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), batch.column(0), batch.column(1), pa.array(base, pa.list_(span)), pa.array(found, pa.list_(occurrence))], ["row", "doc_id", "hash", "base", "found"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -136,46 +174,93 @@ def _occurrences(docs: DataFrame) -> DataFrame:
     )
 
 
+def _bitmap(patterns: DataFrame) -> bytes:
+    """BITMAP bits, of which each pattern's hash sets one; tasks bring theirs deflated."""
+
+    def run(batches: Iterator) -> Iterator:
+        from zlib import compress
+
+        import numpy as np
+        import pyarrow as pa
+
+        bits = np.zeros(BITMAP // 8, np.uint8)
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+        if bits.any():
+            yield pa.RecordBatch.from_arrays([pa.array([compress(bits.tobytes(), 1)], pa.binary())], ["bits"])
+
+    from zlib import decompress
+
+    import numpy as np
+
+    found = np.zeros(BITMAP // 8, np.uint8)
+    spread = patterns.select(F.pmod(F.crc32(F.col("pattern").cast("binary")), F.lit(BITMAP)).alias("at"))
+    for r in spread.mapInArrow(run, "bits binary").toLocalIterator():
+        found |= np.frombuffer(decompress(r["bits"]), np.uint8)
+    return found.tobytes()
+
+
 def _pattern_places(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """pattern, places: how often each of patterns stands in docs, whatever follows. Patterns go to the tasks PASS_PATTERNS at a time."""
-    n = patterns.count()
-    passes, found = max(1, -(-n // PASS_PATTERNS)), None
-    for k in range(passes if n else 0):
-        part = patterns.where(F.pmod(F.xxhash64("pattern"), F.lit(passes)) == k).select("pattern")
-        wanted = docs.sparkSession.sparkContext.broadcast(frozenset(r["pattern"] for r in part.toLocalIterator()))
-
-        def run(batches: Iterator, wanted=wanted) -> Iterator:
-            from collections import Counter
-
-            import pyarrow as pa
-
-            single = {p for p in wanted.value if " " not in p}
-            pairs = {p for p in wanted.value if " " in p}
-            ends = {p.split(" ")[1] for p in pairs}
-            heads: dict[str, set[int]] = {}  # lengths of glued last words by their first letter
-            for p in wanted.value:
-                if p.endswith(GLUED):
-                    last = p[: -len(GLUED)].split(" ")[-1]
-                    heads.setdefault(last[0], set()).add(len(last))
-            counts: Counter = Counter()
-            for batch in batches:
-                for text in batch.column(0).to_pylist():
-                    words = (_DIGIT.sub("0", text.lower()) if text else "").split()
-                    known = single.intersection(words)
-                    if known:
-                        counts.update(w for w in words if w in known)
-                    if not ends.isdisjoint(words):
-                        counts.update(p for i, w in enumerate(words) if i and w in ends and (p := f"{words[i - 1]} {w}") in pairs)
-                    for i, w in enumerate(words if heads else ()):
-                        for k in heads.get(w[0], ()):
-                            if len(w) > k:
-                                last = w[:k] + GLUED
-                                counts.update(p for p in ([last, f"{words[i - 1]} {last}"] if i else [last]) if p in wanted.value)
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["pattern", "places"])
-
-        one = docs.select("text").mapInArrow(run, "pattern string, places long").groupBy("pattern").agg(F.sum("places").alias("places"))
-        found = one if found is None else found.unionByName(one)
-    return found if found is not None else patterns.select("pattern", F.lit(0).cast("long").alias("places")).limit(0)
+    """pattern, places: how often each of patterns (a cut) stands in docs, whatever follows. One scan."""
+    if patterns.isEmpty():
+        return patterns.select("pattern", F.lit(0).cast("long").alias("places"))
+    # last words of pairs, marked by a blank before them, are in the bitmap too
+    last = F.when(F.contains("pattern", F.lit(" ")), F.concat(F.lit(" "), F.substring_index("pattern", " ", -1)))
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(patterns.select(F.explode(F.array_compact(F.array("pattern", last))).alias("pattern"))))
+    glued = not patterns.where(F.col("pattern").endswith(GLUED)).isEmpty()
+
+    def run(batches: Iterator) -> Iterator:
+        from collections import Counter
+        from zlib import crc32
+
+        import pyarrow as pa
+
+        bits, counts = shared.value, Counter()
+
+        def wanted(pattern: str) -> bool:
+            h = crc32(pattern.encode("utf-8", "surrogatepass")) % BITMAP
+            return bits[h >> 3] >> (h & 7) & 1 == 1
+
+        class Roles(dict):
+            """1 for a word that is a pattern, 2 for one that ends a pair, 3 for both."""
+
+            def __missing__(self, word: str) -> int:
+                if len(self) > COUNTER:
+                    self.clear()
+                role = self[word] = wanted(word) + 2 * wanted(" " + word)
+                return role
+
+        roles = Roles()
+
+        def table():
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["pattern", "places"])
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                words = (_DIGIT.sub("0", text.lower()) if text else "").split()
+                for i, role in enumerate(map(roles.__getitem__, words)):
+                    if role:
+                        if role & 1:
+                            counts[words[i]] += 1
+                        if role & 2 and i and wanted(p := f"{words[i - 1]} {words[i]}"):
+                            counts[p] += 1
+                for i, w in enumerate(words if glued else ()):
+                    for m in () if w.isalnum() else _HEAD.finditer(w):
+                        for before in ("", f"{words[i - 1]} ") if i and not m.start() else ("",):
+                            at = crc32((before + m[1]).encode("utf-8", "surrogatepass"))
+                            for n, sign in enumerate(m[2][: len(w) - 1 - m.start(2)], 1):  # something follows
+                                at = crc32(sign.encode("utf-8", "surrogatepass"), at)
+                                h = crc32(GLUED.encode(), at) % BITMAP
+                                if bits[h >> 3] >> (h & 7) & 1:
+                                    counts[before + m[1] + m[2][:n] + GLUED] += 1
+                if len(counts) > COUNTER:
+                    yield table()
+                    counts.clear()
+        yield table()
+
+    every = docs.select("text").mapInArrow(run, "pattern string, places long").groupBy("pattern").agg(F.sum("places").alias("places"))
+    return every.join(patterns, "pattern", "left_semi")
 
 
 def discover(docs: DataFrame, occurrences: DataFrame, support: int = SUPPORT, accept: float = ACCEPT) -> DataFrame:

@@ -36,6 +36,24 @@ def test_long_texts_take_linear_time():
     for text in ("1" * 300000, "a" * 300000 + "@", "1." * 150000 + "x", "+1" + "(" * 300000, "@" * 300000, "a@" * 150000, "1 " * 150000, "a at b dot " * 30000):
         spans = pii.base_spans(text)
         pii.candidates(text, spans[:10])
+        pii.candidates(text, spans)
+    before = pii.Contexts("a@b.co," * 40000).before  # one word
+    assert len([before(s) for s, _, _ in pii.base_spans("a@b.co," * 40000)]) == 40000
+    text = "a@b.co 030 555 4477 " * 20000  # as many candidates as base spans
+    spans = pii.base_spans(text)
+    before = pii.Contexts(text).before
+    assert len(spans) == len(pii.candidates(text, spans)) == 20000 and len([before(s) for s, _, _ in spans]) == 20000
+
+
+def test_contexts():
+    before = lambda text, mark: pii.Contexts(text).before(text.index(mark))
+    long = "y" * 5000
+    assert before("one Two3 +1", "+1") == ["two0", "one two0"] and before("+1", "+1") == []
+    assert before("call tel:+1", "+1") == ["tel:" + pii.GLUED, "call tel:" + pii.GLUED]
+    assert before(f"{long} {long} +1", "+1") == [long, f"{long} {long}"]
+    assert before("\u00e9a@b.c", "a@") == []  # no sign stands before it
+    assert before("on x=1;tel::+1", "+1") == ["tel::" + pii.GLUED] and before("a (+1", "+1") == ["(" + pii.GLUED, "a (" + pii.GLUED]
+    assert before("x\n\ty +1", "+1") == ["y", "x y"]
 
 
 def test_scan_and_discovery(spark):
@@ -71,6 +89,18 @@ def test_discovery_reaches_a_fixed_point(spark):
     assert len(got) == len(rows) and bare == {550, 600}
 
 
+def test_long_contexts_and_many_patterns(spark, monkeypatch):
+    """Words of any length are patterns; a small bitmap and a small counter change nothing."""
+    long = "z" * 700
+    rows = [(i, f"{long} +1 (555) 010-{1000 + i} and", "x") for i in range(6)] + [(50, f"{long} 030 555 4477 today", "x"), (51, "other 030 555 9999 today", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    for bitmap, counter in ((1 << 24, 1 << 19), (8, 2)):
+        monkeypatch.setattr(pii, "BITMAP", bitmap)
+        monkeypatch.setattr(pii, "COUNTER", counter)
+        got = {r["doc_id"]: r["spans"] for r in pii.scan(docs).collect()}
+        assert got[50] == "phone:701:713" and got[51] == ""
+
+
 def test_redact_keeps_columns(spark):
     docs = spark.createDataFrame([(1, "mail a@b.co or +1 (555) 010-9999.", "x", 33), (2, None, "y", None), (None, "clean", "z", 5)], "doc_id long, text string, more string, n_chars long")
     got = sorted((tuple(r) for r in pii.redact(docs).collect()), key=repr)
