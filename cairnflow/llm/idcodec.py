@@ -1,19 +1,24 @@
 """Token-id files: an adaptive, context-mixing range coder over independently reset, checksummed blocks.
 
 Documents are range-partitioned and sorted by id; a task encodes its documents with the tokenizers library, appends the
-end id to each, and writes one file. The id stream is cut into blocks of BLOCK ids. Each block starts from fresh models
-and carries the CRC-32 of its ids, so it decodes alone and damage is found. The blocks of a file are coded in lockstep:
-numpy does one step for all of them at a time.
-
-Models. Order-2 and order-1 contexts (hashed) each predict the next id and hold a confidence. A first symbol says whether
-the order-2 prediction, the order-1 prediction or none holds; its probabilities mix the counts kept by confidences with
-those kept by recent outcomes. An id that neither predicts is coded by order-0 counts of its high byte, then of its low
-byte given the class of the high one. The range coder is carry-less, with 64-bit low and range and 16-bit output words.
-
-File: magic; blocks (ids, words, CRC-32, words' bytes); document table (ids and lengths, deflated); its offset; magic.
-
-Defined cases: a null or empty text is the end id only; null ids come first; rows of equal id follow each other by the
-text's hash; no rows give no files; other columns are ignored. Ids must lie below 65,536.
+end id to each, and writes one file. The id stream is cut into blocks of BLOCK ids, and up to LANES blocks are a chunk.
+Each block starts from fresh models and carries the CRC-32 of its ids, so it decodes alone and damage is found. The blocks
+of a chunk are coded in lockstep: numpy does one step for all of them at a time.
+
+Models. Order-2 and order-1 contexts (hashed) each predict the next id and hold a confidence. Whether the order-2
+prediction, else the order-1 prediction holds is told with probabilities that adapt: each is the mean of one kept by
+confidences and one kept by recent outcomes. An id that neither predicts takes its order-0 share of what is left: counts of
+the chunk's ids, stored with it. All of an id is coded in one step, in units of 1 / 2**28 of the range. The range coder is
+carry-less, with 64-bit low and range and 32-bit output words. Ids may be any 32-bit numbers: those too rare for a chunk's
+table follow an escape as they are.
+
+File: magic; chunks (order-0 table, deflated, then the blocks' words); index, deflated (documents' ids and lengths, blocks'
+places and checksums, chunks' tables); its offset and length; magic. Readers split a file by chunks; a document belongs to
+the chunk in which it begins.
+
+Defined cases: a null or empty text is the end id only; a very long text runs through as many blocks as it needs; null ids
+come first; rows of equal id follow each other by the text's hash; no rows give no files; other columns, of any name, are
+ignored.
 """
 
 from __future__ import annotations
@@ -28,66 +33,134 @@ from pyspark.sql import functions as F
 from ._common import cut, remove, shared_dir
 from .warc import open_fs
 
-MAGIC, BLOCK, LANES, SLOTS, STEP, REBUILD = b"CFIDS1\r\n", 4096, 2048, 1024, 7, 64
+MAGIC, BLOCK, LANES, SLOTS = b"CFIDS2\r\n", 4096, 2048, 512
 END_ID = 0
+#: Bits of the order-0 counts' total and of the mix; how fast probabilities adapt.
+COUNT_BITS, MIX_BITS, RATE = 16, 12, 4
+_TOTAL = COUNT_BITS + MIX_BITS
+
+
+def _inflated(data: bytes) -> bytes:
+    from zlib import decompress, error
+
+    try:
+        return decompress(data)
+    except error as e:
+        raise ValueError(f"damaged: {e}") from None
+
+
+class Order0:
+    """Ids of a chunk as places in a table, with counts that sum to 2**COUNT_BITS. Place 0 is the escape."""
+
+    MOST = 60_000
+
+    def __init__(self, ids, counts):
+        import numpy as np
+
+        self.ids, self.counts = ids, counts  # of places from 1 on; counts of all places
+        self.sums = np.r_[0, np.cumsum(counts)].astype(np.uint32)
+        self.place_of = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+
+    @classmethod
+    def of(cls, ids) -> Order0:
+        """The table of a chunk's ids (uint32)."""
+        import numpy as np
+
+        own, n = np.unique(ids, return_counts=True)
+        if len(own) > cls.MOST:
+            kept = np.sort(np.argpartition(-n, cls.MOST)[: cls.MOST])
+            own, n = own[kept], n[kept]
+        free = (1 << COUNT_BITS) - len(own) - 1
+        counts = np.r_[1, 1 + n * free // max(len(ids), 1)]
+        counts[np.argmax(counts)] += (1 << COUNT_BITS) - counts.sum()
+        return cls(own, counts.astype(np.int64))
+
+    def places(self, ids):
+        import numpy as np
+
+        if not len(self.ids):
+            return np.zeros(ids.shape, np.int32)
+        if int(self.ids[-1]) < 1 << 22:
+            table = np.zeros(1 << 22, np.int32)
+            table[self.ids] = np.arange(1, len(self.ids) + 1)
+            return table[np.minimum(ids, (1 << 22) - 1)]
+        at = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
+        return np.where(self.ids[at] == ids, at + 1, 0).astype(np.int32)
+
+    def pack(self) -> bytes:
+        from zlib import compress
+
+        return compress(struct.pack("<I", len(self.ids)) + self.ids.astype("<u4").tobytes() + self.counts.astype("<u4").tobytes(), 6)
+
+    @classmethod
+    def unpack(cls, data: bytes) -> Order0:
+        import numpy as np
+
+        data = _inflated(data)
+        n = struct.unpack_from("<I", data)[0]
+        return cls(np.frombuffer(data, "<u4", n, 4), np.frombuffer(data, "<u4", n + 1, 4 + 4 * n).astype(np.int64))
 
 
 class _Model:
-    """Prediction state of all lanes; encoder and decoder drive it alike. Table entries hold an id and, in two bits, its confidence."""
+    """Prediction state of all lanes; encoder and decoder drive it alike. Entries hold a place and, in two bits, its confidence."""
 
     def __init__(self, lanes: int):
         import numpy as np
 
-        self.np, lane = np, np.arange(lanes, dtype=np.int32)
-        self.slots, self.trust, self.recent = lane * SLOTS, lane * 32, lane * 16
-        self.p1, self.p2 = np.zeros(lanes * SLOTS, np.int32), np.zeros(lanes * SLOTS, np.int32)
-        self.by_trust = np.tile(np.array([4, 2, 10], np.int32), (lanes * 32, 1))
-        self.by_past = np.tile(np.array([4, 2, 10], np.int32), (lanes * 16, 1))
-        self.high, self.low = np.ones((lanes, 256), np.int32), np.ones((lanes * 8, 256), np.int32)
-        self.high_sums, self.low_sums = np.zeros((lanes, 257), np.int32), np.zeros((lanes * 8, 257), np.int32)
-        self.rebuild()
-        self.prev1, self.prev2, self.past = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
-
-    def rebuild(self) -> None:
-        self.np.cumsum(self.high, axis=1, out=self.high_sums[:, 1:])
-        self.np.cumsum(self.low, axis=1, out=self.low_sums[:, 1:])
-        self.flat_high, self.flat_low = self.high_sums.ravel(), self.low_sums.ravel()
+        self.np, self.lanes = np, lanes
+        lane = np.arange(lanes, dtype=np.int64)
+        self.slots = np.stack([lane * SLOTS, (lanes + lane) * SLOTS])  # of order 1, of order 2
+        self.table = np.zeros(2 * lanes * SLOTS, np.int32)
+        self.by_trust, self.by_past = lane * 32, lane * 16
+        # two probabilities of 16 bits: that order 2 is right, that order 1 is if it isn't
+        first = 3000 | 3000 << 16
+        self.trusts, self.pasts = np.full(lanes * 32, first, np.int32), np.full(lanes * 16, first, np.int32)
+        self.prev1, self.prev2, self.past = (np.zeros(lanes, np.int64) for _ in range(3))
+        self.at = np.empty((2, lanes), np.int64)
 
     def predict(self):
-        """Predictions of order 2 and 1, and running sums of the mixed counts of the first symbol."""
-        mixed = self.prev1 * 40503
-        self.s1 = self.slots + (mixed >> 5) % SLOTS
-        self.s2 = self.slots + ((mixed ^ self.prev2 * 24943 + 12345) >> 3) % SLOTS
-        self.e1, self.e2 = self.p1[self.s1], self.p2[self.s2]
-        q1, q2 = self.e1 >> 2, self.e2 >> 2
-        self.t = self.trust + ((self.e2 & 3) << 3) + ((self.e1 & 3) << 1) + (q1 == q2)
-        self.u = self.recent + self.past
-        counts = self.by_trust[self.t] + self.by_past[self.u]
-        first = counts[:, 0]
-        second = first + counts[:, 1]
-        return q2, q1, first, second, second + counts[:, 2]
-
-    def update(self, ids, symbol) -> None:
+        """Places that order 1 and 2 predict, and the ends of the shares of order 2 and order 1 in 2**MIX_BITS."""
+        np, mixed = self.np, self.prev1 * 40503
+        self.at[0] = mixed >> 5
+        self.at[1] = (mixed ^ self.prev2 * 24943 + 12345) >> 3
+        self.at &= SLOTS - 1
+        self.at += self.slots
+        self.entries = self.table.take(self.at)
+        self.guess = self.entries >> 2
+        q1, q2 = self.guess
+        trust = self.entries & 3
+        self.t = self.by_trust + ((trust[1] << 3) + (trust[0] << 1) + (q1 == q2))
+        self.u = self.by_past + self.past
+        self.a, self.b = self.trusts.take(self.t), self.pasts.take(self.u)
+        p2 = (self.a & 0xFFFF) + (self.b & 0xFFFF)
+        p1 = (self.a >> 16) + (self.b >> 16)
+        end2 = (p2 >> 5).astype(np.int64)  # of two in 2**16
+        np.clip(end2, 1, (1 << MIX_BITS) - 2, out=end2)
+        end1 = end2 + ((((1 << MIX_BITS) - end2) * p1) >> 16)
+        np.clip(end1, end2 + 1, (1 << MIX_BITS) - 1, out=end1)
+        return q1, q2, end2, end1
+
+    def update(self, now, right2, right1) -> None:
+        """now: the place that came; whether order 2, else order 1, had it."""
         np = self.np
-        self.by_trust[self.t, symbol] += STEP
-        self.by_past[self.u, symbol] += STEP
-        fresh = ids << 2
-        for p, s, e in ((self.p1, self.s1, self.e1), (self.p2, self.s2, self.e2)):
-            trust = e & 3
-            p[s] = np.where(e >> 2 == ids, e + (trust < 3), np.where(trust > 1, e - 1, fresh))
-        self.past = (self.past << 1 | (symbol < 2)) & 15
-        self.prev2, self.prev1 = self.prev1, ids
-
-    def count(self, at, high, low_rows, low) -> None:
-        self.high[at, high] += STEP
-        self.low[low_rows, low] += STEP
+        for table, at, old in ((self.trusts, self.t, self.a), (self.pasts, self.u, self.b)):
+            p2, p1 = old & 0xFFFF, old >> 16
+            p2 = p2 + ((np.where(right2, 32767 * 2, 0) - p2) >> RATE)
+            p1 = np.where(right2, p1, p1 + ((np.where(right1, 32767, 0) - p1) >> RATE))
+            table[at] = p2 | p1 << 16
+        trust = self.entries & 3
+        fresh = (now << 2).astype(np.int32)
+        hit = self.guess == now
+        self.table[self.at] = np.where(hit, self.entries + (trust < 3), np.where(trust > 1, self.entries - 1, fresh))
+        self.past = (self.past << 1 | (right2 | right1)) & 15
+        self.prev2, self.prev1 = self.prev1, now
 
 
-_TOP, _BOTTOM, _DIGIT = 48, 1 << 32, 16
+_BOTTOM = 1 << _TOTAL
 
 
 class _Coder:
-    """Carry-less range coder of all lanes. words: what a decoder reads, a row per lane."""
+    """Carry-less range coder of all lanes. words: what a decoder reads, a row of 32-bit words per lane."""
 
     def __init__(self, lanes: int, words=None):
         import numpy as np
@@ -97,147 +170,124 @@ class _Coder:
         self.at = np.zeros(lanes, np.int64)
         self.words, self.code = words, None
         if words is None:
-            self.words = np.zeros((lanes, BLOCK // 2), "<u2")
+            self.words = np.zeros((lanes, BLOCK // 2), "<u4")
         else:
-            self.code = np.zeros(lanes, np.uint64)
-            for _ in range(4):
-                self.code = self.code << np.uint64(16) | self.words[np.arange(lanes), self.at].astype(np.uint64)
-                self.at += 1
-
-    def part(self, at, total):
-        """Share of a count in the range of lanes at; for a decoder also the count that its code points to."""
-        total = total.astype(self.np.uint64)
-        share = self.range[at] // total
+            self.code = words[:, 0].astype(np.uint64) << np.uint64(32) | words[:, 1]
+            self.at += 2
+
+    def aim(self, lanes, bits: int):
+        """Share of one of 2**bits units of the range, and the unit that a decoder's code lies in."""
+        np = self.np
+        share = self.range[lanes] >> np.uint64(bits)
         if self.code is None:
             return share, None
-        return share, self.np.minimum((self.code[at] - self.low[at]) // share, total - self.np.uint64(1)).astype(self.np.int32)
+        return share, np.minimum((self.code[lanes] - self.low[lanes]) // share, np.uint64((1 << bits) - 1))
 
-    def narrow(self, at, share, start, count) -> None:
-        """at: a slice of all lanes, or lane numbers."""
+    def narrow(self, lanes, share, start, count) -> None:
+        """lanes: a slice of all, or numbers."""
         np = self.np
-        low, width = self.low[at] + share * start.astype(np.uint64), share * count.astype(np.uint64)
-        self.low[at], self.range[at] = low, width
-        same = (low ^ (low + width)) >> np.uint64(_TOP) == 0
-        go = np.flatnonzero(same | (width < np.uint64(_BOTTOM)))
-        lanes = go if isinstance(at, slice) else at[go]
-        low, width, same = low[go], width[go], same[go]
-        digit = np.uint64(_DIGIT)
-        while len(lanes):
-            if not same.all():
-                width = np.where(same, width, (~low + np.uint64(1)) & np.uint64(_BOTTOM - 1))
-            pos = self.at[lanes]
-            if self.code is None:
-                if pos.max() >= self.words.shape[1]:
-                    self.words = np.concatenate([self.words, np.zeros_like(self.words)], axis=1)
-                self.words[lanes, pos] = (low >> np.uint64(_TOP)).astype(np.uint16)
-            else:
-                self.code[lanes] = self.code[lanes] << digit | self.words[lanes, np.minimum(pos, self.words.shape[1] - 1)].astype(np.uint64)
-            self.at[lanes] = pos + 1
-            low, width = low << digit, width << digit
-            self.low[lanes], self.range[lanes] = low, width
-            same = (low ^ (low + width)) >> np.uint64(_TOP) == 0
-            go = same | (width < np.uint64(_BOTTOM))
-            if not go.any():
-                break
-            lanes, low, width, same = lanes[go], low[go], width[go], same[go]
+        low, width = self.low[lanes] + share * start, share * count
+        self.low[lanes], self.range[lanes] = low, width
+        agree = (low ^ (low + width)) >> np.uint64(32) == 0
+        go = np.flatnonzero(agree | (width < np.uint64(_BOTTOM)))
+        if not len(go):
+            return
+        # one word is enough: the range then is at least 2**32
+        low, width = low[go], np.where(agree[go], width[go], (~low[go] + np.uint64(1)) & np.uint64(_BOTTOM - 1))
+        go = go if isinstance(lanes, slice) else lanes[go]
+        pos = self.at[go]
+        if self.code is None:
+            if int(pos.max()) >= self.words.shape[1]:
+                self.words = np.concatenate([self.words, np.zeros_like(self.words)], axis=1)
+            self.words[go, pos] = (low >> np.uint64(32)).astype(np.uint32)
+        else:
+            self.code[go] = self.code[go] << np.uint64(32) | self.words[go, np.minimum(pos, self.words.shape[1] - 1)]
+        self.at[go] = pos + 1
+        self.low[go], self.range[go] = low << np.uint64(32), width << np.uint64(32)
 
     def finish(self) -> list[bytes]:
         np = self.np
-        if self.at.max(initial=0) + 4 > self.words.shape[1]:
+        if self.at.max(initial=0) + 2 > self.words.shape[1]:
             self.words = np.concatenate([self.words, np.zeros((len(self.at), 8), self.words.dtype)], axis=1)
         lanes = np.arange(len(self.at))
-        for k in range(4):
-            self.words[lanes, self.at + k] = (self.low >> np.uint64(48 - 16 * k) & np.uint64(0xFFFF)).astype(np.uint16)
-        return [self.words[i, : n + 4].tobytes() for i, n in enumerate(self.at.tolist())]
+        self.words[lanes, self.at] = (self.low >> np.uint64(32)).astype(np.uint32)
+        self.words[lanes, self.at + 1] = (self.low & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        return [self.words[i, : n + 2].tobytes() for i, n in enumerate(self.at.tolist())]
 
 
 _ALL = slice(None)
 
 
-def encode_blocks(blocks: list) -> list[bytes]:
-    """Payloads of blocks (arrays of ids). A block shorter than the longest goes on with zeros, which its reader leaves out."""
+def encode_blocks(blocks: list, order0: Order0) -> list[bytes]:
+    """Payloads of blocks (arrays of ids). A block shorter than the longest goes on with escaped zeros, which its reader leaves out."""
     import numpy as np
 
     if not blocks:
         return []
-    ids = np.zeros((max(map(len, blocks)), len(blocks)), np.int32)
+    ids = np.zeros((max(map(len, blocks)), len(blocks)), np.uint32)
     for i, b in enumerate(blocks):
         ids[: len(b), i] = b
     model, coder = _Model(len(blocks)), _Coder(len(blocks))
-    for t, now in enumerate(ids):
-        q2, q1, first, second, total = model.predict()
+    sums, counts, whole = order0.sums.astype(np.int64), order0.counts, 1 << MIX_BITS
+    places = order0.places(ids)
+    for t in range(len(ids)):
+        now = places[t]
+        q1, q2, end2, end1 = model.predict()
         right2 = now == q2
         right1 = (now == q1) & ~right2
-        symbol = np.where(right2, 0, np.where(right1, 1, 2))
-        start = np.where(right2, 0, np.where(right1, first, second))
-        share, _ = coder.part(_ALL, total)
-        coder.narrow(_ALL, share, start, np.where(right2, first, np.where(right1, second, total)) - start)
-        miss = np.flatnonzero(symbol == 2)
-        if len(miss):
-            high, low = now[miss] >> 8, now[miss] & 255
-            rows = miss * 8 + np.minimum(high, 7)
-            for sums, at, value in ((model.flat_high, miss * 257, high), (model.flat_low, rows * 257, low)):
-                share, _ = coder.part(miss, sums[at + 256])
-                at += value
-                start = sums[at]
-                coder.narrow(miss, share, start, sums[at + 1] - start)
-            model.count(miss, high, rows, low)
-        model.update(now, symbol)
-        if t % REBUILD == REBUILD - 1:
-            model.rebuild()
+        rest = whole - end1
+        start = np.where(right2, 0, np.where(right1, end2 << COUNT_BITS, (end1 << COUNT_BITS) + sums.take(now) * rest))
+        count = np.where(right2, end2 << COUNT_BITS, np.where(right1, (end1 - end2) << COUNT_BITS, counts.take(now) * rest))
+        share, _ = coder.aim(_ALL, _TOTAL)
+        coder.narrow(_ALL, share, start.astype(np.uint64), count.astype(np.uint64))
+        if not now.all():  # escapes: the id as two halves
+            lanes = np.flatnonzero(now == 0)
+            for shift in (16, 0):
+                share, _ = coder.aim(lanes, 16)
+                coder.narrow(lanes, share, (ids[t, lanes] >> shift & 0xFFFF).astype(np.uint64), np.uint64(1))
+        model.update(now, right2, right1)
     return coder.finish()
 
 
-def _search(sums, at, value):
-    """The byte whose sums (from position at) enclose value, by bisection in all lanes."""
-    import numpy as np
-
-    found = at.copy()
-    for step in (128, 64, 32, 16, 8, 4, 2, 1):
-        found += np.where(sums[found + step] <= value, step, 0)
-    return found - at
-
-
-def decode_blocks(payloads: list[bytes], sizes: list[int]) -> list:
-    """Arrays of ids of blocks."""
+def decode_blocks(payloads: list[bytes], sizes: list[int], order0: Order0) -> list:
+    """Arrays of ids (uint32) of blocks."""
     import numpy as np
 
     if not payloads:
         return []
     lanes = len(payloads)
-    words = np.zeros((lanes, max(len(p) for p in payloads) // 2 + 4), "<u2")
+    words = np.zeros((lanes, max(len(p) for p in payloads) // 4 + 2), "<u4")
     for i, p in enumerate(payloads):
-        words[i, : len(p) // 2] = np.frombuffer(p, "<u2")
-    ids = np.zeros((max(sizes), lanes), np.int32)
+        words[i, : len(p) // 4] = np.frombuffer(p, "<u4")
+    found, raw = np.zeros((max(sizes), lanes), np.int64), {}
     model, coder = _Model(lanes), _Coder(lanes, words)
-    for t in range(len(ids)):
-        q2, q1, first, second, total = model.predict()
-        share, value = coder.part(_ALL, total)
-        above1, above2 = value >= first, value >= second
-        symbol = above1.astype(np.int32) + above2
-        start = np.where(above2, second, np.where(above1, first, 0))
-        coder.narrow(_ALL, share, start, np.where(above2, total, np.where(above1, second, first)) - start)
-        now = np.where(above1, q1, q2)
-        miss = np.flatnonzero(above2)
-        if len(miss):
-            at = miss * 257
-            share, value = coder.part(miss, model.flat_high[at + 256])
-            high = _search(model.flat_high, at, value)
-            at += high
-            coder.narrow(miss, share, model.flat_high[at], model.flat_high[at + 1] - model.flat_high[at])
-            rows = miss * 8 + np.minimum(high, 7)
-            at = rows * 257
-            share, value = coder.part(miss, model.flat_low[at + 256])
-            low = _search(model.flat_low, at, value)
-            at += low
-            coder.narrow(miss, share, model.flat_low[at], model.flat_low[at + 1] - model.flat_low[at])
-            model.count(miss, high, rows, low)
-            now[miss] = high << 8 | low
-        ids[t] = now
-        model.update(now, symbol)
-        if t % REBUILD == REBUILD - 1:
-            model.rebuild()
-    return [ids[:n, i] for i, n in enumerate(sizes)]
+    sums, counts, whole = order0.sums.astype(np.int64), order0.counts, 1 << MIX_BITS
+    for t in range(len(found)):
+        q1, q2, end2, end1 = model.predict()
+        share, unit = coder.aim(_ALL, _TOTAL)
+        unit = unit.astype(np.int64)
+        in_mix = unit >> COUNT_BITS
+        right2, miss = in_mix < end2, in_mix >= end1
+        rest = whole - end1
+        place = order0.place_of.take(np.where(miss, (unit - (end1 << COUNT_BITS)) // rest, 0), mode="clip")
+        now = np.where(miss, place, np.where(right2, q2, q1)).astype(np.int64)
+        start = np.where(miss, (end1 << COUNT_BITS) + sums.take(now) * rest, np.where(right2, 0, end2 << COUNT_BITS))
+        count = np.where(miss, counts.take(now) * rest, np.where(right2, end2 << COUNT_BITS, (end1 - end2) << COUNT_BITS))
+        coder.narrow(_ALL, share, start.astype(np.uint64), count.astype(np.uint64))
+        found[t] = now
+        if not now.all():
+            at = np.flatnonzero(now == 0)
+            value = np.zeros(len(at), np.uint32)
+            for _ in range(2):
+                share, half = coder.aim(at, 16)
+                coder.narrow(at, share, half, np.uint64(1))
+                value = value << np.uint32(16) | half.astype(np.uint32)
+            raw[t] = at, value
+        model.update(now, right2, ~right2 & ~miss)
+    ids = np.r_[np.uint32(0), order0.ids.astype(np.uint32)][found]
+    for t, (at, value) in raw.items():
+        ids[t, at] = value
+    return [np.ascontiguousarray(ids[:n, i]) for i, n in enumerate(sizes)]
 
 
 class _Writer:
@@ -245,6 +295,7 @@ class _Writer:
 
     def __init__(self, handle):
         self.handle, self.offset, self.docs, self.lengths, self.rest, self.held = handle, 0, [], [], [], 0
+        self.blocks, self.chunks = [], []  # (offset, bytes, ids, CRC-32); (offset of the table, bytes)
         self._put(MAGIC)
 
     def _put(self, data: bytes) -> None:
@@ -256,7 +307,7 @@ class _Writer:
 
         self.docs.append(doc_id)
         self.lengths.append(len(ids))
-        self.rest.append(np.array(ids, dtype=np.uint16))
+        self.rest.append(np.array(ids, dtype=np.uint32))
         self.held += len(ids)
         if self.held >= LANES * BLOCK:
             self._flush(False)
@@ -264,75 +315,114 @@ class _Writer:
     def _flush(self, last: bool) -> None:
         import numpy as np
 
-        ids = np.concatenate(self.rest) if self.rest else np.zeros(0, np.uint16)
-        whole = len(ids) // BLOCK * BLOCK
-        blocks = list(ids[:whole].reshape(-1, BLOCK))
-        self.rest, self.held = [ids[whole:]], len(ids) - whole
-        if last and self.held:
-            blocks.append(self.rest.pop())
-        for at in range(0, len(blocks), LANES):
-            self._code(blocks[at : at + LANES])
+        ids = np.concatenate(self.rest) if self.rest else np.zeros(0, np.uint32)
+        size = LANES * BLOCK
+        end = len(ids) if last else len(ids) // size * size
+        for at in range(0, end, size):
+            self._code(ids[at : min(at + size, end)])
+        self.rest, self.held = [ids[end:]], len(ids) - end
 
-    def _code(self, part: list) -> None:
+    def _code(self, ids) -> None:
         from zlib import crc32
 
-        for b, payload in zip(part, encode_blocks(part), strict=True):
-            self._put(struct.pack("<III", len(b), len(payload), crc32(b.astype("<u4").tobytes())) + payload)
+        order0 = Order0.of(ids)
+        table = order0.pack()
+        self.chunks.append((self.offset, len(table)))
+        self._put(table)
+        blocks = [ids[at : at + BLOCK] for at in range(0, len(ids), BLOCK)]
+        for b, payload in zip(blocks, encode_blocks(blocks, order0), strict=True):
+            self.blocks.append((self.offset, len(payload), len(b), crc32(b.astype("<u4").tobytes())))
+            self._put(payload)
+
+    def close(self) -> tuple[int, int, int]:
+        """Ids, bytes, chunks."""
+        from zlib import compress
 
-    def close(self) -> tuple[int, int]:
         import numpy as np
-        from zlib import compress
 
         self._flush(True)
         at, known = self.offset, [d is not None for d in self.docs]
-        table = np.array([d or 0 for d in self.docs], "<i8").tobytes() + np.array(self.lengths, "<i8").tobytes() + np.array(known, "u1").tobytes()
-        packed = compress(table, 6)
-        self._put(struct.pack("<II", len(self.docs), len(packed)) + packed + struct.pack("<Q", at) + MAGIC)
-        return sum(self.lengths), self.offset
+        parts = [struct.pack("<QQQ", len(self.docs), len(self.blocks), len(self.chunks))]
+        parts += [np.array([d or 0 for d in self.docs], "<i8").tobytes(), np.array(self.lengths, "<i8").tobytes()]
+        parts += [np.array(self.blocks, "<i8").reshape(-1, 4).tobytes(), np.array(self.chunks, "<i8").reshape(-1, 2).tobytes(), np.array(known, "u1").tobytes()]
+        packed = compress(b"".join(parts), 6)
+        self._put(packed + struct.pack("<QQ", at, len(packed)) + MAGIC)
+        return sum(self.lengths), self.offset, len(self.chunks)
 
 
-def read_file(handle) -> Iterator[tuple]:
-    """(doc_id, ids as uint32 array) of a file, in its order; raises ValueError where a checksum doesn't hold."""
-    import numpy as np
-    from zlib import crc32, decompress
-
-    size = handle.size()
-    handle.seek(size - 16)
-    at, magic = struct.unpack("<Q8s", handle.read(16))
-    handle.seek(0)
-    if magic != MAGIC or handle.read(8) != MAGIC:
-        raise ValueError("no token-id file")
-    handle.seek(at)
-    n, packed = struct.unpack("<II", handle.read(8))
-    table = decompress(handle.read(packed))
-    docs, lengths = np.frombuffer(table, "<i8", n), np.frombuffer(table, "<i8", n, 8 * n).tolist()
-    known = np.frombuffer(table, "u1", n, 16 * n)
-    handle.seek(8)
-    pos, buffer, d = 8, np.zeros(0, np.uint32), 0
-    while pos < at:
-        sizes, sums, payloads = [], [], []
-        while pos < at and len(sizes) < LANES:
-            k, length, check = struct.unpack("<III", handle.read(12))
-            sizes.append(k)
-            sums.append(check)
-            payloads.append(handle.read(length))
-            pos += 12 + length
-        parts = [b.astype("<u4") for b in decode_blocks(payloads, sizes)]
-        for b, check in zip(parts, sums, strict=True):
-            if crc32(b.tobytes()) != check:
+class Index:
+    """What a file's end says of its documents, blocks and chunks."""
+
+    def __init__(self, handle):
+        import numpy as np
+
+        size = handle.size()
+        handle.seek(max(size - 24, 0))
+        end = handle.read(24)
+        handle.seek(0)
+        if len(end) != 24 or end[16:] != MAGIC or handle.read(8) != MAGIC:
+            raise ValueError("no token-id file")
+        at, length = struct.unpack("<QQ", end[:16])
+        if at + length + 24 != size:
+            raise ValueError("no token-id file")
+        handle.seek(at)
+        data = _inflated(handle.read(length))
+        docs, blocks, chunks = struct.unpack_from("<QQQ", data)
+        take = lambda kind, n, at: (np.frombuffer(data, kind, n, at), at + np.dtype(kind).itemsize * n)
+        self.docs, at = take("<i8", docs, 24)
+        self.lengths, at = take("<i8", docs, at)
+        found, at = take("<i8", 4 * blocks, at)
+        self.blocks = found.reshape(-1, 4)
+        found, at = take("<i8", 2 * chunks, at)
+        self.chunks = found.reshape(-1, 2)
+        self.known, _ = take("u1", docs, at)
+        self.starts = np.r_[0, np.cumsum(self.lengths)]
+        if int(self.starts[-1]) != int(self.blocks[:, 2].sum()):
+            raise ValueError("the document table doesn't fit the blocks")
+
+    def decode(self, handle, first: int, last: int):
+        """Ids of blocks first to last (exclusive) of one chunk; raises ValueError where a checksum doesn't hold."""
+        from zlib import crc32
+
+        import numpy as np
+
+        offset, length = self.chunks[first // LANES].tolist()
+        handle.seek(offset)
+        order0, payloads = Order0.unpack(handle.read(length)), []
+        rows = self.blocks[first:last]
+        handle.seek(int(rows[0, 0]))
+        data = handle.read(int(rows[-1, 0] + rows[-1, 1] - rows[0, 0]))
+        for at, size, _, _ in rows.tolist():
+            payloads.append(data[at - int(rows[0, 0]) :][:size])
+        parts = decode_blocks(payloads, rows[:, 2].tolist(), order0)
+        for b, check in zip(parts, rows[:, 3].tolist(), strict=True):
+            if crc32(b.astype("<u4").tobytes()) != check:
                 raise ValueError("a block's checksum doesn't hold")
-        buffer, used = np.concatenate([buffer, *parts]), 0
-        while d < n and used + lengths[d] <= len(buffer):
-            yield (int(docs[d]) if known[d] else None), buffer[used : used + lengths[d]]
-            used += lengths[d]
-            d += 1
-        buffer = buffer[used:]
-    if d != n or len(buffer):
-        raise ValueError("the document table doesn't fit the blocks")
+        return np.concatenate(parts)
+
+
+def read_file(handle, chunk: int | None = None) -> Iterator[tuple]:
+    """(doc_id, start in the file, ids as uint32 array) of the documents that begin in a chunk (or in any), in their order."""
+    import numpy as np
+
+    index = Index(handle)
+    for c in range(len(index.chunks)) if chunk is None else (chunk,):
+        first, last = c * LANES, min((c + 1) * LANES, len(index.blocks))
+        ids, base = index.decode(handle, first, last), first * BLOCK
+        lo, hi = np.searchsorted(index.starts[:-1], [base, base + len(ids)]).tolist()
+        for d in range(lo, hi):
+            start, end = index.starts[d : d + 2].tolist()
+            own = ids[start - base : end - base]
+            at = last
+            while start + len(own) < end:  # goes on in the next chunks
+                stop = min(-(-end // BLOCK), (at // LANES + 1) * LANES)
+                own = np.concatenate([own, index.decode(handle, at, stop)[: end - start - len(own)]])
+                at = stop
+            yield (int(index.docs[d]) if index.known[d] else None), start, own
 
 
 def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
-    """Encode docs into files in folder. Returns a cut table, a row per file: path, part, ids, bytes."""
+    """Encode docs into files in folder. Returns a cut table, a row per file: path, part, ids, bytes, chunks."""
     with open(tokenizer_path, encoding="utf-8") as f:
         description = docs.sparkSession.sparkContext.broadcast(f.read())
 
@@ -360,21 +450,21 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_I
                 for doc_id, e in zip(part.column(0).to_pylist(), found, strict=True):
                     out.add(doc_id, [*e.ids, end_id])
         if out is not None:
-            ids, size = out.close()
+            ids, size, chunks = out.close()
             out.handle.close()
             fs.move(own, f"{top}/{name}")
-            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([task.partitionId()], pa.int64()), pa.array([ids], pa.int64()), pa.array([size], pa.int64())], ["path", "part", "ids", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([task.partitionId()], pa.int64()), *(pa.array([x], pa.int64()) for x in (ids, size, chunks))], ["path", "part", "ids", "bytes", "chunks"])
 
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
     dealt = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(*order).sortWithinPartitions(*order)
-    return cut(dealt.mapInArrow(run, "path string, part long, ids long, bytes long"))
+    return cut(dealt.mapInArrow(run, "path string, part long, ids long, bytes long, chunks long"))
 
 
 def read(files: DataFrame, with_ids: bool = True) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 and ids of all files (path, part, ids). Offsets of files are a running sum, one row per file."""
-    placed = files.withColumn("base", F.coalesce(F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("path", "base")
-    placed = cut(placed)
-    placed = placed.repartition(max(1, min(placed.count(), 4096)), "path")
+    """doc_id, start, n_tokens, ids_crc32 and ids of all files (path, part, ids, chunks). Offsets of files are a running sum, one row per file; a task takes some chunks."""
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    placed = cut(files.select("path", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk")))
+    placed = placed.repartition(max(1, min(placed.count(), 65536)))  # dealt in turn: a chunk a task
 
     def run(batches: Iterator) -> Iterator:
         from zlib import crc32
@@ -383,26 +473,25 @@ def read(files: DataFrame, with_ids: bool = True) -> DataFrame:
 
         names = ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: 4 + with_ids]
         for batch in batches:
-            for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for path, base, chunk in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 fs, at = open_fs(path)
                 rows: list[tuple] = []
                 with fs.open_input_file(at) as handle:
-                    for doc_id, ids in read_file(handle):
-                        rows.append((doc_id, base, len(ids), crc32(ids.tobytes()), ids if with_ids else None))
-                        base += len(ids)
+                    for doc_id, start, ids in read_file(handle, chunk):
+                        rows.append((doc_id, base + start, len(ids), crc32(ids.astype("<u4").tobytes()), ids if with_ids else None))
                         if len(rows) >= 1024:
                             yield _batch(pa, rows, names)
                             rows = []
                 if rows:
                     yield _batch(pa, rows, names)
 
-    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
 def _batch(pa, rows: list[tuple], names: list[str]):
     columns = list(zip(*rows, strict=True))
     arrays = [pa.array(c, pa.int64()) for c in columns[:4]]
-    return pa.RecordBatch.from_arrays(arrays + [pa.array(columns[4], pa.list_(pa.int32()))] * (len(names) > 4), names)
+    return pa.RecordBatch.from_arrays(arrays + [pa.array(columns[4], pa.list_(pa.int64()))] * (len(names) > 4), names)
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str) -> DataFrame:

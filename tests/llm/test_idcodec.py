@@ -23,14 +23,37 @@ def test_blocks_round_trip():
     skewed = np.minimum(rng.zipf(1.3, 9000), 50256).astype(np.uint16)
     cases = [[7] * 4096, list(range(4096)), rng.integers(0, 65536, 4096), skewed[:4096], [65535, 0] * 2048, skewed[4096:8000], [3], []]
     blocks = [np.array(c, np.uint16) for c in cases]
-    payloads = idcodec.encode_blocks(blocks)
-    back = idcodec.decode_blocks(payloads, [len(b) for b in blocks])
+    order0 = idcodec.Order0.unpack(idcodec.Order0.of(np.concatenate(blocks)).pack())
+    payloads = idcodec.encode_blocks(blocks, order0)
+    back = idcodec.decode_blocks(payloads, [len(b) for b in blocks], order0)
     assert all((a == b).all() for a, b in zip(blocks, back, strict=True))
     assert len(payloads[0]) < 400 and len(payloads[3]) < 2 * 4096 * 0.8
-    alone = idcodec.decode_blocks([payloads[3]], [4096])  # each block decodes without the others
+    alone = idcodec.decode_blocks([payloads[3]], [4096], order0)  # each block decodes without the others
     assert (alone[0] == blocks[3]).all()
 
 
+def test_any_ids(monkeypatch):
+    """Large ids, more different ones than a chunk's table takes, documents over several chunks, chunks read apart."""
+    monkeypatch.setattr(idcodec, "LANES", 3)
+    monkeypatch.setattr(idcodec, "BLOCK", 64)
+    monkeypatch.setattr(idcodec.Order0, "MOST", 50)
+    rng = np.random.default_rng(5)
+    docs = [(i, rng.integers(0, 2**32 if i % 2 else 40, int(n), dtype=np.uint64).astype(np.uint32)) for i, n in enumerate(rng.integers(1, 900, 40))]
+    docs += [(50, np.array([2**32 - 1, 0, 70000] * 400, np.uint32)), (51, np.array([0], np.uint32))]
+    out = Handle()
+    writer = idcodec._Writer(out)
+    for d, ids in docs:
+        writer.add(d, ids)
+    total, size, chunks = writer.close()
+    assert (total, size) == (sum(len(i) for _, i in docs), len(out.getvalue())) and chunks == -(-total // (3 * 64))
+    handle, start = Handle(out.getvalue()), 0
+    got = list(idcodec.read_file(handle))
+    assert [x for c in reversed(range(chunks)) for x in [d for d, _, _ in idcodec.read_file(handle, c)][::-1]] == [d for d, _ in docs][::-1]
+    for (d, ids), (e, at, back) in zip(docs, got, strict=True):
+        assert d == e and at == start and (ids == back).all()
+        start += len(ids)
+
+
 def test_damage_is_found():
     out = Handle()
     writer = idcodec._Writer(out)
@@ -38,11 +61,12 @@ def test_damage_is_found():
     writer.add(None, [0])
     writer.close()
     data = out.getvalue()
-    assert [(d, len(i)) for d, i in idcodec.read_file(Handle(data))] == [(5, 5000), (None, 1)]
-    spoiled = bytearray(data)
-    spoiled[40] ^= 255
-    with pytest.raises(ValueError):
-        list(idcodec.read_file(Handle(bytes(spoiled))))
+    assert [(d, len(i)) for d, _, i in idcodec.read_file(Handle(data))] == [(5, 5000), (None, 1)]
+    for place in [*range(0, len(data), 97), *range(len(data) - 24, len(data))]:
+        spoiled = bytearray(data)
+        spoiled[place] ^= 255
+        with pytest.raises(ValueError):
+            list(idcodec.read_file(Handle(bytes(spoiled))))
 
 
 def test_files_round_trip(spark):
