@@ -1,6 +1,6 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
-Training. From a bounded sample of labelled documents (max_train rows, by hash of the id; the held-out fold never takes
+Training. From a bounded sample of labelled documents (max_train ids, of least hash; the held-out fold never takes
 part) tokens and their prefixes are counted by class in Spark. Features that occur in at least min_docs toxic documents
 are kept if their log-odds under an informative Dirichlet prior (each feature's prior mass is a flat part and one that
 follows its share of all tokens) are at least ODDS_MIN and lie z_min standard errors above zero. A token scores as its longest kept feature, any other token a small loss,
@@ -11,9 +11,10 @@ tails: for a text of n words, exp(-score) n is the expected number of as good se
 fitted to clean training texts. Segments below p_max are the significant passages. A logistic fit on training rows turns
 the best segment's surprise and the surprise of all significant ones into a probability.
 
-Defined cases: null and empty texts have no segments and get the probability that goes with none; labels other than 0
+Defined cases: a very long text takes time and memory in proportion to its tokens; null and empty texts have no segments and get the probability that goes with none; labels other than 0
 and 1, or of null ids, are ignored; ids with several labels count as toxic if any is 1; if a class has no training rows,
-nothing is known to tell them apart and every score is 0; repeated rows get repeated results; other columns are ignored.
+nothing is known to tell them apart and every score is 0; repeated rows get repeated results; no rows
+give no rows; other columns, of any name, are ignored by score() and kept by keep_clean().
 """
 
 from __future__ import annotations
@@ -143,13 +144,29 @@ def _logistic(x, y, ridge: float = 1.0):
     return w.tolist()
 
 
+def _odds(toxic: dict[str, tuple[int, int]], clean: dict[str, int], docs1: int, n1: int, n0: int, min_docs: int, z_min: float) -> tuple[dict[str, float], float]:
+    """Kept features and the loss of other tokens, from (uses, documents) of features in toxic texts, uses in clean ones, and words of both."""
+    least, kept = max(min_docs, MIN_SHARE * docs1), {}
+    for f, (a, docs) in toxic.items():
+        if docs < least:
+            continue
+        b = clean.get(f, 0)
+        mass = FLAT + PRIOR * (a + b) / (n1 + n0)
+        delta = math.log((a + mass) / (n1 + PRIOR)) - math.log((b + mass) / (n0 + PRIOR))
+        if delta >= max(ODDS_MIN, z_min * math.sqrt(1 / (a + mass) + 1 / (b + mass))):
+            kept[f] = delta
+    share = sum(toxic[f][0] for f in kept if not f.endswith("*")) / max(n1, 1)
+    return kept, min(-0.01, math.log1p(-min(share, 0.5)))
+
+
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, min_docs: int = MIN_DOCS, z_min: float = Z_MIN) -> Model:
+    """The model of the max_train labelled documents (all, if fewer) of least hash. Features come from all of them; location,
+    scale and weights are fitted to scores of each half by the features of the other, so no row is judged by its own words."""
     bound_batches(docs.sparkSession)
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    known = cut(known)
-    share = min(1.0, max_train / max(known.count(), 1))
-    sample = cut(known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))))
-    texts = cut(join_checked(docs.select("doc_id", "text"), sample, "doc_id").select("text", "toxic"))
+    sample = cut(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train))
+    half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int")
+    texts = cut(join_checked(docs.select("doc_id", "text"), sample, "doc_id").select("text", "toxic", half.alias("half")))
 
     def count(only: frozenset | None, toxic: int):
         def run(batches: Iterator) -> Iterator:
@@ -158,57 +175,60 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, min_do
             import pyarrow as pa
 
             uses, docs_with = Counter(), Counter()
+
+            def table():
+                names, halves = zip(*uses, strict=True)
+                return pa.RecordBatch.from_arrays([pa.array(names), pa.array(halves, pa.int32()), pa.array(list(uses.values()), pa.int64()), pa.array([docs_with[k] for k in uses], pa.int64())], ["feature", "half", "uses", "docs"])
+
             for batch in batches:
-                for text in batch.column(0).to_pylist():
-                    found = Counter(f for token, n in Counter(TOKEN.findall((text or "").lower())).items() for f in features(token) * n if only is None or f in only)
+                for text, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    found = Counter((f, h) for token, n in Counter(TOKEN.findall((text or "").lower())).items() for f in features(token) * n if only is None or f in only)
                     uses.update(found)
                     docs_with.update(found.keys())
                     if only is None and len(uses) > 1 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(list(uses)), pa.array(list(uses.values()), pa.int64()), pa.array([docs_with[k] for k in uses], pa.int64())], ["feature", "uses", "docs"])
+                        yield table()
                         uses.clear()
                         docs_with.clear()
             if uses:
-                yield pa.RecordBatch.from_arrays([pa.array(list(uses)), pa.array(list(uses.values()), pa.int64()), pa.array([docs_with[k] for k in uses], pa.int64())], ["feature", "uses", "docs"])
+                yield table()
 
-        part = texts.where(F.col("toxic") == toxic).select("text").mapInArrow(run, "feature string, uses long, docs long")
-        return part.groupBy("feature").agg(F.sum("uses").alias("uses"), F.sum("docs").alias("docs"))
+        part = texts.where(F.col("toxic") == toxic).select("text", "half").mapInArrow(run, "feature string, half int, uses long, docs long")
+        return part.groupBy("feature").agg(*[F.sum(F.when(F.col("half") == h, F.col(c))).alias(f"{c}{h}") for c in ("uses", "docs") for h in (0, 1)])
 
     def words(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             n = [len(TOKEN.findall((t or "").lower())) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(n, pa.int64())], ["toxic", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(n, pa.int64())], ["toxic", "half", "n"])
 
-    totals = {r["toxic"]: (r["docs"], r["n"]) for r in texts.select("text", "toxic").mapInArrow(words, "toxic int, n long").groupBy("toxic").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n")).collect()}
+    sums = texts.select("text", "toxic", "half").mapInArrow(words, "toxic int, half int, n long").groupBy("toxic", "half").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n"))
+    totals = {(r["toxic"], r["half"]): (r["docs"], r["n"]) for r in sums.collect()}
     model = Model({}, -1e-3)
-    if len(totals) < 2:
+    if len({toxic for toxic, _ in totals}) < 2:
         return model
+    total = lambda toxic, halves, k: sum(totals.get((toxic, h), (0, 0))[k] for h in halves)
     # both tables are bounded by the sample: features of at most max_train texts
-    least = max(min_docs, MIN_SHARE * totals[1][0])
-    y1 = {r["feature"]: r["uses"] for r in count(None, 1).where(F.col("docs") >= least).collect()}
-    y0 = {r["feature"]: r["uses"] for r in count(frozenset(y1), 0).collect()}
-    n1, n0 = totals[1][1], totals[0][1]
-    for f, a in y1.items():
-        b = y0.get(f, 0)
-        mass = FLAT + PRIOR * (a + b) / (n1 + n0)
-        delta = math.log((a + mass) / (n1 + PRIOR)) - math.log((b + mass) / (n0 + PRIOR))
-        if delta >= max(ODDS_MIN, z_min * math.sqrt(1 / (a + mass) + 1 / (b + mass))):
-            model.kept[f] = delta
-    share1 = sum(a for f, a in y1.items() if f in model.kept and not f.endswith("*")) / max(n1, 1)
-    model.other = min(-0.01, math.log1p(-min(share1, 0.5)))
+    y1 = {r["feature"]: r for r in count(None, 1).where(F.coalesce("docs0", F.lit(0)) + F.coalesce("docs1", F.lit(0)) >= min_docs).collect()}
+    y0 = {r["feature"]: r for r in count(frozenset(y1), 0).collect()}
+
+    def learned(*halves: int) -> tuple[dict[str, float], float]:
+        add = lambda r, c: sum(r[f"{c}{h}"] or 0 for h in halves)
+        toxic, clean = {f: (add(r, "uses"), add(r, "docs")) for f, r in y1.items()}, {f: add(r, "uses") for f, r in y0.items()}
+        return _odds(toxic, clean, total(1, halves, 0), total(1, halves, 1), total(0, halves, 1), min_docs, z_min)
 
-    shared = texts.sparkSession.sparkContext.broadcast(vars(model))
+    model.kept, model.other = learned(0, 1)
+    shared = texts.sparkSession.sparkContext.broadcast([learned(1), learned(0)])  # for rows of half 0, of half 1
 
     def measure(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        read = Model.of(shared.value).reader()
+        read = [Model(*x).reader() for x in shared.value]
         for batch in batches:
-            got = [read(t) for t in batch.column(0).to_pylist()]
+            got = [read[h](t) for t, h in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([n for n, _ in got], pa.int64()), pa.array([[s for _, _, s in x] for _, x in got], pa.list_(pa.float64()))], ["toxic", "n", "found"])
 
-    seen = texts.select("text", "toxic").mapInArrow(measure, "toxic int, n long, found array<double>").collect()  # max_train rows at most
+    seen = texts.select("text", "toxic", "half").mapInArrow(measure, "toxic int, n long, found array<double>").collect()  # max_train ids' rows
     clean = [max(r["found"]) - math.log(max(r["n"], 1)) for r in seen if r["toxic"] == 0 and r["found"]]
     if len(clean) >= 20:  # moments of the Gumbel law
         mean = sum(clean) / len(clean)
