@@ -421,34 +421,112 @@ def read_file(handle, chunk: int | None = None) -> Iterator[tuple]:
             yield (int(index.docs[d]) if index.known[d] else None), start, own
 
 
+# How byte-level vocabularies split a text, written for the JVM; white space as Unicode has it.
+_BLANK = r"\s\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}++| ?\p{{N}}++| ?[^{_BLANK}\p{{L}}\p{{N}}]++|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]++"
+#: Texts with other characters are split by the library: the JVM's tables of letters and digits may be older than its own.
+_STABLE = r"[^\x00-\u052f\u2000-\u206f]"
+
+
+def _split_by_jvm(description: str):
+    """Condition of texts whose pre-tokens SPLIT gives, if the tokenizer splits as byte-level vocabularies do; else None."""
+    import json
+
+    parts = json.loads(description)
+    split = parts.get("pre_tokenizer") or {}
+    plain = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and not parts.get("normalizer")
+    if not plain or not (parts.get("model") or {}).get("type") == "BPE" or parts["model"].get("dropout"):
+        return None
+    fast = F.col("text").isNotNull() & ~F.col("text").rlike(_STABLE)
+    for token in parts.get("added_tokens") or ():
+        fast &= ~F.contains("text", F.lit(token["content"]))
+    return fast
+
+
+class _Encoder:
+    """Ids of texts (by the library) and of texts as lists of pre-tokens (each different one by the library, once)."""
+
+    MEMO = 300_000
+
+    def __init__(self, description: str):
+        from tokenizers import Tokenizer
+
+        self.library, self.memo = Tokenizer.from_str(description), {}
+
+    def texts(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def pieces(self, lists, end_id: int):
+        """From a list<string> array: ids of all rows, the end id after each, and the rows' lengths."""
+        import numpy as np
+        from itertools import chain
+
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        if len(self.memo) > self.MEMO:
+            self.memo.clear()
+        new = [w for w in words if w not in self.memo]
+        self.memo.update(zip(new, self.texts(new), strict=True))
+        found = [*map(self.memo.__getitem__, words), [end_id]]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        flat, first = np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum())), np.cumsum(size) - size
+        # the stream of words, with the last, the end id's, after each row
+        counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(counts)
+        stream = np.insert(coded.indices.to_numpy(zero_copy_only=False), ends, len(words)) if len(ends) else np.zeros(0, np.int64)
+        lengths = size[stream]
+        upto = np.cumsum(lengths)
+        ids = flat[np.repeat(first[stream] - (upto - lengths), lengths) + np.arange(int(upto[-1]) if len(upto) else 0)]
+        places = upto[ends + np.arange(len(ends))]
+        return ids, np.diff(np.r_[0, places])
+
+
 def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
-    """Encode docs into files in folder. Returns a cut table, a row per file: path, part, ids, bytes, chunks."""
+    """Encode docs into files in folder. Returns a cut table, a row per file: path, part, ids, bytes, chunks.
+
+    Texts of characters whose kinds are long settled are split into pre-tokens by the JVM, and tasks have the library encode
+    each different pre-token once; other texts go to it whole.
+    """
     with open(tokenizer_path, encoding="utf-8") as f:
-        description = docs.sparkSession.sparkContext.broadcast(f.read())
+        content = f.read()
+    description, fast = docs.sparkSession.sparkContext.broadcast(content), _split_by_jvm(content)
 
     def run(batches: Iterator) -> Iterator:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         os.environ["RAYON_NUM_THREADS"] = "1"
+        import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
-        from tokenizers import Tokenizer
 
         task = TaskContext.get()
-        encoder, out, own = Tokenizer.from_str(description.value), None, None
+        encoder, out, own = _Encoder(description.value), None, None
         fs, top = open_fs(folder)
         fs.create_dir(top, recursive=True)
         name = f"part-{task.partitionId():06d}.ids"
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                if out is None:
-                    own = f"{top}/{name}.{task.taskAttemptId()}.{os.getpid()}"
-                    out = _Writer(fs.open_output_stream(own, compression=None))
-                found = encoder.encode_batch_fast([t or "" for t in part.column(1).to_pylist()], add_special_tokens=False)
-                for doc_id, e in zip(part.column(0).to_pylist(), found, strict=True):
-                    out.add(doc_id, [*e.ids, end_id])
+            if not batch.num_rows:
+                continue
+            if out is None:
+                own = f"{top}/{name}.{task.taskAttemptId()}.{os.getpid()}"
+                out = _Writer(fs.open_output_stream(own, compression=None))
+            known, texts, lists = batch.column(0).to_pylist(), batch.column(1), batch.column(2)
+            by_jvm = lists.is_valid().to_numpy(zero_copy_only=False)
+            ids, lengths = encoder.pieces(lists, end_id)
+            ends = np.cumsum(lengths).tolist()
+            slow = np.flatnonzero(~by_jvm)
+            at = 0
+            for lo in range(0, len(slow), 64) if len(slow) else ():
+                part = slow[lo : lo + 64]
+                found = encoder.texts([t or "" for t in texts.take(pa.array(part)).to_pylist()])
+                for k, x in zip(part.tolist(), found, strict=True):
+                    for i in range(at, k):
+                        out.add(known[i], ids[ends[i] - lengths[i] : ends[i]])
+                    out.add(known[k], [*x, end_id])
+                    at = k + 1
+            for i in range(at, batch.num_rows):
+                out.add(known[i], ids[ends[i] - lengths[i] : ends[i]])
         if out is not None:
             ids, size, chunks = out.close()
             out.handle.close()
@@ -457,7 +535,9 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_I
 
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
     dealt = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(*order).sortWithinPartitions(*order)
-    return cut(dealt.mapInArrow(run, "path string, part long, ids long, bytes long, chunks long"))
+    pieces = F.lit(None).cast("array<string>") if fast is None else F.when(fast, F.regexp_extract_all("text", F.lit(SPLIT), F.lit(0)))
+    whole = F.col("text") if fast is None else F.when(~F.coalesce(fast, F.lit(False)), F.col("text"))
+    return cut(dealt.select("doc_id", whole.alias("text"), pieces.alias("pieces")).mapInArrow(run, "path string, part long, ids long, bytes long, chunks long"))
 
 
 def read(files: DataFrame, with_ids: bool = True) -> DataFrame:

@@ -54,14 +54,15 @@ def test_any_ids(monkeypatch):
         start += len(ids)
 
 
-def test_damage_is_found():
+def test_damage_is_found(monkeypatch):
+    monkeypatch.setattr(idcodec, "BLOCK", 256)
     out = Handle()
     writer = idcodec._Writer(out)
-    writer.add(5, list(range(5000)))
+    writer.add(5, list(range(600)))
     writer.add(None, [0])
     writer.close()
     data = out.getvalue()
-    assert [(d, len(i)) for d, _, i in idcodec.read_file(Handle(data))] == [(5, 5000), (None, 1)]
+    assert [(d, len(i)) for d, _, i in idcodec.read_file(Handle(data))] == [(5, 600), (None, 1)]
     for place in [*range(0, len(data), 97), *range(len(data) - 24, len(data))]:
         spoiled = bytearray(data)
         spoiled[place] ^= 255
@@ -86,3 +87,26 @@ def test_files_round_trip(spark):
     want = sorted([*library.encode(t or "", add_special_tokens=False).ids, 0] for _, t, _ in rows)
     assert sorted(r["ids"] for r in got) == want
     assert idcodec.round_trip(docs.limit(0), PATH).count() == 0
+
+
+def test_splits_are_the_library_s(spark):
+    """Every character of the fast path in four surroundings, and runs of blanks and signs, split and encode as the library does."""
+    from pyspark.sql import functions as F
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(PATH)
+    chars = [chr(c) for c in [*range(0x530), *range(0x2000, 0x2070)]]
+    texts = [f"a{c}b {c} 1{c}2{c}{c}x  {c}\n{c}" for c in chars]
+    texts += ["it's we'll I'D 're''s  x", "a  b\n\n c\t ", "   ", " \u00a0 x\u2003\u2003y", "x\u3000y", "<|endoftext|> a", "\u06f1\u4e2d\U0001f600 z", "é" * 50, "don't  \r\n stop 12 345.6 ...", ""]
+    with open(PATH, encoding="utf-8") as f:
+        fast = idcodec._split_by_jvm(f.read())
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").repartition(3)
+    rows = df.select("i", "text", F.when(fast, F.regexp_extract_all("text", F.lit(idcodec.SPLIT), F.lit(0))).alias("p")).orderBy("i").collect()
+    assert sum(r["p"] is not None for r in rows) == len(texts) - 3  # the ideographic space, the special token, the emoji
+    for r in rows:
+        if r["p"] is not None:
+            assert "".join(r["p"]) == r["text"]
+            want = [r["text"][s:e] for _, (s, e) in library.pre_tokenizer.pre_tokenize_str(r["text"])]
+            assert r["p"] == want, r["text"]
+    got = idcodec.read(idcodec.write(df.select(F.col("i").cast("long").alias("doc_id"), "text"), f"{shared_dir(spark)}/ids-split", PATH)).orderBy("doc_id").collect()
+    assert [r["ids"] for r in got] == [[*library.encode(t, add_special_tokens=False).ids, 0] for t in texts]

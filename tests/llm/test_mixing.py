@@ -35,3 +35,16 @@ def test_edges(spark):
     assert sum(r["taken"] for r in got) in (9 + 8, 9 + 1, 9)
     long = run(spark, [(1, "x " * 200000, "a", "x"), (2, "y", "b", "x")])
     assert max(r["size"] for r in long) == 200000
+
+
+def test_rows_without_ids_are_told_apart_by_text(spark):
+    rows = [(None if i % 2 else 5, f"word{i} x y", "a", "x") for i in range(600)] + [(i, "w w w w w", "b", "x") for i in range(900)]
+    got = [r for r in run(spark, rows) if r["source"] == "a"]
+    taken = {r["copies"] for r in got}
+    assert len(taken) == 2 and abs(sum(r["taken"] for r in got) - got[0]["target"]) <= 2
+
+
+def test_mix_takes_no_empty_documents(spark):
+    rows = [(i, [None, "", " \t", "one two"][i % 4], "s", "x") for i in range(40)]
+    mixed = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string, h string")).collect()
+    assert mixed and {r["text"] for r in mixed} == {"one two"} and {r["h"] for r in mixed} == {"x"}

@@ -139,6 +139,62 @@ def test_stages_in_order(spark, tmp_path):
     assert pii and toxicity
 
 
+def plain_mix(rows):
+    """rows (doc_id, text, source) as often as the mix takes them, step by step."""
+    from hashlib import md5
+
+    hashed = lambda r: int(md5(f"{r[0]}:{md5(r[1].encode()).hexdigest()}".encode()).hexdigest()[:12], 16)
+    size = {s: sum(len(t.split()) for _, t, o in rows if o == s) for s in {r[2] for r in rows}}
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sorted(size))}
+    target, free, budget = {}, set(size), 1.5 * sum(size.values())
+    while free:
+        level = (budget - sum(target.values())) / sum(weight[s] for s in free)
+        full = {s for s in free if level * weight[s] > 2 * size[s]}
+        target |= {s: 2.0 * size[s] for s in full} if full else {s: level * weight[s] for s in free}
+        free = free - full if full else set()
+    out = []
+    for s in size:
+        rounds = int(target[s] // size[s])
+        left, upto = target[s] - rounds * size[s], 0
+        for r in sorted((r for r in rows if r[2] == s), key=hashed):
+            n = len(r[1].split())
+            more = upto + n <= left or upto <= left and upto + n - left < left - upto
+            out += [r] * (rounds + more)
+            upto += n
+    return out
+
+
+def test_pipeline_equals_a_plain_version(spark, tmp_path):
+    """Toxic rows are those planted; every other stage is done again by definition."""
+    import re
+
+    import public_tokenizers
+    import tiktoken
+    from base64 import b64decode
+
+    rows, _ = corpus()
+    rng = random.Random(6)
+    bad = [(1000 + i, " ".join(["plain"] * rng.randrange(5) + [rng.choice(["zounds", "zilch"])] * 4 + [rng.choice("abc")] * 9), "en", "s1", 0) for i in range(60)]
+    rows = [(i, f"{t} write to u{i}@mail.example.com or +1 (555) 010-{1000 + i}", *r) for i, t, *r in rows]
+    spark.createDataFrame(rows + bad, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(r[0], 1, int(r[0] >= 1000)) for r in rows + bad], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = sorted((r["doc_id"], tuple(r["ids"])) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+
+    words, root = [r[1].lower().split() for r in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if root[i] != root[j] and jaccard(words[i], words[j]) >= 0.8:
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    kept = [r for k, r in enumerate(rows) if root[k] == k]  # ids rise with places
+    masked = [(r[0], re.sub(r"\+[0-9][ ().0-9-]+[0-9]", "[PHONE]", re.sub(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "[EMAIL]", r[1])), r[3]) for r in kept]
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as lines:
+        ranks = {b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert len(kept) < len(rows)
+    assert got == sorted((i, tuple(encoding.encode_ordinary(t))) for i, t, _ in plain_mix(masked))
+
+
 def test_stages_take_odd_rows(spark, tmp_path):
     rows = [(1, None, "en", "a", 0), (2, "", None, "a", None), (None, "some words here", "en", None, 3), (None, "some words here", "en", None, 3), (5, "x " * 60000, "en", "b", 1), (6, "same text of words", "de", "b", 2), (6, "same text of words", "de", "b", 2)]
     docs = spark.createDataFrame(rows, SCHEMA).withColumn("hash", F.lit(1)).withColumn("size", F.lit("s"))
