@@ -38,8 +38,8 @@ def test_edges(spark):
 
 
 def test_rows_without_ids_are_told_apart_by_text(spark):
-    rows = [(None if i % 2 else 5, f"word{i} x y", "a", "x") for i in range(600)] + [(i, "w w w w w", "b", "x") for i in range(900)]
-    got = [r for r in run(spark, rows) if r["source"] == "a"]
+    rows = [(None if i % 2 else 5, f"word{i} x y", "b", "x") for i in range(600)] + [(i, "w w w w w", "a", "x") for i in range(300)]
+    got = [r for r in run(spark, rows) if r["source"] == "b"]
     taken = {r["copies"] for r in got}
     assert len(taken) == 2 and abs(sum(r["taken"] for r in got) - got[0]["target"]) <= 2
 
