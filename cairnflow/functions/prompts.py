@@ -94,6 +94,14 @@ def eval_prompt(problem: Column, exemplars: list[tuple[str, str]] | None = None)
     return fill(ZERO_SHOT, problem=problem)
 
 
+def benchmark_prompt(problem: Column, bench: Column, exemplars: dict[str, list[tuple[str, str]]], other: list[tuple[str, str]]) -> Column:
+    """Few-shot with the exemplars of the first key that the benchmark's name (in lower case) holds, else the others."""
+    shown = eval_prompt(problem, other)
+    for key, own in reversed(exemplars.items()):
+        shown = F.when(F.contains(F.lower(bench), F.lit(key)), eval_prompt(problem, own)).otherwise(shown)
+    return shown
+
+
 def chat_text(messages: Column) -> Column:
     """An array of role and content as plain lines; other roles are dropped; ends with the assistant's turn."""
     role = lambda m: F.when(m["role"] == "system", "System").when(m["role"] == "user", "User").when(m["role"] == "assistant", "Assistant")

@@ -11,11 +11,11 @@ from .trees import terminal_paths
 GOLD, HARD, SOFT = "gold_positive", "hard_negative", "soft_negative"
 
 
-def collect(nodes: DataFrame, problems: DataFrame) -> DataFrame:
+def collect(nodes: DataFrame, problems: DataFrame, extract=answers.extract_pipeline, verify=answers.verify) -> DataFrame:
     """Trajectories (schema.TRAJECTORY) of trees; correctness comes from the answer in the actions, not from the reward."""
     found = terminal_paths(nodes).join(problems.select("problem_id", "ground_truth"), "problem_id")
-    found = found.withColumn("final_answer", answers.extract_pipeline(F.array_join("steps", "\n")))
-    return found.withColumn("is_correct", answers.verify(F.col("final_answer"), F.col("ground_truth"))).drop("ground_truth", "node_id")
+    found = found.withColumn("final_answer", extract(F.array_join("steps", "\n")))
+    return found.withColumn("is_correct", verify(F.col("final_answer"), F.col("ground_truth"))).drop("ground_truth", "node_id")
 
 
 def split_correct(trajectories: DataFrame) -> tuple[DataFrame, DataFrame]:

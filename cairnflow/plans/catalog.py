@@ -16,6 +16,7 @@ from ..functions import answers, prompts, segment, text
 from ..functions.critique import field_fallback, parse_critique
 from ..lineage import cut, remove, shared_dir
 from ..operators import datasets, sampling, trajectories, trees
+from ..operators.tokenize import sft_rows
 from ..schema import SEED, SFT
 from ..sources import readers, writers
 from ..streaming.resume import verified_stream
@@ -659,6 +660,15 @@ def sft_mask_pad(spark, sf_dir):
     return padded.select("doc_id", *[F.array_join(c, ",").alias(c) for c in ("input_ids", "attention_mask", "labels")])
 
 
+@query()
+def sft_tokenize(spark, sf_dir):
+    """Whole texts as solutions; at most 512 ids."""
+    import public_tokenizers
+
+    records = documents(spark, sf_dir).select("doc_id", F.concat(F.lit("Find "), F.col("doc_id").cast("string")).alias("problem"), F.col("text").alias("solution"))
+    return sft_rows(records, public_tokenizers.path("byte_bpe_50k.json"), 50256, 512).select("doc_id", *[F.array_join(c, ",").alias(c) for c in ("input_ids", "attention_mask", "labels")])
+
+
 @query("""select conv_id, string_agg(case role when 'system' then 'System: ' || text || chr(10) when 'user' then 'User: ' || text || chr(10) when 'assistant' then 'Assistant: ' || text || chr(10) else '' end, '' order by turn) || 'Assistant:' as prompt
 from conversations group by conv_id""")
 def chat_template(spark, sf_dir):
@@ -680,6 +690,20 @@ def search_and_eval_prompts(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", prompts.expansion_prompt(p, F.array(F.lit("a"), F.lit("b"))).alias("expansion"), prompts.eval_prompt(p).alias("zero_shot"), prompts.eval_prompt(p, [("q", "a")]).alias("few_shot"))
 
 
+_SHOTS = {"gsm": [("g", "1")], "mm": [("m", "2")]}
+
+
+def _shots_sql(pairs) -> str:
+    shown = "".join(f"Problem: {q}\nSolution: {a}\n\n" for q, a in pairs)
+    return _sql_text(shown + "Problem: {problem}\nSolution:", problem="text")
+
+
+@query(f"select doc_id, case when contains(lower('GSM-' || source), 'gsm') and doc_id % 2 = 0 then {_shots_sql(_SHOTS['gsm'])} else {_shots_sql([('o', '3')])} end as prompt from documents")
+def few_shot_by_benchmark(spark, sf_dir):
+    bench = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("GSM-"), "source")).otherwise(F.lit("other"))
+    return documents(spark, sf_dir).select("doc_id", prompts.benchmark_prompt(F.col("text"), bench, _SHOTS, [("o", "3")]).alias("prompt"))
+
+
 @query(f"select doc_id, {_sql_text(prompts.ANALYSIS_USER, problem='source', positive='lang', negative=chr(39) + 'n' + chr(39))} as analysis, {_sql_text(prompts.SYNTHESIS_USER, problem='source', success_pattern='lang', failure_mode_to_avoid=chr(39) + chr(39), divergence_step_index='doc_id', critique_of_difference=chr(39) + 'N/A' + chr(39), global_strategic_analysis=chr(39) + 'N/A' + chr(39), style=chr(39) + prompts.STYLE + chr(39))} as synthesis from documents")
 def analysis_and_synthesis_prompts(spark, sf_dir):
     empty = F.create_map().cast("map<string,string>")

@@ -12,37 +12,38 @@ from ..functions.critique import parse_critique
 from ..functions.segment import format_trajectory
 from ..operators import datasets, sampling, trajectories
 from ..schema import VERIFIED
+from .plugins import OWN, Plugins
 from .provider import TextProvider, generate
 from .search import Settings, search_trees
 
 
-def phase1(seeds: DataFrame, factory: Callable[[], TextProvider], settings: Settings | None = None, k: int = sampling.K, seed: int = sampling.SEED) -> DataFrame:
+def phase1(seeds: DataFrame, factory: Callable[[], TextProvider], settings: Settings | None = None, k: int = sampling.K, seed: int = sampling.SEED, plugins: Plugins = OWN) -> DataFrame:
     """Pair records (schema.PAIR) of seeds (problem_id, problem, ground_truth, source)."""
-    found = trajectories.collect(search_trees(seeds, factory, settings), seeds)
+    found = trajectories.collect(search_trees(seeds, factory, settings), seeds, plugins.extract, plugins.verify)
     return sampling.pair_records(sampling.contrastive_pairs(found, k, seed=seed), seeds)
 
 
-def analyze(pairs: DataFrame, factory: Callable[[], TextProvider], max_tokens: int = 1024) -> DataFrame:
+def analyze(pairs: DataFrame, factory: Callable[[], TextProvider], max_tokens: int = 1024, plugins: Plugins = OWN) -> DataFrame:
     """Pair records with analysis (the model's text) and critique (null where it can't be parsed)."""
-    ask = prompts.analysis_prompt(F.col("problem"), format_trajectory(F.col("positive_steps")), format_trajectory(F.col("negative_steps")))
+    ask = plugins.analysis(F.col("problem"), format_trajectory(F.col("positive_steps")), format_trajectory(F.col("negative_steps")))
     asked = pairs.withColumns({"prompt": ask["user"], "system": ask["system"]})
     return generate(asked, factory, out="analysis", max_tokens=max_tokens, system="system").drop("prompt", "system").withColumn("critique", parse_critique(F.col("analysis")))
 
 
-def synthesize(judged: DataFrame, factory: Callable[[], TextProvider], max_tokens: int = 2048) -> DataFrame:
+def synthesize(judged: DataFrame, factory: Callable[[], TextProvider], max_tokens: int = 2048, plugins: Plugins = OWN) -> DataFrame:
     """Rows of problem and critique with solution (the model's text), steps and final_answer."""
-    write = prompts.synthesis_prompt(F.col("problem"), F.col("critique"))
+    write = plugins.synthesis(F.col("problem"), F.col("critique"))
     told = judged.withColumns({"prompt": write["user"], "system": write["system"]})
     solved = generate(told, factory, out="solution", max_tokens=max_tokens, system="system").drop("prompt", "system")
-    return solved.withColumn("steps", text.parse_steps(F.col("solution"))).withColumn("final_answer", answers.extract_pipeline(F.col("solution")))
+    return solved.withColumn("steps", text.parse_steps(F.col("solution"))).withColumn("final_answer", plugins.extract(F.col("solution")))
 
 
-def phase2(pairs: DataFrame, factory: Callable[[], TextProvider], analysis_tokens: int = 1024, synthesis_tokens: int = 2048) -> DataFrame:
+def phase2(pairs: DataFrame, factory: Callable[[], TextProvider], analysis_tokens: int = 1024, synthesis_tokens: int = 2048, plugins: Plugins = OWN) -> DataFrame:
     """Verified records (schema.VERIFIED) of pair records. Filters stand before the calls that they save, and columns are dropped before they travel."""
-    judged = analyze(pairs, factory, analysis_tokens).where("critique is not null")
+    judged = analyze(pairs, factory, analysis_tokens, plugins).where("critique is not null")
     kept = judged.select("problem", "ground_truth", F.coalesce("source", F.lit("unknown")).alias("source"), "contrast_type", "critique")
-    solved = synthesize(kept, factory, synthesis_tokens)
-    passed = answers.verify(F.col("final_answer"), F.col("ground_truth"))
+    solved = synthesize(kept, factory, synthesis_tokens, plugins)
+    passed = plugins.verify(F.col("final_answer"), F.col("ground_truth"))
     return datasets.verified_records(solved.withColumn("status", F.when(passed, "passed").otherwise("failed")))
 
 

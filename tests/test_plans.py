@@ -119,6 +119,36 @@ def test_http_backend():
         server.shutdown()
 
 
+def test_tokenized_rows(spark):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    tokenizers = pytest.importorskip("tokenizers")
+    from cairnflow.operators.tokenize import chat_template, plain_template, sft_rows
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = tokenizers.Tokenizer.from_file(path)
+    rows = [("p", "a short solution"), ("q " * 30, "long " * 50), ("r", None), ("", "")]
+    df = spark.createDataFrame(rows, "problem string, solution string")
+    for template, shown in ((plain_template, ("{}\n", "{}\n{}")), (chat_template, ("User: {}\nAssistant:", "User: {}\nAssistant: {}"))):
+        got = [(r["input_ids"], r["attention_mask"], r["labels"]) for r in sft_rows(df, path, 9, 40, template).collect()]
+        want = []
+        for p, s in rows:
+            user = f"{p}\nPlease reason step by step, and put your final answer within \\boxed{{}}."
+            ask, full = (library.encode(t.format(user, s or ""), add_special_tokens=False).ids for t in shown)
+            ids = full[:39] + [9]
+            n = min(len(ask[:40]), len(ids))
+            want.append((ids, [1] * len(ids), [-100] * n + ids[n:]))
+        assert got == want
+
+
+def test_plugins(spark):
+    from cairnflow.plans.plugins import Plugins
+
+    own = Plugins(extract=lambda text: F.lit("7"), verify=lambda a, b: F.coalesce(a == "7", F.lit(False)), analysis=lambda p, a, b: F.struct(F.lit("S").alias("system"), F.concat(F.lit("Trajectory B "), p).alias("user")))
+    found = phase1(seeds(spark), Stub, Settings(num_rollouts=8), 4, plugins=own)
+    assert {r["positive_answer"] for r in found.collect()} == {"7"}
+    assert {r["answer"] for r in phase2(found, CritiqueStub, plugins=own).collect()} == {"7"}
+
+
 def test_malformed_lines_fail(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / "pairs.jsonl").write_text('{"problem": "p"}\n{broken\n')
