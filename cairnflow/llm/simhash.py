@@ -27,7 +27,7 @@ from functools import lru_cache
 from itertools import combinations
 from math import acos, ceil, comb, log2, pi
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import cut, join_checked
@@ -301,8 +301,10 @@ def near_edges(fps: DataFrame, bits: int = BITS, chunk: int = CHUNK, blocks: int
 WIDE_SHINGLE, WIDE_BITS, WORD, WORD_ERRORS, CHECK_ERRORS = 5, 256, 40, 14, 34
 #: Least Jaccard similarity of linked texts, as a fraction; the share of isolated pairs at it that keys find.
 SIMILARITY, RECALL = (4, 5), 0.996
-#: Rounds that try a component's members against one of them.
+#: Rounds that try a large component's members against one of them.
 STARS = 3
+#: Members, and bytes of their shingle sets, that a chunk of a component holds.
+SET_ROWS, SET_BYTES = 2048, 8 << 20
 _STREAMS = (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 #: Odd multipliers of a shingle's words.
 _TURNS = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)
@@ -408,9 +410,8 @@ def wide_edges(fps: DataFrame, chunk: int = CHUNK, n: int | None = None) -> Data
     """From distinct fp, wide: u, v (fp), spanning edges of candidates: fingerprints that share a key and differ in at most CHECK_ERRORS of the check's bits.
 
     Keys sample log2(n / GROUP) bits, so groups keep their size as n grows, and their number grows with about its fourth
-    root. With a column label, every such pair of unlike labels is emitted instead, once or more.
+    root.
     """
-    labelled = "label" in fps.columns
     n = n or max(fps.count(), 1)
     key_bits = max(8, ceil(log2(max(n / GROUP, 1))))
     tables = tables_for(key_bits)
@@ -431,11 +432,10 @@ def wide_edges(fps: DataFrame, chunk: int = CHUNK, n: int | None = None) -> Data
                 wide = np.frombuffer(b"".join(part["wide"].to_pylist()), np.uint8).reshape(-1, WIDE_BITS // 8)
                 key = (np.unpackbits(wide, axis=1).astype(np.float64) @ sampled).astype(np.int64) | np.arange(tables, dtype=np.int64) << key_bits
                 check = np.ascontiguousarray(wide).view(np.int64)
-                out = [key.ravel(), *(np.repeat(x, tables) for x in (part["fp"].to_numpy(), check[:, 0], check[:, 1], part["label" if labelled else "fp"].to_numpy()))]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["key", "fp", "c1", "c2", "label"])
+                out = [key.ravel(), *(np.repeat(x, tables) for x in (part["fp"].to_numpy(), check[:, 0], check[:, 1]))]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["key", "fp", "c1", "c2"])
 
-    columns = ["key", "fp", "c1", "c2"] + ["label"] * labelled
-    keyed = fps.select("fp", "wide", *["label"] * labelled).mapInArrow(keys, "key long, fp long, c1 long, c2 long, label long").select(*columns)
+    keyed = fps.select("fp", "wide").mapInArrow(keys, "key long, fp long, c1 long, c2 long")
 
     def edges(x, group):
         import numpy as np
@@ -445,17 +445,11 @@ def wide_edges(fps: DataFrame, chunk: int = CHUNK, n: int | None = None) -> Data
         value = c1 >> np.uint64(64 - WORD) << np.uint64(64 - WORD) | x["fp"].view(np.uint64) >> np.uint64(WORD)
         order = np.lexsort((value, group))
         value, group, c1, c2, fp = (y[order] for y in (value, group, c1, c2, x["fp"]))
-        label = x["label"][order] if labelled else None
 
         def close(i, j):
             return np.bitwise_count(c1[i] ^ c1[j]).astype(np.int16) + np.bitwise_count(c2[i] ^ c2[j]) <= CHECK_ERRORS
 
-        word = ((1 << WORD) - 1) << (64 - WORD)
-        if not labelled:
-            return _spanning_edges(fp, value, group, WORD_ERRORS, word, close)
-        i, j = trie_pairs(value, group, WORD_ERRORS, word, close, label)
-        pairs = np.unique(np.stack([np.minimum(fp[i], fp[j]), np.maximum(fp[i], fp[j])]), axis=1)
-        return pairs[0], pairs[1]
+        return _spanning_edges(fp, value, group, WORD_ERRORS, ((1 << WORD) - 1) << (64 - WORD), close)
 
     return _group_join(keyed, n * tables, edges, chunk)
 
@@ -475,7 +469,7 @@ def _verified(pairs: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, rows: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
-    """node, component, set (bytes) of members (node, component). docs: doc_id, hash, text."""
+    """node, component, wide, set (bytes) of members (node, component). docs: doc_id, hash, text."""
     first = rows.join(members, F.col("fp") == F.col("node")).groupBy("node", "component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "hash")).alias("at"))
     first = cut(first.select("node", "component", F.col("at.doc_id").alias("_id"), F.col("at.hash").alias("_of")))
     texts = join_checked(docs, first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_of")))
@@ -485,52 +479,165 @@ def _sets(docs: DataFrame, rows: DataFrame, members: DataFrame, shingle: int) ->
 
         memo = WordHashes()
         for batch in batches:
-            found = pa.array([shingle_set(t, shingle, memo).tobytes() for t in batch.column(2).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], ["node", "component", "set"])
+            found = [shingle_set(t, shingle, memo) for t in batch.column(2).to_pylist()]
+            wide, sets = (pa.array(x, pa.binary()) for x in (map(wide_fingerprint, found), (x.tobytes() for x in found)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), wide, sets], ["node", "component", "wide", "set"])
 
-    return cut(texts.select("node", "component", "text").mapInArrow(run, "node long, component long, set binary").dropDuplicates(["node"]))
+    return cut(texts.select("node", "component", "text").mapInArrow(run, "node long, component long, wide binary, set binary").dropDuplicates(["node"]))
 
 
-def similar_components(docs: DataFrame, rows: DataFrame, shingle: int = WIDE_SHINGLE) -> DataFrame:
-    """node, root as connected_components() gives them: of candidates whose shingle sets are similar.
+def similar_edges(node, wide, sets: list, label, part):
+    """Edges (u, v) that, with equal labels, span what similar pairs connect of those within CHECK_ERRORS of each other.
 
-    Links lie within components of candidates. A component's members are tried against one of them, those that fail
-    against another of theirs, STARS times; what that leaves apart is tried by all its candidate pairs. So a large group
-    of copies takes about one comparison a member, and no candidate pair stays untried unless its ends are joined.
+    Pairs are those of places of part 0, and those of a place of part 1 and one of part 2. Arrays; wide: rows of uint64.
+    Intersections are counted by marking one set's shingles and summing the marks of all sets it is tried against, so a
+    pair costs some nanoseconds a shingle; pairs that have become joined are not tried.
     """
-    wide = cut(rows.select("fp", "wide").dropDuplicates(["fp"]))
-    n = wide.count()
-    found = cut(connected_components(wide_edges(wide, n=n)))
-    members = cut(found.select("node", F.col("root").alias("component")).unionByName(found.select(F.col("root").alias("node"), F.col("root").alias("component")).distinct()))
-    sets = _sets(docs, rows, members, shingle)
-    links, left, apart = None, sets, None
+    import numpy as np
+
+    part_, whole = SIMILARITY
+    sizes = np.array([len(x) for x in sets], np.int64)
+    names, at = np.unique(np.concatenate(sets), return_inverse=True)
+    # shingles of a single set are in no intersection
+    shared = np.bincount(at, minlength=len(names))[at] > 1
+    place = np.r_[0, np.cumsum(shared)][np.r_[0, np.cumsum(sizes)]]
+    at, mark = at[shared], np.zeros(len(names), np.int8)
+    root = np.unique(label, return_inverse=True)[1]
+    own, second = np.flatnonzero(part == 0), np.flatnonzero(part == 2)
+    u, v = [], []
+    for i in np.flatnonzero(part < 2).tolist():
+        j = second if part[i] else own[np.searchsorted(own, i, "right") :]
+        j = j[root[j] != root[i]]
+        j = j[whole * np.minimum(sizes[i], sizes[j]) >= part_ * np.maximum(sizes[i], sizes[j])]
+        j = j[np.bitwise_count(wide[j, :2] ^ wide[i, :2]).sum(axis=1, dtype=np.int64) <= CHECK_ERRORS]
+        if not len(j):
+            continue
+        mine = at[place[i] : place[i + 1]]
+        mark[mine] = 1
+        lengths = place[j + 1] - place[j]
+        bounds = np.flatnonzero(np.diff(np.cumsum(lengths) >> 20)) + 1  # about a million marks at once
+        for k, n in zip(np.split(j, bounds), np.split(lengths, bounds), strict=True):
+            ends = np.cumsum(n)
+            marks = mark[at[np.repeat(place[k] - (ends - n), n) + np.arange(int(ends[-1]))]]
+            upto = np.r_[0, np.cumsum(marks, dtype=np.int64)]
+            both = upto[ends] - upto[ends - n]
+            for x in k[whole * both >= part_ * (sizes[i] + sizes[k] - both)].tolist():
+                if root[x] != root[i]:
+                    u.append(i)
+                    v.append(x)
+                    root[root == root[x]] = root[i]
+        mark[mine] = 0
+    return node[np.array(u, np.int64)], node[np.array(v, np.int64)]
+
+
+def _dealt_edges(dealt: DataFrame, tasks: int) -> DataFrame:
+    """u, v: similar_edges() of groups of equal key. dealt: key, part, node, label, wide, set."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        def work(rows: pa.Table, keys: np.ndarray) -> Iterator:
+            """Rows of whole groups."""
+            bounds = np.r_[np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]), len(keys)].tolist()
+            part, node, label = (rows[c].to_numpy() for c in ("part", "node", "label"))
+            wide = np.frombuffer(b"".join(rows["wide"].to_pylist()), "<u8").reshape(-1, WIDE_BITS // 64)
+            found = []
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                if b - a > 1:
+                    sets = [np.frombuffer(x, "<u8") for x in rows["set"].slice(a, b - a).to_pylist()]
+                    found.append(similar_edges(node[a:b], wide[a:b], sets, label[a:b], part[a:b]))
+            if found:
+                u, v = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+        held, n, size = [], 0, 0
+        for batch in batches:
+            held.append(batch)
+            n, size = n + batch.num_rows, size + batch.nbytes
+            if n < SET_ROWS and size < SET_BYTES:
+                continue
+            rows = pa.Table.from_batches(held)
+            keys = rows["key"].to_numpy()
+            end = int(np.searchsorted(keys, keys[-1], "left"))  # where the last, open group begins
+            if end:
+                yield from work(rows.slice(0, end), keys[:end])
+                rows = rows.slice(end)
+            held, n, size = rows.to_batches(), rows.num_rows, rows.nbytes
+        if n:
+            rows = pa.Table.from_batches(held)
+            yield from work(rows, rows["key"].to_numpy())
+
+    return dealt.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
+
+
+def _stars(sets: DataFrame) -> DataFrame | None:
+    """u, v: members of components that are similar to one member of theirs, or, of those that are not, to one of these, STARS times."""
+    links, left = None, sets
     for _ in range(STARS):
-        hubs = left.groupBy("component").agg(F.min(F.struct("node", "set")).alias("hub")).select("component", F.col("hub.node").alias("v"), F.col("hub.set").alias("b"))
-        pairs = left.select(F.col("node").alias("u"), "component", F.col("set").alias("a")).join(hubs, "component").where("u <> v")
-        tried = cut(_verified(pairs))
-        near, far = tried.where("near").select("u", "v"), tried.where("not near").select(F.col("u").alias("node"))
+        least = cut(left.groupBy("component").agg(F.min("node").alias("v")))
+        hubs = cut(join_checked(left.select("node", F.col("set").alias("b")), least, F.col("node") == F.col("v")).select("component", "v", "b"))
+        tried = cut(_verified(join_checked(left.select(F.col("node").alias("u"), "component", F.col("set").alias("a")), hubs, "component").where("u <> v")))
+        near = tried.where("near").select("u", "v")
         links = near if links is None else links.unionByName(near)
-        left = cut(left.join(far, "node", "left_semi"))
-        apart = left if apart is None else apart
+        left = cut(left.join(tried.where("not near").select(F.col("u").alias("node")), "node", "left_semi"))
         if left.isEmpty():
             break
-    # components that one comparison has not settled
-    open_ = cut(members.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 2").join(apart.select("component").distinct(), "component", "left_semi").select("component"))
-    if not open_.isEmpty():
-        label = links.select(F.col("u").alias("node"), F.col("v").alias("label"))
-        nodes = members.join(open_, "component", "left_semi").join(label, "node", "left").select(F.col("node").alias("fp"), F.coalesce("label", "node").alias("label"))
-        # keys for the whole table's number of fingerprints, not for these few: the same candidates
-        rest = cut(wide_edges(cut(wide.join(nodes, "fp")), n=n).distinct())
-        pairs = rest.join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
-        links = links.unionByName(_verified(pairs).where("near").select("u", "v"))
-    return connected_components(links)
+    return links
+
+
+def similar_components(docs: DataFrame, rows: DataFrame, shingle: int = WIDE_SHINGLE, chunk: int = SET_ROWS) -> DataFrame:
+    """node, root as connected_components() gives them: of candidates whose shingle sets are similar.
+
+    Links lie within components of candidates, and all candidate pairs of a component are tried in the tasks, which hand on
+    only edges that span the links. A component of at most chunk members and SET_BYTES is one group. Of a larger one,
+    members are first tried against one of them (STARS times); then those outside of the largest star are dealt, in
+    chunks, to groups with each chunk of the component. So a large group of copies takes about one comparison a member, a
+    pair stays untried only if its ends are joined, and rows grow with a component's members times the chunks of those
+    outside of its largest star.
+    """
+    wide = cut(rows.select("fp", "wide").dropDuplicates(["fp"]))
+    found = cut(connected_components(wide_edges(wide, n=wide.count())))
+    members = cut(found.select("node", F.col("root").alias("component")).unionByName(found.select(F.col("root").alias("node"), F.col("root").alias("component")).distinct()))
+    sets = _sets(docs, rows, members, shingle)
+
+    def chunks(own: Column) -> Column:
+        """Of the rows that own is true of."""
+        return F.greatest(F.ceil(F.count_if(own) / chunk), F.ceil(F.sum(F.when(own, F.length("set")).otherwise(0)) / SET_BYTES))
+
+    sizes = sets.groupBy("component").agg(chunks(F.lit(True)).alias("chunks"))
+    large = cut(sizes.where("chunks > 1").select("component"))
+    columns = ["key", "part", "node", "label", "wide", "set"]
+    small = sets if large.isEmpty() else join_checked(sets, large, "component", "left_anti")
+    dealt = small.select(F.xxhash64("component").alias("key"), F.lit(0).alias("part"), "node", F.col("node").alias("label"), "wide", "set")
+    links = None
+    if not large.isEmpty():
+        hot = cut(join_checked(sets, large, "component", "left_semi"))
+        links = cut(_stars(hot))
+        named = cut(hot.select("node", "component", "wide", "set").join(links.select(F.col("u").alias("node"), F.col("v").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node")))
+        stars = named.groupBy("component", "label").agg(F.count(F.lit(1)).alias("n"))
+        top = cut(stars.groupBy("component").agg(F.max(F.struct("n", "label")).alias("top")).select("component", F.col("top.label").alias("top")))
+        named = join_checked(named, top, "component").withColumn("apart", F.col("label") != F.col("top"))
+        plan = cut(named.groupBy("component").agg(chunks(F.col("apart")).alias("outer"), chunks(~F.col("apart")).alias("inner")).where("outer > 0"))
+        # chunks of those outside come first; each of these meets itself and every other
+        own = F.when(F.col("apart"), F.pmod(F.xxhash64("node"), "outer")).otherwise(F.col("outer") + F.pmod(F.xxhash64("node"), "inner"))
+        others = F.sequence(F.lit(0).cast("long"), F.when(F.col("apart"), F.col("outer") + F.col("inner")).otherwise(F.col("outer")) - 1)
+        spread = join_checked(named, plan, "component").withColumn("own", own).withColumn("other", F.explode(others))
+        part = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+        key = F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other"))
+        dealt = dealt.unionByName(spread.select(key.alias("key"), part.alias("part"), "node", "label", "wide", "set"))
+    volume = sets.agg(F.sum(F.length("set"))).first()[0] or 0
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(volume) // (4 * SET_BYTES) + 1)
+    edges = _dealt_edges(dealt.select(*columns), tasks)
+    return connected_components(edges if links is None else edges.unionByName(links))
 
 
 def keep_one(docs: DataFrame, shingle: int = WIDE_SHINGLE) -> DataFrame:
     """docs with one row of each group of near-duplicates: the row of least id, then of least text hash.
 
-    A row is told by its id and a hash of its text. The groups' kept rows come from an aggregation by group; only
-    those who stay (at most a row per group) are joined back, so no task meets a large group's members.
+    A row is told by its id and a hash of its text. The groups' kept rows come from an aggregation by group; the others
+    are found by these two alone, so no task meets a large group's members, and their list, which mostly is the shorter
+    one, is what the documents are joined with.
     """
     slim = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text")
     rows = cut(wide_fingerprints(slim, shingle))
@@ -542,7 +649,9 @@ def keep_one(docs: DataFrame, shingle: int = WIDE_SHINGLE) -> DataFrame:
     first = cut(grouped.groupBy("group").agg(F.min("least").alias("at")).select(F.col("at.doc_id").alias("_id"), F.col("at.hash").alias("_of")))
     whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("_own"), F.xxhash64("text").alias("_hash"))
     same = F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_of"))
-    kept = join_checked(whole, first, same, "left_semi")
+    others = rows.select(F.col("doc_id").alias("_own"), F.col("hash").alias("_hash")).distinct()
+    dropped = cut(join_checked(others, first, same, "left_anti").select(F.col("_own").alias("_id"), F.col("_hash").alias("_of")))
+    kept = join_checked(whole, dropped, same, "left_anti")
     # rows repeated as they are: one of them
     twice = cut(rows.groupBy("doc_id", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_id"), F.col("hash").alias("_of")))
     if not twice.isEmpty():

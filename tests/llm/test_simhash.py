@@ -144,3 +144,66 @@ def test_large_groups_of_copies_stay_linear():
     at = time.time()
     u, v = simhash._spanning_edges(fp.view(np.int64), fp, np.zeros(len(fp), np.int64), 3, (1 << 64) - 1, lambda i, j: np.bitwise_count(fp[i] ^ fp[j]) <= 3)
     assert len(set(u.tolist())) == len(fp) - 1 and time.time() - at < 20
+
+
+def test_similar_edges_span_the_links():
+    """Parts as dealt and all as one, against trying every pair by similar()."""
+    rng = np.random.default_rng(12)
+    base = rng.integers(0, 2**63, 120).astype(np.uint64)
+    sets = [np.unique(np.where(rng.random(120) < rate, rng.integers(0, 2**63, 120).astype(np.uint64), base)) for rate in rng.choice([0.02, 0.08, 0.2], 90)]
+    sets += [sets[0][:100], np.zeros(0, np.uint64)]
+    n = len(sets)
+    node, label = np.arange(n), np.where(np.arange(n) % 9 == 0, 0, np.arange(n))
+    wide = np.stack([np.frombuffer(simhash.wide_fingerprint(s), np.uint64) for s in sets])
+    for part in (np.zeros(n, np.int64), np.arange(n) % 2 + 1, np.arange(n) % 3):
+        u, v = simhash.similar_edges(node, wide, sets, label, part)
+        assert len(u) < n  # a spanning forest, not the pairs
+        meet = [(i, j) for i in range(n) for j in range(n) if i != j and (part[i] == part[j] == 0 or (part[i], part[j]) == (1, 2))]
+        near = [(i, j) for i, j in meet if simhash.similar(sets[i], sets[j])]
+        assert len(near) > 2 * n if not part.any() else near
+        joined = np.flatnonzero(label == 0)
+        star = (joined[1:], np.zeros(len(joined) - 1, np.int64))
+        a, b = (np.array(x) for x in zip(*near))
+        want = simhash.spanning(n, np.r_[a, star[0]], np.r_[b, star[1]])
+        got = simhash.spanning(n, np.r_[u, star[0]], np.r_[v, star[1]])
+        assert (want == got).all()
+
+
+def near_copies(rng, n, words, changed):
+    """n texts, each one of a few versions of a text with words replaced: many candidates, few of which are similar."""
+    base = [f"{rng.randrange(1 << 40):x}" for _ in range(words)]
+    rows = []
+    for k in range(n):
+        spots = rng.sample(range(words), rng.choice(changed))
+        rows.append((k, " ".join(f"{k}x{i}" if i in spots else w for i, w in enumerate(base))))
+    return rows
+
+
+def test_rows_of_a_large_group_of_candidates_stay_linear(spark, monkeypatch):
+    rng = random.Random(31)
+    rows = near_copies(rng, 300, 200, (2, 5, 8, 9))
+    docs = spark.createDataFrame([(*r, "en", "s", 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    sets = [simhash.shingle_set(t) for _, t in rows]
+    near = [(i, j) for i in range(300) for j in range(i) if simhash.similar(sets[i], sets[j])]
+    root = simhash.spanning(300, *(np.array(x) for x in zip(*near)))
+    want = sorted(set(root.tolist()))
+    assert 20 < len(want) < 280
+    sent, dealt = [], simhash._dealt_edges
+
+    def counted(rows, tasks):
+        found = simhash.cut(dealt(rows, tasks))
+        sent.append((rows.count(), found.count()))
+        return found
+
+    monkeypatch.setattr(simhash, "_dealt_edges", counted)
+    whole = simhash.keep_one(docs)
+    assert sorted(r["doc_id"] for r in whole.collect()) == want
+    monkeypatch.setattr(simhash, "SET_ROWS", 70)  # the component is dealt in chunks
+    slim = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text")
+    wide = simhash.cut(simhash.wide_fingerprints(slim))
+    for chunk in (70, 7):
+        found = {r["node"]: r["root"] for r in simhash.similar_components(slim, wide, chunk=chunk).collect()}
+        ids = {r["doc_id"]: found.get(r["fp"], r["fp"]) for r in wide.collect()}
+        assert sorted(min(k for k, v in ids.items() if v == g) for g in set(ids.values())) == want
+    (dealt_once, edges), (in_chunks, more), _ = sent
+    assert dealt_once == 300 and edges < 300 and in_chunks <= 300 * 6 and more < 300 * 6
