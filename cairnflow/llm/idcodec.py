@@ -5,15 +5,18 @@ end id to each, and writes one file. The id stream is cut into blocks of BLOCK i
 Each block starts from fresh models and carries the CRC-32 of its ids, so it decodes alone and damage is found. The blocks
 of a chunk are coded in lockstep: numpy does one step for all of them at a time.
 
-Models. Order-2 and order-1 contexts (hashed) each predict the next id and hold a confidence. Whether the order-2
+Symbols. A pre-token's ids are a run. Runs that are frequent in a chunk, and frequent pairs of neighbouring ids outside of
+these, are symbols of that chunk, stored with it, and take one step; all else is coded id by id. None lies in two blocks.
+
+Models. Order-2 and order-1 contexts (hashed) each predict the next symbol and hold a confidence. Whether the order-2
 prediction, else the order-1 prediction holds is told with probabilities that adapt: each is the mean of one kept by
-confidences and one kept by recent outcomes. An id that neither predicts takes its order-0 share of what is left: counts of
-the chunk's ids, stored with it. All of an id is coded in one step, in units of 1 / 2**28 of the range. The range coder is
-carry-less, with 64-bit low and range and 32-bit output words. Ids may be any 32-bit numbers: those too rare for a chunk's
-table follow an escape as they are.
+confidences and one kept by recent outcomes. A symbol that neither predicts takes its order-0 share of what is left: counts
+of the chunk's symbols, stored with it. The range coder has 64-bit low and range and 32-bit output words; carries go back
+into the words. Blocks that have ended leave the lockstep, the longest come first; one that doesn't end with its words is
+damaged. Ids may be any 32-bit numbers: those too rare for a chunk's table follow an escape as they are.
 
-File: magic; chunks (order-0 table, deflated, then the blocks' words); index, deflated (documents' ids and lengths, blocks'
-places and checksums, chunks' tables); its offset and length; magic. Readers split a file by chunks; a document belongs to
+File: magic; chunks (order-0 table and runs, deflated, then the blocks' words); index, deflated (documents' ids and lengths, blocks'
+places, steps and checksums, chunks' tables); its offset and length; magic. Readers split a file by chunks; a document belongs to
 the chunk in which it begins.
 
 Defined cases: a null or empty text is the end id only; a very long text runs through as many blocks as it needs; null ids
@@ -33,11 +36,14 @@ from pyspark.sql import functions as F
 from ._common import cut, remove, shared_dir
 from .warc import open_fs
 
-MAGIC, BLOCK, LANES, SLOTS = b"CFIDS2\r\n", 4096, 2048, 512
+MAGIC, BLOCK, LANES, SLOTS = b"CFIDS3\r\n", 4096, 2048, 512
 END_ID = 0
 #: Bits of the order-0 counts' total and of the mix; how fast probabilities adapt.
 COUNT_BITS, MIX_BITS, RATE = 16, 12, 4
-_TOTAL = COUNT_BITS + MIX_BITS
+#: A run is a symbol if it is at least one of 2**LEAST_BITS of a chunk's items.
+LEAST_BITS = 18
+#: Pairs of ids that become symbols are chosen by one of so many neighbouring places of a chunk.
+SAMPLE = 6
 
 
 def _inflated(data: bytes) -> bytes:
@@ -50,30 +56,38 @@ def _inflated(data: bytes) -> bytes:
 
 
 class Order0:
-    """Ids of a chunk as places in a table, with counts that sum to 2**COUNT_BITS. Place 0 is the escape."""
+    """Symbols of a chunk as places in a table, with counts that sum to 2**COUNT_BITS. Place 0 is the escape, then come ids, then runs of ids."""
 
     MOST = 60_000
 
-    def __init__(self, ids, counts):
+    def __init__(self, ids, counts, sizes=(), flat=()):
         import numpy as np
 
         self.ids, self.counts = ids, counts  # of places from 1 on; counts of all places
+        self.sizes, self.flat = np.asarray(sizes, np.uint32), np.asarray(flat, np.uint32)  # of the runs
         self.sums = np.r_[0, np.cumsum(counts)].astype(np.uint32)
         self.place_of = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
 
     @classmethod
-    def of(cls, ids) -> Order0:
-        """The table of a chunk's ids (uint32)."""
+    def of(cls, ids, runs=(), sizes=(), flat=()) -> Order0:
+        """The table of a chunk's ids (uint32) outside of runs; how often each run comes, how long runs are, and all their ids."""
         import numpy as np
 
         own, n = np.unique(ids, return_counts=True)
         if len(own) > cls.MOST:
             kept = np.sort(np.argpartition(-n, cls.MOST)[: cls.MOST])
             own, n = own[kept], n[kept]
-        free = (1 << COUNT_BITS) - len(own) - 1
-        counts = np.r_[1, 1 + n * free // max(len(ids), 1)]
+        n = np.r_[n, np.asarray(runs, n.dtype)]
+        free = (1 << COUNT_BITS) - len(n) - 1
+        counts = np.r_[1, 1 + n * free // max(len(ids) + int(np.sum(runs)), 1)]
         counts[np.argmax(counts)] += (1 << COUNT_BITS) - counts.sum()
-        return cls(own, counts.astype(np.int64))
+        return cls(own, counts.astype(np.int64), sizes, flat)
+
+    def spans(self):
+        """Sum before each place in the upper, count in the lower 32 bits."""
+        import numpy as np
+
+        return self.sums[:-1].astype(np.uint64) << np.uint64(32) | self.counts.astype(np.uint64)
 
     def places(self, ids):
         import numpy as np
@@ -87,18 +101,45 @@ class Order0:
         at = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
         return np.where(self.ids[at] == ids, at + 1, 0).astype(np.int32)
 
+    def lengths(self, places):
+        """How many ids each of places stands for."""
+        import numpy as np
+
+        return np.r_[np.ones(len(self.ids) + 1, np.int64), self.sizes][places]
+
+    def spelled(self, places, raw):
+        """Ids that places stand for; raw: the ids of the escapes among them, in their order."""
+        import numpy as np
+
+        singles, size = len(self.ids) + 1, self.lengths(places)
+        first = np.r_[np.arange(singles), singles + np.cumsum(self.sizes, dtype=np.int64) - self.sizes]
+        ids = _taken(np.r_[np.uint32(0), self.ids.astype(np.uint32), self.flat], first[places], size)
+        if len(raw):
+            ids[np.cumsum(size)[places == 0] - 1] = raw
+        return ids
+
     def pack(self) -> bytes:
         from zlib import compress
 
-        return compress(struct.pack("<I", len(self.ids)) + self.ids.astype("<u4").tobytes() + self.counts.astype("<u4").tobytes(), 6)
+        parts = [x.astype("<u4").tobytes() for x in (self.ids, self.counts, self.sizes, self.flat)]
+        return compress(struct.pack("<III", len(self.ids), len(self.sizes), len(self.flat)) + b"".join(parts), 6)
 
     @classmethod
     def unpack(cls, data: bytes) -> Order0:
         import numpy as np
 
         data = _inflated(data)
-        n = struct.unpack_from("<I", data)[0]
-        return cls(np.frombuffer(data, "<u4", n, 4), np.frombuffer(data, "<u4", n + 1, 4 + 4 * n).astype(np.int64))
+        n, runs, long = struct.unpack_from("<III", data)
+        ids, counts, sizes, flat = np.split(np.frombuffer(data, "<u4", 2 * n + 1 + 2 * runs + long, 12), np.cumsum([n, n + 1 + runs, runs]))
+        return cls(ids, counts.astype(np.int64), sizes, flat)
+
+
+def _taken(flat, first, size):
+    """flat[first:first + size] of all given, one after the other."""
+    import numpy as np
+
+    ends = np.cumsum(size)
+    return flat[np.repeat(first - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
 
 class _Model:
@@ -107,103 +148,132 @@ class _Model:
     def __init__(self, lanes: int):
         import numpy as np
 
-        self.np, self.lanes = np, lanes
+        self.np = np
         lane = np.arange(lanes, dtype=np.int64)
-        self.slots = np.stack([lane * SLOTS, (lanes + lane) * SLOTS])  # of order 1, of order 2
+        # a context's entries of order 1 and 2 lie in one group of 16: 8 of order 1, then 8 of order 2
+        self.slots = np.stack([2 * lane * SLOTS, 2 * lane * SLOTS + 8])
         self.table = np.zeros(2 * lanes * SLOTS, np.int32)
-        self.by_trust, self.by_past = lane * 32, lane * 16
-        # two probabilities of 16 bits: that order 2 is right, that order 1 is if it isn't
-        first = 3000 | 3000 << 16
-        self.trusts, self.pasts = np.full(lanes * 32, first, np.int32), np.full(lanes * 16, first, np.int32)
-        self.prev1, self.prev2, self.past = (np.zeros(lanes, np.int64) for _ in range(3))
-        self.at = np.empty((2, lanes), np.int64)
+        # two probabilities of 15 bits: that order 2 is right, that order 1 is if it isn't; kept by confidences and by recent outcomes
+        self.kept = np.stack([lane * 48, lane * 48 + 32])
+        self.odds = np.full(lanes * 48, 3000 | 3000 << 16, np.uint32)
+        self.hash1, self.hash2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
+        self.past = np.zeros(lanes, np.int64)
+        self.at, self.by = np.empty((2, lanes), np.int64), np.empty((2, lanes), np.int64)
+
+    def shrink(self, lanes: int) -> None:
+        """Go on with the first lanes only."""
+        self.slots, self.kept, self.at, self.by = (x[:, :lanes] for x in (self.slots, self.kept, self.at, self.by))
+        self.hash1, self.hash2, self.past = self.hash1[:lanes], self.hash2[:lanes], self.past[:lanes]
 
     def predict(self):
         """Places that order 1 and 2 predict, and the ends of the shares of order 2 and order 1 in 2**MIX_BITS."""
-        np, mixed = self.np, self.prev1 * 40503
-        self.at[0] = mixed >> 5
-        self.at[1] = (mixed ^ self.prev2 * 24943 + 12345) >> 3
-        self.at &= SLOTS - 1
-        self.at += self.slots
-        self.entries = self.table.take(self.at)
+        np, at, by = self.np, self.at, self.by
+        group = self.hash1 >> _GROUP_SHIFT << 4
+        at[0] = group | self.hash1 >> 8 & 7
+        at[1] = group | self.hash1 + self.hash2 * np.uint32(0x85EBCA6B) >> 29
+        at += self.slots
+        self.entries = self.table.take(at)
         self.guess = self.entries >> 2
+        self.trust = self.entries & 3
         q1, q2 = self.guess
-        trust = self.entries & 3
-        self.t = self.by_trust + ((trust[1] << 3) + (trust[0] << 1) + (q1 == q2))
-        self.u = self.by_past + self.past
-        self.a, self.b = self.trusts.take(self.t), self.pasts.take(self.u)
-        p2 = (self.a & 0xFFFF) + (self.b & 0xFFFF)
-        p1 = (self.a >> 16) + (self.b >> 16)
-        end2 = (p2 >> 5).astype(np.int64)  # of two in 2**16
-        np.clip(end2, 1, (1 << MIX_BITS) - 2, out=end2)
-        end1 = end2 + ((((1 << MIX_BITS) - end2) * p1) >> 16)
-        np.clip(end1, end2 + 1, (1 << MIX_BITS) - 1, out=end1)
+        by[0] = (self.trust[1] << 3) + (self.trust[0] << 1) + (q1 == q2)
+        by[1] = self.past
+        by += self.kept
+        self.now = self.odds.take(by)
+        both = self.now[0] + self.now[1]
+        end2 = (both & 0xFFFF) >> 4
+        end1 = (((_TOP - end2) * (both >> 16)) >> 16) + end2 + 1
         return q1, q2, end2, end1
 
-    def update(self, now, right2, right1) -> None:
-        """now: the place that came; whether order 2, else order 1, had it."""
-        np = self.np
-        for table, at, old in ((self.trusts, self.t, self.a), (self.pasts, self.u, self.b)):
-            p2, p1 = old & 0xFFFF, old >> 16
-            p2 = p2 + ((np.where(right2, 32767 * 2, 0) - p2) >> RATE)
-            p1 = np.where(right2, p1, p1 + ((np.where(right1, 32767, 0) - p1) >> RATE))
-            table[at] = p2 | p1 << 16
-        trust = self.entries & 3
-        fresh = (now << 2).astype(np.int32)
-        hit = self.guess == now
-        self.table[self.at] = np.where(hit, self.entries + (trust < 3), np.where(trust > 1, self.entries - 1, fresh))
-        self.past = (self.past << 1 | (right2 | right1)) & 15
-        self.prev2, self.prev1 = self.prev1, now
+    def update(self, now, right2, right) -> None:
+        """now: the place that came; whether order 2 had it, whether any had."""
+        np, odds = self.np, self.now
+        # of order 1's the chance stays where order 2 was right
+        two = right2.astype(np.uint32)
+        odds -= (odds >> RATE) & (np.uint32(0x0FFF0FFF) - two * np.uint32(0x0FFF0000))
+        odds += (right.astype(np.uint32) - two) * np.uint32(_GAIN << 16) + two * np.uint32(_GAIN)
+        self.odds[self.by] = odds
+        entries, trust = self.entries, self.trust
+        self.table[self.at] = np.where(self.guess == now, entries + (trust < 3), np.where(trust > 1, entries - 1, now << 2))
+        self.past = (self.past << 1 | right) & 15
+        self.hash1, self.hash2 = now.astype(np.uint32) * np.uint32(0x9E3779B1), self.hash1
 
 
-_BOTTOM = 1 << _TOTAL
+#: Shares of order 2 and 1 leave at least 2 / 2**MIX_BITS; a probability rises by so much, and at most to 16 times that; a context's group.
+_TOP, _GAIN, _GROUP_SHIFT = (1 << MIX_BITS) - 2, 2045, 32 - (SLOTS // 8 - 1).bit_length()
+_LEAST = 1 << 32
+#: Lanes that have ended leave after each so many steps.
+_STRIDE = 16
 
 
 class _Coder:
-    """Carry-less range coder of all lanes. words: what a decoder reads, a row of 32-bit words per lane."""
+    """Range coder of all lanes, whose carries go back into the words. data: what a decoder reads, 32-bit words, and where lanes begin in it."""
 
-    def __init__(self, lanes: int, words=None):
+    def __init__(self, lanes: int, data=None, at=None):
         import numpy as np
 
-        self.np = np
-        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-        self.at = np.zeros(lanes, np.int64)
-        self.words, self.code = words, None
-        if words is None:
-            self.words = np.zeros((lanes, BLOCK // 2), "<u4")
+        self.np, self.data = np, data
+        self.range = np.full(lanes, 2**64 - 1, np.uint64)
+        if data is None:
+            self.low, self.at = np.zeros(lanes, np.uint64), np.zeros(lanes, np.int64)
+            self.words = np.zeros((lanes, BLOCK // 4 + 8), "<u4")
         else:
-            self.code = words[:, 0].astype(np.uint64) << np.uint64(32) | words[:, 1]
-            self.at += 2
-
-    def aim(self, lanes, bits: int):
-        """Share of one of 2**bits units of the range, and the unit that a decoder's code lies in."""
+            self.code = data[at].astype(np.uint64) << np.uint64(32) | data[at + 1]
+            self.at = at + 2
+
+    def shrink(self, lanes: int) -> None:
+        """Go on with the first lanes only. What the others' words hold is used up, or they are damaged."""
+        self.range = self.range[:lanes]
+        if self.data is not None:
+            if self.code[lanes:].any():
+                raise ValueError("damaged: a block goes on behind its end")
+            self.code, self.at = self.code[:lanes], self.at[:lanes]
+
+    def put(self, lanes, start, width) -> None:
+        """Narrow the range of lanes (numbers, or None for the first ones) to width, from start on."""
         np = self.np
-        share = self.range[lanes] >> np.uint64(bits)
-        if self.code is None:
-            return share, None
-        return share, np.minimum((self.code[lanes] - self.low[lanes]) // share, np.uint64((1 << bits) - 1))
+        own = slice(len(start)) if lanes is None else lanes
+        old = self.low[own]
+        low = old + start
+        over = np.flatnonzero(low < old)
+        if len(over):
+            rows = over if lanes is None else lanes[over]
+            at = self.at[rows] - 1
+            while len(rows):
+                value = self.words[rows, at] + np.uint32(1)
+                self.words[rows, at] = value
+                more = value == 0
+                rows, at = rows[more], at[more] - 1
+        go = np.flatnonzero(width < _LEAST)
+        if len(go):
+            rows = go if lanes is None else lanes[go]
+            at, out = self.at[rows], low[go]
+            if int(at.max()) >= self.words.shape[1]:
+                self.words = np.concatenate([self.words, np.zeros_like(self.words)], axis=1)
+            self.words[rows, at] = out >> np.uint64(32)
+            self.at[rows] = at + 1
+            low[go] = out << np.uint64(32)
+            width[go] <<= np.uint64(32)
+        self.low[own] = low
+        if lanes is None:
+            self.range = width
+        else:
+            self.range[lanes] = width
 
-    def narrow(self, lanes, share, start, count) -> None:
-        """lanes: a slice of all, or numbers."""
+    def got(self, lanes, code, width) -> None:
+        """Go on, in lanes (numbers, or None for all), with a code in a range of width."""
         np = self.np
-        low, width = self.low[lanes] + share * start, share * count
-        self.low[lanes], self.range[lanes] = low, width
-        agree = (low ^ (low + width)) >> np.uint64(32) == 0
-        go = np.flatnonzero(agree | (width < np.uint64(_BOTTOM)))
-        if not len(go):
-            return
-        # one word is enough: the range then is at least 2**32
-        low, width = low[go], np.where(agree[go], width[go], (~low[go] + np.uint64(1)) & np.uint64(_BOTTOM - 1))
-        go = go if isinstance(lanes, slice) else lanes[go]
-        pos = self.at[go]
-        if self.code is None:
-            if int(pos.max()) >= self.words.shape[1]:
-                self.words = np.concatenate([self.words, np.zeros_like(self.words)], axis=1)
-            self.words[go, pos] = (low >> np.uint64(32)).astype(np.uint32)
+        go = np.flatnonzero(width < _LEAST)
+        if len(go):
+            rows = go if lanes is None else lanes[go]
+            at = self.at[rows]
+            code[go] = code[go] << np.uint64(32) | self.data.take(at, mode="clip")
+            width[go] <<= np.uint64(32)
+            self.at[rows] = at + 1
+        if lanes is None:
+            self.code, self.range = code, width
         else:
-            self.code[go] = self.code[go] << np.uint64(32) | self.words[go, np.minimum(pos, self.words.shape[1] - 1)]
-        self.at[go] = pos + 1
-        self.low[go], self.range[go] = low << np.uint64(32), width << np.uint64(32)
+            self.code[lanes], self.range[lanes] = code, width
 
     def finish(self) -> list[bytes]:
         np = self.np
@@ -215,87 +285,217 @@ class _Coder:
         return [self.words[i, : n + 2].tobytes() for i, n in enumerate(self.at.tolist())]
 
 
-_ALL = slice(None)
+def _strides(sizes) -> Iterator[tuple[int, int, int]]:
+    """Steps from, to, and how many lanes take part, for lanes of falling sizes."""
+    import numpy as np
+
+    falling = -np.asarray(sizes, np.int64)
+    for t in range(0, int(-falling[0]), _STRIDE):
+        yield t, t + _STRIDE, int(np.searchsorted(falling, -t))
 
 
 def encode_blocks(blocks: list, order0: Order0) -> list[bytes]:
-    """Payloads of blocks (arrays of ids). A block shorter than the longest goes on with escaped zeros, which its reader leaves out."""
+    """Payloads of blocks (arrays of ids, coded one by one)."""
+    ids = [b.astype("u4") for b in blocks]
+    return _encode([order0.places(b) for b in ids], ids, order0)
+
+
+def _encode(blocks: list, ids: list, order0: Order0) -> list[bytes]:
+    """Payloads of blocks of places; ids: what an escape among them stands for."""
     import numpy as np
 
     if not blocks:
         return []
-    ids = np.zeros((max(map(len, blocks)), len(blocks)), np.uint32)
-    for i, b in enumerate(blocks):
-        ids[: len(b), i] = b
+    order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
+    sizes = [len(blocks[i]) for i in order]
+    steps = -(-sizes[0] // _STRIDE) * _STRIDE
+    places = np.full((steps, len(blocks)), min(1, len(order0.counts) - 1), np.int32)  # blocks go on to a stride's end
+    for lane, i in enumerate(order):
+        places[: sizes[lane], lane] = blocks[i]
     model, coder = _Model(len(blocks)), _Coder(len(blocks))
-    sums, counts, whole = order0.sums.astype(np.int64), order0.counts, 1 << MIX_BITS
-    places = order0.places(ids)
-    for t in range(len(ids)):
-        now = places[t]
-        q1, q2, end2, end1 = model.predict()
-        right2 = now == q2
-        right1 = (now == q1) & ~right2
-        rest = whole - end1
-        start = np.where(right2, 0, np.where(right1, end2 << COUNT_BITS, (end1 << COUNT_BITS) + sums.take(now) * rest))
-        count = np.where(right2, end2 << COUNT_BITS, np.where(right1, (end1 - end2) << COUNT_BITS, counts.take(now) * rest))
-        share, _ = coder.aim(_ALL, _TOTAL)
-        coder.narrow(_ALL, share, start.astype(np.uint64), count.astype(np.uint64))
-        if not now.all():  # escapes: the id as two halves
-            lanes = np.flatnonzero(now == 0)
-            for shift in (16, 0):
-                share, _ = coder.aim(lanes, 16)
-                coder.narrow(lanes, share, (ids[t, lanes] >> shift & 0xFFFF).astype(np.uint64), np.uint64(1))
-        model.update(now, right2, right1)
-    return coder.finish()
+    spans, zero, low = order0.spans(), np.uint64(0), np.uint64(0xFFFFFFFF)
+    for begin, end, lanes in _strides(sizes):
+        if lanes < len(coder.range):
+            model.shrink(lanes)
+            coder.shrink(lanes)
+        for t in range(begin, end):
+            now = places[t, :lanes]
+            q1, q2, end2, end1 = model.predict()
+            right2 = now == q2
+            right = (now == q1) | right2
+            share = coder.range >> np.uint64(MIX_BITS)
+            upto2, upto1 = share * end2, share * end1
+            start = np.where(right, np.where(right2, zero, upto2), upto1)
+            width = np.where(right, np.where(right2, upto2, upto1 - upto2), coder.range - upto1)
+            miss = np.flatnonzero(~right)
+            if len(miss):
+                unit, span = width[miss] >> np.uint64(COUNT_BITS), spans.take(now[miss])
+                start[miss] += unit * (span >> np.uint64(32))
+                width[miss] = unit * (span & low)
+            coder.put(None, start, width)
+            if not now.all():  # escapes: the id as two halves
+                escaped = np.flatnonzero(now == 0)
+                value = np.array([ids[order[i]][t] if t < sizes[i] else 0 for i in escaped.tolist()], np.uint64)
+                for shift in (16, 0):
+                    unit = coder.range[escaped] >> np.uint64(16)
+                    coder.put(escaped, unit * (value >> np.uint64(shift) & np.uint64(0xFFFF)), unit)
+            model.update(now, right2, right)
+    payloads: list[bytes] = [b""] * len(blocks)
+    for i, payload in zip(order, coder.finish(), strict=True):
+        payloads[i] = payload
+    return payloads
 
 
 def decode_blocks(payloads: list[bytes], sizes: list[int], order0: Order0) -> list:
-    """Arrays of ids (uint32) of blocks."""
+    """Arrays of ids (uint32) of blocks, whose sizes count places."""
     import numpy as np
 
     if not payloads:
         return []
-    lanes = len(payloads)
-    words = np.zeros((lanes, max(len(p) for p in payloads) // 4 + 2), "<u4")
-    for i, p in enumerate(payloads):
-        words[i, : len(p) // 4] = np.frombuffer(p, "<u4")
-    found, raw = np.zeros((max(sizes), lanes), np.int64), {}
-    model, coder = _Model(lanes), _Coder(lanes, words)
-    sums, counts, whole = order0.sums.astype(np.int64), order0.counts, 1 << MIX_BITS
-    for t in range(len(found)):
-        q1, q2, end2, end1 = model.predict()
-        share, unit = coder.aim(_ALL, _TOTAL)
-        unit = unit.astype(np.int64)
-        in_mix = unit >> COUNT_BITS
-        right2, miss = in_mix < end2, in_mix >= end1
-        rest = whole - end1
-        place = order0.place_of.take(np.where(miss, (unit - (end1 << COUNT_BITS)) // rest, 0), mode="clip")
-        now = np.where(miss, place, np.where(right2, q2, q1)).astype(np.int64)
-        start = np.where(miss, (end1 << COUNT_BITS) + sums.take(now) * rest, np.where(right2, 0, end2 << COUNT_BITS))
-        count = np.where(miss, counts.take(now) * rest, np.where(right2, end2 << COUNT_BITS, (end1 - end2) << COUNT_BITS))
-        coder.narrow(_ALL, share, start.astype(np.uint64), count.astype(np.uint64))
-        found[t] = now
-        if not now.all():
-            at = np.flatnonzero(now == 0)
-            value = np.zeros(len(at), np.uint32)
-            for _ in range(2):
-                share, half = coder.aim(at, 16)
-                coder.narrow(at, share, half, np.uint64(1))
-                value = value << np.uint32(16) | half.astype(np.uint32)
-            raw[t] = at, value
-        model.update(now, right2, ~right2 & ~miss)
-    ids = np.r_[np.uint32(0), order0.ids.astype(np.uint32)][found]
-    for t, (at, value) in raw.items():
-        ids[t, at] = value
-    return [np.ascontiguousarray(ids[:n, i]) for i, n in enumerate(sizes)]
+    order = sorted(range(len(payloads)), key=lambda i: -sizes[i])
+    falling = [sizes[i] for i in order]
+    data = np.frombuffer(b"".join(payloads[i] for i in order) + bytes(8), "<u4")
+    length = np.array([len(payloads[i]) // 4 for i in order], np.int64)
+    found, raw = np.zeros((-(-falling[0] // _STRIDE) * _STRIDE, len(payloads)), np.int32), []
+    model, coder = _Model(len(payloads)), _Coder(len(payloads), data, np.cumsum(length) - length)
+    spans, zero, bits, low = order0.spans(), np.uint64(0), np.uint64(COUNT_BITS), np.uint64(0xFFFFFFFF)
+    for begin, end, lanes in _strides(falling):
+        if lanes < len(coder.range):
+            model.shrink(lanes)
+            coder.shrink(lanes)
+        for t in range(begin, end):
+            q1, q2, end2, end1 = model.predict()
+            code, share = coder.code, coder.range >> np.uint64(MIX_BITS)
+            upto2, upto1 = share * end2, share * end1
+            right2, right = code < upto2, code < upto1
+            now = np.where(right2, q2, q1)
+            code = code - np.where(right, np.where(right2, zero, upto2), upto1)
+            width = np.where(right, np.where(right2, upto2, upto1 - upto2), coder.range - upto1)
+            miss = np.flatnonzero(~right)
+            if len(miss):
+                unit, own = width[miss] >> bits, code[miss]
+                # the quotient of floats is off by one at most; where that is another place's, divide exactly
+                place = order0.place_of.take((own.astype(np.float64) / unit.astype(np.float64)).astype(np.int64), mode="clip")
+                span = spans.take(place)
+                rest, span = own - unit * (span >> np.uint64(32)), unit * (span & low)
+                wrong = np.flatnonzero(rest >= span)
+                if len(wrong):
+                    place[wrong] = order0.place_of.take((own[wrong] // unit[wrong]).astype(np.int64), mode="clip")
+                    span = spans.take(place)
+                    rest, span = own - unit * (span >> np.uint64(32)), unit * (span & low)
+                now[miss], code[miss], width[miss] = place, rest, span
+            coder.got(None, code, width)
+            found[t, :lanes] = now
+            if not now.all():
+                escaped = np.flatnonzero(now == 0)
+                value = np.zeros(len(escaped), np.uint64)
+                for _ in range(2):
+                    unit, own = coder.range[escaped] >> np.uint64(16), coder.code[escaped]
+                    half = np.minimum(own // unit, np.uint64(0xFFFF))
+                    coder.got(escaped, own - half * unit, unit)
+                    value = value << np.uint64(16) | half
+                raw.append((np.full(len(escaped), t), escaped, value))
+            model.update(now, right2, right)
+    coder.shrink(0)
+    # one lane after the other; an escape's id lies by its lane and step
+    places = np.concatenate([found[:n, k] for k, n in enumerate(falling)])
+    step, lane, value = (np.concatenate(x) for x in zip(*raw, strict=True)) if raw else (np.zeros(0, np.int64),) * 3
+    by_lane = np.lexsort((step, lane))
+    by_lane = by_lane[step[by_lane] < np.array(falling)[lane[by_lane]]]
+    ids = order0.spelled(places, value[by_lane].astype(np.uint32))
+    upto = np.r_[0, np.cumsum(order0.lengths(places))][np.r_[0, np.cumsum(falling)]].tolist()
+    parts: list = [None] * len(payloads)
+    for k, i in enumerate(order):
+        parts[i] = ids[upto[k] : upto[k + 1]]
+    return parts
+
+
+class Runs:
+    """Ids of different pre-tokens by number. An item is such a number, or -1 - id for a single id."""
+
+    def __init__(self):
+        import numpy as np
+
+        self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def add(self, ids, sizes):
+        """Items of runs of ids (uint32, one run after the other) of these sizes."""
+        import numpy as np
+
+        single = sizes == 1
+        items = np.cumsum(~single) - 1 + len(self.sizes)
+        items[single] = -1 - ids[(np.cumsum(sizes) - sizes)[single]].astype(np.int64)
+        self.flat = np.r_[self.flat, ids[np.repeat(~single, sizes)]]
+        self.sizes = np.r_[self.sizes, sizes[~single]]
+        return items
+
+    def tables(self):
+        """Where each run begins, how long it is, and all ids."""
+        import numpy as np
+
+        return np.cumsum(self.sizes) - self.sizes, self.sizes, self.flat
+
+    def lengths(self, items):
+        import numpy as np
+
+        return np.r_[self.sizes, 1][np.maximum(items, -1)]  # the last for single ids
+
+    def spelled(self, items, which):
+        """items, with single ids for those of which."""
+        import numpy as np
+
+        which = which & (items >= 0)
+        if not which.any():
+            return items
+        first, sizes, flat = self.tables()
+        size = np.ones(len(items), np.int64)
+        size[which] = sizes[items[which]]
+        out = np.repeat(items, size)
+        own = items[which]
+        out[np.repeat(which, size)] = -1 - _taken(flat, first[own], sizes[own]).astype(np.int64)
+        return out
+
+
+def _paired(items, ends, free: int, least: int, most: int):
+    """items, with frequent pairs of neighbouring single ids as runs numbered from free on; the runs' ids, and how often each comes.
+
+    ends: ids up to and with each item; no pair lies in two blocks.
+    """
+    import numpy as np
+
+    single = items < 0
+    at = np.flatnonzero(single[:-1] & single[1:] & (ends[:-1] % BLOCK != 0))
+    key = (-1 - items[at]).astype(np.uint64) << np.uint64(32) | (-1 - items[at + 1]).astype(np.uint64)
+    # chosen by a sample of neighbouring places; of pairs that share a bin one is
+    known, count = np.unique(key[: -(-len(key) // SAMPLE)], return_counts=True)
+    often = np.argsort(-count, kind="stable")[:most]
+    one = known[often[count[often] * SAMPLE >= least]]
+    bins_of = lambda k: ((k ^ k >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - 17)).astype(np.int64)
+    number = np.full(1 << 17, -1, np.int32)
+    number[bins_of(one)] = np.arange(len(one))
+    bins = number.take(bins_of(key))
+    own = np.flatnonzero(bins >= 0)
+    own = own[one[bins[own]] == key[own]]
+    at, bins = at[own], bins[own]
+    # of those that overlap, every other
+    place = np.arange(len(at))
+    begin = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) != 1, place, 0))
+    chosen = (place - begin) % 2 == 0
+    at, bins = at[chosen], bins[chosen]
+    out, kept = items.copy(), np.ones(len(items), bool)
+    out[at] = free + bins
+    kept[at + 1] = False
+    flat = np.stack([one >> np.uint64(32), one & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32).ravel()
+    return out[kept], flat, np.bincount(bins, minlength=len(one))
 
 
 class _Writer:
-    """One file; blocks are coded LANES at a time."""
+    """One file; blocks are coded LANES at a time. Runs that often come in a chunk are symbols of their own in it, others are spelled by id."""
 
     def __init__(self, handle):
         self.handle, self.offset, self.docs, self.lengths, self.rest, self.held = handle, 0, [], [], [], 0
-        self.blocks, self.chunks = [], []  # (offset, bytes, ids, CRC-32); (offset of the table, bytes)
+        self.blocks, self.chunks = [], []  # (offset, bytes, ids, CRC-32, places); (offset of the table, bytes)
+        self.runs = Runs()
         self._put(MAGIC)
 
     def _put(self, data: bytes) -> None:
@@ -305,33 +505,69 @@ class _Writer:
     def add(self, doc_id, ids) -> None:
         import numpy as np
 
-        self.docs.append(doc_id)
-        self.lengths.append(len(ids))
-        self.rest.append(np.array(ids, dtype=np.uint32))
-        self.held += len(ids)
+        self.extend([doc_id], -1 - np.array(ids, dtype=np.int64), [len(ids)])
+
+    def extend(self, docs: list, items, lengths: list[int]) -> None:
+        """Documents, their items (one array for all), and how many ids each has."""
+        self.docs += docs
+        self.lengths += lengths
+        self.rest.append(items)
+        self.held += sum(lengths)
         if self.held >= LANES * BLOCK:
             self._flush(False)
 
-    def _flush(self, last: bool) -> None:
+    def restart(self) -> None:
+        """Forget the runs; what is held is spelled by id."""
         import numpy as np
 
-        ids = np.concatenate(self.rest) if self.rest else np.zeros(0, np.uint32)
-        size = LANES * BLOCK
-        end = len(ids) if last else len(ids) // size * size
-        for at in range(0, end, size):
-            self._code(ids[at : min(at + size, end)])
-        self.rest, self.held = [ids[end:]], len(ids) - end
+        self.rest = [self.runs.spelled(x, np.ones(len(x), bool)) for x in self.rest]
+        self.runs = Runs()
+
+    def _flush(self, last: bool) -> None:
+        import numpy as np
 
-    def _code(self, ids) -> None:
+        items = np.concatenate(self.rest) if self.rest else np.zeros(0, np.int64)
+        size = self.runs.lengths(items)
+        ends = np.cumsum(size)
+        items = self.runs.spelled(items, (ends - size) // BLOCK != (ends - 1) // BLOCK)  # none lies in two blocks
+        ends = np.cumsum(self.runs.lengths(items))
+        chunk, total = LANES * BLOCK, int(ends[-1]) if len(ends) else 0
+        end = total if last else total // chunk * chunk
+        upto = np.searchsorted(ends, [*range(0, end, chunk), end], "right").tolist()
+        for lo, hi in zip(upto, upto[1:], strict=False):
+            self._code(items[lo:hi])
+        self.rest, self.held = [items[upto[-1] :]], total - end
+
+    def _code(self, items) -> None:
         from zlib import crc32
 
-        order0 = Order0.of(ids)
+        import numpy as np
+
+        first, sizes, flat = self.runs.tables()
+        count = np.bincount(items[items >= 0], minlength=len(sizes))
+        often = np.flatnonzero(count >= max(2, len(items) >> LEAST_BITS))
+        often = often[np.argsort(-count[often], kind="stable")[: Order0.MOST // 2]]
+        rank = np.full(len(sizes) + 1, -1, np.int64)
+        rank[often] = np.arange(len(often))
+        items, size = self.runs.spelled(items, rank[np.maximum(items, -1)] < 0), len(sizes)
+        items, pairs, times = _paired(items, np.cumsum(self.runs.lengths(items)), size, max(2, len(items) >> LEAST_BITS), Order0.MOST // 4)
+        single = items < 0
+        own = (-1 - items[single]).astype(np.uint32)
+        rank = np.r_[rank[:-1], len(often) + np.arange(len(times)), -1]
+        order0 = Order0.of(own, np.r_[count[often], times], np.r_[sizes[often], np.full(len(times), 2)], np.r_[_taken(flat, first[often], sizes[often]), pairs])
         table = order0.pack()
         self.chunks.append((self.offset, len(table)))
         self._put(table)
-        blocks = [ids[at : at + BLOCK] for at in range(0, len(ids), BLOCK)]
-        for b, payload in zip(blocks, encode_blocks(blocks, order0), strict=True):
-            self.blocks.append((self.offset, len(payload), len(b), crc32(b.astype("<u4").tobytes())))
+        places, raw = np.empty(len(items), np.int32), np.zeros(len(items), np.uint32)
+        places[single], raw[single] = order0.places(own), own
+        places[~single] = len(order0.ids) + 1 + rank[items[~single]]
+        ids = order0.spelled(places, raw[places == 0])
+        ends = np.cumsum(order0.lengths(places))
+        cuts = np.searchsorted(ends, np.arange(BLOCK, len(ids), BLOCK)) + 1
+        blocks = np.split(places, cuts)
+        for at, (b, payload) in enumerate(zip(blocks, _encode(blocks, np.split(raw, cuts), order0), strict=True)):
+            mine = ids[at * BLOCK : (at + 1) * BLOCK]
+            self.blocks.append((self.offset, len(payload), len(mine), crc32(mine.astype("<u4").tobytes()), len(b)))
             self._put(payload)
 
     def close(self) -> tuple[int, int, int]:
@@ -344,7 +580,7 @@ class _Writer:
         at, known = self.offset, [d is not None for d in self.docs]
         parts = [struct.pack("<QQQ", len(self.docs), len(self.blocks), len(self.chunks))]
         parts += [np.array([d or 0 for d in self.docs], "<i8").tobytes(), np.array(self.lengths, "<i8").tobytes()]
-        parts += [np.array(self.blocks, "<i8").reshape(-1, 4).tobytes(), np.array(self.chunks, "<i8").reshape(-1, 2).tobytes(), np.array(known, "u1").tobytes()]
+        parts += [np.array(self.blocks, "<i8").reshape(-1, 5).tobytes(), np.array(self.chunks, "<i8").reshape(-1, 2).tobytes(), np.array(known, "u1").tobytes()]
         packed = compress(b"".join(parts), 6)
         self._put(packed + struct.pack("<QQ", at, len(packed)) + MAGIC)
         return sum(self.lengths), self.offset, len(self.chunks)
@@ -371,8 +607,8 @@ class Index:
         take = lambda kind, n, at: (np.frombuffer(data, kind, n, at), at + np.dtype(kind).itemsize * n)
         self.docs, at = take("<i8", docs, 24)
         self.lengths, at = take("<i8", docs, at)
-        found, at = take("<i8", 4 * blocks, at)
-        self.blocks = found.reshape(-1, 4)
+        found, at = take("<i8", 5 * blocks, at)
+        self.blocks = found.reshape(-1, 5)
         found, at = take("<i8", 2 * chunks, at)
         self.chunks = found.reshape(-1, 2)
         self.known, _ = take("u1", docs, at)
@@ -392,11 +628,12 @@ class Index:
         rows = self.blocks[first:last]
         handle.seek(int(rows[0, 0]))
         data = handle.read(int(rows[-1, 0] + rows[-1, 1] - rows[0, 0]))
-        for at, size, _, _ in rows.tolist():
-            payloads.append(data[at - int(rows[0, 0]) :][:size])
-        parts = decode_blocks(payloads, rows[:, 2].tolist(), order0)
-        for b, check in zip(parts, rows[:, 3].tolist(), strict=True):
-            if crc32(b.astype("<u4").tobytes()) != check:
+        for at, size, *_ in rows.tolist():
+            at -= int(rows[0, 0])
+            payloads.append(data[at : at + size])
+        parts = decode_blocks(payloads, rows[:, 4].tolist(), order0)
+        for b, size, check in zip(parts, rows[:, 2].tolist(), rows[:, 3].tolist(), strict=True):
+            if len(b) != size or crc32(b.astype("<u4").tobytes()) != check:
                 raise ValueError("a block's checksum doesn't hold")
         return np.concatenate(parts)
 
@@ -423,18 +660,19 @@ def read_file(handle, chunk: int | None = None) -> Iterator[tuple]:
 
 # How byte-level vocabularies split a text, written for the JVM; white space as Unicode has it.
 _BLANK = r"\s\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: The rule as a pattern; _Splitter does the same to bytes.
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}++| ?\p{{N}}++| ?[^{_BLANK}\p{{L}}\p{{N}}]++|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]++"
 #: Texts with other characters are split by the library: the JVM's tables of letters and digits may be older than its own.
 _STABLE = r"[^\x00-\u052f\u2000-\u206f]"
 
 
 def _split_by_jvm(description: str):
-    """Condition of texts whose pre-tokens SPLIT gives, if the tokenizer splits as byte-level vocabularies do; else None."""
+    """Condition of texts whose pre-tokens SPLIT and _Splitter give, if the tokenizer splits as byte-level vocabularies do; else None."""
     import json
 
     parts = json.loads(description)
     split = parts.get("pre_tokenizer") or {}
-    plain = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and not parts.get("normalizer")
+    plain = not parts.get("truncation") and not parts.get("padding") and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and not parts.get("normalizer")
     if not plain or not (parts.get("model") or {}).get("type") == "BPE" or parts["model"].get("dropout"):
         return None
     fast = F.col("text").isNotNull() & ~F.col("text").rlike(_STABLE)
@@ -443,53 +681,186 @@ def _split_by_jvm(description: str):
     return fast
 
 
+class _Splitter:
+    """What SPLIT does, by numpy, to the bytes of texts that have no character of _STABLE."""
+
+    LETTER, DIGIT, SIGN, BLANK, SPACE = range(1, 6)
+
+    def __init__(self):
+        import re
+        import unicodedata
+
+        import numpy as np
+
+        def kind(c: str) -> int:
+            if re.fullmatch(f"[{_BLANK}]", c):
+                return self.SPACE if c == " " else self.BLANK
+            return {"L": self.LETTER, "N": self.DIGIT}.get(unicodedata.category(c)[0], self.SIGN)
+
+        self.kinds = np.array([kind(chr(c)) for c in range(0x2080)], np.uint8)
+        self.plain = self.kinds[:128].tobytes() + bytes(128)
+
+    def __call__(self, raw: bytes, offsets):
+        """Where pre-tokens begin in raw, which ends with three bytes that are no text's; texts lie at offsets."""
+        import numpy as np
+
+        n = len(raw) - 3
+        data, kind = np.frombuffer(raw, np.uint8), np.frombuffer(bytearray(raw.translate(self.plain)), np.uint8)
+        lead = np.flatnonzero(data[:n] >= 0xC0)
+        wide = np.zeros(0, bool)
+        if len(lead):  # two bytes up to U+07FF, three for U+2000 to U+207F; all get the character's kind
+            long, low = data[lead] >= 0xE0, data[lead + 1] & 63
+            code = np.where(long, 0x2000 | (low.astype(np.int64) & 1) << 6 | data[lead + 2] & 63, (data[lead].astype(np.int64) & 31) << 6 | low)
+            of = self.kinds[code]
+            kind[lead], kind[lead + 1], kind[lead[long] + 2] = of, of, of[long]
+            wide = of == self.BLANK
+        blank = kind >= self.BLANK
+        edge = np.zeros(n + 3, bool)
+        edge[offsets], edge[n:] = True, True
+        begins = np.empty(n + 3, bool)
+        begins[0] = True
+        # a run of one kind begins, and no space is its own; of blanks, the run and, if something follows, the last
+        begins[1:] = (kind[1:] != kind[:-1]) & (kind[:-1] != self.SPACE) & ~blank[1:]
+        begins[1:-1] |= blank[1:-1] & ~(blank[:-2] & blank[2:])
+        ends = np.flatnonzero(edge[1 : n + 1])
+        ends = ends[blank[ends]]
+        begins[ends] = ~blank[ends - 1]
+        if wide.any():
+            at, size = lead[wide], 2 + long[wide]
+            after = at + size
+            begins[at] = ~blank[at - 1] | ~(blank[after] | edge[after])
+            begins[at + 1] = False
+            begins[at[size > 2] + 2] = False
+        begins[:n] |= edge[:n]
+        signs = np.flatnonzero(data[:n] == ord("'"))
+        signs = signs[begins[signs] & ~edge[signs + 1]]
+        one, two = data[signs + 1], data[signs + 2]
+        short = signs[np.isin(one, np.frombuffer(b"stmd", np.uint8))]
+        pair = signs[~edge[signs + 2] & ((one == ord("r")) & (two == ord("e")) | (one == ord("v")) & (two == ord("e")) | (one == ord("l")) & (two == ord("l")))]
+        for found, size in ((short, 2), (pair, 3)):
+            begins[found + 1] = False
+            begins[found + size] = True
+        return np.flatnonzero(begins[:n])
+
+
+def _alphabet() -> dict[int, str]:
+    """The characters that byte-level vocabularies write for bytes."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {**{b: chr(b) for b in shown}, **{b: chr(256 + i) for i, b in enumerate(hidden)}}
+
+
+def _bare(description: str) -> tuple[str, list[int]]:
+    """The description of the model alone, for pre-tokens in its alphabet, and by id how many bytes a token has (none: not known to be whole)."""
+    import json
+
+    parts = json.loads(description)
+    model = parts.get("model") or {}
+    vocab, alphabet = model.get("vocab"), _alphabet().values()
+    bare = json.dumps({**parts, "added_tokens": [], "normalizer": None, "pre_tokenizer": None, "post_processor": None, "decoder": None})
+    if not isinstance(vocab, dict) or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or not all(c in vocab for c in alphabet):
+        return bare, []
+    sizes = [0] * (max(vocab.values()) + 1)
+    for token, i in vocab.items():
+        sizes[i] = len(token)
+    return bare, sizes
+
+
 class _Encoder:
-    """Ids of texts (by the library) and of texts as lists of pre-tokens (each different one by the library, once)."""
+    """Ids of texts (by the library), and items of texts of settled characters (each different pre-token by the library's model, once)."""
 
-    MEMO = 300_000
+    MEMO, AT_ONCE = 300_000, 100
 
-    def __init__(self, description: str):
-        from tokenizers import Tokenizer
+    def __init__(self, description: str, bare: str, sizes: list[int]):
+        import numpy as np
 
-        self.library, self.memo = Tokenizer.from_str(description), {}
+        self.description, self.bare, self.library, self.model = description, bare, None, None
+        self.memo, self.split, self.alphabet, self.sizes = {}, _Splitter(), _alphabet(), np.array(sizes, np.int64)
 
     def texts(self, texts: list[str]) -> list[list[int]]:
+        from tokenizers import Tokenizer
+
+        self.library = self.library or Tokenizer.from_str(self.description)
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def pieces(self, lists, end_id: int):
-        """From a list<string> array: ids of all rows, the end id after each, and the rows' lengths."""
+    def words(self, words: list[bytes]):
+        """Ids of pre-tokens, one after the other, and how many each has."""
         import numpy as np
         from itertools import chain
+        from tokenizers import Tokenizer
 
-        coded = lists.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        if len(self.memo) > self.MEMO:
-            self.memo.clear()
+        self.model = self.model or Tokenizer.from_str(self.bare)
+        spelled = [w.decode("latin-1").translate(self.alphabet) for w in words]
+        if len(self.sizes):  # many as one text; tokens' bytes tell where a word ends
+            parts = []
+            for lo in range(0, len(words), self.AT_ONCE):
+                found = self.model.encode_batch_fast([spelled[lo : lo + self.AT_ONCE]], is_pretokenized=True, add_special_tokens=False)
+                parts.append(np.array(found[0].ids, np.uint32))
+            ids = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+            ends, upto = np.cumsum(self.sizes[ids]), np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+            at = np.searchsorted(ends, upto)
+            if len(ends) == 0 or at[-1] == len(ends) - 1 and (ends[at] == upto).all():
+                return ids, np.diff(np.r_[-1, at])
+        lists = [e.ids for e in self.model.encode_batch_fast(spelled, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        return np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum())), sizes
+
+    def items(self, texts, runs: Runs, end_id: int):
+        """From a string array without nulls: items of all rows, the end id after each, and where rows end in them."""
+        import numpy as np
+        import pyarrow as pa
+
+        kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+        offsets = np.frombuffer(texts.buffers()[1], kind, len(texts) + 1, texts.offset * np.dtype(kind).itemsize).astype(np.int64)
+        low, high = int(offsets[0]), int(offsets[-1])
+        raw = (memoryview(texts.buffers()[2])[low:high].tobytes() if high > low else b"") + bytes(3)
+        offsets -= low
+        begins = self.split(raw, offsets)
+        places = pa.py_buffer(np.r_[begins, high - low].astype(np.int32))
+        coded = pa.Array.from_buffers(pa.binary(), len(begins), [None, places, pa.py_buffer(raw)]).dictionary_encode()
+        known = coded.dictionary
+        cuts, held = np.frombuffer(known.buffers()[1], np.int32, len(known) + 1).tolist(), known.buffers()[2].to_pybytes() if len(known) else b""
+        words = [held[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
         new = [w for w in words if w not in self.memo]
-        self.memo.update(zip(new, self.texts(new), strict=True))
-        found = [*map(self.memo.__getitem__, words), [end_id]]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        flat, first = np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum())), np.cumsum(size) - size
-        # the stream of words, with the last, the end id's, after each row
-        counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        ends = np.cumsum(counts)
-        stream = np.insert(coded.indices.to_numpy(zero_copy_only=False), ends, len(words)) if len(ends) else np.zeros(0, np.int64)
-        lengths = size[stream]
-        upto = np.cumsum(lengths)
-        ids = flat[np.repeat(first[stream] - (upto - lengths), lengths) + np.arange(int(upto[-1]) if len(upto) else 0)]
-        places = upto[ends + np.arange(len(ends))]
-        return ids, np.diff(np.r_[0, places])
+        self.memo.update(zip(new, runs.add(*self.words(new)).tolist(), strict=True))
+        of = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
+        upto = np.searchsorted(begins, offsets[1:])
+        ends = upto + np.arange(1, len(upto) + 1)
+        items = np.full(len(begins) + len(upto), -1 - end_id, np.int64)
+        inner = np.ones(len(items), bool)
+        inner[ends - 1] = False
+        items[inner] = of[np.frombuffer(coded.indices.buffers()[1], np.int32, len(coded))] if len(coded) else of
+        return items, ends
+
+
+#: Texts are split in groups of batches of about so many bytes.
+GROUP_BYTES = 12 << 20
+
+
+def _grouped(batches: Iterator, size: int) -> Iterator:
+    """Batches put together to at least size bytes, the last may have less."""
+    import pyarrow as pa
+
+    held: list = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.nbytes for b in held) >= size:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
 
 
 def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
     """Encode docs into files in folder. Returns a cut table, a row per file: path, part, ids, bytes, chunks.
 
-    Texts of characters whose kinds are long settled are split into pre-tokens by the JVM, and tasks have the library encode
-    each different pre-token once; other texts go to it whole.
+    Texts of characters whose kinds are long settled are split into pre-tokens by numpy, and tasks have the library's model
+    encode each different pre-token once; other texts go to the library whole.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         content = f.read()
-    description, fast = docs.sparkSession.sparkContext.broadcast(content), _split_by_jvm(content)
+    description, fast = docs.sparkSession.sparkContext.broadcast((content, *_bare(content))), _split_by_jvm(content)
 
     def run(batches: Iterator) -> Iterator:
         import os
@@ -501,32 +872,35 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_I
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        encoder, out, own = _Encoder(description.value), None, None
+        encoder, out, own = _Encoder(*description.value), None, None
         fs, top = open_fs(folder)
         fs.create_dir(top, recursive=True)
         name = f"part-{task.partitionId():06d}.ids"
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _grouped(batches, GROUP_BYTES):
             if out is None:
                 own = f"{top}/{name}.{task.taskAttemptId()}.{os.getpid()}"
                 out = _Writer(fs.open_output_stream(own, compression=None))
-            known, texts, lists = batch.column(0).to_pylist(), batch.column(1), batch.column(2)
-            by_jvm = lists.is_valid().to_numpy(zero_copy_only=False)
-            ids, lengths = encoder.pieces(lists, end_id)
-            ends = np.cumsum(lengths).tolist()
-            slow = np.flatnonzero(~by_jvm)
-            at = 0
-            for lo in range(0, len(slow), 64) if len(slow) else ():
+            if len(encoder.memo) > encoder.MEMO:
+                encoder.memo.clear()
+                out.restart()
+            known, texts, fast = batch.column(0).to_pylist(), batch.column(1), batch.column(2)
+            by_split = fast.to_numpy(zero_copy_only=False).astype(bool)
+            slow = np.flatnonzero(~by_split).tolist()
+            items, ends = encoder.items(texts.filter(fast) if slow else texts, out.runs, end_id)
+            places = np.r_[0, ends]
+            upto = np.r_[0, np.cumsum(out.runs.lengths(items))][places]
+            lengths, rows, at = np.diff(upto).tolist(), 0, 0  # rows so far, and how many of the split ones
+            for lo in range(0, len(slow), 64):
                 part = slow[lo : lo + 64]
                 found = encoder.texts([t or "" for t in texts.take(pa.array(part)).to_pylist()])
-                for k, x in zip(part.tolist(), found, strict=True):
-                    for i in range(at, k):
-                        out.add(known[i], ids[ends[i] - lengths[i] : ends[i]])
+                for k, x in zip(part, found, strict=True):
+                    if k > rows:
+                        out.extend(known[rows:k], items[places[at] : places[at + k - rows]], lengths[at : at + k - rows])
+                        at += k - rows
                     out.add(known[k], [*x, end_id])
-                    at = k + 1
-            for i in range(at, batch.num_rows):
-                out.add(known[i], ids[ends[i] - lengths[i] : ends[i]])
+                    rows = k + 1
+            if rows < batch.num_rows:
+                out.extend(known[rows:], items[places[at] :], lengths[at:])
         if out is not None:
             ids, size, chunks = out.close()
             out.handle.close()
@@ -535,9 +909,8 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_I
 
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
     dealt = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(*order).sortWithinPartitions(*order)
-    pieces = F.lit(None).cast("array<string>") if fast is None else F.when(fast, F.regexp_extract_all("text", F.lit(SPLIT), F.lit(0)))
-    whole = F.col("text") if fast is None else F.when(~F.coalesce(fast, F.lit(False)), F.col("text"))
-    return cut(dealt.select("doc_id", whole.alias("text"), pieces.alias("pieces")).mapInArrow(run, "path string, part long, ids long, bytes long, chunks long"))
+    settled = F.lit(False) if fast is None else F.coalesce(fast, F.lit(False))
+    return cut(dealt.select("doc_id", "text", settled.alias("settled")).mapInArrow(run, "path string, part long, ids long, bytes long, chunks long"))
 
 
 def read(files: DataFrame, with_ids: bool = True) -> DataFrame:

@@ -110,3 +110,42 @@ def test_splits_are_the_library_s(spark):
             assert r["p"] == want, r["text"]
     got = idcodec.read(idcodec.write(df.select(F.col("i").cast("long").alias("doc_id"), "text"), f"{shared_dir(spark)}/ids-split", PATH)).orderBy("doc_id").collect()
     assert [r["ids"] for r in got] == [[*library.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+
+
+def test_numpy_splits_as_the_library():
+    """Random texts of the characters that matter, with neighbours in the same buffer, split as the library splits each alone."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    library, rng = Tokenizer.from_file(PATH), np.random.default_rng(11)
+    signs = ["'", "'", "s", "t", "re", "ll", "ve", "a", "Z", " ", " ", "\n", "\t", "1", "²", "!", "é", " ", "\u0085", " ", "…", "ж", "́", ""]
+    texts = ["".join(rng.choice(signs, n)) for n in rng.integers(0, 12, 4000)]
+    column = pa.array(texts)
+    offsets = np.frombuffer(column.buffers()[1], np.int32, len(texts) + 1)
+    raw = column.buffers()[2].to_pybytes()[: offsets[-1]]
+    begins = idcodec._Splitter()(raw + bytes(3), offsets)
+    for text, low, high in zip(texts, offsets, offsets[1:], strict=False):
+        cuts = [*begins[np.searchsorted(begins, low) : np.searchsorted(begins, high)], high]
+        assert [raw[a:b].decode() for a, b in zip(cuts, cuts[1:], strict=False)] == [text[a:b] for _, (a, b) in library.pre_tokenizer.pre_tokenize_str(text)], repr(text)
+
+
+def test_runs_of_ids_are_coded_in_one_step(monkeypatch):
+    """Frequent runs and pairs take one step; they come back whole where blocks, chunks and forgotten runs cut them."""
+    monkeypatch.setattr(idcodec, "LANES", 4)
+    monkeypatch.setattr(idcodec, "BLOCK", 256)
+    rng, out = np.random.default_rng(2), Handle()
+    writer, want = idcodec._Writer(out), []
+    for d in range(12):
+        if d == 7:
+            writer.restart()
+        runs = [np.array(r, np.uint32) for r in ([5], [1, 2, 3], [9, 2**32 - 1, 9, 9, 8], list(range(100, 300)))]
+        numbers = writer.runs.add(np.concatenate(runs), np.array([len(r) for r in runs]))
+        chosen = rng.choice(4, 60, p=[0.3, 0.4, 0.28, 0.02])
+        ids = np.r_[np.concatenate([runs[i] for i in chosen]), np.tile(np.array([40, 41, 40], np.uint32), 30)]
+        items = np.r_[numbers[chosen], -1 - np.tile([40, 41, 40], 30)]
+        writer.extend([d], items, [len(ids)])
+        want.append(ids)
+    writer.close()
+    assert sum(b[4] for b in writer.blocks) < 0.7 * sum(b[2] for b in writer.blocks)
+    got = list(idcodec.read_file(Handle(out.getvalue())))
+    assert [d for d, _, _ in got] == list(range(12)) and all((a == b).all() for a, (_, _, b) in zip(want, got, strict=True))
