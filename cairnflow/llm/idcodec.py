@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from ._common import cut, remove, shared_dir
 from .warc import open_fs
 
-MAGIC, BLOCK, LANES, SLOTS = b"CFIDS3\r\n", 4096, 2048, 512
+MAGIC, BLOCK, LANES, SLOTS = b"CFIDS3\r\n", 4096, 2048, 256
 END_ID = 0
 #: Bits of the order-0 counts' total and of the mix; how fast probabilities adapt.
 COUNT_BITS, MIX_BITS, RATE = 16, 12, 4
@@ -139,7 +139,13 @@ def _taken(flat, first, size):
     import numpy as np
 
     ends = np.cumsum(size)
-    return flat[np.repeat(first - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+    out = np.empty(int(ends[-1]) if len(ends) else 0, flat.dtype)
+    for lo in range(0, len(size), 1 << 16):  # in parts that stay in a cache
+        part = slice(lo, lo + (1 << 16))
+        upto, own = ends[part], size[part]
+        begin = upto - own
+        out[begin[0] : upto[-1]] = flat[np.repeat(first[part] - begin, own) + np.arange(begin[0], upto[-1])]
+    return out
 
 
 class _Model:
@@ -235,7 +241,7 @@ class _Coder:
         own = slice(len(start)) if lanes is None else lanes
         old = self.low[own]
         low = old + start
-        over = np.flatnonzero(low < old)
+        over = (low < old).nonzero()[0]
         if len(over):
             rows = over if lanes is None else lanes[over]
             at = self.at[rows] - 1
@@ -244,7 +250,7 @@ class _Coder:
                 self.words[rows, at] = value
                 more = value == 0
                 rows, at = rows[more], at[more] - 1
-        go = np.flatnonzero(width < _LEAST)
+        go = (width < _LEAST).nonzero()[0]
         if len(go):
             rows = go if lanes is None else lanes[go]
             at, out = self.at[rows], low[go]
@@ -263,7 +269,7 @@ class _Coder:
     def got(self, lanes, code, width) -> None:
         """Go on, in lanes (numbers, or None for all), with a code in a range of width."""
         np = self.np
-        go = np.flatnonzero(width < _LEAST)
+        go = (width < _LEAST).nonzero()[0]
         if len(go):
             rows = go if lanes is None else lanes[go]
             at = self.at[rows]
@@ -327,14 +333,14 @@ def _encode(blocks: list, ids: list, order0: Order0) -> list[bytes]:
             upto2, upto1 = share * end2, share * end1
             start = np.where(right, np.where(right2, zero, upto2), upto1)
             width = np.where(right, np.where(right2, upto2, upto1 - upto2), coder.range - upto1)
-            miss = np.flatnonzero(~right)
+            miss = (~right).nonzero()[0]
             if len(miss):
                 unit, span = width[miss] >> np.uint64(COUNT_BITS), spans.take(now[miss])
                 start[miss] += unit * (span >> np.uint64(32))
                 width[miss] = unit * (span & low)
             coder.put(None, start, width)
             if not now.all():  # escapes: the id as two halves
-                escaped = np.flatnonzero(now == 0)
+                escaped = (now == 0).nonzero()[0]
                 value = np.array([ids[order[i]][t] if t < sizes[i] else 0 for i in escaped.tolist()], np.uint64)
                 for shift in (16, 0):
                     unit = coder.range[escaped] >> np.uint64(16)
@@ -371,14 +377,14 @@ def decode_blocks(payloads: list[bytes], sizes: list[int], order0: Order0) -> li
             now = np.where(right2, q2, q1)
             code = code - np.where(right, np.where(right2, zero, upto2), upto1)
             width = np.where(right, np.where(right2, upto2, upto1 - upto2), coder.range - upto1)
-            miss = np.flatnonzero(~right)
+            miss = (~right).nonzero()[0]
             if len(miss):
                 unit, own = width[miss] >> bits, code[miss]
                 # the quotient of floats is off by one at most; where that is another place's, divide exactly
                 place = order0.place_of.take((own.astype(np.float64) / unit.astype(np.float64)).astype(np.int64), mode="clip")
                 span = spans.take(place)
                 rest, span = own - unit * (span >> np.uint64(32)), unit * (span & low)
-                wrong = np.flatnonzero(rest >= span)
+                wrong = (rest >= span).nonzero()[0]
                 if len(wrong):
                     place[wrong] = order0.place_of.take((own[wrong] // unit[wrong]).astype(np.int64), mode="clip")
                     span = spans.take(place)
@@ -387,7 +393,7 @@ def decode_blocks(payloads: list[bytes], sizes: list[int], order0: Order0) -> li
             coder.got(None, code, width)
             found[t, :lanes] = now
             if not now.all():
-                escaped = np.flatnonzero(now == 0)
+                escaped = (now == 0).nonzero()[0]
                 value = np.zeros(len(escaped), np.uint64)
                 for _ in range(2):
                     unit, own = coder.range[escaped] >> np.uint64(16), coder.code[escaped]
@@ -492,10 +498,10 @@ def _paired(items, ends, free: int, least: int, most: int):
 class _Writer:
     """One file; blocks are coded LANES at a time. Runs that often come in a chunk are symbols of their own in it, others are spelled by id."""
 
-    def __init__(self, handle):
+    def __init__(self, handle, runs: Runs | None = None):
         self.handle, self.offset, self.docs, self.lengths, self.rest, self.held = handle, 0, [], [], [], 0
         self.blocks, self.chunks = [], []  # (offset, bytes, ids, CRC-32, places); (offset of the table, bytes)
-        self.runs = Runs()
+        self.runs = runs or Runs()
         self._put(MAGIC)
 
     def _put(self, data: bytes) -> None:
@@ -516,12 +522,12 @@ class _Writer:
         if self.held >= LANES * BLOCK:
             self._flush(False)
 
-    def restart(self) -> None:
-        """Forget the runs; what is held is spelled by id."""
+    def restart(self, runs: Runs) -> None:
+        """Go on with other runs; what is held is spelled by id."""
         import numpy as np
 
         self.rest = [self.runs.spelled(x, np.ones(len(x), bool)) for x in self.rest]
-        self.runs = Runs()
+        self.runs = runs
 
     def _flush(self, last: bool) -> None:
         import numpy as np
@@ -769,13 +775,30 @@ def _bare(description: str) -> tuple[str, list[int]]:
 class _Encoder:
     """Ids of texts (by the library), and items of texts of settled characters (each different pre-token by the library's model, once)."""
 
-    MEMO, AT_ONCE = 300_000, 100
+    #: Pre-tokens that are known, at most, when a task begins and when a group of texts does; pre-tokens given to the model at once.
+    MEMO, MEMO_MORE, AT_ONCE = 300_000, 600_000, 100
 
     def __init__(self, description: str, bare: str, sizes: list[int]):
         import numpy as np
 
         self.description, self.bare, self.library, self.model = description, bare, None, None
-        self.memo, self.split, self.alphabet, self.sizes = {}, _Splitter(), _alphabet(), np.array(sizes, np.int64)
+        self.split, self.alphabet, self.sizes = _Splitter(), _alphabet(), np.array(sizes, np.int64)
+        self.forget()
+
+    @classmethod
+    def kept(cls, description: str, bare: str, sizes: list[int]) -> _Encoder:
+        """The one of this process: a worker's next task finds the model loaded and pre-tokens known. Code travels by value, so the library's module holds it."""
+        import tokenizers
+
+        held = vars(tokenizers).get("_cairnflow_encoder")
+        if held is None or held.description != description:
+            held = tokenizers._cairnflow_encoder = cls(description, bare, sizes)
+        if len(held.memo) > cls.MEMO:
+            held.forget()
+        return held
+
+    def forget(self) -> None:
+        self.memo, self.runs = {}, Runs()
 
     def texts(self, texts: list[str]) -> list[list[int]]:
         from tokenizers import Tokenizer
@@ -805,7 +828,7 @@ class _Encoder:
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         return np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum())), sizes
 
-    def items(self, texts, runs: Runs, end_id: int):
+    def items(self, texts, end_id: int):
         """From a string array without nulls: items of all rows, the end id after each, and where rows end in them."""
         import numpy as np
         import pyarrow as pa
@@ -822,7 +845,7 @@ class _Encoder:
         cuts, held = np.frombuffer(known.buffers()[1], np.int32, len(known) + 1).tolist(), known.buffers()[2].to_pybytes() if len(known) else b""
         words = [held[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
         new = [w for w in words if w not in self.memo]
-        self.memo.update(zip(new, runs.add(*self.words(new)).tolist(), strict=True))
+        self.memo.update(zip(new, self.runs.add(*self.words(new)).tolist(), strict=True))
         of = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
         upto = np.searchsorted(begins, offsets[1:])
         ends = upto + np.arange(1, len(upto) + 1)
@@ -872,21 +895,21 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_I
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        encoder, out, own = _Encoder(*description.value), None, None
+        encoder, out, own = _Encoder.kept(*description.value), None, None
         fs, top = open_fs(folder)
         fs.create_dir(top, recursive=True)
         name = f"part-{task.partitionId():06d}.ids"
         for batch in _grouped(batches, GROUP_BYTES):
             if out is None:
                 own = f"{top}/{name}.{task.taskAttemptId()}.{os.getpid()}"
-                out = _Writer(fs.open_output_stream(own, compression=None))
-            if len(encoder.memo) > encoder.MEMO:
-                encoder.memo.clear()
-                out.restart()
+                out = _Writer(fs.open_output_stream(own, compression=None), encoder.runs)
+            if len(encoder.memo) > encoder.MEMO_MORE:
+                encoder.forget()
+                out.restart(encoder.runs)
             known, texts, fast = batch.column(0).to_pylist(), batch.column(1), batch.column(2)
             by_split = fast.to_numpy(zero_copy_only=False).astype(bool)
             slow = np.flatnonzero(~by_split).tolist()
-            items, ends = encoder.items(texts.filter(fast) if slow else texts, out.runs, end_id)
+            items, ends = encoder.items(texts.filter(fast) if slow else texts, end_id)
             places = np.r_[0, ends]
             upto = np.r_[0, np.cumsum(out.runs.lengths(items))][places]
             lengths, rows, at = np.diff(upto).tolist(), 0, 0  # rows so far, and how many of the split ones

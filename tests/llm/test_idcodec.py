@@ -137,7 +137,7 @@ def test_runs_of_ids_are_coded_in_one_step(monkeypatch):
     writer, want = idcodec._Writer(out), []
     for d in range(12):
         if d == 7:
-            writer.restart()
+            writer.restart(idcodec.Runs())
         runs = [np.array(r, np.uint32) for r in ([5], [1, 2, 3], [9, 2**32 - 1, 9, 9, 8], list(range(100, 300)))]
         numbers = writer.runs.add(np.concatenate(runs), np.array([len(r) for r in runs]))
         chosen = rng.choice(4, 60, p=[0.3, 0.4, 0.28, 0.02])
