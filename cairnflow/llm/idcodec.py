@@ -74,8 +74,9 @@ class Order0:
         import numpy as np
 
         own, n = np.unique(ids, return_counts=True)
-        if len(own) > cls.MOST:
-            kept = np.sort(np.argpartition(-n, cls.MOST)[: cls.MOST])
+        room = cls.MOST - len(runs)
+        if len(own) > room:
+            kept = np.sort(np.argpartition(-n, room)[:room])
             own, n = own[kept], n[kept]
         n = np.r_[n, np.asarray(runs, n.dtype)]
         free = (1 << COUNT_BITS) - len(n) - 1

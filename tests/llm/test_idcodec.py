@@ -149,3 +149,16 @@ def test_runs_of_ids_are_coded_in_one_step(monkeypatch):
     assert sum(b[4] for b in writer.blocks) < 0.7 * sum(b[2] for b in writer.blocks)
     got = list(idcodec.read_file(Handle(out.getvalue())))
     assert [d for d, _, _ in got] == list(range(12)) and all((a == b).all() for a, (_, _, b) in zip(want, got, strict=True))
+
+
+def test_more_ids_and_runs_than_places():
+    """Runs and ids share a chunk's table; ids without a place are escaped, and all come back."""
+    rng, out = np.random.default_rng(8), Handle()
+    writer = idcodec._Writer(out)
+    numbers = writer.runs.add(rng.integers(0, 60000, 60000).astype(np.uint32), np.full(30000, 2))
+    items = np.r_[np.tile(numbers, 4), -1 - np.arange(60000), -1 - np.tile(np.arange(20000), 3)]
+    want = -1 - writer.runs.spelled(items, np.ones(len(items), bool))
+    writer.extend([1], items, [len(want)])
+    writer.close()
+    ((_, _, ids),) = idcodec.read_file(Handle(out.getvalue()))
+    assert (ids == want).all()
