@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import prompts
+from ..functions.batches import pieces, text_sizes
 from .datasets import mask_labels
 
 
@@ -26,8 +27,11 @@ def tokenize(rows: DataFrame, tokenizer_path: str, columns: dict[str, str]) -> D
 
         encoder = Tokenizer.from_str(description.value)
         for b in batches:
-            found = [encoder.encode_batch_fast([t or "" for t in b.column(k).to_pylist()], add_special_tokens=False) for k in places]
-            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array([e.ids for e in x], pa.list_(pa.int32())) for x in found]], [*names, *columns])
+            # an encoding takes some hundred times the memory of its ids, so few are there at once
+            for start, n in pieces(text_sizes(*[b.column(k) for k in places])):
+                part = b.slice(start, n)
+                found = [pa.array([encoder.encode_batch_fast([t or ""], add_special_tokens=False)[0].ids for t in part.column(k).to_pylist()], pa.list_(pa.int32())) for k in places]
+                yield pa.RecordBatch.from_arrays([*part.columns, *found], [*names, *columns])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return rows.mapInArrow(run, f"{ddl}, " + ", ".join(f"`{c}` array<int>" for c in columns))
