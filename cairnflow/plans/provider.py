@@ -95,6 +95,10 @@ def provider_factory(name: str, **settings) -> Callable[[], TextProvider]:
     return lambda: make(**settings)
 
 
+#: Rows of an Arrow batch whose prompts are taken up at once, rounded to whole batches of prompts.
+PIECE = 64
+
+
 def generate(rows: DataFrame, factory: Callable[[], TextProvider], prompt: str = "prompt", out: str = "response", n: int = 1, max_tokens: int = 256, batch: int = 8, system: str | None = None) -> DataFrame:
     """rows with out: the first completion (n = 1) or all (array). One provider per task, batches of prompts.
 
@@ -104,6 +108,7 @@ def generate(rows: DataFrame, factory: Callable[[], TextProvider], prompt: str =
     """
     names, kind = rows.columns, "string" if n == 1 else "array<string>"
     at, told = names.index(prompt), None if system is None else names.index(system)
+    step = batch * max(1, PIECE // batch)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -126,13 +131,16 @@ def generate(rows: DataFrame, factory: Callable[[], TextProvider], prompt: str =
                 return [([""] * n, f"{type(e).__name__}: {e}")]
 
         for b in batches:
-            prompts = b.column(at).to_pylist()
-            systems = [None] * len(prompts) if told is None else b.column(told).to_pylist()
-            pairs = list(zip(systems, prompts, strict=True))
-            got = [x for k in range(0, len(pairs), batch) for x in answer(pairs[k : k + batch])]
-            texts = [g[0] if n == 1 else g for g, _ in got]
-            extra = [pa.array(texts, pa.string() if n == 1 else pa.list_(pa.string())), pa.array([e for _, e in got], pa.string())]
-            yield pa.RecordBatch.from_arrays([*b.columns, *extra], [*names, out, f"{out}_error"])
+            # prompts and answers of few rows are there as Python's objects at once; provider calls are those of the whole batch
+            for start in range(0, b.num_rows, step):
+                part = b.slice(start, step)
+                prompts = part.column(at).to_pylist()
+                systems = [None] * len(prompts) if told is None else part.column(told).to_pylist()
+                pairs = list(zip(systems, prompts, strict=True))
+                got = [x for k in range(0, len(pairs), batch) for x in answer(pairs[k : k + batch])]
+                texts = [g[0] if n == 1 else g for g, _ in got]
+                extra = [pa.array(texts, pa.string() if n == 1 else pa.list_(pa.string())), pa.array([e for _, e in got], pa.string())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *extra], [*names, out, f"{out}_error"])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return rows.mapInArrow(run, f"{ddl}, {out} {kind}, {out}_error string")
