@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 #: A piece ends at so many rows or bytes of text.
 ROWS, BYTES = 256, 1 << 18
@@ -22,7 +22,34 @@ def pieces(sizes: Iterable[int | None], rows: int = ROWS, most: int = BYTES) ->
 
 
 def text_sizes(*columns) -> list[int]:
-    """Bytes of text of each row of Arrow columns of strings."""
+    """Bytes of text of each row of Arrow columns of strings or lists of strings."""
+    import pyarrow as pa
     import pyarrow.compute as pc
 
-    return [sum(n or 0 for n in row) for row in zip(*[pc.binary_length(c).to_pylist() for c in columns], strict=True)]
+    def of(c) -> list[int | None]:
+        if not pa.types.is_list(c.type):
+            return pc.binary_length(c).to_pylist()
+        ends = [0, *pc.cumulative_sum(pc.fill_null(pc.binary_length(c.flatten()), 0)).to_pylist()]
+        counts, at, sizes = pc.fill_null(pc.list_value_length(c), 0).to_pylist(), 0, []
+        for n in counts:
+            sizes.append(ends[at + n] - ends[at])
+            at += n
+        return sizes
+
+    return [sum(n or 0 for n in row) for row in zip(*[of(c) for c in columns], strict=True)]
+
+
+def in_pieces(f: Callable, kind: str) -> Callable:
+    """f of each value that isn't null, for an Arrow UDF over iterators of columns; kind: string, or list (of strings)."""
+
+    def run(columns: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        made = pa.string() if kind == "string" else pa.list_(pa.string())
+        for c in columns:
+            if not len(c):
+                yield pa.array([], made)
+            for start, n in pieces(text_sizes(c)):
+                yield pa.array([None if x is None else f(x) for x in c.slice(start, n).to_pylist()], made)
+
+    return run

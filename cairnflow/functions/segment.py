@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .batches import in_pieces
 from .text import CONNECTORS, ENUMERATIONS, lines
 
 MAX_TOKENS = 256
@@ -80,10 +81,7 @@ def segment_steps(text: str | None, max_tokens: int = MAX_TOKENS, count=lambda s
 def segment(c: Column, max_tokens: int = MAX_TOKENS) -> Column:
     """Exact segmentation. Text without formulas, NULs and long lines takes the built-in path; only the rest reaches Python."""
 
-    @F.pandas_udf("array<string>")
-    def exact(texts):
-        return texts.map(lambda t: None if t is None else segment_steps(t, max_tokens))
-
+    exact = F.arrow_udf(in_pieces(lambda t: segment_steps(t, max_tokens), "list"), "array<string>", F.ArrowUDFType.SCALAR_ITER)
     # a line of over n words has over 2n - 1 characters
     plain = ~c.rlike(rf"(?dm)[$\x00\x0b\x0c\x1c-\x1e\x85\u2028\u2029]|\\[\[(]|^[^\n]{{{2 * max_tokens},}}")
     return F.coalesce(F.when(plain, lines(c)), exact(F.when(~plain, c)))
@@ -92,12 +90,8 @@ def segment(c: Column, max_tokens: int = MAX_TOKENS) -> Column:
 def format_trajectory(steps: Column) -> Column:
     """Steps cut anew (kept if nothing is left), numbered from 1."""
 
-    @F.pandas_udf("string")
-    def exact(lists):
-        def one(x):
-            flat = [p for s in x for p in (segment_steps(s) or [s])]
-            return "\n".join(f"Step {i}: {s}" for i, s in enumerate(flat, 1))
-
-        return lists.map(lambda x: None if x is None else one(x))
+    def one(x: list) -> str:
+        flat = [p for s in x for p in (segment_steps(s) or [s])]
+        return "\n".join(f"Step {i}: {s}" for i, s in enumerate(flat, 1))
 
-    return exact(steps)
+    return F.arrow_udf(in_pieces(one, "string"), "string", F.ArrowUDFType.SCALAR_ITER)(steps)
